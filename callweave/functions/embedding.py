@@ -55,8 +55,8 @@ def embedder(kind: str = "lexical"):
 
 def embedded(df: DataFrame, text: str = "text", kind: str = "lexical") -> DataFrame:
     """df with `vector`; each distinct text is embedded once."""
-    known = df.select(text).distinct().withColumn("vector", embedder(kind)(F.col(text)))
-    return df.join(known, df[text].eqNullSafe(known[text]), "left").select(*[df[c] for c in df.columns], "vector")
+    known = df.select(F.col(text).alias("_text")).distinct().withColumn("vector", embedder(kind)(F.col("_text")))
+    return df.join(known, F.col(text).eqNullSafe(F.col("_text")), "left").drop("_text")
 
 
 def mean_pool(tokens: DataFrame, key: str = "id") -> DataFrame:

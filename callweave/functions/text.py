@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 WORD = r"((?U)\w+)"
 TOKEN = r"((?U)[\w؀-ۿ]+)"
@@ -18,7 +19,7 @@ MARKS = "[ً-ٰٟـ]"
 ARABIC = r"[؀-ۿݐ-ݿﭐ-﷿ﹰ-﻿]"
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 

@@ -92,7 +92,7 @@ def load_documents(spark: SparkSession, folder: str) -> DataFrame:
     return landed(spark, folder).mapInPandas(run, DOCUMENT)
 
 
-QUESTION = T._parse_datatype_string(
+QUESTION = (
     "id string, question string, category string, language string, reference_answer string, relevant_source_urls array<string>, relevant_document_ids array<string>, relevant_sections array<string>, "
     "expected_citations array<string>, graded_relevance map<string,double>, expect_insufficient boolean, notes string"
 )
@@ -100,9 +100,10 @@ QUESTION = T._parse_datatype_string(
 
 def load_questions(spark: SparkSession, path: str) -> DataFrame:
     """An evaluation set: a JSON list, or an object with the list in `questions`."""
+    typed = re.sub(r"(\w+) (\w+(?:<[^>]*>)?)(, |$)", lambda m: f"{m[1]}:{m[2]}{m[3]}", QUESTION)
     whole = spark.read.text(path, wholetext=True).select(F.trim("value").alias("v"))
-    as_list = F.from_json("v", T.ArrayType(QUESTION))
-    inside = F.from_json("v", T.StructType([T.StructField("questions", T.ArrayType(QUESTION))]))["questions"]
+    as_list = F.from_json("v", f"array<struct<{typed}>>")
+    inside = F.from_json("v", f"struct<questions:array<struct<{typed}>>>")["questions"]
     return whole.select(F.inline(F.when(F.col("v").startswith("["), as_list).otherwise(inside)))
 
 
