@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesvec import SPACED, mix, span_hashes, word_hashes, words
@@ -28,7 +28,7 @@ class Setting:
     epochs: int = 6
     rate: float = 0.5
     seed: int = 11
-    #: At most so many labelled rows are fitted, those with the least hash of id and text.
+    #: At most so many labelled rows are fitted, those with the least hash of the id.
     sample: int = 4000
     #: Longest text of a fitted row, in bytes; longer ones are not drawn for the sample.
     longest: int = 1 << 20
@@ -117,22 +117,22 @@ class Model:
         return 1 / (1 + np.exp(-z))
 
 
-def fit(df: DataFrame, label: Column, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", setting: Setting = Setting()) -> Model:
-    """A model from at most setting.sample rows with label 0 or 1; `learn` says which rows may be used.
+def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", setting: Setting = Setting()) -> Model:
+    """A model from the rows of df that at most setting.sample labels (id_col, label_col 0 or 1) name.
 
-    The sample's rows are those with the least hash of id and text, found by a
-    top-k plan.  Without any row the model gives one half to every text.
+    The labels drawn are those with the least hash of the id: a top-k plan over ids
+    alone.  They are broadcast (setting.sample is their bound), so that no text is
+    shuffled, and only the texts they name reach the driver; should ids repeat, again
+    at most setting.sample.  Null ids and other labels are passed over; without any
+    row the model gives one half to every text.
     """
-    rows = df.where(label.isin(0, 1) & (F.lit(True) if learn is None else F.coalesce(learn, F.lit(False)))).where(F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) <= setting.longest)
-    drawn = (
-        rows.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("draw"), text_bytes(text_col).alias("text"), label.cast("int").alias("label"))
-        .orderBy("draw", "text", "label")
-        .limit(setting.sample)
-        .collect()
-    )
-    if not drawn:
+    good = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
+    drawn = good.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).orderBy(F.xxhash64("_id"), "_id", "_label").limit(setting.sample)
+    texts = df.where(F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) <= setting.longest).select(F.col(id_col).alias("_key"), text_bytes(text_col).alias("_text"))
+    rows = texts.join(F.broadcast(drawn), F.col("_key") == F.col("_id")).select("_id", "_text", "_label").orderBy(F.xxhash64("_id"), "_id", "_text", "_label").limit(setting.sample).collect()
+    if not rows:
         return Model(setting)
-    return Model(setting).fit([bytes(r["text"]) for r in drawn], np.array([r["label"] for r in drawn]))
+    return Model(setting).fit([bytes(r["_text"]) for r in rows], np.array([r["_label"] for r in rows]))
 
 
 def classify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -24,9 +24,8 @@ def remainder(n: int):
 
 def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
     """Learned from the labelled rows whose remainder of 3 is not 1."""
-    labels = _table(spark, sf_dir, "labels").select("doc_id", "quality").where(remainder(3) != 1)
-    rows = _table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
-    return quality.fit(rows, F.col("quality"))
+    labels = _table(spark, sf_dir, "labels").where(remainder(3) != 1)
+    return quality.fit(_table(spark, sf_dir, "documents"), labels, label_col="quality")
 
 
 def op1_secrets(spark, sf_dir):

@@ -271,7 +271,7 @@ def test_quality(spark, docs, empty):
     path = "/root/testdata/sf0.01"
     rows = spark.read.parquet(f"{path}/documents.parquet").join(spark.read.parquet(f"{path}/labels.parquet"), "doc_id")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
-    model = quality.fit(rows, F.col("quality"), ~held)
+    model = quality.fit(rows, rows.where(~held), label_col="quality")
     out = quality.classify(rows.where(held), model).join(rows.select("doc_id", "quality"), "doc_id").collect()
     good, bad = [r["score"] for r in out if r["quality"]], [r["score"] for r in out if not r["quality"]]
     auc = np.mean([g > b for g in good for b in bad])
@@ -281,7 +281,7 @@ def test_quality(spark, docs, empty):
     assert len(odd) == len(DOCS) and all(0 <= r["score"] <= 1 for r in odd)
     assert quality.classify(empty, model).collect() == []
     assert quality.keep_good(docs, model).columns == docs.columns
-    assert quality.fit(empty.withColumn("quality", F.lit(1)), F.col("quality")).scores([b"", b"a"]).tolist() == [0.5, 0.5]
+    assert quality.fit(docs, empty.withColumn("label", F.lit(1))).scores([b"", b"a"]).tolist() == [0.5, 0.5]
 
 
 def test_word_sums_equal_document_average():
