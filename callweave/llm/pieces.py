@@ -13,6 +13,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -192,12 +193,13 @@ class Encoder:
         plain[place] = codes[ragged(start, size)]
         text[place] = self.symbols(plain[place])
         order, low, high = suffix_ranges(text, self.v)
-        hits = high - low
-        pos = order[ragged(low, hits)]
         length = np.diff(self.v.at)
         # the edges by position and length: edge[length, position] is the piece
-        edge = np.full((self.v.longest + 1, len(text)), -1, np.int32)
-        edge[np.repeat(length, hits), pos] = np.repeat(np.arange(len(hits)), hits)
+        edge = np.full((self.v.longest + 1, len(text)), -1, np.int16 if len(length) < 1 << 15 else np.int32)
+        for a in range(0, len(length), 2000):  # so many pieces' ranges at a time
+            own = slice(a, a + 2000)
+            hits = high[own] - low[own]
+            edge[np.repeat(length[own], hits), order[ragged(low[own], hits)]] = np.repeat(np.arange(a, a + len(hits)), hits)
         sym_start, sym_len, owner = [], [], []
         short = size <= LONG
         for got in (self._together(edge, base[short], size[short], np.flatnonzero(short)), self._singly(edge, base[~short], size[~short], np.flatnonzero(~short))):
@@ -206,7 +208,7 @@ class Encoder:
         s, n, w = (np.concatenate(x) for x in (sym_start, sym_len, owner))
         by = np.argsort(s, kind="stable")
         s, n, w = s[by], n[by], w[by]
-        piece = edge[n, s]
+        piece = edge[n, s].astype(np.int32)
         lost = np.flatnonzero(piece < 0)  # characters without a piece: their UTF-8 bytes
         utf8 = [chr(c).encode("utf-8", "replace") for c in plain[s[lost]]]
         count = np.ones(len(s), np.int64)
@@ -275,13 +277,14 @@ class Encoder:
 
     def decode(self, ids: np.ndarray, at: np.ndarray) -> list[str]:
         """Texts of ids[at[k]:at[k+1]]."""
-        count = np.diff(self.raw_at)[ids]
-        data = self.raw[ragged(self.raw_at[ids], count)].tobytes()
-        cut = np.concatenate([[0], np.cumsum(count)])[at]
+        size = np.diff(self.raw_at)
         out = []
-        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            t = data[a:b].decode("utf-8", "replace")
-            out.append(t.removeprefix(" "))
+        for k, m in _runs(np.diff(at).tolist(), 1 << 17):  # so many ids at a time
+            own = ids[at[k] : at[m]]
+            count = size[own]
+            data = self.raw[ragged(self.raw_at[own], count)].tobytes()
+            cut = np.concatenate([[0], np.cumsum(count)])[at[k : m + 1] - at[k]].tolist()
+            out += [data[a:b].decode("utf-8", "replace").removeprefix(" ") for a, b in pairwise(cut)]
         return out
 
 
@@ -296,7 +299,7 @@ def _runs(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield begin, len(sizes)
 
 
-def encode(df: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 6 << 20) -> DataFrame:
+def encode(df: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 3 << 20) -> DataFrame:
     """(doc_id, ids, decoded) for every row: the ids of the whole text, and their text again.
 
     The ids are those of the vocabulary's own reference encoder.  Null and empty
