@@ -43,7 +43,6 @@ def normalised(c: str | Column) -> Column:
     x = F.regexp_replace(_col(c), "ـ|[ً-ْٰۖ-ۭ]", "")
     x = F.regexp_replace(x, "\r\n?", "\n")
     x = F.regexp_replace(x, "[ \t ‏‎]+", " ")
-    x = F.regexp_replace(x, r"(?m)^(?U)\s*?(?=\S)|(?U)[\s&&[^\n]]+$", "")
     x = F.array_join(F.transform(F.split(x, "\n"), lambda line: F.regexp_replace(line, r"(?U)^\s+|\s+$", "")), "\n")
     return F.regexp_replace(F.regexp_replace(x, "\n{3,}", "\n\n"), r"(?U)^\s+|\s+$", "")
 
