@@ -28,6 +28,11 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """body(x) with x bound to value once: however often body names x, the plan holds value a single time."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def fold_term(c: str | Column) -> Column:
     """After NFKC: lower case, marks gone, alef, ya and ta marbuta folded."""
     return F.translate(F.regexp_replace(F.lower(_col(c)), MARKS, ""), "أإآىة", "ااايه")
@@ -58,15 +63,16 @@ def arabic_ratio(c: str | Column) -> Column:
 
 
 def language(c: str | Column) -> Column:
-    r = arabic_ratio(c)
-    latin = _col(c).rlike("[A-Za-z]")
-    blank = F.coalesce(_col(c), F.lit("")).rlike(r"^(?U)\s*$")
-    return F.when(blank, "unknown").when(r >= 0.65, "ar").when(r <= 0.10, F.when(latin, "en").otherwise("unknown")).otherwise("mixed")
+    def of(x: Column) -> Column:
+        latin = x.rlike("[A-Za-z]")
+        blank = F.coalesce(x, F.lit("")).rlike(r"^(?U)\s*$")
+        return let(arabic_ratio(x), lambda r: F.when(blank, "unknown").when(r >= 0.65, "ar").when(r <= 0.10, F.when(latin, "en").otherwise("unknown")).otherwise("mixed"))
+
+    return let(_col(c), of)
 
 
 def same_script(a: str | Column, b: str | Column) -> Column:
-    x, y = language(a), language(b)
-    return (x != "unknown") & (y != "unknown") & ((x == y) | (x == "mixed") | (y == "mixed"))
+    return let(F.struct(language(a).alias("x"), language(b).alias("y")), lambda s: (s["x"] != "unknown") & (s["y"] != "unknown") & ((s["x"] == s["y"]) | (s["x"] == "mixed") | (s["y"] == "mixed")))
 
 
 def content_hash(*parts: str | Column) -> Column:
@@ -108,19 +114,25 @@ def _arabic_score(c: Column) -> Column:
 
 def reversal(c: str | Column, least: int = 8) -> Column:
     """Struct of the verdict whether lines were stored back to front."""
-    c = _col(c)
-    n = F.regexp_count(c, F.lit(r"[؀-ۿ]+"))
-    there, back = _arabic_score(c), _arabic_score(reversed_lines(c))
-    sure = F.when(there + back > 0, F.abs(there - back) / (there + back)).otherwise(0.0)
-    few = n < least
-    return F.struct(
-        F.when(few, False).otherwise((back > there) & (sure >= 0.5)).alias("is_reversed"), F.when(few, 0).otherwise(there).alias("forward_score"),
-        F.when(few, 0).otherwise(back).alias("reversed_score"), n.alias("arabic_words"), F.when(few, 0.0).otherwise(sure).alias("confidence"),
-    )
+
+    def verdict(s: Column) -> Column:
+        n, there, back = s["n"], s["there"], s["back"]
+        sure = F.when(there + back > 0, F.abs(there - back) / (there + back)).otherwise(0.0)
+        few = n < least
+        return F.struct(
+            F.when(few, False).otherwise((back > there) & (sure >= 0.5)).alias("is_reversed"), F.when(few, 0).otherwise(there).alias("forward_score"),
+            F.when(few, 0).otherwise(back).alias("reversed_score"), n.alias("arabic_words"), F.when(few, 0.0).otherwise(sure).alias("confidence"),
+        )
+
+    def scores(x: Column) -> Column:
+        n = F.regexp_count(x, F.lit(r"[؀-ۿ]+"))
+        return let(F.struct(n.alias("n"), _arabic_score(x).alias("there"), let(reversed_lines(x), _arabic_score).alias("back")), verdict)
+
+    return let(_col(c), scores)
 
 
 def repaired(c: str | Column) -> Column:
-    return F.when(reversal(c)["is_reversed"], reversed_lines(c)).otherwise(_col(c))
+    return let(_col(c), lambda x: F.when(reversal(x)["is_reversed"], reversed_lines(x)).otherwise(x))
 
 
 # Punctuation that ordinary prose has.
@@ -139,26 +151,36 @@ def non_text_ratio(c: str | Column) -> Column:
 
 def quality(text: str | Column, pages: str | Column, pages_with_text: str | Column, headings: str | Column, least: int = 80) -> Column:
     """Struct of the extraction-quality checks of a document's whole text."""
-    c = _col(text)
-    chars = F.length(c)
-    n_letters = F.greatest(letters(c), F.lit(1))
-    seen = F.greatest(_visible(c), F.lit(1))
-    alpha = F.regexp_count(c, F.lit(r"[\p{L}\p{N}]")) / seen
-    forms = F.regexp_count(c, F.lit(r"[ﭐ-﷿ﹰ-﻿]")) / n_letters
-    broken = F.regexp_count(c, F.lit(r"[�-]")) / F.greatest(chars, F.lit(1))
-    words = F.regexp_extract_all(c, F.lit(TOKEN), F.lit(1))
-    mean = F.aggregate(words, F.lit(0), lambda s, w: s + F.length(w)) / F.greatest(F.size(words), F.lit(1))
-    few, partly = chars < least, (chars >= least) & (_col(pages_with_text) / F.greatest(_col(pages), F.lit(1)) < 0.5)
-    unreadable, filler = (chars >= least) & (alpha < 0.30), non_text_ratio(c) > 0.30
-    detached = (F.size(words) > 0) & (mean < 1.8) & (arabic_ratio(c) > 0.3)
-    said = [
-        (few, "no_text"), (partly, "partially_scanned"), (unreadable, "unusable_encoding"), (filler, "filler_glyphs"), (forms > 0.15, "presentation_forms"),
-        (broken > 0.02, "broken_glyphs"), (detached, "detached_letters"), (reversal(c)["is_reversed"], "reversed"), (_col(headings) == 0, "no_headings"),
-    ]
-    return F.struct(
-        (~(few | unreadable | filler | detached)).alias("ok"), (few | partly | unreadable).alias("needs_ocr"), chars.alias("chars"), arabic_ratio(c).alias("arabic_ratio"), alpha.alias("alpha_ratio"),
-        non_text_ratio(c).alias("non_text_ratio"), mean.alias("mean_word_length"), F.array_compact(F.array(*[F.when(x, name) for x, name in said])).alias("problems"),
-    )
+
+    def measures(c: Column) -> Column:
+        return F.struct(
+            F.length(c).alias("chars"), letters(c).alias("letters"), _visible(c).alias("visible"), F.regexp_count(c, F.lit(r"[\p{L}\p{N}]")).alias("alnum"),
+            F.regexp_count(c, F.lit(r"[ﭐ-﷿ﹰ-﻿]")).alias("forms"), F.regexp_count(c, F.lit(r"[�-]")).alias("broken"), arabic_ratio(c).alias("arabic"), non_text_ratio(c).alias("filler"),
+            let(words(c), lambda w: F.struct(F.size(w).alias("n"), F.aggregate(w, F.lit(0), lambda s, x: s + F.length(x)).alias("chars"))).alias("words"), reversal(c)["is_reversed"].alias("reversed"),
+        )
+
+    def rates(m: Column) -> Column:
+        one = F.lit(1)
+        return F.struct(
+            m["chars"].alias("chars"), m["arabic"].alias("arabic"), m["filler"].alias("filler"), m["reversed"].alias("reversed"), m["words"]["n"].alias("words"), (m["alnum"] / F.greatest(m["visible"], one)).alias("alpha"),
+            (m["forms"] / F.greatest(m["letters"], one)).alias("forms"), (m["broken"] / F.greatest(m["chars"], one)).alias("broken"), (m["words"]["chars"] / F.greatest(m["words"]["n"], one)).alias("mean"),
+        )
+
+    def checks(m: Column) -> Column:
+        chars = m["chars"]
+        few, partly = chars < least, (chars >= least) & (_col(pages_with_text) / F.greatest(_col(pages), F.lit(1)) < 0.5)
+        unreadable, filler = (chars >= least) & (m["alpha"] < 0.30), m["filler"] > 0.30
+        detached = (m["words"] > 0) & (m["mean"] < 1.8) & (m["arabic"] > 0.3)
+        said = [
+            (few, "no_text"), (partly, "partially_scanned"), (unreadable, "unusable_encoding"), (filler, "filler_glyphs"), (m["forms"] > 0.15, "presentation_forms"),
+            (m["broken"] > 0.02, "broken_glyphs"), (detached, "detached_letters"), (m["reversed"], "reversed"), (_col(headings) == 0, "no_headings"),
+        ]
+        return F.struct(
+            (~(few | unreadable | filler | detached)).alias("ok"), (few | partly | unreadable).alias("needs_ocr"), chars.alias("chars"), m["arabic"].alias("arabic_ratio"), m["alpha"].alias("alpha_ratio"),
+            m["filler"].alias("non_text_ratio"), m["mean"].alias("mean_word_length"), F.array_compact(F.array(*[F.when(x, name) for x, name in said])).alias("problems"),
+        )
+
+    return let(let(let(_col(text), measures), rates), checks)
 
 
 def phone(c: str | Column) -> Column:
@@ -236,5 +258,5 @@ def token_set(c: str | Column) -> Column:
 
 def infer_title(first_lines: Column, stem: Column) -> Column:
     """The first line of 3 to 120 characters without a final stop, else the file's stem."""
-    good = F.filter(F.transform(first_lines, F.trim), lambda x: F.length(x).between(3, 120) & ~x.rlike("[.،]$"))
+    good = F.filter(F.transform(first_lines, lambda x: F.trim(x)), lambda x: F.length(x).between(3, 120) & ~x.rlike("[.،]$"))
     return F.coalesce(F.get(good, F.lit(0)), F.translate(stem, "-_", "  "))
