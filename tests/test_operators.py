@@ -202,6 +202,8 @@ def test_windows_and_sections(spark):
     assert [(r["text"], r["level"], r["reason"]) for r in chunking.headings_of_spans(spans).orderBy("order").collect()] == [("Big title", 1, "font_size"), ("1.2 Numbered", 2, "numbering"), ("Bold line", 2, "bold")]
     pages = spark.createDataFrame([("d", p, f"head\nbody {p}\nfoot") for p in range(1, 5)], "document_id string, page_number int, text string")
     assert [r["text"] for r in chunking.strip_running_lines(pages).orderBy("page_number").collect()] == [f"body {p}" for p in range(1, 5)]
+    pages = spark.createDataFrame([("d", p, f"0 head\nbody {p}\n2 foot") for p in range(1, 5)], "document_id string, page_number int, text string")
+    assert [r["text"] for r in chunking.strip_running_lines(pages).orderBy("page_number").collect()] == [f"body {p}" for p in range(1, 5)]
 
 
 def test_html():
