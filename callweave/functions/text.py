@@ -241,10 +241,10 @@ def is_follow_up(c: str | Column) -> Column:
 
 def contextual_query(question: Column, previous: Column) -> Column:
     """A follow-up with up to 12 words (longer than 2) of the question before that it lacks."""
-    have = F.transform(words(question), F.lower)
-    carried = F.filter(words(previous), lambda w: (F.length(w) > 2) & ~F.array_contains(have, F.lower(w)))
-    use = previous.isNotNull() & is_follow_up(question) & (F.size(carried) > 0)
-    return F.when(use, F.concat(question, F.lit(" "), F.array_join(F.slice(carried, 1, 12), " "))).otherwise(question)
+    have = F.transform(words(question), lambda w: F.lower(w))
+    carried = let(have, lambda h: F.filter(words(previous), lambda w: (F.length(w) > 2) & ~F.array_contains(h, F.lower(w))))
+    follows = previous.isNotNull() & is_follow_up(question)
+    return let(carried, lambda c: F.when(follows & (F.size(c) > 0), F.concat(question, F.lit(" "), F.array_join(F.slice(c, 1, 12), " "))).otherwise(question))
 
 
 def url_key(c: str | Column) -> Column:
