@@ -173,28 +173,55 @@ class Automaton:
 
 
 def _determinise(nfa: _Nfa, start: frozenset, final: dict[int, int]) -> tuple[list[list[int]], list[frozenset], list[int]]:
-    sets = {s[0] for s in nfa.step if s}
+    """Subset construction.  A subset is an integer with a bit for each state that reads a byte or ends a rule.
+
+    States that read the same byte set move together: a subset's moves are worked
+    out once for each of the few sets, then joined for the byte classes.
+    """
+    groups: dict[frozenset, int] = defaultdict(int)
+    for a, s in enumerate(nfa.step):
+        if s:
+            groups[s[0]] |= 1 << a
+    sets = list(groups)
     signature: dict[tuple, int] = {}
     of_byte = [signature.setdefault(tuple(c in s for s in sets), len(signature)) for c in range(256)]
-    sample = {k: c for c, k in reversed(list(enumerate(of_byte)))}
-    by_class = [{a: b for a, s in enumerate(nfa.step) if s and sample[k] in s[0] for b in [s[1]]} for k in range(len(signature))]
-    number = {start: 0}
-    todo, table = [start], []
-    moves: dict[frozenset, frozenset] = {}
-    while todo:
-        now = todo.pop(0)
+    in_class = [[g for g, there in enumerate(flags) if there] for flags in signature]
+    ends = sum(1 << a for a in final)
+    told = ends
+    for m in groups.values():
+        told |= m
+
+    def mask(states) -> int:
+        return sum(1 << a for a in states) & told
+
+    reach = {s[1]: mask(nfa.closure([s[1]])) for s in nfa.step if s}
+    known: dict[int, int] = {0: 0}
+
+    def after(members: int) -> int:
+        if members not in known:
+            out, rest = 0, members
+            while rest:
+                low = rest & -rest
+                out |= reach[nfa.step[low.bit_length() - 1][1]]
+                rest ^= low
+            known[members] = out
+        return known[members]
+
+    number = {mask(start): 0}
+    todo, table = list(number), []
+    for now in todo:
+        moved = [after(now & m) for m in groups.values()]
         row = []
-        for k in range(len(signature)):
-            hop = frozenset(by_class[k][a] for a in now if a in by_class[k])
-            nxt = moves.get(hop)
-            if nxt is None:
-                nxt = moves[hop] = nfa.closure(hop)
+        for gs in in_class:
+            nxt = 0
+            for g in gs:
+                nxt |= moved[g]
             if nxt not in number:
                 number[nxt] = len(number)
                 todo.append(nxt)
             row.append(number[nxt])
         table.append(row)
-    return table, [frozenset(final[a] for a in s if a in final) for s in number], of_byte
+    return table, [frozenset(k for a, k in final.items() if s >> a & 1) for s in number], of_byte
 
 
 def _minimise(table: list[list[int]], accepts: list[frozenset]) -> tuple[list[list[int]], list[frozenset]]:
