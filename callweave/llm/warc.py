@@ -114,7 +114,9 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     """
     rows = decide(pages, id_col, url_col, html_col, least)
     html = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
-    drawn = pages.where(F.octet_length(F.col(html_col)) > 0).select(F.xxhash64(F.col(id_col)).alias("h"), F.substring(html, 1, 1 << 16).alias("s")).orderBy("h", "s").limit(sample).collect()
+    full = pages.where(F.octet_length(F.col(html_col)) > 0).withColumn("_h", F.xxhash64(F.col(id_col)))
+    last = full.select("_h").orderBy("_h").limit(sample).agg(F.max("_h").alias("m")).first()["m"]  # hashes alone are ranked, so no task sends payloads that are not drawn
+    drawn = full.where(F.col("_h") <= F.lit(last)).select("_h", F.substring(html, 1, 1 << 16).alias("s")).orderBy("_h", "s").limit(sample).collect() if last is not None else []
     dictionary = train_dictionary([record("response", 0, "http://example.org/", bytes(r["s"]), "0" * 64, None) for r in drawn]) if drawn else b""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
