@@ -26,17 +26,20 @@ def _without_article(terms: Column) -> Column:
 
 def document_tokens(text: str | Column) -> Column:
     """Distinct normalised tokens, with and without the article (text after NFKC)."""
-    tokens = F.regexp_extract_all(X.fold_term(text), F.lit(X.WORD), F.lit(1))
-    return F.array_distinct(F.concat(tokens, _without_article(tokens)))
+    return X.let(F.regexp_extract_all(X.fold_term(text), F.lit(X.WORD), F.lit(1)), lambda t: F.array_distinct(F.concat(t, _without_article(t))))
 
 
 def query_terms(question: str | Column) -> Column:
     """As document_tokens, with synonyms and without stop words."""
-    terms = F.array_distinct(F.transform(F.regexp_extract_all(X._col(question), F.lit(X.WORD), F.lit(1)), X.fold_term))
-    table = F.create_map(*[x for k, v in SYNONYMS.items() for x in (F.lit(k), F.transform(F.array(*[F.lit(a) for a in v]), X.fold_term))])
-    more = F.flatten(F.transform(terms, lambda t: F.coalesce(F.element_at(table, t), F.array().cast("array<string>"))))
-    stop = F.transform(F.array(*[F.lit(s) for s in STOP]), X.fold_term)
-    return F.array_except(F.array_distinct(F.concat(terms, _without_article(terms), more)), stop)
+    folded = lambda words: F.array(*[X.fold_term(F.lit(w)) for w in words])
+    table = F.create_map(*[x for k, v in SYNONYMS.items() for x in (F.lit(k), folded(v))])
+
+    def grown(terms: Column) -> Column:
+        more = F.flatten(F.transform(terms, lambda t: F.coalesce(F.element_at(table, t), F.array().cast("array<string>"))))
+        return F.array_except(F.array_distinct(F.concat(terms, _without_article(terms), more)), folded(STOP))
+
+    words = F.regexp_extract_all(X._col(question), F.lit(X.WORD), F.lit(1))
+    return X.let(F.array_distinct(F.transform(words, X.fold_term)), grown)
 
 
 def lexical_score(terms: Column, tokens: Column) -> Column:
@@ -81,10 +84,12 @@ def keyword_search(chunks: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     """Chunks (with tokens) that share a term with a question (query_id, terms), through an inverted index.
 
     Only rows with a common term meet; ids are counted, texts stay where they are.
+    The outer explodes keep the optimiser from testing the arrays' sizes below the
+    projection, which would tokenise each text once more; the join drops their nulls.
     """
-    terms = queries.select("query_id", F.filter(F.array_distinct("terms"), lambda t: F.length(t) > 1).alias("terms")).where(F.size("terms") > 0)
-    wanted = terms.select("query_id", F.size("terms").alias("n"), F.explode("terms").alias("term"))
-    posting = chunks.select("chunk_id", "ordinal", F.explode("tokens").alias("term"))
+    terms = queries.select("query_id", F.filter(F.array_distinct("terms"), lambda t: F.length(t) > 1).alias("terms"))
+    wanted = terms.select("query_id", F.size("terms").alias("n"), F.explode_outer("terms").alias("term"))
+    posting = chunks.select("chunk_id", "ordinal", F.explode_outer("tokens").alias("term"))
     found = posting.join(wanted, "term").groupBy("query_id", "chunk_id", "ordinal", "n").agg(F.count("*").alias("hits"), F.count_if(F.col("term").rlike(r"^\p{Nd}+$")).alias("numbers"))
     scored = found.withColumn("score", F.col("hits") / F.col("n") + 0.75 * F.col("numbers"))
     return _ranked(scored, [F.desc("score"), F.col("ordinal")], n).select("query_id", "chunk_id", "ordinal", "rank", "score", (1 - F.col("score")).alias("distance"))
