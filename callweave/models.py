@@ -77,6 +77,25 @@ def answers(packed: DataFrame, generator: Generator) -> DataFrame:
     return said.select("query_id", F.when(enough, F.col("said")).otherwise(nothing).alias("answer"), enough.alias("sufficient"))
 
 
+def search_reply(body: Column) -> Column:
+    """A search workflow's JSON reply as struct (answer, sources); NULL if it is neither object nor list.
+
+    The answer is the first key present of answer, response, text, output; sources
+    are those of sources, else results, as JSON objects (a bare value becomes a title).
+    """
+    is_list = body.rlike(r"^\s*\[")
+    reply = F.from_json(body, "map<string,string>")
+    answer, sources = F.lit(""), F.when(is_list, body)
+    for k in ("output", "text", "response", "answer"):
+        answer = F.when(F.map_contains_key(reply, k), reply[k]).otherwise(answer)
+    for k in ("results", "sources"):
+        sources = F.when(F.map_contains_key(reply, k), reply[k]).otherwise(sources)
+    items = F.coalesce(F.from_json(sources, "array<string>"), F.array().cast("array<string>"))
+    objects = F.transform(items, lambda i: F.when(i.startswith("{"), i).otherwise(F.to_json(F.struct(i.alias("title")))))
+    good = is_list | body.rlike(r"^\s*\{")
+    return F.when(good, F.struct(F.coalesce(answer, F.lit("")).alias("answer"), objects.alias("sources")))
+
+
 @dataclass(frozen=True)
 class Verdict:
     relevant: bool

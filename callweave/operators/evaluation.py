@@ -56,6 +56,27 @@ def ranking_metrics(rows: DataFrame, items: DataFrame, cuts: tuple[int, ...] = (
     return j.select(*out)
 
 
+def accuracy(rows: DataFrame, questions: DataFrame, cuts: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
+    """One row: share of questions with a hit among the first k, by section and by source.
+
+    Each share is taken over the questions that have that ground truth; NULL if none has.
+    rows: (question_id, rank, source_url, section_path).
+    """
+    strings = F.array().cast("array<string>")
+    urls, sections = F.coalesce("relevant_source_urls", strings), F.coalesce("relevant_sections", strings)
+    q = questions.select(F.col("id").alias("question_id"), F.transform(urls, X.url_key).alias("urls"), F.transform(sections, lambda x: F.lower(F.trim(x))).alias("sections"))
+    j = q.join(rows.select("question_id", "rank", X.url_key("source_url").alias("url"), F.lower(F.array_join("section_path", " > ")).alias("section")), "question_id", "left")
+    kinds = {"section": ("sections", "section"), "source": ("urls", "url")}
+    hit = lambda k, truth, x: F.max(F.coalesce((F.col("rank") <= k) & F.array_contains(truth, F.col(x)), F.lit(False)).cast("double"))
+    hits = [F.when(F.size(F.first(truth)) > 0, hit(k, truth, x)).alias(f"{kind}_top_{k}") for kind, (truth, x) in kinds.items() for k in cuts]
+    return j.groupBy("question_id").agg(*hits).agg(*[F.round(F.avg(f"{kind}_top_{k}"), 4).alias(f"{kind}_top_{k}") for kind in kinds for k in cuts])
+
+
+def compared(reports: dict[str, DataFrame], *fields: str) -> DataFrame:
+    """The same fields of several one-row reports, side by side by configuration."""
+    return reduce(DataFrame.unionByName, [r.select(F.lit(name).alias("config"), *fields) for name, r in reports.items()])
+
+
 def means(df: DataFrame, *names: str, places: int = 4) -> DataFrame:
     """Mean of each metric over the rows that have it."""
     return df.agg(*[F.round(F.avg(n), places).alias(n) for n in names])

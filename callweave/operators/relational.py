@@ -73,6 +73,20 @@ def session_summary(messages: DataFrame, keep: int = 8, most: int = 6000) -> Dat
     return lines.select("session_id", F.right(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), F.lit(most)).alias("summary"))
 
 
+def history(messages: DataFrame, n: int = 6) -> DataFrame:
+    """'User: text' and 'Assistant: text' lines of the last n messages of each session."""
+    line = F.concat(F.when(F.col("role") == "user", "User: ").otherwise("Assistant: "), F.coalesce("content", F.lit("")))
+    lines = last_messages(messages, n).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("id", line.alias("line")))).alias("lines"))
+    return lines.select("session_id", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("history"))
+
+
+def section_methods(chunks: DataFrame, sections: DataFrame) -> DataFrame:
+    """chunks with the extraction_method of their section, no_section where there is none."""
+    key = ["document_id", "section_index"]
+    known = sections.select(*key, "extraction_method").dropDuplicates(key)
+    return chunks.join(known, key, "left").withColumn("extraction_method", F.coalesce("extraction_method", F.lit("no_section")))
+
+
 def id_union(a: str | Column, b: str | Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(a, b)))
 

@@ -7,27 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import registry_functions  # noqa: F401  (registers its queries)
+from .catalog import SQL, TENANT, Q, query
 from .functions import embedding
 from .functions import text as X
 from .operators import chunking, evaluation, html_sections, metrics, mutations, relational, retrieval
 from .plans import views as V
 from .plans.intent import METRICS, AnalyticsIntent
-from .plans.tenancy import Tenant, clean_filters, predicate, scoped
+from .plans.tenancy import clean_filters, predicate, scoped
 from .streaming import calls as C
 
-TENANT = Tenant(3)
-Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None, *needs: str):
-    def keep(f):
-        Q[name] = f
-        if sql:
-            SQL[name] = V.with_views(sql, *needs) if needs else sql
-        return f
-
-    return keep
 
 
 # --- M: metrics ----------------------------------------------------------------------------------
@@ -269,7 +258,8 @@ query("u7_html_sections")(lambda s, d: html_sections.page_sections(V.table(s, d,
 query("u10_sentences")(lambda s, d: chunking.sentences(V.table(s, d, "documents").select(F.col("doc_id").alias("document_id"), "text")))
 query("a9_greedy_dedup")(lambda s, d: chunking.dedupe_similar(V.chunks(s, d).select("document_id", "chunk_id", F.col("ordinal").cast("int").alias("part"), "vector"), 0.5).select("document_id", "chunk_id", "part"))
 query("e20_lexical_embedding")(lambda s, d: embedding.embedded(V.messages(s, d).select("session_id", "id", F.col("content").alias("text"))).select("session_id", "id", "vector"))
-query("a11_running_lines")(lambda s, d: chunking.running_lines(V.table(s, d, "documents").select("source", "doc_id", "text").select(F.col("source").alias("document_id"), F.col("doc_id").alias("page_number"), "text")))
+query("a11_running_lines", """WITH l AS (SELECT DISTINCT source, doc_id, trim(x) AS line FROM (SELECT source, doc_id, unnest(string_split(' Head of ' || source || chr(10) || text, chr(10))) AS x FROM documents)),
+    n AS (SELECT source, count(DISTINCT doc_id) AS pages FROM documents GROUP BY 1) SELECT source AS document_id, line FROM l JOIN n USING (source) WHERE line <> '' AND length(line) < 200 GROUP BY source, line, pages HAVING pages >= 3 AND count(*) >= greatest(2, floor(pages * 0.6))""")(lambda s, d: chunking.running_lines(V.table(s, d, "documents").select(F.col("source").alias("document_id"), F.col("doc_id").alias("page_number"), F.concat(F.lit(" Head of "), "source", F.lit("\n"), "text").alias("text"))))
 
 # --- T: events -----------------------------------------------------------------------------------
 

@@ -115,6 +115,28 @@ def ticket_of_outcome(outcome: str | Column) -> Column:
     return F.when(c == "resolved", "resolved").when(c.isin("not_resolved", "unclear"), "needs_agent")
 
 
+# What a result set by hand makes of the call and its ticket: call status, outcome, ticket status.
+BY_HAND = {
+    "resolved": ("completed", "resolved", "resolved"), "not_resolved": ("completed", "not_resolved", "needs_agent"), "unclear": ("completed", "unclear", "needs_agent"),
+    "no_answer": ("no_answer", None, "pending_follow_up"), "failed": ("failed", None, "pending_follow_up"),
+}
+FINAL = ("completed", "no_answer", "failed")
+
+
+def set_by_hand(status: Column, result: Column, started_at: Column, now: Column) -> Column:
+    """Struct of what a result set by hand leaves: rejected, status, outcome, ticket_status, duration_seconds.
+
+    A call that is completed, no_answer or failed rejects it (a busy one does not),
+    and so does an unknown result; the duration may be negative, as it is not clamped.
+    """
+    table = F.create_map(*[x for k, v in BY_HAND.items() for x in (F.lit(k), F.struct(*[F.lit(p).cast("string").alias(n) for p, n in zip(v, ("status", "outcome", "ticket_status"), strict=True)]))])
+    made = F.try_element_at(table, result)
+    rejected = F.coalesce(status.isin(*FINAL), F.lit(False)) | made.isNull()
+    took = (F.timestamp_diff("MICROSECOND", started_at, now) / 1_000_000).cast("int")
+    own = lambda c: F.when(~rejected, c)
+    return F.struct(rejected.alias("rejected"), own(made["status"]).alias("status"), own(made["outcome"]).alias("outcome"), own(made["ticket_status"]).alias("ticket_status"), own(took).alias("duration_seconds"))
+
+
 def transcript(turns: DataFrame) -> DataFrame:
     """'Attempt n: text' lines of each call by arrival (uuid, seq, attempt, text); empty texts are left out."""
     line = F.concat(F.lit("Attempt "), F.col("attempt").cast("string"), F.lit(": "), F.col("text"))
