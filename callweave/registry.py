@@ -89,7 +89,7 @@ query("j5_owned_messages", "SELECT * FROM messages WHERE session_id % 25 = 3", "
 query("a1_document_listing", "SELECT document_id, arg_min(source, ordinal) AS source, arg_min(language, ordinal) AS language, count(*) AS chunks FROM chunks GROUP BY 1", "chunks")(lambda s, d: relational.document_listing(V.chunks(s, d)))
 query("a2_count", "SELECT count(*) AS n FROM chunks", "chunks")(lambda s, d: V.chunks(s, d).agg(F.count("*").alias("n")))
 query("a4_chunk_report", """WITH p AS (SELECT document_id, count(*) AS n FROM chunks GROUP BY 1), s AS (SELECT length(text) AS n, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS body FROM chunks)
-    SELECT count(*) AS total, avg(n) AS mean, quantile_cont(n, 0.5) AS median, min(n) AS min, max(n) AS max, quantile_disc(n, 0.25) AS p25, quantile_disc(n, 0.75) AS p75, quantile_disc(n, 0.95) AS p95,
+    SELECT count(*) AS total, avg(n) AS mean, quantile_cont(n, 0.5) AS median, min(n) AS min, max(n) AS max, quantile_disc(n, 0.25)::DOUBLE AS p25, quantile_disc(n, 0.75)::DOUBLE AS p75, quantile_disc(n, 0.95)::DOUBLE AS p95,
     round(100.0 * count(*) FILTER (n < 500) / count(*), 2) AS below_min_pct, round(100.0 * count(*) FILTER (n >= 4000) / count(*), 2) AS at_max_pct, count(*) FILTER (n > 4000) AS violations, count(*) FILTER (body = '') AS empty,
     count(*) - count(DISTINCT body) AS duplicates, (SELECT avg(n) FROM p) AS chunks_per_document, (SELECT max(n) FROM p) AS most_per_document FROM s""", "chunks")(lambda s, d: evaluation.chunk_report(V.chunks(s, d), 500, 4000))
 query("a4_histogram", "SELECT CAST(floor(length(text) / 500) * 500 AS BIGINT) AS bucket, count(*) AS chunks FROM chunks GROUP BY 1", "chunks")(lambda s, d: evaluation.histogram(V.chunks(s, d), 500))

@@ -88,11 +88,11 @@ def usage(s, d) -> DataFrame:
 
 _COST = "CASE WHEN event_id % 3 < 2 THEN round((event_id % 1000 * 2 * 2.5::DOUBLE + 100 * 10.0::DOUBLE) / 1e6, 6) END"
 query("e18_token_price", f"SELECT event_id, {_COST} AS cost FROM events")(lambda s, d: usage(s, d).select("event_id", "cost"))
-query("a14_usage", f"SELECT sum(event_id % 1000 * 2 + 100) AS tokens, round(sum(coalesce({_COST}, 0)), 4) AS cost FROM events")(lambda s, d: usage(s, d).agg(F.sum(F.col("tokens_in") + F.col("tokens_out")).alias("tokens"), F.round(F.sum(F.coalesce("cost", F.lit(0.0))), 4).alias("cost")))
+query("a14_usage", f"SELECT sum(event_id % 1000 * 2 + 100)::BIGINT AS tokens, round(sum(coalesce({_COST}, 0)), 4) AS cost FROM events")(lambda s, d: usage(s, d).agg(F.sum(F.col("tokens_in") + F.col("tokens_out")).alias("tokens"), F.round(F.sum(F.coalesce("cost", F.lit(0.0))), 4).alias("cost")))
 query("e21_mean_pool", "SELECT label, round(list_sum(list_transform(v, lambda x: x * x)), 6) AS norm, len(v) AS size FROM (SELECT label, list(x ORDER BY i) AS v FROM (SELECT label, i, avg(x::DOUBLE) AS x FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2) GROUP BY 1)")(
     lambda s, d: embedding.mean_pool(V.table(s, d, "embeddings").select(F.col("label").alias("id"), F.col("embedding").alias("vector"))).select(F.col("id").alias("label"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"), F.size("vector").cast("long").alias("size"))
 )
-query("a8_compared", "SELECT config, count(*) AS total, quantile_disc(n, 0.95) AS p95, avg(n) AS mean FROM (SELECT 'short' AS config, length(text) AS n FROM chunks WHERE ordinal % 2 = 0 UNION ALL SELECT 'all', length(text) FROM chunks) GROUP BY 1", "chunks")(
+query("a8_compared", "SELECT config, count(*) AS total, quantile_disc(n, 0.95)::DOUBLE AS p95, avg(n) AS mean FROM (SELECT 'short' AS config, length(text) AS n FROM chunks WHERE ordinal % 2 = 0 UNION ALL SELECT 'all', length(text) FROM chunks) GROUP BY 1", "chunks")(
     lambda s, d: evaluation.compared({"short": evaluation.chunk_report(V.chunks(s, d).where("ordinal % 2 = 0"), 500, 4000), "all": evaluation.chunk_report(V.chunks(s, d), 500, 4000)}, "total", "p95", "mean")
 )
 query("a18_transcript", "SELECT CAST(user_id AS VARCHAR) AS uuid, string_agg('Attempt ' || (event_id % 2 + 1) || ': ' || event_type, chr(10) ORDER BY event_id) AS transcript FROM events WHERE event_id % 5 > 0 GROUP BY 1")(
