@@ -19,6 +19,10 @@ def lengths(start: int, window: int) -> list[int]:
     return out
 
 
+#: Bytes of text that one task holds with its windows; a window takes some forty bytes beside its text.
+SLICE = 4 << 20
+
+
 class Slice:
     """The windows of one slice; what the levels so far say is in `told`."""
 
@@ -93,7 +97,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if len(levels) == 1:
         levels = [max(1, window // 2), window] if window > 1 else [1, 1]
     last = len(levels) - 1
-    docs, buckets = sliced(df, id_col, text_col)
+    docs, buckets = sliced(df, id_col, text_col, slice_bytes=SLICE)
     flag = lambda v: (v[:, 0] != v[:, 1]).astype(np.uint8)
     least = lambda v: v[:, 0].copy()
 
