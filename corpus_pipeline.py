@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callweave.llm import decontaminate, exact, pieces, quality, simhash
+from callweave.llm import decontaminate, exact, pieces, quality, shingles
 from callweave.llm.common import as_table
 from callweave.llm.queries import VOCABULARY, quality_model
 
@@ -25,8 +25,11 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the one with the smallest doc_id stays."""
-    gone = simhash.near_duplicates(docs).where("component_id <> doc_id").select("doc_id")
+    """Of each group of near duplicates the one with the smallest doc_id stays.
+
+    Rows are linked where their sets of five-word shingles are similar by 0.8 or more.
+    """
+    gone = shingles.near_copies(docs, shingle=5, at_least=0.8).where("component_id <> doc_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
@@ -43,7 +46,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality classifier", good_quality),
     ("exact dedup", distinct_texts),
-    ("SimHash near-dedup", distinct_near),
+    ("shingle near-dedup", distinct_near),
     ("benchmark decontamination", without_benchmark),
     ("SentencePiece encoding and decoding", token_ids),
 ]
