@@ -67,6 +67,10 @@ def marks(got: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, list[np.ndarr
     return sig, bands
 
 
+def text_key(text_col: str):
+    return F.xxhash64(text_bytes(text_col))
+
+
 def meet(rows: DataFrame, groups: DataFrame, key: str, spread: str) -> DataFrame:
     """rows joined with groups (one a key, n: rows of the key); groups of many rows are copied, their rows dealt by `spread`."""
     more = F.floor(F.col("n") / ASKERS)
@@ -86,7 +90,7 @@ def similar(pairs: DataFrame, sets: DataFrame, at_least: float) -> DataFrame:
 
 
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, at_least: float = 0.8) -> DataFrame:
-    """(doc_id, sig, component_id) for every row; sig stands for the row's shingle set.
+    """(doc_id, of, sig, root, component_id) for every row; sig stands for the row's shingle set, root for its component, of for its text.
 
     Words are runs of bytes other than ASCII white space, A-Z lower-cased.  Rows are
     linked when their sets' similarity is at_least or more, as far as a band brings
@@ -100,7 +104,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     Null texts count as empty; a null id is passed over as a component's least id
     unless there is no other; other columns are ignored.
     """
-    source = df.select(id_in(id_col), text_bytes(text_col).alias("text")).withColumn("of", F.xxhash64("text"))
+    source = df.select(id_in(id_col), text_bytes(text_col).alias("text")).withColumn("of", text_key("text"))
 
     def mark(pdf: pd.DataFrame) -> pd.DataFrame:
         sig, bands = marks(*shingle_sets(list(pdf["text"]), shingle))
@@ -117,7 +121,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     banded = least.select("sig", "of", F.explode("bands").alias("key"))
     leaders = banded.groupBy("key").agg(F.count("*").alias("n"), F.array(*[F.min_by("sig", F.xxhash64("sig", F.lit(k))) for k in range(LEADERS)]).alias("leaders")).where("n > 1")
     grouped = as_table(meet(banded, leaders, "key", "sig"), "bands")
-    needed = grouped.select("of").distinct()
+    needed = as_table(grouped.select("of").distinct(), "needed")
     texts = source.select("of", "text").join(needed, "of", "left_semi").dropDuplicates(["of"])
     sets = as_table(arrow_map(texts, items, "sig long, items array<long>"), "sets")
 
@@ -137,5 +141,5 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     joined = least.select("sig", "first").join(roots, F.col("sig") == F.col("node"), "left").select("sig", "first", F.coalesce("root", "sig").alias("root"))
     reach = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_sig = joined.join(reach, "root").select("sig", "component_id")
-    return marked.select("doc_id", "sig").join(by_sig, "sig").select("doc_id", "sig", "component_id")
+    by_sig = joined.join(reach, "root").select("sig", "root", "component_id")
+    return marked.select("doc_id", "of", "sig").join(by_sig, "sig").select("doc_id", "of", "sig", "root", "component_id")

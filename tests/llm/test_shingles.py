@@ -66,3 +66,18 @@ def test_large_groups_are_dealt(spark, monkeypatch):
     rows = _planted()
     got = shingles.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == _least(rows)
+
+
+def test_null_and_repeated_ids(spark):
+    long = [f"w{k}" for k in range(100)]
+    near, far = " ".join(long[:-1] + ["x"]), "another text by the same id"
+    rows = [(None, "a b"), (None, "A b"), (7, far), (7, "c d"), (8, "c d"), (9, "e f"), (9, "e f"), (None, "e f"), (1, " ".join(long)), (2, near), (2, "g h"), (None, near), (None, "i j"), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.distinct_texts(spark, docs, "")
+    rest = [(7, far), (8, "c d"), (9, "e f"), (1, " ".join(long)), (2, near), (2, "g h"), (None, "i j"), (5, None)]
+    key = lambda r: (r[0] or 0, r[1] or "")
+    kept = sorted(map(tuple, got.collect()), key=key)
+    assert [(i, t.lower() if t else t) for i, t in kept] == sorted([*rest, (None, "a b")], key=key)
+    near_of_all = [(i, t.lower() if t else t) for i, t in corpus_pipeline.distinct_near(spark, docs, "").collect()]
+    expected = [(None, "a b"), (7, far), (7, "c d"), (9, "e f"), (1, " ".join(long)), (2, "g h"), (None, "i j"), (5, None)]
+    assert sorted(near_of_all, key=key) == sorted(expected, key=key)
