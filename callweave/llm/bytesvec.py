@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 
 _UPPER = bytes(range(0x41, 0x5B))
 #: White space to one byte, letters as they are.
@@ -19,8 +20,8 @@ SPACED_LOWER = bytes(c + 32 if c in _UPPER else SPACED[c] for c in range(256))
 ALNUM_LOWER = bytes(c + 32 if c in _UPPER else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 U = np.uint64
-_P, _Q = 0x9E6C63D0876A9A63 | 1, 0xD6E8FEB86659FD93
-_BLOCK = 1 << 20
+#: Spans hashed at a time.
+_BLOCK = 1 << 16
 
 
 @dataclass
@@ -58,50 +59,54 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_powers: dict[tuple[int, int], np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    size = 1 << max(16, (n - 1).bit_length())
-    if (base, size) not in _powers:
-        full = np.full(size, base, np.uint64)
-        full[0] = 1
-        _powers[base, size] = np.multiply.accumulate(full)
-    return _powers[base, size]
-
-
-_PINV = pow(_P, -1, 1 << 64)
-
-
-def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span buf[start:end]; spans in order of their start."""
-    out = np.empty(len(start), np.uint64)
-    done = 0
-    while done < len(start):
-        base = int(start[done])
-        upto = max(done + 1, int(np.searchsorted(start, base + _BLOCK)))
-        last = int(end[done:upto].max())
-        n = last - base
-        if n > 4 * _BLOCK:  # one enormous word: its own weights, reduced piece by piece
-            upto, last = done + 1, int(end[done])
-            acc, k = 0, 0
-            for a in range(base, last, _BLOCK):
-                piece = buf[a : min(last, a + _BLOCK)].astype(np.uint64) + U(1)
-                acc = (acc + int((piece * _power(_P, len(piece))[: len(piece)]).sum(dtype=np.uint64)) * pow(_P, k, 1 << 64)) % (1 << 64)
-                k += len(piece)
-            out[done] = U((acc + (last - base) * _Q) % (1 << 64))
-        else:
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum((buf[base:last].astype(np.uint64) + U(1)) * _power(_P, n)[:n], out=total[1:])
-            s, e = start[done:upto] - base, end[done:upto] - base
-            out[done:upto] = (total[e] - total[s]) * _power(_PINV, n)[s] + (e - s).astype(np.uint64) * U(_Q)
-        done = upto
-    return mix(out)
-
-
-def word_hashes(w: Words) -> np.ndarray:
-    return span_hashes(w.buf, w.start, w.end)
+# The primes of XXH64.
+P1, P2, P3, P4, P5 = (U(x) for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
+#: What is kept of eight loaded bytes when 0 .. 8 of them belong to the span.
+_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+#: Spans of more bytes are hashed one by one.
+_LONG = 512
+
+
+def rot(x: np.ndarray, n: int) -> np.ndarray:
+    return (x << U(n)) | (x >> U(64 - n))
+
+
+def _lane(h: np.ndarray, c: np.ndarray, lane: int) -> np.ndarray:
+    """One multiply-and-rotate round, not linear in what came before, so that no fixed pair of spans collides for all seeds."""
+    if lane == 0:
+        return rot(h ^ (rot(c * P2, 31) * P1), 27) * P1 + P4
+    return rot(h ^ (rot(c * P3, 29) * P2), 23) * P2 + P5
+
+
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, lanes: int = 1) -> np.ndarray:
+    """64-bit hashes of the spans buf[start:end] of a byte array; with two lanes an n x 2 array of independent ones."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    wide = np.ndarray((len(buf) + 1,), "<u8", padded.data, strides=(1,))
+    out = np.empty((len(start), lanes), np.uint64)
+    for a in range(0, len(start), _BLOCK):
+        at = start[a : a + _BLOCK].astype(np.int64)
+        size = end[a : a + _BLOCK].astype(np.int64) - at
+        seeds = [mix(size.astype(np.uint64) * P5 + U(k + 1)) for k in range(lanes)]
+        c = wide[at] & _KEEP[np.minimum(size, 8)]
+        h = [_lane(x, c, k) for k, x in enumerate(seeds)]
+        go, done = np.flatnonzero((size > 8) & (size <= _LONG)), 8
+        while len(go):
+            c = wide[at[go] + done] & _KEEP[np.minimum(size[go] - done, 8)]
+            for k in range(lanes):
+                h[k][go] = _lane(h[k][go], c, k)
+            done += 8
+            go = go[size[go] > done]
+        for k in np.flatnonzero(size > _LONG).tolist():
+            whole = xxhash.xxh3_128_intdigest(buf[at[k] : at[k] + size[k]])
+            for lane in range(lanes):
+                h[lane][k] = U((whole >> (64 * lane)) & 0xFFFFFFFFFFFFFFFF)
+        for k in range(lanes):
+            out[a : a + _BLOCK, k] = mix(h[k])
+    return out if lanes > 1 else out[:, 0]
+
+
+def word_hashes(w: Words, lanes: int = 1) -> np.ndarray:
+    return span_hashes(w.buf, w.start, w.end, lanes)
 
 
 def pair(a: np.ndarray, b: np.ndarray, salt: int = 0) -> np.ndarray:

@@ -3,25 +3,28 @@
 Of every run of w consecutive k-grams the least hash is a fingerprint, with
 w = window - k + 1: a window of `window` words has one of its own k-grams among
 them, and equal windows have the same.  Documents are compared with the
-benchmark's fingerprints; only windows around a common one are hashed whole,
-looked up, and compared word by word.
+benchmark's fingerprints; only windows around a common one are hashed whole and
+looked up, and a hit extends over all words of its window.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesvec import ALNUM_LOWER, Words, covered, runs, sliding_min, window_hashes, word_hashes, words
-from .common import arrow_map, id_in, id_out, text_bytes
+from .bytesvec import ALNUM_LOWER, Words, covered, pair, runs, sliding_min, window_hashes, word_hashes, words
+from .common import ANSWER, SENT, answers, arrow_map, bucket_rows, id_in, id_out, merge, pieces, reduce_buckets, sliced, text_bytes
 
-#: Bytes of benchmark text that one pass over the documents takes along.
+U = np.uint64
+#: A benchmark of up to so many bytes is sent to the executors whole; a larger one is joined by key.
 BLOCK = 8 << 20
+#: Bytes of text that a task of the join by key holds.
+SLICE = 4 << 20
 SCHEMA = "doc_id long, n_words long, hits array<struct<start:long,end:long>>, items array<long>"
 
 
@@ -36,81 +39,120 @@ def winnow(h: np.ndarray, window: int) -> np.ndarray:
     return sliding_min(window_hashes(h, k), window - k + 1)
 
 
+def starts_of(per_doc: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """Where runs of n words lie inside one text."""
+    left = np.repeat(doc[1:], per_doc) - np.arange(int(per_doc.sum()))
+    return np.flatnonzero(left >= n)
+
+
+def item_windows(w: Words, window: int) -> dict[int, np.ndarray]:
+    """Starts of the windows of each length: `window`, or all words of a shorter item."""
+    n = w.per_doc
+    out = {m: w.doc[:-1][n == m] for m in range(1, window) if (n == m).any()}
+    full = starts_of(n, w.doc, window)
+    return out | ({window: full} if len(full) else {})
+
+
+def flattened(w: Words) -> tuple[bytes, np.ndarray]:
+    """All words with one space after each, and where each begins (plus the end)."""
+    size = w.end - w.start
+    at = np.concatenate([[0], np.cumsum(size + 1)])
+    flat = np.full(int(at[-1]), 32, np.uint8)
+    place = np.repeat(at[:-1] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    flat[place] = w.buf[np.repeat(w.start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+    return flat.tobytes(), at
+
+
 @dataclass
 class Windows:
-    """All windows of one length of a block of items."""
+    """All windows of one length of the benchmark; an entry for each window text and item."""
 
     length: int
     marks: np.ndarray  # sorted distinct fingerprints
-    keys: np.ndarray  # sorted distinct window hashes
-    texts: list[list[bytes]] = field(default_factory=list)  # distinct word sequences for each key
-    items: list[list[list[int]]] = field(default_factory=list)  # the items that have each sequence
+    keys: np.ndarray  # sorted hashes of the entries
+    begin: np.ndarray  # an entry's first byte in the benchmark's flat text, and the end
+    end: np.ndarray
+    item: np.ndarray
 
 
-def index(items: list[tuple[int, bytes]], window: int = 10) -> list[Windows]:
-    """The windows of all items, by length: `window`, or all words of a shorter item."""
+@dataclass
+class Index:
+    flat: bytes
+    windows: list[Windows]
+
+
+def index(items: list[tuple[int, bytes]], window: int = 10) -> Index:
+    """The windows of all items as arrays: some sixty bytes for each word of the benchmark."""
     w = words([t for _, t in items], ALNUM_LOWER)
-    h, joined = word_hashes(w), w.buf.tobytes()
-    found: dict[int, dict[int, dict[bytes, set[int]]]] = {}
-    marks: dict[int, set[int]] = {}
-    for k, (item, _) in enumerate(items):
-        a, b = int(w.doc[k]), int(w.doc[k + 1])
-        n = min(window, b - a)
-        if not n:
-            continue
-        own, least = window_hashes(h[a:b], n), winnow(h[a:b], n)
-        marks.setdefault(n, set()).update(least.tolist())
-        for j, key in enumerate(own.tolist()):
-            text = b" ".join(joined[x:y] for x, y in zip(w.start[a + j : a + j + n].tolist(), w.end[a + j : a + j + n].tolist(), strict=True))
-            found.setdefault(n, {}).setdefault(key, {}).setdefault(text, set()).add(item)
+    lanes, doc = word_hashes(w, 2).T, w.doc_of()
+    ids = np.array([k for k, _ in items], np.int64)
+    flat, at = flattened(w)
     out = []
-    for n, by_key in found.items():
-        keys = sorted(by_key)
-        out.append(Windows(n, np.array(sorted(marks[n]), np.uint64), np.array(keys, np.uint64), [list(by_key[k]) for k in keys], [[sorted(s) for s in by_key[k].values()] for k in keys]))
-    return out
+    for n, first in item_windows(w, window).items():
+        one, two = (window_hashes(lane, n)[first] for lane in lanes)
+        own = ids[doc[first]]
+        order = np.lexsort((own, two, one))
+        one, two, own, first = one[order], two[order], own[order], first[order]
+        new = np.ones(len(one), bool)
+        new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (own[1:] != own[:-1])
+        first = first[new]
+        out.append(Windows(n, np.unique(winnow(lanes[0], n)[first]), one[new], at[first], at[first + n], own[new]))
+    return Index(flat, out)
 
 
 def _among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     at = np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)
-    return np.where(ordered[at] == x, at, -1)
+    return ordered[at] == x
 
 
-def hits(texts: list[bytes], blocks: list[Windows]) -> tuple[Words, np.ndarray, list[set[int]]]:
-    """Which words lie in an occurrence of a window, and each text's items."""
+def hits(texts: list[bytes], benchmark: Index) -> tuple[Words, np.ndarray, list[set[int]]]:
+    """Which words lie in an occurrence of a window, and each text's items; words are compared, not only hashes."""
     w = words(texts, ALNUM_LOWER)
-    h, joined = word_hashes(w), w.buf.tobytes()
-    doc = w.doc_of()
+    h, doc = word_hashes(w), w.doc_of()
     hit = np.zeros(len(h), bool)
     items: list[set[int]] = [set() for _ in texts]
-    for b in blocks:
-        if len(h) < b.length:
-            continue
-        inside = doc[b.length - 1 :] == doc[: len(doc) - b.length + 1]
-        near = np.flatnonzero(inside & (_among(winnow(h, b.length), b.marks) >= 0))
+    flat = None
+    for b in benchmark.windows:
+        near = starts_of(w.per_doc, w.doc, b.length)
+        if len(near):
+            near = near[_among(winnow(h, b.length)[near], b.marks)]
         if not len(near):
             continue
-        key = _among(window_hashes(h, b.length)[near], b.keys)
+        key = window_hashes(h, b.length)[near]
+        low, high = np.searchsorted(b.keys, key), np.searchsorted(b.keys, key, "right")
+        some = np.flatnonzero(high > low)
+        if flat is None and len(some):
+            flat, at = flattened(w)
         sure = []
-        for at, k in zip(near[key >= 0].tolist(), key[key >= 0].tolist(), strict=True):
-            text = b" ".join(joined[x:y] for x, y in zip(w.start[at : at + b.length].tolist(), w.end[at : at + b.length].tolist(), strict=True))
-            for own, who in zip(b.texts[k], b.items[k], strict=True):
-                if own == text:
-                    sure.append(at)
-                    items[doc[at]].update(who)
+        for p, x, y in zip(near[some].tolist(), low[some].tolist(), high[some].tolist(), strict=True):
+            text = flat[at[p] : at[p + b.length]]
+            for e in range(x, y):
+                if benchmark.flat[b.begin[e] : b.end[e]] == text:
+                    sure.append(p)
+                    items[doc[p]].add(int(b.item[e]))
         hit |= covered(np.array(sure, np.int64), b.length, len(h))
     return w, hit, items
 
 
-def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[int, bytes]]]:
-    """The benchmark in blocks of about block_bytes, one at a time on the driver."""
-    held, size = [], 0
-    for r in benchmark.select(F.col(item_col).cast("long").alias("item"), text_bytes(text_col).alias("text")).where("item is not null").toLocalIterator():
-        if held and size + len(r["text"]) > block_bytes:
-            yield held
-            held, size = [], 0
-        held.append((r["item"], bytes(r["text"])))
-        size += len(r["text"])
-    yield held
+def _rows(ids, w: Words, hit: np.ndarray, items: list[set[int]]) -> pd.DataFrame:
+    spans = []
+    count = np.concatenate([[0], np.cumsum(hit)])
+    for a, b in zip(w.doc[:-1].tolist(), w.doc[1:].tolist(), strict=True):
+        begins, ends = runs(hit[a:b]) if count[b] > count[a] else ((), ())
+        spans.append([{"start": int(x), "end": int(y)} for x, y in zip(begins, ends, strict=True)])
+    return pd.DataFrame({"doc_id": ids, "n_words": w.per_doc, "hits": spans, "items": [sorted(x) for x in items]})
+
+
+def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    return benchmark.select(F.col(item_col).cast("long").alias("item"), text_bytes(text_col).alias("text")).where("item is not null")
+
+
+def _fits(items: DataFrame, most: int) -> bool:
+    return (items.agg(F.sum(F.octet_length("text") + 16).alias("n")).first()["n"] or 0) <= most
+
+
+def _collected(items: DataFrame, window: int) -> Index:
+    return index([(r["item"], bytes(r["text"])) for r in items.orderBy("item", "text").collect()], window)
 
 
 def find_contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = BLOCK) -> DataFrame:
@@ -120,81 +162,166 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_i
     lower-cased.  A window is `window` consecutive words of an item, or all words
     of a shorter one that is not empty.  `hits` are the (start, end) word ranges
     inside occurrences of windows, `items` the sorted ids of the items they are
-    from.  Every occurrence is found, and words are compared, not only hashes.
+    from.  Every occurrence is found.
 
-    A benchmark of at most block_bytes goes to the executors whole, without a
-    shuffle; a larger one in blocks of that size with a pass over df for each,
-    whose results are then put together by row.
+    A benchmark of at most block_bytes (its size is measured first) goes to the
+    executors whole, as arrays, without a shuffle, and words are compared.  A larger
+    one never passes the driver: fingerprints, then windows, of both tables meet
+    by key, each distinct one once from a slice; there two independent 64-bit
+    hashes of the window's words decide.
 
     Null and empty texts have no words; items without words, or with a null id,
     are not looked for; an id that several items share is reported once.  Null
-    doc_ids are kept, repeated rows are reported each (with several blocks, rows
-    alike in id and text as often as they occur); other columns are ignored.
+    doc_ids are kept, repeated rows are reported each; other columns are ignored.
     """
-    source = df.select(id_in(id_col), text_bytes(text_col).alias("text"))
-    parts = []
-    for own in blocks_of(benchmark, item_col, item_text_col, block_bytes):
-        windows = index(own, window)
-
-        def run(pdf: pd.DataFrame, windows: list[Windows] = windows) -> pd.DataFrame:
-            w, hit, items = hits(list(pdf["text"]), windows)
-            spans = []
-            for a, b in zip(w.doc[:-1].tolist(), w.doc[1:].tolist(), strict=True):
-                begins, ends = runs(hit[a:b]) if hit[a:b].any() else ((), ())
-                spans.append([{"start": int(x), "end": int(y)} for x, y in zip(begins, ends, strict=True)])
-            return pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": w.per_doc, "hits": spans, "items": [sorted(x) for x in items]})
-
-        parts.append((arrow_map(source, run, SCHEMA), windows))
-    if len(parts) == 1:
-        return id_out(parts[0][0])
-    return id_out(_joined(source, [w for _, w in parts]))
-
-
-def _joined(source: DataFrame, blocks: list[list[Windows]]) -> DataFrame:
-    """Several blocks' hits by row: each pass reports the rows that it hits, by a key of id and text."""
-    keyed = source.withColumn("row", F.xxhash64("doc_id", "text"))
-
-    def run(pdf: pd.DataFrame, windows: list[Windows]) -> pd.DataFrame:
-        w, hit, items = hits(list(pdf["text"]), windows)
+    items = _items(benchmark, item_col, item_text_col)
+    if not _fits(items, block_bytes):
+        return id_out(_by_key(df, items, id_col, text_col, window).drop("text_key"))
+    known = _collected(items, window)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _rows(pdf["doc_id"], *hits(list(pdf["text"]), known))
+
+    return id_out(arrow_map(df.select(id_in(id_col), text_bytes(text_col).alias("text")), run, SCHEMA))
+
+
+class _Keys:
+    """Fingerprints and window keys of one slice of either table, told apart by the window's length."""
+
+    def __init__(self, texts: list[bytes]):
+        self.w = words(texts, ALNUM_LOWER)
+        self.lanes = word_hashes(self.w, 2).T
+
+    def marks(self, n: int, at: np.ndarray) -> np.ndarray:
+        return pair(winnow(self.lanes[0], n)[at], np.full(len(at), n, np.uint64))
+
+    def windows(self, n: int, at: np.ndarray) -> np.ndarray:
+        return np.stack([pair(window_hashes(lane, n)[at], np.full(len(at), n, np.uint64)) for lane in self.lanes], axis=1)
+
+
+def _distinct(parts: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of all parts in order, and each entry's number among them."""
+    both = np.concatenate(parts).reshape(-1, width) if parts else np.zeros((0, width), np.uint64)
+    keys, _, number = merge(both, np.zeros((len(both), 1), np.int64), ("max",))
+    return keys, number
+
+
+def _by_key(df: DataFrame, items: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+    """Contamination by two exchanges of distinct keys; also gives text_key, the SHA-256 of the row's text."""
+    docs, buckets = sliced(df, id_col, text_col, slice_bytes=SLICE)
+    bench, _ = sliced(items, "item", "text", slice_bytes=SLICE)
+    lengths = [r["n"] for r in bench.groupBy("slice").applyInPandas(lambda pdf: pd.DataFrame({"n": sorted(item_windows(words(list(pdf["text"]), ALNUM_LOWER), window))}, dtype="int32"), "n int").distinct().collect()]  # at most `window` rows
+
+    def doc_starts(k: _Keys) -> list[tuple[int, np.ndarray]]:
+        return [(n, starts_of(k.w.per_doc, k.w.doc, n)) for n in sorted(lengths)]
+
+    def send_marks(pdf: pd.DataFrame) -> pd.DataFrame:
+        k = _Keys(list(pdf["text"]))
+        keys, _ = _distinct([k.marks(n, at) for n, at in doc_starts(k)], 1)
+        return bucket_rows(0, int(pdf["slice"].iloc[0]), keys, np.zeros((len(keys), 1), np.int64), buckets)
+
+    def bench_marks(pdf: pd.DataFrame) -> pd.DataFrame:
+        k = _Keys(list(pdf["text"]))
+        keys, _ = _distinct([k.marks(n, at) for n, at in item_windows(k.w, window).items()], 1)
+        return bucket_rows(0, -1 - int(pdf["slice"].iloc[0]), keys, np.ones((len(keys), 1), np.int64), buckets)
+
+    sent = docs.groupBy("slice").applyInPandas(send_marks, SENT).unionByName(bench.groupBy("slice").applyInPandas(bench_marks, SENT))
+    told = reduce_buckets(sent, 1, ("max",), lambda v: v[:, 0].astype(np.uint8)).where("slice >= 0")
+
+    def near(k: _Keys, back: pd.DataFrame) -> list[tuple[int, np.ndarray]]:
+        starts = doc_starts(k)
+        _, number = _distinct([k.marks(n, at) for n, at in starts], 1)
+        known = answers(back, 0, np.uint8)[number] if len(number) else number
+        cut = np.cumsum([0] + [len(at) for _, at in starts])
+        return [(n, at[known[a:b] > 0]) for (n, at), a, b in zip(starts, cut[:-1], cut[1:], strict=True)]
+
+    def send_windows(pdf: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
+        k = _Keys(list(pdf["text"]))
+        keys, _ = _distinct([k.windows(n, at) for n, at in near(k, back)], 2)
+        return bucket_rows(1, int(pdf["slice"].iloc[0]), keys, np.zeros((len(keys), 0), np.int64), buckets)
+
+    def bench_windows(pdf: pd.DataFrame) -> pd.DataFrame:
+        k = _Keys(list(pdf["text"]))
+        ids, doc = pdf["doc_id"].to_numpy(np.int64), k.w.doc_of()
+        some = list(item_windows(k.w, window).items())
+        keys = np.concatenate([k.windows(n, at) for n, at in some]) if some else np.zeros((0, 2), np.uint64)
+        own = np.concatenate([ids[doc[at]] for _, at in some]) if some else np.zeros(0, np.int64)
+        rows, _ = _distinct([np.column_stack([keys, own.view(np.uint64)])], 3)
+        return bucket_rows(1, -1, rows[:, :2], rows[:, 2:].view(np.int64), buckets)
+
+    def found(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        keys = np.concatenate([np.frombuffer(b, np.uint64).reshape(-1, 2) for b in known["keys"]]) if len(known) else np.zeros((0, 2), np.uint64)
+        own = np.concatenate([np.frombuffer(b, np.int64) for b in known["vals"]]) if len(known) else np.zeros(0, np.int64)
+        uniq, number = _distinct([keys], 2)
+        order = np.argsort(number, kind="stable")
+        own, cut = own[order], np.searchsorted(number[order], np.arange(len(uniq) + 1))
+        place = {k: j for j, k in enumerate(map(bytes, uniq))}
         out = []
-        for k, (a, b) in enumerate(zip(w.doc[:-1].tolist(), w.doc[1:].tolist(), strict=True)):
-            out.append([[int(x), int(y)] for x, y in zip(*runs(hit[a:b]), strict=True)])
-            items[k] = sorted(items[k])
-        return pd.DataFrame({"doc_id": pdf["doc_id"], "row": pdf["row"], "n_words": w.per_doc, "spans": out, "items": items})
-
-    schema = "doc_id long, row long, n_words long, spans array<array<long>>, items array<long>"
-    passes = [arrow_map(keyed, lambda pdf, windows=windows: run(pdf, windows), schema) for windows in blocks]
-    rest = passes[0]
-    for p in passes[1:]:
-        rest = rest.unionByName(p)
-
-    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
-        cover = np.zeros(int(pdf["n_words"].max()), bool)
-        for spans in pdf["spans"]:
-            for a, b in spans:
-                cover[a:b] = True
-        one = {"doc_id": pdf["doc_id"].iloc[0], "n_words": pdf["n_words"].iloc[0], "hits": [{"start": int(a), "end": int(b)} for a, b in zip(*runs(cover), strict=True)], "items": sorted({int(i) for x in pdf["items"] for i in x})}
-        return pd.DataFrame([one] * (len(pdf) // len(blocks)))
-
-    return rest.groupBy("row", "doc_id").applyInPandas(merged, SCHEMA)
+        for r in asked.itertuples():
+            lists = []
+            for key in np.frombuffer(r.keys, np.uint64).reshape(-1, 2):
+                j = place.get(bytes(key))
+                lists.append(np.unique(own[cut[j] : cut[j + 1]]) if j is not None else own[:0])
+            counts = np.array([len(x) for x in lists], np.int64)
+            out.append((r.level, r.slice, r.bucket, counts.tobytes(), np.concatenate(lists).tobytes() if lists else b""))
+        return pd.DataFrame(out, columns=["level", "slice", "bucket", "vals", "own"])
+
+    by = lambda x: x.groupBy("slice")
+    asked = by(docs).cogroup(by(told)).applyInPandas(send_windows, SENT)
+    there = bench.groupBy("slice").applyInPandas(bench_windows, SENT)
+    lists = asked.groupBy("bucket").cogroup(there.groupBy("bucket")).applyInPandas(found, ANSWER + ", own binary")
+    back = told.withColumn("own", F.lit(None).cast("binary")).unionByName(lists)
+
+    def finish(pdf: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
+        k = _Keys(list(pdf["text"]))
+        doc, hit = k.w.doc_of(), np.zeros(len(k.lanes[0]), bool)
+        items: list[set[int]] = [set() for _ in range(len(pdf))]
+        some = near(k, back)
+        _, number = _distinct([k.windows(n, at) for n, at in some], 2)
+        counts = answers(back, 1, np.int64)
+        own = [np.frombuffer(b, np.int64) for b in back[back["level"] == 1].sort_values("bucket")["own"]]
+        own, cut = np.concatenate(own) if own else counts, np.concatenate([[0], np.cumsum(counts)])
+        begin = 0
+        for n, at in some:
+            mine = number[begin : begin + len(at)]
+            begin += len(at)
+            sure = np.flatnonzero(counts[mine] > 0) if len(at) else mine
+            hit |= covered(at[sure], n, len(hit))
+            for p, j in zip(at[sure].tolist(), mine[sure].tolist(), strict=True):
+                items[doc[p]].update(own[cut[j] : cut[j + 1]].tolist())
+        out = _rows(pdf["doc_id"], k.w, hit, items)
+        out["text_key"] = [hashlib.sha256(t).digest() for t in pdf["text"]]
+        return out
+
+    return by(docs).cogroup(by(back)).applyInPandas(finish, SCHEMA + ", text_key binary")
 
 
 def clean(df: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = 10, block_bytes: int = BLOCK) -> DataFrame:
-    """The rows of df without any window of the benchmark, with all their columns."""
+    """The rows of df without any window of the benchmark, with all their columns.
+
+    Rows are judged by their text alone, as in `find_contamination`: null and empty
+    texts stay, repeated rows stay or go together, an empty benchmark keeps all.
+    """
     from pyspark.sql.pandas.functions import pandas_udf
 
-    def free(windows: list[Windows]):
-        @pandas_udf("boolean")
-        def check(texts: pd.Series) -> pd.Series:
-            w, hit, _ = hits(list(texts), windows)
+    items = _items(benchmark, "item_id", "text")
+    if not _fits(items, block_bytes):
+        texts = df.select(F.lit(0).alias("id"), F.col(text_col).alias("text"))
+        gone = _by_key(texts, items, "id", "text", window).where(F.size("hits") > 0).select("text_key").distinct()
+        key = F.unhex(F.sha2(text_bytes(text_col), 256))
+        return df.join(gone, key == F.col("text_key"), "left_anti")
+    known = _collected(items, window)
+
+    @pandas_udf("boolean")
+    def free(texts: pd.Series) -> pd.Series:
+        out = [np.zeros(0, bool)]
+        for at in pieces(texts):
+            w, hit, _ = hits(list(texts.iloc[at]), known)
             count = np.concatenate([[0], np.cumsum(hit)])
-            return pd.Series(count[w.doc[1:]] == count[w.doc[:-1]])
-
-        return check
+            out.append(count[w.doc[1:]] == count[w.doc[:-1]])
+        return pd.Series(np.concatenate(out))
 
-    for own in blocks_of(benchmark, "item_id", "text", block_bytes):
-        df = df.where(free(index(own, window))(text_bytes(text_col)))
-    return df
+    return df.where(free(text_bytes(text_col)))
 
 
 def digest(df: DataFrame) -> DataFrame:

@@ -16,22 +16,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesvec import SPACED, mix, span_hashes, word_hashes, words
-from .common import arrow_map, id_in, id_out, text_bytes
+from .common import arrow_map, id_in, id_out, pieces, text_bytes
 
 
 @dataclass(frozen=True)
 class Setting:
     buckets: int = 1 << 16
     size: int = 8
-    low: int = 2  # bytes of the shortest and longest n-gram
+    low: int = 2  # characters of the shortest and longest n-gram
     high: int = 4
     epochs: int = 6
     rate: float = 0.5
     seed: int = 11
-    #: At most so many labelled rows are fitted, those with the least hash of the id.
+    #: At most so many labelled rows are fitted, those with the least hash of the id,
     sample: int = 4000
-    #: Longest text of a fitted row, in bytes; longer ones are not drawn for the sample.
-    longest: int = 1 << 20
+    #: and at most so many bytes of their texts: a text beyond what is left is passed over.
+    sample_bytes: int = 64 << 20
 
 
 def word_features(buf: np.ndarray, start: np.ndarray, end: np.ndarray, s: Setting) -> tuple[np.ndarray, np.ndarray]:
@@ -45,12 +45,15 @@ def word_features(buf: np.ndarray, start: np.ndarray, end: np.ndarray, s: Settin
     inside[head + size + 1] = False
     pick = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
     marked[inside] = buf[pick]
+    letter = np.flatnonzero((marked & 0xC0) != 0x80)  # where a character begins
+    own = np.searchsorted(letter, np.append(head, total))
+    letter = np.append(letter, total)
     begins, ends, owner = [head], [head + size + 2], [np.arange(len(size))]
     for n in range(s.low, s.high + 1):
-        count = np.maximum(size + 3 - n, 0)
-        first = np.repeat(head - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        begins.append(first)
-        ends.append(first + n)
+        count = np.maximum(np.diff(own) + 1 - n, 0)
+        first = np.repeat(own[:-1] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        begins.append(letter[first])
+        ends.append(letter[first + n])
         owner.append(np.repeat(np.arange(len(size)), count))
     h = np.concatenate([mix(span_hashes(marked, a, b) + np.uint64(k)) for k, (a, b) in enumerate(zip(begins, ends, strict=True))])
     who = np.concatenate(owner)
@@ -58,6 +61,15 @@ def word_features(buf: np.ndarray, start: np.ndarray, end: np.ndarray, s: Settin
     return (h % np.uint64(s.buckets)).astype(np.int64)[order], np.searchsorted(who[order], np.arange(len(size) + 1))
 
 
+def features(text: bytes, s: Setting) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct feature buckets of a text and how often it has each: at most s.buckets of them."""
+    w = words([text], SPACED)
+    ids = [word_features(w.buf, w.start[a : a + 20_000], w.end[a : a + 20_000], s)[0] for a in range(0, len(w.start), 20_000)]
+    count = np.bincount(np.concatenate(ids) if ids else np.zeros(0, np.int64), minlength=s.buckets)
+    some = np.flatnonzero(count)
+    return some, count[some]
+
+
 class Model:
     def __init__(self, s: Setting):
         rng = np.random.default_rng(s.seed)
@@ -66,14 +78,9 @@ class Model:
         self.out = np.zeros((s.size, 2), np.float32)
         self.bias = np.zeros(2, np.float32)
 
-    def fit(self, texts: list[bytes], labels: np.ndarray) -> Model:
-        """Stochastic gradient descent, a document at a time; the rate falls to nothing."""
+    def fit(self, docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Model:
+        """Stochastic gradient descent over documents given by `features`, one at a time; the rate falls to nothing."""
         s, rng = self.s, np.random.default_rng(self.s.seed)
-        docs = []
-        for t in texts:
-            w = words([t], SPACED)
-            ids, _ = word_features(w.buf, w.start, w.end, s) if len(w.start) else (np.zeros(0, np.int64), None)
-            docs.append(np.unique(ids, return_counts=True))
         prior = np.bincount(labels, minlength=2) + 1.0
         self.bias[:] = np.log(prior / prior.sum())
         steps, done = max(1, s.epochs * len(docs)), 0
@@ -98,19 +105,13 @@ class Model:
         """Probability of label 1."""
         each = (self.table @ (self.out[:, 1] - self.out[:, 0])).astype(np.float64)  # what a feature adds
         w = words(texts, SPACED)
-        h = word_hashes(w)
-        _, one, of = np.unique(h, return_index=True, return_inverse=True)
-        one_order = np.argsort(one)  # span_hashes wants the spans in order
-        back = np.empty(len(one), np.int64)
-        back[one_order] = np.arange(len(one))
-        some = one[one_order]
+        some, of = np.unique(word_hashes(w), return_index=True, return_inverse=True)[1:]
         total, count = np.zeros(len(some)), np.zeros(len(some))
         for a in range(0, len(some), 20_000):
             at = some[a : a + 20_000]
             ids, cut = word_features(w.buf, w.start[at], w.end[at], self.s)
             total[a : a + len(at)] = np.add.reduceat(each[ids], cut[:-1])
             count[a : a + len(at)] = np.diff(cut)
-        of = back[of]
         owner = w.doc_of()
         sums = lambda x: np.bincount(owner, weights=x[of], minlength=len(texts))
         z = sums(total) / np.maximum(sums(count), 1) + float(self.bias[1] - self.bias[0])
@@ -121,18 +122,36 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     """A model from the rows of df that at most setting.sample labels (id_col, label_col 0 or 1) name.
 
     The labels drawn are those with the least hash of the id: a top-k plan over ids
-    alone.  They are broadcast (setting.sample is their bound), so that no text is
-    shuffled, and only the texts they name reach the driver; should ids repeat, again
-    at most setting.sample.  Null ids and other labels are passed over; without any
-    row the model gives one half to every text.
+    alone.  They are broadcast (setting.sample is their bound) and met with the
+    lengths of their texts; rows are taken in that order while setting.sample_bytes
+    last.  The texts taken become feature counts where they are, so neither a text
+    nor a shuffle of texts reaches the driver.  Null ids and other labels are passed
+    over; of rows alike in id and length one is fitted; without any row the model
+    gives one half to every text.
     """
     good = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     drawn = good.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).orderBy(F.xxhash64("_id"), "_id", "_label").limit(setting.sample)
-    texts = df.where(F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) <= setting.longest).select(F.col(id_col).alias("_key"), text_bytes(text_col).alias("_text"))
-    rows = texts.join(F.broadcast(drawn), F.col("_key") == F.col("_id")).select("_id", "_text", "_label").orderBy(F.xxhash64("_id"), "_id", "_text", "_label").limit(setting.sample).collect()
-    if not rows:
+    texts = df.select(F.col(id_col).alias("_key"), text_bytes(text_col).alias("text"))
+    named = F.col("_key") == F.col("_id")
+    sizes = texts.select("_key", F.octet_length("text").alias("n")).join(F.broadcast(drawn), named).groupBy(F.xxhash64("_id").alias("h"), "_id", "_label", "n").agg(F.lit(1)).orderBy("h", "_id", "_label", "n").limit(setting.sample).collect()
+    taken, left = [], setting.sample_bytes
+    for r in sizes:
+        if r["n"] <= left:
+            left -= r["n"]
+            taken.append((len(taken), r["_id"], r["_label"], r["n"]))
+    if not taken:
         return Model(setting)
-    return Model(setting).fit([bytes(r["_text"]) for r in rows], np.array([r["_label"] for r in rows]))
+    spark = df.sparkSession
+    chosen = spark.createDataFrame(taken, f"k int, _id {drawn.schema['_id'].dataType.simpleString()}, _label int, n int")
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = [features(t, setting) for t in pdf["text"]]
+        return pd.DataFrame({"k": pdf["k"], "ids": [x.astype(np.int32) for x, _ in found], "counts": [c.astype(np.int32) for _, c in found]})
+
+    met = texts.join(F.broadcast(chosen), named & (F.octet_length("text") == F.col("n"))).groupBy("k").agg(F.min("text").alias("text"))
+    rows = arrow_map(met, count, "k int, ids array<int>, counts array<int>").collect()
+    by = {r["k"]: (np.array(r["ids"], np.int64), np.array(r["counts"], np.int64)) for r in rows}
+    return Model(setting).fit([by[t[0]] for t in taken if t[0] in by], np.array([t[2] for t in taken if t[0] in by]))
 
 
 def classify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,11 +169,16 @@ def classify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def keep_good(df: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows that the model does not reject, with all their columns."""
+    """The rows that the model does not reject, with all their columns.
+
+    Null and empty texts get the score of the learned bias, as in `classify`; each
+    row is judged alone, repeated rows alike; an empty table stays empty.
+    """
     from pyspark.sql.pandas.functions import pandas_udf
 
     @pandas_udf("double")
     def good(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.scores(list(texts)))
+        parts = [model.scores(list(texts.iloc[at])) for at in pieces(texts)]
+        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
     return df.where(good(text_bytes(text_col)) >= threshold)

@@ -11,21 +11,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesvec import SPACED_LOWER
+from .bytesvec import P1, P2, P3, P4, P5, SPACED_LOWER, rot
 from .common import arrow_map, as_table, id_in, id_out, text_bytes
 from .components import components
 
 U = np.uint64
-# The primes of XXH64.
-_P1, _P2, _P3, _P4, _P5 = (U(x) for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
-
-
-def _rot(x: np.ndarray, n: int) -> np.ndarray:
-    return (x << U(n)) | (x >> U(64 - n))
 
 
 def _round(acc, lane):
-    return _rot(acc + lane * _P2, 31) * _P1
+    return rot(acc + lane * P2, 31) * P1
 
 
 def xxh64(data: bytes, start: np.ndarray, end: np.ndarray, seed: int = 42, most: int = 256) -> np.ndarray:
@@ -36,11 +30,11 @@ def xxh64(data: bytes, start: np.ndarray, end: np.ndarray, seed: int = 42, most:
     half = np.ndarray((len(padded) - 3,), "<u4", padded, strides=(1,))
     byte = np.frombuffer(padded, np.uint8)
     with np.errstate(over="ignore"):
-        h = np.full(len(start), U(seed) + _P5, np.uint64)
+        h = np.full(len(start), U(seed) + P5, np.uint64)
         at = start.copy()
         big = np.flatnonzero((size >= 32) & (size <= most))
         if len(big):
-            v = [np.full(len(big), x, np.uint64) for x in (U(seed) + _P1 + _P2, U(seed) + _P2, U(seed), U(seed) - _P1)]
+            v = [np.full(len(big), x, np.uint64) for x in (U(seed) + P1 + P2, U(seed) + P2, U(seed), U(seed) - P1)]
             left, p = size[big].copy(), at[big].copy()
             while True:
                 go = np.flatnonzero(left >= 32)
@@ -50,32 +44,32 @@ def xxh64(data: bytes, start: np.ndarray, end: np.ndarray, seed: int = 42, most:
                     v[k][go] = _round(v[k][go], wide[p[go] + 8 * k])
                 left[go] -= 32
                 p[go] += 32
-            acc = _rot(v[0], 1) + _rot(v[1], 7) + _rot(v[2], 12) + _rot(v[3], 18)
+            acc = rot(v[0], 1) + rot(v[1], 7) + rot(v[2], 12) + rot(v[3], 18)
             for k in range(4):
-                acc = (acc ^ _round(U(0), v[k])) * _P1 + _P4
+                acc = (acc ^ _round(U(0), v[k])) * P1 + P4
             h[big], at[big] = acc, p
         h += size.astype(np.uint64)
         left = np.where(size > most, 0, start + size - at)
         go = np.flatnonzero(left >= 8)
         while len(go):
-            h[go] = _rot(h[go] ^ _round(U(0), wide[at[go]]), 27) * _P1 + _P4
+            h[go] = rot(h[go] ^ _round(U(0), wide[at[go]]), 27) * P1 + P4
             at[go] += 8
             left[go] -= 8
             go = go[left[go] >= 8]
         go = np.flatnonzero(left >= 4)
-        h[go] = _rot(h[go] ^ half[at[go]].astype(np.uint64) * _P1, 23) * _P2 + _P3
+        h[go] = rot(h[go] ^ half[at[go]].astype(np.uint64) * P1, 23) * P2 + P3
         at[go] += 4
         left[go] -= 4
         go = np.flatnonzero(left >= 1)
         while len(go):
-            h[go] = _rot(h[go] ^ byte[at[go]].astype(np.uint64) * _P5, 11) * _P1
+            h[go] = rot(h[go] ^ byte[at[go]].astype(np.uint64) * P5, 11) * P1
             at[go] += 1
             left[go] -= 1
             go = go[left[go] >= 1]
         h ^= h >> U(33)
-        h *= _P2
+        h *= P2
         h ^= h >> U(29)
-        h *= _P3
+        h *= P3
         h ^= h >> U(32)
     for k in np.flatnonzero(size > most):
         h[k] = xxhash.xxh64_intdigest(data[start[k] : start[k] + size[k]], seed)

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesvec import SPACED, Words, covered, pair, runs, sliding_min, window_hashes, word_hashes, words
+from .bytesvec import SPACED, Words, covered, mix, pair, runs, sliding_min, window_hashes, word_hashes, words
 from .common import ANSWER, SENT, answers, bucket_rows, id_out, merge, reduce_buckets, sliced
 
 
@@ -23,6 +23,11 @@ def lengths(start: int, window: int) -> list[int]:
 SLICE = 4 << 20
 
 
+def word_windows(w: Words, length: int) -> list[np.ndarray]:
+    """Two hashes of each run of `length` words that share nothing: each begins with its own hash of the words."""
+    return [window_hashes(lane, length) for lane in word_hashes(w, 2).T]
+
+
 class Slice:
     """The windows of one slice; what the levels so far say is in `told`."""
 
@@ -32,7 +37,7 @@ class Slice:
         self.levels = levels
         self.word_doc = self.w.doc_of()
         self.left = self.w.doc[1:][self.word_doc] - np.arange(len(self.word_doc))  # words from here to the end of the text
-        self.first = window_hashes(word_hashes(self.w), levels[0])
+        self.first = word_windows(self.w, levels[0])
 
     def owners(self, at: np.ndarray) -> np.ndarray:
         return self.ids[self.word_doc[at]]
@@ -50,7 +55,7 @@ class Slice:
         """
         second = self.levels[min(1, len(self.levels) - 1)]
         at = np.flatnonzero(self.left >= second)
-        low = sliding_min(self.first, second - self.levels[0] + 1)[at]
+        low = mix(sliding_min(self.first[0], second - self.levels[0] + 1)[at])  # least hashes are small numbers: mixed, they deal evenly
         if number == 0:
             new = np.ones(len(at), bool)  # runs of one owner and one key need one entry
             new[1:] = (low[1:] != low[:-1]) | (self.word_doc[at[1:]] != self.word_doc[at[:-1]])
@@ -64,15 +69,15 @@ class Slice:
             step = self.levels[k] - length
             if flagged is not None:  # both halves were repeated one level below
                 at = at[(self.left[at] >= self.levels[k]) & flagged[np.minimum(at + step, len(flagged) - 1)]]
-            a, b = h[at], h[at + step]
-            key = np.stack([pair(a, b, 2 * k), pair(a, b, 2 * k + 1)], axis=1)
+            key = np.stack([pair(lane[at], lane[at + step], k) for lane in h], axis=1)
             keys, vals, of = self._keys(key, at)
             if k < number:
                 hold = told[k][of] > 0
                 flagged = np.zeros(len(self.left), bool)
                 flagged[at[hold]] = True
-                h = np.zeros(len(self.left), np.uint64)
-                h[at] = key[:, 0]
+                h = [np.zeros(len(self.left), np.uint64) for _ in h]
+                for lane, own in zip(h, key.T, strict=True):
+                    lane[at] = own
                 at, length = at[hold], self.levels[k]
         return keys, vals, at, of
 
@@ -87,7 +92,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Windows of `start` words are looked at first; only where those repeat in two
     documents are windows of twice the length hashed, and so on up to `window`.
-    Level keys are 64 bits (a filter), the decision is made on 128.
+    The first level's keys are 64 bits (a filter); later ones, the last that decides
+    among them, are two 64-bit hashes that are independent from the words up.
 
     Null and empty texts have no words.  A row with a null id comes after all
     others: it loses what they have, and none loses words to it.  Rows with equal

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from callweave.llm import decontaminate, exact, lm, pieces, quality, secrets, sharding, simhash, substrings, warc
 from callweave.llm.automaton import Scanner
-from callweave.llm.bytesvec import ALNUM_LOWER, SPACED, words
+from callweave.llm.bytesvec import ALNUM_LOWER, SPACED, word_hashes, words
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -58,6 +58,37 @@ def empty(spark):
     return spark.createDataFrame([], "doc_id long, text string, extra int")
 
 
+def thue_morse(n, first="a", second="b"):
+    """The first n letters of a sequence on which polynomial hashes modulo a power of two collide."""
+    return "".join(second if bin(k).count("1") % 2 else first for k in range(n))
+
+
+TWINS = [(thue_morse(n), thue_morse(n, "b", "a")) for n in (1024, 2048, 4096)]
+
+
+@pytest.mark.parametrize("pair", TWINS)
+def test_hashes_tell_thue_morse_words_apart(spark, pair):
+    w = words([p.encode() for p in pair] + [b"a" * 9, b"a" * 10, b""], SPACED)
+    both = word_hashes(w, 2)
+    assert all(len(set(lane.tolist())) == 4 for lane in both.T)
+    assert (word_hashes(w) == both[:, 0]).all()
+    rest = " ".join(f"v{k}" for k in range(59))
+    docs = spark.createDataFrame([(1, f"{pair[0]} {rest}"), (2, f"{pair[1]} {rest}"), (3, f"{pair[0]} {pair[1]}")], "doc_id long, text string")
+    assert [r["n_removed"] for r in substrings.remove_repeats(docs).orderBy("doc_id").collect()] == [0, 59, 0]
+    assert [r["decoded"] for r in pieces.encode(docs, pieces.load(MODEL)).orderBy("doc_id").collect()] == [r["text"] for r in docs.orderBy("doc_id").collect()]
+    known = lm.score_texts(docs, F.col("doc_id") != 1).orderBy("doc_id").collect()
+    assert [(r["n_tokens"], r["n_known"]) for r in known] == [(61, 61), (61, 60), (3, 2)]
+    a, b = (quality.features(p.encode(), quality.Setting(high=2)) for p in pair)
+    assert a[0].tolist() != b[0].tolist() or a[1].tolist() != b[1].tolist()
+
+
+def test_words_that_only_share_a_hash_stand_for_themselves(monkeypatch):
+    monkeypatch.setattr(pieces, "span_hashes", lambda buf, start, end: np.zeros(len(start), np.uint64))
+    texts = ["alpha beta gamma", "été alpha", "", "beta  beta"]
+    coder = pieces.Encoder(pieces.load(MODEL))
+    assert coder.decode(*coder.encode(texts)) == texts
+
+
 def key(row):
     return tuple((v is None, str(v)) for v in row)
 
