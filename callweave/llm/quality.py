@@ -31,7 +31,7 @@ class Setting:
     #: At most so many labelled rows are fitted, those with the least hash of the id,
     sample: int = 4000
     #: and at most so many bytes of their texts: a text beyond what is left is passed over.
-    sample_bytes: int = 64 << 20
+    sample_bytes: int = 16 << 20
 
 
 def word_features(buf: np.ndarray, start: np.ndarray, end: np.ndarray, s: Setting) -> tuple[np.ndarray, np.ndarray]:
@@ -146,11 +146,11 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         found = [features(t, setting) for t in pdf["text"]]
-        return pd.DataFrame({"k": pdf["k"], "ids": [x.astype(np.int32) for x, _ in found], "counts": [c.astype(np.int32) for _, c in found]})
+        return pd.DataFrame({"k": pdf["k"], "ids": [x.astype(np.uint32).tobytes() for x, _ in found], "counts": [c.astype(np.uint32).tobytes() for _, c in found]})
 
     met = texts.join(F.broadcast(chosen), named & (F.octet_length("text") == F.col("n"))).groupBy("k").agg(F.min("text").alias("text"))
-    rows = arrow_map(met, count, "k int, ids array<int>, counts array<int>").collect()
-    by = {r["k"]: (np.array(r["ids"], np.int64), np.array(r["counts"], np.int64)) for r in rows}
+    rows = arrow_map(met, count, "k int, ids binary, counts binary").collect()
+    by = {r["k"]: (np.frombuffer(r["ids"], np.uint32), np.frombuffer(r["counts"], np.uint32)) for r in rows}
     return Model(setting).fit([by[t[0]] for t in taken if t[0] in by], np.array([t[2] for t in taken if t[0] in by]))
 
 

@@ -158,7 +158,7 @@ def test_automaton_against_re(pattern):
 
 def test_language_model(spark, docs, empty):
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
-    got = lm.score_texts(docs, held, setting=lm.Setting(classes=64)).collect()
+    got = lm.score_texts(docs, held).collect()
     toks = lambda t: (t or "").translate(LOWER).encode().split() + ["end"]
     out = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
     count = {}
@@ -178,15 +178,38 @@ def test_language_model(spark, docs, empty):
 
 def test_model_learns_and_is_normalised():
     rng = np.random.default_rng(0)
-    share = np.full(20, 1 / 20)
-    model = lm.Model(lm.Setting(classes=20, noise=10, batch=256), share)
-    one = rng.integers(0, 20, 30_000)
-    target = (one + 1) % 20
-    two = rng.integers(0, 20, 30_000)
-    model.train(one, two, target, rng, [np.zeros_like(p) for p in model.parts])
-    assert model.log_probs(one[:500], two[:500], target[:500]).mean() > np.log(1 / 20) + 0.7
-    total = sum(np.exp(model.log_probs(one[:50], two[:50], np.full(50, c))) for c in range(20))
-    assert np.allclose(total, 1, atol=1e-4)
+    shape = lm.Shape.of(100, 8)
+    k = shape.classes
+    model = lm.Model(lm.Setting(batch=256), shape, np.ones(k))
+    c = np.cumsum(rng.integers(1, 3, 60_000)).astype(np.int32) % k  # each class is followed by one of two
+    first = lm.first_of(np.arange(0, len(c) + 1, 100))
+    before = model.log_probs(c[:3000], first[:3000]).mean()
+    for _ in range(4):
+        model.train(c, first, rng)
+    assert model.log_probs(c[:3000], first[:3000]).mean() > before + 0.7
+    # the last of a text's classes in turn: the probabilities of all classes sum to one
+    last = np.stack([np.append(c[:40], x) for x in range(k)]).ravel()
+    p = model.log_probs(last, lm.first_of(np.arange(0, len(last) + 1, 41)))[40::41]
+    assert np.isclose(np.exp(p).sum(), 1, atol=1e-4)
+
+
+def test_all_words_have_a_class():
+    for kinds in (0, 1, 300, 10**6, 10**9):
+        shape = lm.Shape.of(kinds, 8)
+        own = shape.class_of_rank(np.arange(shape.words))
+        rest = np.unique(shape.class_of_cell(np.arange(lm.CELLS)))
+        assert len(set(own.tolist())) == shape.words and sorted([*own.tolist(), *rest.tolist()]) == list(range(shape.classes))
+
+
+def test_scores_do_not_depend_on_partitions_and_beat_the_unigram(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    got = [{r["doc_id"]: r for r in lm.score_texts(rows.repartition(n), held).collect()} for n in (1, 16, 64)]
+    assert got[0] == got[1] == got[2]
+    own = [r for r in got[0].values() if r["held_out"]]
+    n = sum(r["n_tokens"] for r in own)
+    base, model = (10 ** (-sum(r[c] for r in own) / n) for c in ("base_score", "score"))
+    assert model < 0.75 * base, (model, base)
 
 
 # 3 ------------------------------------------------------------------------------------------------
