@@ -8,7 +8,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
@@ -33,6 +33,16 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
 
 
+def bound(df: DataFrame, **cols: Column | str) -> DataFrame:
+    """df with columns that are computed once: a generator of one row keeps the optimiser from copying them into their uses."""
+    return df.select("*", F.inline(F.array(F.struct(*[(F.expr(c) if isinstance(c, str) else c).alias(k) for k, c in cols.items()]))))
+
+
+def stripped(c: str | Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
+
+
 def fold_term(c: str | Column) -> Column:
     """After NFKC: lower case, marks gone, alef, ya and ta marbuta folded."""
     return F.translate(F.regexp_replace(F.lower(_col(c)), MARKS, ""), "أإآىة", "ااايه")

@@ -1,283 +1,260 @@
-"""HTML pages to titled sections: a small tree over the standard parser, then rules on it."""
+"""HTML pages to titled sections: a page's elements as a flat table, and rules over it as columns.
+
+The parser of the standard library does one thing here: it lists a page's elements in
+document order, each with the number of its last descendant and the runs of text
+inside it.  "x is inside y" is then a comparison of numbers, and noise, main content,
+components, headings and paths are array expressions on the page's row, computed in
+the JVM without a shuffle.
+"""
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import text as X
 
-# Tags, roles and class names that are no content, where content is, and what hints at a component.
-DROP = set("script style noscript template svg iframe object embed canvas link meta form input select textarea nav footer header aside".split())
+# Tags that hold no content, with all below them.
+DROP = ("script", "style", "noscript", "template", "svg", "iframe", "object", "embed", "canvas", "link", "meta", "form", "input", "select", "textarea", "nav", "footer", "header", "aside")
+# Parts of classes and ids of page furniture.
 CHROME = (
-    "navigation nav-item nav-chevron navbar megamenu mega-menu footer cookie consent breadcrumb skip-link search-overlay language-switcher switcher-link social-links back-to-top portlet-topper "
-    "control-menu banner-ad advertisement js-navigation site-header site-footer modal-backdrop cloned save-articles user-preferences newsletter-signup"
-).split()
-CHROME_ROLES = {"navigation", "banner", "contentinfo", "search", "menubar", "menu"}
+    "navigation", "nav-item", "nav-chevron", "navbar", "megamenu", "mega-menu", "footer", "cookie", "consent", "breadcrumb", "skip-link", "search-overlay", "language-switcher",
+    "switcher-link", "social-links", "back-to-top", "portlet-topper", "control-menu", "banner-ad", "advertisement", "js-navigation", "site-header", "site-footer", "modal-backdrop",
+    "cloned", "save-articles", "user-preferences", "newsletter-signup",
+)
+CHROME_ROLES = ("navigation", "banner", "contentinfo", "search", "menubar", "menu")
+# What hints at a component, where its label is, and which attributes name its panel.
 CONTENT_HINTS = ("accordion-title", "js-collapser", "card-collapsing", "accordion-item", "js-accordion-item", "faq", "collapsible")
 NAV_HINTS = ("navigation", "nav-item", "menu", "switcher", "footer")
 LABELS = ("accordion-title-heading", "card-title", "tab-label")
 TARGETS = ("aria-controls", "data-target", "data-bs-target", "href")
-VOID = set("area base br col hr img wbr source track param input link meta embed".split())
-HEADS, ALL_HEADS = ("h1", "h2", "h3", "h4"), ("h1", "h2", "h3", "h4", "h5", "h6")
+# Tags without an end, headings, text blocks, and blocks that are rendered whole.
+VOID = ("area", "base", "br", "col", "hr", "img", "wbr", "source", "track", "param", "input", "link", "meta", "embed")
+HEADS = ("h1", "h2", "h3", "h4")
+ALL_HEADS = (*HEADS, "h5", "h6")
 CONTENT = ("p", "li", "td", "th", "dd", "dt", "figcaption", "blockquote", "pre")
 BLOCKS = ("table", "ul", "ol", "dl")
-_CHROME = re.compile("|".join(map(re.escape, CHROME)), re.I)
+#: Elements that end where another of the second names begins, unless one of the third lies between.
+IMPLIED = {
+    "p": ({"p"}, {"div", "section", "article", "body", "td", "li", "main"}), "li": ({"li"}, {"ul", "ol"}), "td": ({"td", "th"}, {"table"}), "th": ({"td", "th"}, {"table"}),
+    "tr": ({"tr", "td", "th"}, {"table"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}),
+}
+
+#: n .. till: an element and what is below it; runs since .. upto: the text inside; attrs as they stand.
+ELEMENT = "n:int,till:int,up:int,since:int,upto:int,tag:string,attrs:map<string,string>"
+SCHEMA = "page_id long, section_index int, section_title string, section_path array<string>, heading_level int, text string, extraction_method string, component_type string, anchor_id string"
 
 
-@dataclass(eq=False)
-class Node:
-    name: str
-    attrs: dict = field(default_factory=dict)
-    parent: Node | None = None
-    kids: list = field(default_factory=list)
+class _Lister(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.rows: list[list] = [[0, 0, -1, 0, 0, "[document]", {}]]
+        self.runs: list[str] = []
+        self.open = [0]
 
-    def walk(self) -> Iterator[Node]:
-        for k in self.kids:
-            if isinstance(k, Node):
-                yield k
-                yield from k.walk()
+    def _shut(self, depth: int) -> None:
+        for n in self.open[depth:]:
+            self.rows[n][1], self.rows[n][4] = len(self.rows), len(self.runs)
+        del self.open[depth:]
 
-    def strings(self) -> Iterator[str]:
-        for k in self.kids:
-            if isinstance(k, Node):
-                yield from k.strings()
-            else:
-                yield k
+    def handle_starttag(self, tag, attrs):
+        ends, walls = IMPLIED.get(tag, ((), ()))
+        depth = len(self.open)
+        for at in range(depth - 1, 0, -1):
+            name = self.rows[self.open[at]][5]
+            if name in walls:
+                break
+            depth = at if name in ends else depth
+        self._shut(depth)
+        self.rows.append([len(self.rows), len(self.rows) + 1, self.open[-1], len(self.runs), len(self.runs), tag, {k: v or "" for k, v in attrs}])
+        if tag not in VOID:
+            self.open.append(len(self.rows) - 1)
 
-    def text(self, glue: str = " ") -> str:
-        return glue.join(s for s in (x.strip() for x in self.strings()) if s)
+    def handle_endtag(self, tag):
+        at = next((k for k in range(len(self.open) - 1, 0, -1) if self.rows[self.open[k]][5] == tag), None)
+        if at is not None:
+            self._shut(at)
 
-    def up(self) -> Iterator[Node]:
-        n = self
-        while n:
-            yield n
-            n = n.parent
+    def handle_data(self, data):
+        if said := unicodedata.normalize("NFKC", data).strip():
+            self.runs.append(said)
 
-    @property
-    def classes(self) -> str:
-        return " ".join((self.attrs.get("class") or "").split())
 
+def elements(pages: DataFrame) -> DataFrame:
+    """(page_id, elements, runs): each page's elements in document order, number 0 the document, and its runs of text."""
 
-class _Tree(HTMLParser):
-    CLOSES = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}}
-    HOLDS = {"li": {"ul", "ol"}, "td": {"table"}, "th": {"table"}, "tr": {"table"}, "dd": {"dl"}, "dt": {"dl"}, "p": {"div", "section", "article", "body", "td", "li", "main"}}
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [f.split(":")[0] for f in ELEMENT.replace("map<string,string>", "map").split(",")]
+        for pdf in it:
+            rows = []
+            for page, html in zip(pdf["page_id"], pdf["html"], strict=True):
+                lister = _Lister()
+                lister.feed(html or "")
+                lister.close()
+                lister._shut(0)
+                rows.append((page, [dict(zip(names, r, strict=True)) for r in lister.rows], lister.runs))
+            yield pd.DataFrame(rows, columns=["page_id", "elements", "runs"])
 
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.top = self.at = Node("[document]")
+    return pages.select("page_id", "html").mapInPandas(run, f"page_id long, elements array<struct<{ELEMENT}>>, runs array<string>")
 
-    def handle_starttag(self, tag, attrs):
-        for n in list(self.at.up()):
-            if n.name in self.HOLDS.get(tag, ()):
-                break
-            if n.name in self.CLOSES.get(tag, ()) and n.parent:
-                self.at = n.parent
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.kids.append(node)
-        if tag not in VOID:
-            self.at = node
 
-    def handle_endtag(self, tag):
-        for n in self.at.up():
-            if n.name == tag and n.parent:
-                self.at = n.parent
-                return
+# --- rules ---------------------------------------------------------------------------------------
 
-    def handle_data(self, data):
-        self.at.kids.append(data)
 
+def _quoted(names: tuple[str, ...]) -> str:
+    return ", ".join(f"'{n}'" for n in names)
 
-def parse(html: str) -> Node:
-    tree = _Tree()
-    tree.feed(html)
-    tree.close()
-    return tree.top
 
+def _attr(e: str, name: str) -> str:
+    return f"coalesce({e}.attrs['{name}'], '')"
 
-def clean(text: str) -> str:
-    out = re.sub("ـ|[ً-ْٰۖ-ۭ]", "", unicodedata.normalize("NFKC", text or ""))
-    out = re.sub("[ \t ‏‎]+", " ", re.sub("\r\n?", "\n", out))
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(x.strip() for x in out.split("\n"))).strip()
 
+def _classes(e: str) -> str:
+    return f"lower(concat({_attr(e, 'class')}, ' ', {_attr(e, 'id')}))"
 
-def is_chrome(n: Node) -> bool:
-    return n.name in ("nav", "footer", "header", "aside") or n.attrs.get("role", "").lower() in CHROME_ROLES or n.attrs.get("aria-hidden") == "true" or bool(_CHROME.search(f"{n.classes} {n.attrs.get('id', '')}"))
 
+def _has_class(e: str, name: str) -> str:
+    return f"array_contains(split({_attr(e, 'class')}, '\\\\s+'), '{name}')"
 
-def strip_noise(n: Node) -> Node:
-    n.kids = [k for k in n.kids if not (isinstance(k, Node) and (k.name in DROP or is_chrome(k)))]
-    for k in n.kids:
-        if isinstance(k, Node):
-            strip_noise(k)
-    return n
 
+def _hints(text: str, names: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{n}')" for n in names) + ")"
 
-def main_content(top: Node) -> Node:
-    """The body, or the first candidate with over 35 % of its text and 200 characters, then only longer ones."""
-    nodes = list(top.walk())
-    body = next((n for n in nodes if n.name == "body"), top)
-    tests = (
-        lambda n: n.name == "main", lambda n: n.attrs.get("role") == "main", lambda n: n.attrs.get("id") == "main-content", lambda n: n.attrs.get("id") == "content",
-        lambda n: "journal-content-article" in n.classes.split(), lambda n: "portlet-content-container" in n.classes.split(), lambda n: n.name == "article",
-    )
-    found = [n for t in tests for n in nodes if t(n)]
-    if len(found) > 1:
-        chains = [list(n.up())[::-1] for n in found]
-        shared = [x[0] for x in zip(*chains, strict=False) if all(y is x[0] for y in x)]
-        found += shared[-1:]
-    best, size = body, len(body.text())
-    for n in found:
-        length = len(n.text())
-        if length > 0.35 * size and length > 200 and (best is body or length > len(best.text())):
-            best, size = n, length
-    return best
-
-
-@dataclass
-class Component:
-    label: str
-    control: Node
-    panel: Node
-    kind: str
-    anchor: str
-
-
-def components(top: Node) -> list[Component]:
-    """Controls with a panel of real text: gates first, then a score of at least 0.6."""
-    nodes = list(top.walk())
-    by_id: dict[str, Node] = {}
-    for n in nodes:
-        if n.attrs.get("id"):
-            by_id.setdefault(n.attrs["id"], n)
-    out, used = [], set()
-    for c in nodes:
-        if not (any(a in c.attrs for a in TARGETS[:3]) or (c.attrs.get("role") in ("tab", "button") and "href" in c.attrs)):
-            continue
-        if any(is_chrome(n) for n in c.up() if n.parent) or any(h in f"{c.classes} {c.attrs.get('id', '')}".lower() for h in NAV_HINTS):
-            continue
-        label = next((t for cls in LABELS for n in c.walk() if cls in n.classes.split() for t in [n.text()] if t), "") or c.text()
-        if not 3 <= len(label) <= 200:
-            continue
-        panel = anchor = None
-        for a in TARGETS:
-            raw = c.attrs.get(a, "").strip()
-            if not raw or (a == "href" and not (raw.startswith("#") and len(raw) > 1)):
-                continue
-            n = by_id.get(raw.lstrip("#"))
-            if n and n is not c and c not in list(n.up())[1:]:
-                panel, anchor = n, raw.lstrip("#")
-                break
-        if panel is None or id(panel) in used:
-            continue
-        body = panel.text()
-        if len(body) < 60 or (label in body[: len(label) + 5] and len(body) < 2 * len(label)):
-            continue
-        tab = panel.attrs.get("role") == "tabpanel" or c.attrs.get("role") == "tab"
-        by = panel.attrs.get("aria-labelledby")
-        score = 0.4 + 0.3 * any(h in c.classes.lower() for h in CONTENT_HINTS) + 0.2 * (c.name in ALL_HEADS) + 0.1 * ("aria-controls" in c.attrs) + 0.05 * ("aria-expanded" in c.attrs)
-        score += 0.15 * bool(by and by == c.attrs.get("id")) + 0.05 * tab + 0.05 * (len(body) > 200)
-        if score < 0.6:
-            continue
-        used.add(id(panel))
-        out.append(Component(label, c, panel, "tab" if tab else "accordion", anchor))
-    return out
-
-
-def block_text(n: Node) -> str:
-    if n.name == "table":
-        rows = [[t for t in (c.text() for c in tr.walk() if c.name in ("td", "th")) if t] for tr in n.walk() if tr.name == "tr"]
-        return "\n".join(" | ".join(r) for r in rows if r)
-    if n.name in ("ul", "ol"):
-        return "\n".join(f"- {t}" for t in (li.text() for li in n.kids if isinstance(li, Node) and li.name == "li") if t)
-    return n.text()
-
-
-def _section(title, path, level, text, method, kind=None, anchor=None) -> dict:
-    return {"section_title": title, "section_path": path, "heading_level": level, "text": text, "extraction_method": method, "component_type": kind, "anchor_id": anchor}
-
-
-def html_sections(html: str, least: int = 40) -> list[dict]:
-    top = strip_noise(parse(html))
-    comps, root = components(top), main_content(top)
-    blocks = [n for n in root.walk() if n.name in ALL_HEADS + CONTENT + BLOCKS and not (n.name in CONTENT and any(p.name in BLOCKS for p in list(n.up())[1:]))]
-    heads = HEADS if any(b.name in HEADS for b in blocks) else ALL_HEADS
-    out: list[dict] = []
-    path: list[tuple[int, str]] = []
-    now, lines, before = None, [], []
-
-    def close() -> None:
-        nonlocal now, lines
-        if now is not None:
-            now["text"] = clean("\n".join(lines))
-            if len(now["text"]) >= least:
-                out.append(now)
-        now, lines = None, []
-
-    for b in blocks:
-        if b.name in heads:
-            close()
-            title = clean(b.text())
-            if not title or len(title) > 250:
-                continue
-            level = int(b.name[1])
-            path = [p for p in path if p[0] < level] + [(level, title)]
-            c = next((c for c in comps if c.control is b or b in list(c.control.walk())), None)
-            now = _section(title, [t for _, t in path], level, "", "html_component" if c else "html_structure", c and c.kind, c and c.anchor)
-        elif text := block_text(b):
-            (before if now is None else lines).append(text)
-    close()
-    if not out and before and len(body := clean("\n".join(before))) >= least:
-        out.append(_section(None, None, None, body, "no_section"))
-    for c in comps:
-        if root not in c.panel.up():
-            out.append(_section(clean(c.label), [clean(c.label)], None, clean(c.panel.text("\n")), "html_component", c.kind, c.anchor))
-    return [s for s in out if len(s["text"]) >= least]
-
-
-def text_sections(text: str, least: int = 40) -> list[dict]:
-    """Titled sections of plain text; a title is a short line without a stop before a long one."""
-    lines = clean(text).split("\n")
-    out, title, body = [], None, []
 
-    def close() -> None:
-        joined = clean("\n".join(body))
-        if title and len(joined) >= least:
-            out.append(_section(title, [title], 1, joined, "text_fallback"))
-        body.clear()
+def _inside(x: str, y: str, itself: bool = False) -> str:
+    return f"({x}.n {'>=' if itself else '>'} {y}.n AND {x}.n < {y}.till)"
 
-    for k, line in enumerate(lines):
-        following = next((x for x in lines[k + 1 :] if x), "")
-        if 3 <= len(line) <= 80 and line[0] not in "-•*0123456789" and not line.endswith((".", "!", "؟", "?", "،", ",", ";")) and len(line.split()) <= 10 and len(following) >= 40:
-            close()
-            title = line.rstrip(":：").strip()
-        elif line:
-            body.append(line)
-    close()
-    return out
 
+def _text(e: str, glue: str = " ") -> str:
+    """Text of an element; runs that are noise are empty by then."""
+    return f"array_join(filter(slice(words, {e}.since + 1, {e}.upto - {e}.since), w -> w <> ''), '{glue}')"
 
-def sections(html: str | None, fallback: str = "", least: int = 40) -> list[dict]:
-    found = html_sections(html, least) if html and html.strip() else []
-    if not found and fallback.strip():
-        found = text_sections(fallback, least) or [_section(None, None, None, clean(fallback), "no_section")]
-    return [s | {"section_index": k} for k, s in enumerate(found)]
 
+NOISE = f"filter(elements, e -> e.n > 0 AND (e.tag IN ({_quoted(DROP)}) OR lower({_attr('e', 'role')}) IN ({_quoted(CHROME_ROLES)}) OR {_attr('e', 'aria-hidden')} = 'true' OR {_hints(_classes('e'), CHROME)}))"
 
-SCHEMA = "page_id long, section_index int, section_title string, section_path array<string>, heading_level int, text string, extraction_method string, component_type string, anchor_id string"
 
+def _without_noise(d: DataFrame) -> DataFrame:
+    """Elements that are left, and `words`: the runs of text, empty where they are noise."""
+    d = X.bound(d, noise=NOISE)
+    return X.bound(d, live=f"filter(elements, e -> NOT exists(noise, x -> {_inside('e', 'x', True)}))", words="transform(runs, (w, i) -> if(exists(noise, x -> x.since <= i AND i < x.upto), '', w))")
 
-def page_sections(pages: DataFrame, least: int = 40) -> DataFrame:
-    """One row for each section of each page (page_id, html)."""
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split(" ")[0] for c in SCHEMA.split(", ")]
-        for pdf in it:
-            rows = [s | {"page_id": p} for p, h in zip(pdf["page_id"], pdf["html"], strict=True) for s in sections(h, least=least)]
-            yield pd.DataFrame(rows, columns=names).astype({"heading_level": "Int32"})
+def _with_components(d: DataFrame) -> DataFrame:
+    """`comps`: controls whose panel of real text scores 0.6 or more; a panel belongs to its first control."""
+    control = f"(map_contains_key(c.attrs, '{TARGETS[0]}') OR map_contains_key(c.attrs, '{TARGETS[1]}') OR map_contains_key(c.attrs, '{TARGETS[2]}') OR ({_attr('c', 'role')} IN ('tab', 'button') AND map_contains_key(c.attrs, 'href')))"
+    d = X.bound(d, controls=f"filter(live, c -> {control} AND NOT {_hints(_classes('c'), NAV_HINTS)})", named=f"filter(live, e -> {_attr('e', 'id')} <> '')")
+    labels = ", ".join(f"element_at(filter(transform(filter(live, e -> {_inside('e', 'c')} AND {_has_class('e', cls)}), e -> {_text('e')}), t -> t <> ''), 1)".replace("element_at(", "try_element_at(", 1) for cls in LABELS)
+    target = lambda a: f"if('{a}' = 'href' AND NOT trim({_attr('c', a)}) RLIKE '^#.', '', ltrim('#', trim({_attr('c', a)})))"
+    panels = ", ".join(f"try_element_at(filter(slice(filter(named, e -> {_attr('e', 'id')} = {target(a)}), 1, 1), e -> e.n <> c.n AND NOT {_inside('e', 'c')}), 1)" for a in TARGETS)
+    d = X.bound(d, tried=f"transform(controls, c -> struct(c.n, c.till, c.tag, c.attrs, coalesce({labels}, {_text('c')}) AS label, coalesce({panels}) AS panel))")
+    d = X.bound(d, paired=f"transform(filter(tried, c -> c.panel IS NOT NULL AND length(c.label) BETWEEN 3 AND 200), c -> struct(c.n, c.till, c.tag, c.attrs, c.label, c.panel, {_text('c.panel')} AS body, ({_attr('c.panel', 'role')} = 'tabpanel' OR {_attr('c', 'role')} = 'tab') AS tab))")
+    score = f"""0.4D + if({_hints(f"lower({_attr('c', 'class')})", CONTENT_HINTS)}, 0.3D, 0) + if(c.tag IN ({_quoted(ALL_HEADS)}), 0.2D, 0) + if(map_contains_key(c.attrs, 'aria-controls'), 0.1D, 0) + if(map_contains_key(c.attrs, 'aria-expanded'), 0.05D, 0)
+        + if({_attr('c.panel', 'aria-labelledby')} <> '' AND {_attr('c.panel', 'aria-labelledby')} = {_attr('c', 'id')}, 0.15D, 0) + if(c.tab, 0.05D, 0) + if(length(c.body) > 200, 0.05D, 0)"""
+    real = "length(c.body) >= 60 AND NOT (contains(left(c.body, length(c.label) + 5), c.label) AND length(c.body) < 2 * length(c.label))"
+    d = X.bound(d, good=f"filter(paired, c -> {real} AND round({score}, 6) >= 0.6D)")
+    return X.bound(d, comps=f"transform(filter(good, (c, i) -> NOT exists(slice(good, 1, i), x -> x.panel.n = c.panel.n)), c -> struct(c.n, c.till, c.label, c.panel, if(c.tab, 'tab', 'accordion') AS kind, {_attr('c.panel', 'id')} AS anchor))")
 
-    return pages.select("page_id", "html").mapInPandas(run, SCHEMA)
+
+def _with_root(d: DataFrame) -> DataFrame:
+    """`root`, its number and its last descendant's: the body, or the first candidate of over 35 % of its text and 200 characters, then only longer ones."""
+    tests = (
+        "e.tag = 'main'", f"{_attr('e', 'role')} = 'main'", f"{_attr('e', 'id')} = 'main-content'", f"{_attr('e', 'id')} = 'content'",
+        _has_class("e", "journal-content-article"), _has_class("e", "portlet-content-container"), "e.tag = 'article'",
+    )
+    d = X.bound(d, found="concat(" + ", ".join(f"filter(live, e -> {t})" for t in tests) + ")")
+    shared = "slice(reverse(filter(live, e -> e.n <= array_min(transform(found, f -> f.n)) AND e.till >= array_max(transform(found, f -> f.till)))), 1, if(size(found) > 1, 1, 0))"
+    d = X.bound(d, tried_roots=f"transform(concat(found, {shared}), e -> struct(e.n, e.till, length({_text('e')}) AS chars))", body="slice(concat(filter(live, e -> e.tag = 'body'), live), 1, 1)")
+    start = f"struct(body[0].n AS n, body[0].till AS till, length({_text('body[0]')}) AS chars, false AS chosen)"
+    better = "e.chars > 0.35D * s.chars AND e.chars > 200 AND (NOT s.chosen OR e.chars > s.chars)"
+    return X.bound(d, root=f"aggregate(tried_roots, {start}, (s, e) -> if({better}, struct(e.n AS n, e.till AS till, e.chars AS chars, true AS chosen), s), s -> array(s.n, s.till))")
+
+
+def _with_blocks(d: DataFrame) -> DataFrame:
+    """`blocks`: headings and rendered text inside the root, in order; `level` is null for text."""
+    d = X.bound(d, holders=f"filter(live, e -> e.tag IN ({_quoted(BLOCKS)}))", picked=f"filter(live, e -> e.tag IN ({_quoted(ALL_HEADS + CONTENT + BLOCKS)}) AND e.n > root[0] AND e.n < root[1])")
+    d = X.bound(d, chosen=f"filter(picked, e -> e.tag NOT IN ({_quoted(CONTENT)}) OR NOT exists(holders, x -> {_inside('e', 'x')}))", small=f"NOT exists(picked, e -> e.tag IN ({_quoted(HEADS)}))")
+    cells = f"filter(transform(filter(live, c -> c.tag IN ('td', 'th') AND {_inside('c', 'r')}), c -> {_text('c')}), t -> t <> '')"
+    table = f"array_join(filter(transform(filter(live, r -> r.tag = 'tr' AND {_inside('r', 'e')}), r -> array_join({cells}, ' | ')), t -> t <> ''), '\\n')"
+    items = f"array_join(transform(filter(transform(filter(live, i -> i.tag = 'li' AND i.up = e.n), i -> {_text('i')}), t -> t <> ''), t -> concat('- ', t)), '\\n')"
+    said = f"CASE WHEN e.tag = 'table' THEN {table} WHEN e.tag IN ('ul', 'ol') THEN {items} ELSE {_text('e')} END"
+    head = f"e.tag IN ({_quoted(HEADS)}) OR (small AND e.tag IN ({_quoted(ALL_HEADS)}))"
+    return X.bound(d, blocks=f"transform(chosen, e -> struct(e.n, if({head}, cast(right(e.tag, 1) AS int), NULL) AS level, {said} AS said))")
+
+
+def _tidy(c: Column) -> Column:
+    return X.normalised(c)
+
+
+def _sections(d: DataFrame) -> DataFrame:
+    """`sections` of each page: a heading's text reaches to the next heading, its path is the headings that reign there."""
+    level = "struct(b.n, b.level, i AS at, b.said)"
+    d = X.bound(d, marks=f"filter(transform(blocks, (b, i) -> {level}), b -> b.level IS NOT NULL)")
+    titled = F.transform("marks", lambda m: F.struct(m["n"].alias("n"), m["level"].alias("level"), m["at"].alias("at"), _tidy(m["said"]).alias("title")))
+    d = X.bound(d, titled=titled)
+    d = X.bound(d, spans="transform(titled, (m, i) -> struct(m.n, m.level, m.title, m.title <> '' AND length(m.title) <= 250 AS valid, slice(blocks, m.at + 2, coalesce(try_element_at(titled, i + 2).at, size(blocks)) - m.at - 1) AS below))")
+    d = X.bound(d, valid="filter(spans, m -> m.valid)")
+    d = X.bound(d, reigns="transform(valid, (m, i) -> struct(m.title, i AS since, coalesce(nullif(array_position(transform(slice(valid, i + 2, size(valid)), t -> t.level <= m.level), true), 0) + i, size(valid)) AS until))")
+    join = lambda below: _tidy(F.array_join(F.filter(F.transform(below, lambda b: b["said"]), lambda t: t != ""), "\n"))
+    null = lambda t: F.lit(None).cast(t)
+
+    def row(title, path, depth, text, method, kind, anchor) -> Column:
+        return F.struct(title.alias("section_title"), path.alias("section_path"), depth.cast("int").alias("heading_level"), text.alias("text"), method.alias("extraction_method"), kind.alias("component_type"), anchor.alias("anchor_id"))
+
+    def of_heading(m: Column, k: Column) -> Column:
+        comp = F.get(F.filter("comps", lambda c: (m["n"] >= c["n"]) & (m["n"] < c["till"])), F.lit(0))
+        path = F.transform(F.filter("reigns", lambda h: (h["since"] <= k) & (k < h["until"])), lambda h: h["title"])
+        return X.let(comp, lambda c: row(m["title"], path, m["level"], join(m["below"]), F.when(c.isNotNull(), "html_component").otherwise("html_structure"), c["kind"], c["anchor"]))
+
+    long = lambda least: lambda s: F.length(s["text"]) >= least
+    d = X.bound(d, own=F.filter(F.transform("valid", of_heading), long(F.col("least"))))
+    # text under no heading: before the first one, and under those that are no titles
+    loose = F.concat(F.slice("blocks", F.lit(1), F.coalesce(F.get("titled", F.lit(0))["at"], F.size("blocks"))), F.flatten(F.transform(F.filter("spans", lambda m: ~m["valid"]), lambda m: m["below"])))
+    rest = row(null("string"), null("array<string>"), null("int"), join(loose), F.lit("no_section"), null("string"), null("string"))
+    apart = F.filter("comps", lambda c: ~((c["panel"]["n"] >= F.get("root", F.lit(0))) & (c["panel"]["n"] < F.get("root", F.lit(1)))))
+    panel = lambda c: F.array_join(F.filter(F.slice("words", c["panel"]["since"] + 1, c["panel"]["upto"] - c["panel"]["since"]), lambda w: w != ""), "\n")
+    outside = F.transform(apart, lambda c: X.let(_tidy(c["label"]), lambda label: row(label, F.array(label), null("int"), _tidy(panel(c)), F.lit("html_component"), c["kind"], c["anchor"])))
+    everything = F.concat(F.col("own"), F.when(F.size("own") == 0, F.array(rest)).otherwise(F.slice(F.array(rest), 1, 0)), outside)
+    return d.select("page_id", F.filter(everything, long(F.col("least"))).alias("sections"))
+
+
+def _fallback(c: Column, least: int) -> Column:
+    """Titled sections of plain text; a title is a short line without a stop before a long one."""
+
+    def of(lines: Column) -> Column:
+        def is_title(line: Column, i: Column) -> Column:
+            following = F.get(F.filter(F.slice(lines, i + 2, F.size(lines)), lambda x: x != ""), F.lit(0))
+            return F.length(line).between(3, 80) & ~line.rlike(r"^[-•*0-9]") & ~line.rlike(r"[.!؟?،,;]$") & (F.size(F.split(line, r"(?U)\s+")) <= 10) & (F.coalesce(F.length(following), F.lit(0)) >= 40)
+
+        def cut(marked: Column) -> Column:
+            titles = F.filter(marked, lambda m: m["title"])
+            end = lambda k: F.coalesce(F.get(titles, k + 1)["at"], F.size(marked))
+            text = lambda m, k: _tidy(F.array_join(F.filter(F.transform(F.slice(marked, m["at"] + 2, end(k) - m["at"] - 1), lambda b: b["line"]), lambda t: t != ""), "\n"))
+            return F.filter(F.transform(titles, lambda m, k: F.struct(X.stripped(F.regexp_replace(m["line"], "[:：]+$", "")).alias("title"), text(m, k).alias("text"))), lambda s: (F.length(s["text"]) >= least) & (s["title"] != ""))
+
+        return X.let(F.transform(lines, lambda line, i: F.struct(line.alias("line"), i.alias("at"), is_title(line, i).alias("title"))), cut)
+
+    return X.let(F.split(_tidy(c), "\n"), of)
+
+
+def page_sections(pages: DataFrame, least: int = 40) -> DataFrame:
+    """One row for each section of each page (page_id, html, and `fallback` text for pages without any, if there is such a column).
+
+    Null and empty pages have no sections.  A page's whole row is one task's work;
+    its cost grows with its elements times its noise elements and blocks.
+    """
+    rich = pages if "fallback" in pages.columns else pages.withColumn("fallback", F.lit(None).cast("string"))
+    d = elements(rich).withColumn("least", F.lit(least))
+    found = _sections(_with_blocks(_with_root(_with_components(_without_noise(d)))))
+    shape = F.lit(None).cast("string")
+    plain = X.bound(rich.select("page_id", X.nfkc("fallback").alias("fallback")).where(X.stripped("fallback") != ""), cut=_fallback(F.col("fallback"), least))
+    row = lambda title, text, method: F.struct(title.alias("section_title"), F.when(title.isNotNull(), F.array(title)).alias("section_path"), F.when(title.isNotNull(), 1).alias("heading_level"), text.alias("text"), F.lit(method).alias("extraction_method"), shape.alias("component_type"), shape.alias("anchor_id"))
+    whole = F.array(row(shape, _tidy(F.col("fallback")), "no_section"))
+    plain = plain.select("page_id", F.when(F.size("cut") > 0, F.transform("cut", lambda s: row(s["title"], s["text"], "text_fallback"))).otherwise(whole).alias("plain"))
+    both = found.join(plain, "page_id", "left") if "fallback" in pages.columns else found.withColumn("plain", F.lit(None).cast(found.schema["sections"].dataType))
+    sections = F.when(F.size("sections") > 0, F.col("sections")).otherwise(F.col("plain"))
+    return both.select("page_id", F.posexplode(sections).alias("section_index", "s")).select("page_id", "section_index", "s.*")

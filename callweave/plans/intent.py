@@ -5,8 +5,15 @@ from __future__ import annotations
 import re
 import unicodedata
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 from typing import Protocol
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+
 # The metric catalogue and the time windows.
 METRICS = (
     "resolved_tickets", "unresolved_tickets", "total_tickets", "customers_with_unresolved_tickets", "resolved_ticket_list",
@@ -39,22 +46,43 @@ def fold_phrase(text: str) -> str:
     return out.translate(str.maketrans("أإآى", "اااي"))
 
 
+#: What a follow-up asks for next, by the group of the metric before it and the kind of question.
+NEXT = {
+    ("open", "which"): "unresolved_ticket_list", ("open", "all"): "tickets_needing_agent_call",
+    ("closed", "which"): "resolved_ticket_list", ("closed", "all"): "resolved_ticket_list",
+    ("calls to make", "which"): "tickets_needing_agent_call", ("calls to make", "all"): "tickets_needing_agent_call",
+}
+GROUP = {
+    "unresolved_tickets": "open", "unresolved_ticket_list": "open", "resolved_tickets": "closed", "resolved_ticket_list": "closed",
+    "tickets_needing_agent_call": "calls to make",
+}
+
+
+def asked_kind(question: str) -> str | None:
+    """Whether a question asks if that was all, or which ones they are; None for other questions."""
+    said = fold_phrase(question)
+    kinds = {"all": ALL_OF_THEM, "which": WHICH}
+    return next((k for k, phrases in kinds.items() if any(p in said for p in phrases)), None)
+
+
 def follow_up(question: str, metric: str | None, period: str | None) -> AnalyticsIntent | None:
     """The plan of a short question about the answer before it, if it is one."""
-    asked = fold_phrase(question)
-    whole = any(p in asked for p in ALL_OF_THEM)
-    if not whole and not any(p in asked for p in WHICH):
-        return None
-    open_ones, closed = {"unresolved_tickets", "unresolved_ticket_list"}, {"resolved_tickets", "resolved_ticket_list"}
-    if metric == "tickets_needing_agent_call" or (whole and metric in open_ones):
-        nxt = "tickets_needing_agent_call"
-    elif metric in open_ones:
-        nxt = "unresolved_ticket_list"
-    elif metric in closed:
-        nxt = "resolved_ticket_list"
-    else:
-        return None
-    return AnalyticsIntent(nxt, period or "all_time", 20)
+    after = NEXT.get((GROUP.get(metric), asked_kind(question)))
+    return AnalyticsIntent(after, period or "all_time", 20) if after else None
+
+
+def follow_ups(turns: DataFrame) -> DataFrame:
+    """turns (question, metric: that of the answer before) with `next`, the metric asked for, by a join with the rules as tables.
+
+    Questions are compared after `nfkc`; the tables are the constants above, so they are broadcast.
+    """
+    spark = turns.sparkSession
+    said = X.fold_phrase(X.nfkc("question"))
+    has = lambda phrases: reduce(or_, [F.col("_said").contains(p) for p in phrases])
+    groups = spark.createDataFrame(list(GROUP.items()), "metric string, _group string")
+    rules = spark.createDataFrame([(*k, v) for k, v in NEXT.items()], "_group string, _kind string, next string")
+    kind = F.when(has(ALL_OF_THEM), "all").when(has(WHICH), "which")
+    return turns.withColumn("_said", said).withColumn("_kind", kind).join(F.broadcast(groups), "metric", "left").join(F.broadcast(rules), ["_group", "_kind"], "left").select(*turns.columns, "next")
 
 
 class IntentParser(Protocol):

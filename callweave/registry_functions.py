@@ -11,7 +11,7 @@ from .functions import embedding
 from .functions import text as X
 from .operators import chunking, evaluation, relational, retrieval
 from .plans import views as V
-from .plans.intent import ALL_OF_THEM, METRICS, WHICH, RuleParser, follow_up
+from .plans.intent import METRICS, RuleParser, follow_ups
 from .plans.tenancy import Tenant, clean_filters, predicate, scoped
 from .streaming import calls as C
 
@@ -128,12 +128,17 @@ query("x21_label", "SELECT chunk_id, concat_ws(' | ', CASE WHEN ordinal % 2 = 0
 )
 
 
-@query("x24_follow_up_intent", "SELECT m AS metric, w AS asked, CASE WHEN m = 'tickets_needing_agent_call' OR (w = 1 AND m IN ('unresolved_tickets', 'unresolved_ticket_list')) THEN 'tickets_needing_agent_call' WHEN m IN ('unresolved_tickets', 'unresolved_ticket_list') THEN 'unresolved_ticket_list' WHEN m IN ('resolved_tickets', 'resolved_ticket_list') THEN 'resolved_ticket_list' END AS next FROM (SELECT unnest([" + ", ".join(f"'{m}'" for m in METRICS) + "]) AS m), (VALUES (0), (1)) v(w) UNION ALL SELECT unnest([" + ", ".join(f"'{m}'" for m in METRICS) + "]), 2, NULL")
-def follow_ups(s, d) -> DataFrame:
-    """Every metric with a question of each kind: which ones, all of them, another."""
-    asked = (f"And {WHICH[-1]}?", f"{ALL_OF_THEM[-1].title()}?", "How are you?")
-    rows = [(m, k, nxt.metric if (nxt := follow_up(q, m, None)) else None) for m in METRICS for k, q in enumerate(asked)]
-    return s.createDataFrame(rows, "metric string, asked int, next string")
+_KIND = "CASE WHEN {f} LIKE '%are these all%' OR {f} LIKE '%all of them%' THEN 'all' WHEN {f} LIKE '%which ones%' OR {f} LIKE '%list them%' THEN 'which' END"
+_NEXT = "CASE WHEN metric = 'tickets_needing_agent_call' AND kind IS NOT NULL THEN metric WHEN metric IN ('unresolved_tickets', 'unresolved_ticket_list') THEN CASE kind WHEN 'all' THEN 'tickets_needing_agent_call' WHEN 'which' THEN 'unresolved_ticket_list' END WHEN metric IN ('resolved_tickets', 'resolved_ticket_list') AND kind IS NOT NULL THEN 'resolved_ticket_list' END"
+_METRIC_OF = "([" + ", ".join(f"'{m}'" for m in METRICS) + f"])[CAST(session_id % {len(METRICS)} AS INT) + 1]"
+
+
+@query("x24_follow_up_intent", f"WITH a AS (SELECT session_id, id, {_METRIC_OF} AS metric, lower(content) || CASE id % 4 WHEN 0 THEN ' Which ones' WHEN 1 THEN ' are THESE all?' WHEN 2 THEN '' ELSE ' list them, all of them' END AS f FROM messages), k AS (SELECT *, " + _KIND.format(f="lower(f)") + f" AS kind FROM a) SELECT session_id, id, metric, {_NEXT} AS next FROM k", "messages")
+def follow_up_intents(s, d) -> DataFrame:
+    """Every turn, with a phrase of each kind behind it, as a question about each metric."""
+    tail = F.element_at(F.array(F.lit(" Which ones"), F.lit(" are THESE all?"), F.lit(""), F.lit(" list them, all of them")), (F.col("id") % 4 + 1).cast("int"))
+    metric = F.element_at(F.array(*[F.lit(m) for m in METRICS]), (F.col("session_id") % len(METRICS) + 1).cast("int"))
+    return follow_ups(said(s, d).select("session_id", "id", F.concat("content", tail).alias("question"), metric.alias("metric"))).select("session_id", "id", "metric", "next")
 
 
 query("x26_token_set", f"SELECT session_id, id, md5(array_to_string(list_sort({_WORDS.format('content')}), ' ')) AS h FROM messages", "messages")(lambda s, d: said(s, d).select("session_id", "id", md5(F.array_join(F.array_sort(X.token_set("content")), " ")).alias("h")))

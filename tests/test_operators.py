@@ -179,8 +179,14 @@ def test_text_functions(spark):
 
 
 @pytest.mark.parametrize(("text", "n"), [("Dial *880# now. Then wait.", 2), ("See https://a.b/c now. Next one!", 2), ("See https://a.b/c.d?x=1. A URL takes its stop along", 1), ("It costs 1.5 GB. Or 2,000.50 EGP.", 2), ("Dr. Smith came. He left.", 2), ("- a\n- b\n- c", 3), ("", 0), ("What?! Really... yes.", 2), ("هل؟ نعم.", 2), ("mail a.b@c.com now. done", 2)])
-def test_sentences(text, n):
-    assert len(chunking.split_sentences(text)) == n
+def test_sentences(spark, text, n):
+    got = [r["sentence"] for r in chunking.sentences(spark.createDataFrame([("d", text)], "document_id string, text string")).orderBy("n").collect()]
+    assert len(got) == n and " ".join(" ".join(got).split()) == " ".join(text.split())
+
+
+def test_short_pieces_join_the_one_before(spark):
+    rows = spark.createDataFrame([("a", "One two.\n!\n- b\nx\n\ny z"), ("b", None)], "document_id string, text string")
+    assert [(r["document_id"], r["sentence"]) for r in chunking.sentences(rows).orderBy("document_id", "n").collect()] == [("a", "One two. !"), ("a", "- b x"), ("a", "y z")]
 
 
 def test_windows_and_sections(spark):
@@ -196,8 +202,22 @@ def test_windows_and_sections(spark):
         assert got == want
     assert chunking.fixed_parts(spark.createDataFrame([("d", "  ")], "document_id string, text string")).count() == 0
     heads = [{"text": "Chapter One", "page_number": 1, "level": 1, "order": 0, "reason": "markdown"}, {"text": "Sub A", "page_number": 2, "level": 2, "order": 1, "reason": "bold"}]
-    s = chunking.sections_of([(1, "intro\nChapter One\n" + "x " * 30), (2, "Sub A\n" + "y " * 30)], heads)
-    assert [x["section_path"] for x in s] == [None, ["Chapter One"], ["Chapter One", "Sub A"]] and s[2]["page_range"] == "2" and s[2]["extraction_method"] == "pdf_bold"
+    schema = "document_id string, pages array<struct<page_number:int,text:string>>, headings array<struct<text:string,page_number:int,level:int,order:int,reason:string>>"
+    rows = [
+        ("a", [(1, "intro\nChapter One\n" + "x " * 30), (2, "Sub A\n" + "y " * 30)], heads),
+        ("b", [(3, " \n "), (4, None)], heads), ("c", [(5, "only text")], []), ("d", [(6, "text")], heads), ("e", None, None),
+        # one heading stands twice, one comes out of order, a body is too short, levels jump
+        ("f", [(1, "A\nbody a\nB\nbody b\nA\nagain\nC\nD\nbody d")], [{"text": t, "page_number": 1, "level": v, "order": k, "reason": "toc"} for k, (t, v) in enumerate([("A", 1), ("B", 3), ("A", 2), ("C", 1), ("D", 2), ("B", 1)])]),
+    ]
+    got: dict = {}
+    for r in chunking.build_sections(spark.createDataFrame(rows, schema), 2).orderBy("document_id", "section_index").collect():
+        got.setdefault(r["document_id"], []).append(r)
+    s = got["a"]
+    assert [x["section_path"] for x in s] == [None, ["Chapter One"], ["Chapter One", "Sub A"]] and s[2]["page_range"] == "2" and s[2]["extraction_method"] == "pdf_bold" and s[1]["page_range"] == "1"
+    assert (s[0]["text"], s[0]["page_number"], s[1]["text"]) == ("intro", 1, ("x " * 30).strip())
+    assert set(got) == {"a", "c", "d", "f"} and (got["c"][0]["text"], got["c"][0]["page_number"], got["d"][0]["page_number"]) == ("only text", 5, None)
+    assert [(x["section_title"], x["section_path"], x["text"]) for x in got["f"]][:2] == [("A", ["A"], "body a"), ("B", ["B"], "body b")]  # the last heading stands where the second does
+    assert [(x["section_title"], x["section_path"], x["text"]) for x in got["f"]][2:] == [("A", ["B", "A"], "again"), ("D", ["B", "D"], "body d")]
     spans = spark.createDataFrame([("d", 1, k, t, z, b) for k, (t, z, b) in enumerate([("Big title", 20.0, False), ("body text one", 10.0, False), ("1.2 Numbered", 10.0, False), ("Bold line", 10.0, True), ("body two.", 10.0, False), ("Ends.", 20.0, False)])], "document_id string, page_number int, ordinal int, text string, size double, bold boolean")
     assert [(r["text"], r["level"], r["reason"]) for r in chunking.headings_of_spans(spans).orderBy("order").collect()] == [("Big title", 1, "font_size"), ("1.2 Numbered", 2, "numbering"), ("Bold line", 2, "bold")]
     pages = spark.createDataFrame([("d", p, f"head\nbody {p}\nfoot") for p in range(1, 5)], "document_id string, page_number int, text string")
@@ -206,19 +226,31 @@ def test_windows_and_sections(spark):
     assert [r["text"] for r in chunking.strip_running_lines(pages).orderBy("page_number").collect()] == [f"body {p}" for p in range(1, 5)]
 
 
-def test_html():
+def test_html(spark):
     body = "real prose of some length that is long enough to count as a section body here"
-    html = f"<html><body><nav>menu</nav><main><h1>Top</h1><p>{body}</p><h2>Sub</h2><ul><li>one {body}</li><li>two</li></ul><table><tr><th>a</th><td>b</td></tr></table></main><footer>f</footer></body></html>"
-    s = html_sections.sections(html)
-    assert [(x["section_title"], x["section_path"]) for x in s] == [("Top", ["Top"]), ("Sub", ["Top", "Sub"])]
+    acc = f'<h3 id="h0" class="accordion-title js-collapser" aria-controls="c0" aria-expanded="false">Question one</h3><div id="c0" aria-labelledby="h0"><p>{body} {body}</p></div>'
+    pages = {
+        1: (f"<html><body><nav>menu</nav><main><h1>Top</h1><p>{body}</p><h2>Sub</h2><ul><li>one {body}</li><li>two</li></ul><table><tr><th>a</th><td>b</td></tr></table></main><footer>f</footer></body></html>", None),
+        2: (f"<body>{acc}</body>", None), 3: ("<p>unclosed <b>" + body, None), 4: (f"<h5>Small</h5><p>{body}</p>", None), 5: (None, f"A title\n{body}\n- no\n"), 6: ("", ""), 7: (None, "just a line"),
+        # a list item closes the one before; hidden text goes; the main part wins; a panel outside it is added
+        8: (f"<body><main><h1>One</h1><ul><li>a {body}<li>b<ul><li>inner</ul></ul><p aria-hidden=true>secret</p><h3>Deep</h3><p>{body}<h2>{'x' * 260}</h2><p>lost</p><h2>Two</h2><p>{body}</p></main>{acc}</body>", None),
+        9: (f"<div class='cookie-box'><h2>Cookies</h2><p>{body}</p></div><h2>Kept</h2><p>{body} &amp; ﬁne</p>", None),
+    }
+    df = spark.createDataFrame([(k, *v) for k, v in pages.items()], "page_id long, html string, fallback string")
+    got: dict = {k: [] for k in pages}
+    for r in html_sections.page_sections(df).orderBy("page_id", "section_index").collect():
+        got[r["page_id"]].append(r)
+    s = got[1]
+    assert [(x["section_title"], x["section_path"], x["heading_level"]) for x in s] == [("Top", ["Top"], 1), ("Sub", ["Top", "Sub"], 2)]
     assert "- two" in s[1]["text"] and "a | b" in s[1]["text"] and "menu" not in str(s)
-    acc = f'<body><h3 id="h0" class="accordion-title js-collapser" aria-controls="c0" aria-expanded="false">Question one</h3><div id="c0" aria-labelledby="h0"><p>{body} {body}</p></div></body>'
-    s = html_sections.sections(acc)
-    assert [(x["section_title"], x["extraction_method"], x["component_type"]) for x in s] == [("Question one", "html_component", "accordion")]
-    assert html_sections.sections("<p>unclosed <b>" + body)[0]["section_title"] is None
-    assert [x["section_title"] for x in html_sections.sections(f"<h5>Small</h5><p>{body}</p>")] == ["Small"]
-    assert [x["section_title"] for x in html_sections.sections(None, f"A title\n{body}\n- no\n")] == ["A title"]
-    assert html_sections.sections("", "") == []
+    assert [(x["section_title"], x["extraction_method"], x["component_type"], x["anchor_id"]) for x in got[2]] == [("Question one", "html_component", "accordion", "c0")]
+    assert [(x["section_title"], x["extraction_method"]) for x in got[3]] == [(None, "no_section")] and [x["section_title"] for x in got[4]] == ["Small"]
+    assert [(x["section_title"], x["extraction_method"], x["text"]) for x in got[5]] == [("A title", "text_fallback", f"{body}\n- no")]
+    assert got[6] == [] and [(x["section_title"], x["text"]) for x in got[7]] == [(None, "just a line")]
+    assert [(x["section_title"], x["section_path"], x["extraction_method"]) for x in got[8]] == [("One", ["One"], "html_structure"), ("Deep", ["One", "Deep"], "html_structure"), ("Two", ["One", "Two"], "html_structure"), ("Question one", ["Question one"], "html_component")]
+    assert got[8][0]["text"].split("\n") == [f"- a {body}", "- b inner", "- inner"] and "secret" not in str(got[8]) and "lost" not in str(got[8])
+    assert [(x["section_title"], x["text"]) for x in got[9]] == [("Kept", f"{body} & fine")]
+    assert html_sections.page_sections(df.select("page_id", "html")).where("page_id = 5").count() == 0
 
 
 def test_mutations(spark):
