@@ -20,6 +20,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -43,28 +44,82 @@ SLICE_BYTES = 6 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set."""
+    """The folder in spark.checkpoint.dir, which driver and executors share; a local one only where none is set and the master is local."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = jvm_dir.get() if jvm_dir.isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = os.path.join(tempfile.gettempdir(), "callweave-shared")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/callweave-{name}-{uuid.uuid4().hex}"
+#: Intermediate tables written by this process and not deleted yet.
+_made: list[str] = []
 
 
-def as_table(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage ends there."""
-    path = fresh_path(df.sparkSession, name)
+def fresh_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    path = f"{shared_folder(spark)}/callweave-{name}-{uuid.uuid4().hex}"
+    if not keep:
+        _made.append(path)
+    return path
+
+
+def as_table(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: the lineage ends there.  `scratch` and `clear` delete it unless keep is set."""
+    path = fresh_path(df.sparkSession, name, keep)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def drop(table: DataFrame) -> None:
+    """Delete a table that `as_table` gave, once nothing reads it any more."""
+    paths = {f.rsplit("/", 1)[0] for f in table.inputFiles()}
+    gone = [p for p in _made if any(f.endswith(p.rsplit("/", 1)[1]) for f in paths)]
+    _delete(table.sparkSession, gone)
+    _made[:] = [p for p in _made if p not in gone]
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables made inside are deleted at the end: results must have been written, or read, by then."""
+    begin = len(_made)
+    try:
+        yield
+    finally:
+        _delete(spark, _made[begin:])
+        del _made[begin:]
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this process; no DataFrame built on them can be read afterwards."""
+    _delete(spark, _made)
+    _made.clear()
+
+
+def meet(rows: DataFrame, groups: DataFrame, key: str, spread: str, askers: int = 1024) -> DataFrame:
+    """rows joined with groups (one row a key, n: the key's rows); a key of many rows meets copies of its group, dealt by `spread`.
+
+    Keys are copied from `askers` rows on, or from 1/4096 of all rows where that is
+    more: the list of them has at most 4096 entries, and a key that is not copied
+    has less than 1/4096 of the rows.
+    """
+    least = max(askers, (groups.agg(F.sum("n").alias("n")).first()["n"] or 0) // 4096)
+    more = F.floor(F.col("n") / least)
+    hot = F.broadcast(groups.where(F.col("n") >= least).select(key, more.alias("more")))
+    dealt = rows.join(hot, key, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("more") + 1), F.lit(0).cast("long"))).drop("more")
+    return dealt.join(groups.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), more))), [key, "salt"]).drop("salt")
+
+
 def text_bytes(text_col: str):
     """UTF-8 bytes of a text column, empty for null."""
     return F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_table
+from .common import as_table, drop
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,7 +14,9 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps (Kiveris et al., 2014): each round
     every edge is replaced by one to a smaller node, in O(log^2 n) rounds for any
     shape.  A round ends in a written table.  Both steps aggregate a node's least
-    neighbour before they join it back, so a hub's edges spread over tasks.
+    neighbour before they join it back, so a hub's edges spread over tasks.  Null
+    ends and edges from a node to itself are no edges, repeated ones count once;
+    without edges there are no nodes.
     """
     now = as_table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
@@ -28,6 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        now = as_table(small, "edges")
+        before, now = now, as_table(small, "edges")
+        drop(before)
     roots = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
     return roots.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -10,6 +10,8 @@ from .common import as_table
 
 #: Hash bundles that small groups are packed by; the driver sees at most 13 times as many items.
 BUNDLES = 2048
+#: A group that is over half a shard's share is cut into parts of about 1/SPLIT of it.
+SPLIT = 8
 #: Rows numbered in one task, about.
 NUMBERED = 20_000
 
@@ -42,11 +44,15 @@ def shard(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str
     are balanced jointly.  Groups of over 1/(4 BUNDLES) of the bytes, tokens or
     rows are items of their own, at most 12 BUNDLES of them; all others go by a
     hash to BUNDLES items: the packing's input is bounded whatever the table's size.
+    A group of over half a shard's share in any dimension is first cut by row into
+    parts of about 1/SPLIT of it: no group makes its shard larger than others.
 
     slot numbers a shard's rows from 0 without gaps: rows are counted by chunks
-    and numbered inside a chunk.  Null texts count as empty (size 1, checksum 0);
-    null ids and repeated rows are rows like others; other columns are ignored.
-    A group larger than a shard's share makes its shard larger by the excess.
+    and numbered inside a chunk.  Rows are told apart by their place in the written
+    table, so that rows alike in everything are dealt over parts and chunks as
+    others are.  Null texts count as empty (size 1, checksum 0); null ids and
+    repeated rows are rows like others; other columns are ignored; an empty table
+    gives an empty result.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = as_table(
@@ -56,27 +62,33 @@ def shard(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.regexp_count(text, F.lit("[^ \\t-\\r]+")).cast("long").alias("tokens"),
             F.unhex(F.md5(text.cast("binary"))).alias("grp"),
+            F.xxhash64(F.monotonically_increasing_id()).alias("row"),
         ),
         "shard-rows",
     )
-    sums = lambda: [F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")]
-    groups = as_table(rows.groupBy("grp").agg(*sums()), "shard-groups")
-    whole = groups.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("bytes", "tokens", "rows")]).first()
-    large = F.lit(False)
-    for c in ("bytes", "tokens", "rows"):
-        large = large | (F.col(c) * (4 * BUNDLES) > F.lit(whole[c]))
-    heavy = groups.where(large).orderBy("grp").collect()
+    sums = [F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")]
+    kinds = ("bytes", "tokens", "rows")
+    groups = as_table(rows.groupBy("grp").agg(*sums), "shard-groups")
+    whole = groups.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in kinds]).first()
+    largest = F.greatest(*[F.col(c) / F.lit(float(max(1, whole[c]))) for c in kinds])  # a group's share of the table
+    heavy = groups.where(largest * (4 * BUNDLES) > 1).select("*", F.when(largest * (2 * shards) > 1, F.ceil(largest * (shards * SPLIT))).otherwise(1).cast("int").alias("parts")).orderBy("grp").collect()
+    spark = df.sparkSession
+    # at most 12 BUNDLES rows: a bound that no table exceeds
+    parts = F.broadcast(spark.createDataFrame([(bytes(r["grp"]), r["parts"]) for r in heavy], "grp binary, parts int"))
+    dealt = rows.join(parts, "grp", "left").withColumn("part", F.pmod("row", "parts").cast("int"))
+    split = F.broadcast(spark.createDataFrame([(bytes(r["grp"]), r["parts"]) for r in heavy if r["parts"] > 1], "grp binary, parts int"))
+    pieces = rows.join(split, "grp").groupBy("grp", F.pmod("row", "parts").cast("int").alias("part")).agg(*sums).orderBy("grp", "part").collect()
+    items = [(bytes(r["grp"]), 0, r) for r in heavy if r["parts"] == 1] + [(bytes(r["grp"]), r["part"], r) for r in pieces]
     bundle = F.pmod(F.xxhash64("grp"), F.lit(BUNDLES)).cast("int")
-    light = groups.where(~large).groupBy(bundle.alias("bundle")).agg(*[F.sum(c).alias(c) for c in ("bytes", "tokens", "rows")]).orderBy("bundle").collect()
-    items = np.array([[r["bytes"], r["tokens"], r["rows"]] for r in [*heavy, *light]], float).reshape(-1, 3)
-    where = pack(items, shards).tolist()
+    light = groups.where(largest * (4 * BUNDLES) <= 1).groupBy(bundle.alias("bundle")).agg(*[F.sum(c).alias(c) for c in kinds]).orderBy("bundle").collect()
+    sizes = np.array([[r[c] for c in kinds] for r in [*(r for _, _, r in items), *light]], float).reshape(-1, 3)
+    where = pack(sizes, shards).tolist()
     of_bundle = [0] * BUNDLES
-    for r, s in zip(light, where[len(heavy) :], strict=True):
+    for r, s in zip(light, where[len(items) :], strict=True):
         of_bundle[r["bundle"]] = s
-    # at most 12 BUNDLES rows of 20 bytes: a bound that no table exceeds
-    own = F.broadcast(df.sparkSession.createDataFrame([(bytes(r["grp"]), s) for r, s in zip(heavy, where, strict=False)], "grp binary, own int"))
+    own = F.broadcast(spark.createDataFrame([(g, k, s) for (g, k, _), s in zip(items, where, strict=False)], "grp binary, part int, own int"))
     by_bundle = F.element_at(F.array(*[F.lit(s) for s in of_bundle]), bundle + 1)
-    placed = rows.join(own, "grp", "left").select("doc_id", "size", "text_crc32", F.coalesce("own", by_bundle).alias("shard"))
+    placed = dealt.join(own, ["grp", "part"], "left").select("doc_id", "size", "text_crc32", "row", F.coalesce("own", by_bundle).alias("shard"))
     return _numbered(placed, max(1, -(-int(whole["rows"]) // NUMBERED)))
 
 
@@ -84,10 +96,10 @@ def _numbered(placed: DataFrame, chunks: int) -> DataFrame:
     """Adds slot: 0, 1, ... within each shard."""
     from pyspark.sql import Window
 
-    dealt = as_table(placed.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(chunks)).cast("int")), "placed")
+    dealt = as_table(placed.withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(chunks)).cast("int")), "placed")
     counts = dealt.groupBy("shard", "chunk").agg(F.count("*").alias("n"))
     before = counts.select("shard", "chunk", (F.sum("n").over(Window.partitionBy("shard").orderBy("chunk")) - F.col("n")).alias("before"))
-    inside = Window.partitionBy("shard", "chunk").orderBy("doc_id", "text_crc32")
+    inside = Window.partitionBy("shard", "chunk").orderBy("doc_id", "text_crc32", "row")
     return dealt.withColumn("rank", F.row_number().over(inside)).join(before, ["shard", "chunk"]).select("doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("rank") - 1).alias("slot"))
 
 

@@ -1,9 +1,13 @@
-"""Near copies by the exact similarity of five-word shingle sets; MinHash bands find the pairs to compare.
+"""Near copies by the exact similarity of five-word shingle sets: SimHash links first, MinHash bands for what they miss.
 
 The similarity of two texts is that of their sets of word shingles (shared ones
-through all distinct ones).  Bands of four minima bring texts together: with 20
+through all distinct ones).  Texts whose SimHash fingerprints lie within a small
+radius are found by the BK-trees of `simhash.links`; at a similarity of 0.8 two
+fingerprints differ in ten bits on average, so that no radius a tree can search
+finds most such pairs.  Bands of four minima bring the others together: with 20
 bands two texts of similarity 0.8 meet but for one pair in 38,000, more similar
-ones sooner.  No pair is linked unless its sets pass the comparison.
+ones sooner.  What SimHash has linked already is not compared in the bands again.
+No pair is linked unless its sets pass the comparison.
 """
 
 from __future__ import annotations
@@ -14,8 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesvec import SPACED_LOWER, mix, pair, window_hashes, word_hashes, words
-from .common import arrow_map, as_table, id_in, id_out, text_bytes
+from .common import arrow_map, as_table, id_in, id_out, meet, text_bytes
 from .components import components
+from .simhash import links, majority
 
 U = np.uint64
 BANDS, DEPTH = 20, 4
@@ -71,30 +76,22 @@ def text_key(text_col: str):
     return F.xxhash64(text_bytes(text_col))
 
 
-def meet(rows: DataFrame, groups: DataFrame, key: str, spread: str) -> DataFrame:
-    """rows joined with groups (one a key, n: rows of the key); groups of many rows are copied, their rows dealt by `spread`."""
-    more = F.floor(F.col("n") / ASKERS)
-    hot = F.broadcast(groups.where(F.col("n") >= ASKERS).select(key, more.alias("more")))
-    dealt = rows.join(hot, key, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("more") + 1), F.lit(0).cast("long"))).drop("more")
-    return dealt.join(groups.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), more))), [key, "salt"]).drop("salt")
-
-
 def similar(pairs: DataFrame, sets: DataFrame, at_least: float) -> DataFrame:
     """The pairs (a, b) whose sets (sig, items) are at least so similar."""
-    sizes = pairs.groupBy("b").agg(F.count("*").alias("n"))
+    sizes = as_table(pairs.groupBy("b").agg(F.count("*").alias("n")), "asked")
     right = sizes.join(sets.select(F.col("sig").alias("b"), F.col("items").alias("right")), "b")
-    both = meet(pairs.join(sets.select(F.col("sig").alias("a"), F.col("items").alias("left")), "a"), right, "b", "a")
+    both = meet(pairs.join(sets.select(F.col("sig").alias("a"), F.col("items").alias("left")), "a"), right, "b", "a", ASKERS)
     shared = F.size(F.array_intersect("left", "right"))
     found = both.select("a", "b", shared.alias("s"), (F.size("left") + F.size("right")).alias("t"))
     return found.where(F.col("s") * 1000 >= (F.col("t") - F.col("s")) * round(at_least * 1000)).select("a", "b")
 
 
-def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, at_least: float = 0.8) -> DataFrame:
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, at_least: float = 0.8, radius: int = 2) -> DataFrame:
     """(doc_id, of, sig, root, component_id) for every row; sig stands for the row's shingle set, root for its component, of for its text.
 
     Words are runs of bytes other than ASCII white space, A-Z lower-cased.  Rows are
-    linked when their sets' similarity is at_least or more, as far as a band brings
-    them together; component_id is the least id that links reach, the row's own
+    linked when their sets' similarity is at_least or more, as far as the fingerprints'
+    radius or a band brings them together; component_id is the least id that links reach, the row's own
     included.  Texts without words are equal to each other only.
 
     A band's group is compared with four leaders first.  Where that leaves a group
@@ -107,8 +104,9 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     source = df.select(id_in(id_col), text_bytes(text_col).alias("text")).withColumn("of", text_key("text"))
 
     def mark(pdf: pd.DataFrame) -> pd.DataFrame:
-        sig, bands = marks(*shingle_sets(list(pdf["text"]), shingle))
-        return pd.DataFrame({"doc_id": pdf["doc_id"], "of": pdf["of"], "sig": sig.view(np.int64), "bands": bands})
+        got, begin = shingle_sets(list(pdf["text"]), shingle)
+        sig, bands = marks(got, begin)
+        return pd.DataFrame({"doc_id": pdf["doc_id"], "of": pdf["of"], "sig": sig.view(np.int64), "fp": majority(got, np.diff(begin)).view(np.int64), "bands": bands})
 
     def items(pdf: pd.DataFrame) -> pd.DataFrame:
         got, begin = shingle_sets(list(pdf["text"]), shingle)
@@ -116,17 +114,31 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         got = got.view(np.int64)
         return pd.DataFrame({"sig": sig.view(np.int64), "items": [got[a:b] for a, b in zip(begin[:-1], begin[1:], strict=True)]})
 
-    marked = as_table(id_out(arrow_map(source, mark, "doc_id long, of long, sig long, bands array<long>")), "shingles")
-    least = as_table(marked.groupBy("sig").agg(F.min("doc_id").alias("first"), F.min("of").alias("of"), F.max("bands").alias("bands")), "distinct")
-    banded = least.select("sig", "of", F.explode("bands").alias("key"))
-    leaders = banded.groupBy("key").agg(F.count("*").alias("n"), F.array(*[F.min_by("sig", F.xxhash64("sig", F.lit(k))) for k in range(LEADERS)]).alias("leaders")).where("n > 1")
-    grouped = as_table(meet(banded, leaders, "key", "sig"), "bands")
-    needed = as_table(grouped.select("of").distinct(), "needed")
+    marked = as_table(id_out(arrow_map(source, mark, "doc_id long, of long, sig long, fp long, bands array<long>")), "shingles")
+    least = as_table(marked.groupBy("sig").agg(F.min("doc_id").alias("first"), F.min("of").alias("of"), F.min("fp").alias("fp"), F.max("bands").alias("bands")), "distinct")
+    # sets within the fingerprints' radius: a tree's edges between fingerprints, and each other set of a fingerprint with its first
+    some = least.where(F.size("bands") > 0)
+    named = as_table(some.groupBy("fp").agg(F.min("sig").alias("named"), F.count("*").alias("n")), "fingerprints")
+    edges = as_table(links(named.select("fp"), radius), "simhash")
+    ends = lambda c: named.select(F.col("fp").alias(c), F.col("named").alias(f"sig_{c}"))
+    close = edges.join(ends("a"), "a").join(ends("b"), "b").select(F.col("sig_a").alias("a"), F.col("sig_b").alias("b"))
+    twins = meet(some.select("fp", "sig"), named.where("n > 1"), "fp", "sig", ASKERS).where("sig <> named").select(F.col("sig").alias("a"), F.col("named").alias("b"))
+    close = as_table(close.unionByName(twins), "close")
+    banded = some.select("sig", "of", F.explode("bands").alias("key"))
+    leaders = as_table(banded.groupBy("key").agg(F.count("*").alias("n"), F.array(*[F.min_by("sig", F.xxhash64("sig", F.lit(k))) for k in range(LEADERS)]).alias("leaders")).where("n > 1"), "leaders")
+    grouped = as_table(meet(banded, leaders, "key", "sig", ASKERS), "bands")
+    asked = close.select(F.col("a").alias("sig")).unionByName(close.select(F.col("b").alias("sig"))).distinct()
+    needed = as_table(grouped.select("of").unionByName(some.join(asked, "sig", "left_semi").select("of")).distinct(), "needed")
     texts = source.select("of", "text").join(needed, "of", "left_semi").dropDuplicates(["of"])
     sets = as_table(arrow_map(texts, items, "sig long, items array<long>"), "sets")
 
-    first = as_table(grouped.select(F.col("sig").alias("a"), F.explode(F.array_distinct("leaders")).alias("b")).where("a <> b").distinct(), "pairs")
-    linked = as_table(similar(first, sets, at_least), "links")
+    near = as_table(similar(close, sets, at_least), "links")
+    roots = as_table(components(near), "roots")
+    ahead = grouped.select(F.col("sig").alias("a"), F.explode(F.array_distinct("leaders")).alias("b")).where("a <> b").distinct()
+    root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    known = F.coalesce(F.col("root_a") == F.col("root_b"), F.lit(False))
+    first = as_table(ahead.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").where(~known).select("a", "b"), "pairs")
+    linked = as_table(similar(first, sets, at_least).unionByName(near), "links")
     roots = components(linked)
     member = grouped.select("key", "sig").join(roots, F.col("sig") == F.col("node"), "left").select("key", "sig", F.coalesce("root", "sig").alias("label"))
     member = as_table(member, "members")

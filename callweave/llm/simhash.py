@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesvec import P1, P2, P3, P4, P5, SPACED_LOWER, rot
-from .common import arrow_map, as_table, id_in, id_out, text_bytes
+from .common import arrow_map, as_table, id_in, id_out, meet, text_bytes
 from .components import components
 
 U = np.uint64
@@ -96,7 +96,12 @@ def fingerprints(texts: list[bytes], shingle: int = 3, seed: int = 42) -> np.nda
     first = np.repeat(doc[:-1] - (np.cumsum(count) - count), count) + np.arange(count.sum())
     last = np.minimum(first + shingle - 1, np.repeat(doc[1:], count) - 1)
     h = xxh64(flat.tobytes(), start[first], end[last], seed)
-    out = np.zeros(len(texts), np.uint64)
+    return majority(h, count)
+
+
+def majority(h: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """For each run of count hashes the bits that over half of them have; 0 for an empty run."""
+    out = np.zeros(len(count), np.uint64)
     some = np.flatnonzero(count)
     cut = np.concatenate([[0], np.cumsum(count[some])])
     k = 0
@@ -186,7 +191,8 @@ def links(distinct: DataFrame, radius: int = 2, hot: int = 2048) -> DataFrame:
     two whole ones.  Each pair of blocks and its value names a shard; a shard's
     BK-tree is built and asked where the shard is.  A shard of more than `hot`
     entries is dealt again by pairs of blocks of its other bits, which bounds any
-    shard by the bits then left (65,536 entries for radius 2).
+    shard by the bits then left (65,536 entries for radius 2).  fp is distinct and
+    not null, as `near_duplicates` makes it; a single fingerprint has no edges.
     """
     blocks = _blocks(list(range(64)), radius + 2)
     tops, subs = [], []
@@ -227,13 +233,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     source = df.select(id_in(id_col), text_bytes(text_col).alias("text"))
     marked = arrow_map(source, lambda pdf: pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fingerprints(list(pdf["text"]), shingle).view(np.int64)}), "doc_id long, fp long")
-    fps = as_table(id_out(marked), "fingerprints")
-    least = as_table(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    fps = as_table(id_out(marked).withColumn("row", F.monotonically_increasing_id()), "fingerprints")  # rows alike in id and text are dealt, too
+    least = as_table(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
+    sizes = least.select("fp", "n")
     roots = components(links(least.select("fp"), radius))
     joined = least.join(roots, least["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     reach = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = joined.join(reach, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = as_table(joined.join(reach, "root").join(sizes, "fp").select("fp", "component_id", "n"), "by-fingerprint")
+    return meet(fps, by_fp, "fp", "row").select("doc_id", "fp", "component_id")
 
 
 def digest(df: DataFrame) -> DataFrame:

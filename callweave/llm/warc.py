@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
@@ -11,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, fresh_path, id_in, id_out
+from .common import NO_ID, as_table, fresh_path, id_in, id_out, meet
 
 # Fixed values of the .warc.zst layout: a skippable frame with this magic number carries the dictionary.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -85,17 +86,16 @@ def parse(raw: bytes) -> dict:
     return fields | {"payload": block.partition(b"\r\n\r\n")[2]}
 
 
-def decide(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_REVISIT) -> DataFrame:
-    """(page_id, url, payload, digest, refers_to): which pages revisit which.
+def decide(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", least: int = LEAST_REVISIT) -> DataFrame:
+    """(page_id, digest, refers_to) of the pages that revisit another, once each.
 
-    Only digests that occur twice take part in the join, after a partial
-    aggregate; a hot digest's rows are small there and its side can be split.
+    Digests and ids alone move.  A digest's first page is found after a partial
+    aggregate; rows of a hot digest are dealt over copies of its one answer.
     """
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(id_in(id_col).alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
-    firsts = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("seen"), "first")
-    joined = rows.join(firsts, rows["digest"] == firsts["seen"], "left")
-    return joined.select("page_id", "url", "payload", "digest", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("refers_to"))
+    rows = pages.where(F.octet_length(payload) >= least).select(id_in(id_col).alias("page_id"), F.unhex(F.sha2(payload, 256)).alias("digest"))
+    firsts = as_table(rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "first-pages")
+    return meet(rows, firsts, "digest", "page_id").where("first <> page_id").select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
 
 
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_REVISIT, sample: int = 400, roll: int = ROLL) -> DataFrame:
@@ -112,7 +112,6 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     empty, a null id is written as the largest long; repeated rows are records
     each; other columns are ignored; an empty table writes nothing.
     """
-    rows = decide(pages, id_col, url_col, html_col, least)
     html = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
     full = pages.where(F.octet_length(F.col(html_col)) > 0).withColumn("_h", F.xxhash64(F.col(id_col)))
     last = full.select("_h").orderBy("_h").limit(sample).agg(F.max("_h").alias("m")).first()["m"]  # hashes alone are ranked, so no task sends payloads that are not drawn
@@ -142,7 +141,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
         held, size, done = [], 0, []
         for pdf in it:
             for page, url, payload, digest, refers in zip(pdf["page_id"], pdf["url"], pdf["payload"], pdf["digest"], pdf["refers_to"], strict=True):
-                held.append(record("response" if refers == NO_ID else "revisit", page, url, payload, digest, None if refers == NO_ID else refers))
+                held.append(record("response" if refers == NO_ID else "revisit", page, url, payload, digest.hex(), None if refers == NO_ID else refers))
                 size += len(held[-1])
                 if size >= roll:
                     done.append(close(held))
@@ -151,32 +150,69 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
             done.append(close(held))
         yield pd.DataFrame(done, columns=["archive", "records", "bytes"])
 
-    return rows.withColumn("refers_to", F.coalesce("refers_to", F.lit(NO_ID))).mapInPandas(run, "archive string, records long, bytes long")
+    rows = pages.select(id_in(id_col).alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), html.alias("payload"), F.unhex(F.sha2(html, 256)).alias("digest"))
+    joined = rows.join(decide(pages, id_col, html_col, least), ["page_id", "digest"], "left")
+    return joined.select("page_id", "url", "payload", "digest", F.coalesce("refers_to", F.lit(NO_ID)).alias("refers_to")).mapInPandas(run, "archive string, records long, bytes long")
 
 
-def read(spark, folder: str) -> DataFrame:
-    """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload) of all archives in `folder`."""
+RECORD = "page_id long, url string, record_type string, refers_to long, payload binary, said_bytes long, said_digest string, payload_bytes long, payload_digest string"
+
+
+def records(spark, folder: str) -> DataFrame:
+    """All records of the archives in `folder`: what their headers say, the payload, and its measured length and digest."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             for data in pdf["content"]:
-                out = []
+                out, size = [], 0
                 for raw in read_archive(data):
                     f = parse(raw)
-                    out.append((int(f["X-Page-ID"]), f["WARC-Target-URI"], int(f["X-Payload-Bytes"]), f["WARC-Payload-Digest"].removeprefix("sha256:"), f["WARC-Type"], int(f.get("X-Refers-To-Page-ID", NO_ID)), f["payload"]))
-                yield pd.DataFrame(out, columns=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
-
+                    p = f["payload"]
+                    out.append((int(f["X-Page-ID"]), f["WARC-Target-URI"], f["WARC-Type"], int(f.get("X-Refers-To-Page-ID", NO_ID)), p, int(f["X-Payload-Bytes"]), f["WARC-Payload-Digest"].removeprefix("sha256:"), len(p), hashlib.sha256(p).hexdigest()))
+                    size += len(p)
+                    if size > 4 << 20:
+                        yield pd.DataFrame(out, columns=names)
+                        out, size = [], 0
+                yield pd.DataFrame(out, columns=names)
+
+    names = [f.split()[0] for f in RECORD.split(", ")]
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content")
-    return id_out(files.mapInPandas(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"), "page_id", "refers_to")
+    return id_out(files.mapInPandas(run, RECORD), "page_id", "refers_to")
+
+
+def resolved(found: DataFrame) -> DataFrame:
+    """Records with a revisit's length and digest taken from the payload of the response it refers to, and `intact`.
+
+    A record is intact if what was measured is what its header says; a revisit whose
+    response is missing or has another payload has neither length nor digest.
+    Responses that many revisit are met by salted copies of their one line.
+    """
+    rest = [c for c in found.columns if c not in ("payload_bytes", "payload_digest", "said_bytes", "said_digest")]
+    asked = found.where("record_type = 'revisit'").withColumn("_key", F.concat_ws(":", "refers_to", "said_digest"))
+    answers = found.where("record_type = 'response'").select(F.concat_ws(":", "page_id", "payload_digest").alias("_key"), "payload_bytes", "payload_digest").distinct()
+    sizes = as_table(asked.groupBy("_key").agg(F.count("*").alias("n")).join(answers, "_key", "left"), "revisited")
+    revisits = meet(asked.drop("payload_bytes", "payload_digest"), sizes, "_key", "page_id")
+    intact = F.coalesce((F.col("said_bytes") == F.col("payload_bytes")) & (F.col("said_digest") == F.col("payload_digest")), F.lit(False)).alias("intact")
+    out = [*rest, "payload_bytes", "payload_digest", intact]
+    return found.where("record_type <> 'revisit'").select(out).unionByName(revisits.select(out))
+
+
+def read(spark, folder: str) -> DataFrame:
+    """(page_id, url, record_type, refers_to, payload, payload_bytes, payload_digest, intact) of all archives in `folder`.
+
+    Lengths and digests are measured on the payloads read, see `resolved`; a
+    revisit's own payload is empty.  An empty folder gives no rows.
+    """
+    return resolved(records(spark, folder))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Archive all pages in the shared folder, read the archives back and give what they say."""
+    """Archive all pages in the shared folder, read the archives back and give what they hold, but for the payloads."""
     spark = pages.sparkSession
     folder = fresh_path(spark, "warc")
     if not write(pages, folder).agg(F.sum("records").alias("n")).first()["n"]:
-        return spark.createDataFrame([], "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
-    return read(spark, folder)
+        return resolved(spark.createDataFrame([], RECORD).drop("payload"))
+    return resolved(as_table(records(spark, folder).drop("payload"), "records"))
 
 
 def digest(df: DataFrame) -> DataFrame:

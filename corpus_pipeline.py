@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callweave.llm import decontaminate, exact, pieces, quality, shingles
-from callweave.llm.common import as_table
+from callweave.llm.common import as_table, scratch
 from callweave.llm.queries import VOCABULARY, quality_model
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go, judged each by its text alone: null and empty ones by the learned bias, repeated rows alike."""
     return quality.keep_good(docs, quality_model(spark, sf_dir))
 
 
@@ -46,7 +46,8 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def distinct_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates one row stays, of those with the smallest doc_id; a null doc_id loses to any other.
 
-    Rows are linked where their sets of five-word shingles are similar by 0.8 or more.
+    Rows are linked where their sets of five-word shingles are similar by 0.8 or more:
+    SimHash links within two bits, and for the rest MinHash bands, each confirmed exactly.
     They are told apart by doc_id and text: other texts with a dropped row's id stay.
     Of rows that share the smallest id (or have null ids only) in a group, one stays.
     """
@@ -60,19 +61,19 @@ def distinct_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with any window of a benchmark item go."""
+    """Documents with any window of a benchmark item go; null and empty texts stay, repeated rows stay or go together."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded_sha256) of every document left."""
+    """(doc_id, n_tokens, ids, decoded_sha256) of every document left, one for each row: null ids are kept, null and empty texts have no ids."""
     return pieces.digest(pieces.encode(docs, pieces.load(VOCABULARY)))
 
 
 STAGES = [
     ("quality classifier", good_quality),
     ("exact dedup", distinct_texts),
-    ("shingle near-dedup", distinct_near),
+    ("SimHash near-dedup", distinct_near),
     ("benchmark decontamination", without_benchmark),
     ("SentencePiece encoding and decoding", token_ids),
 ]
@@ -82,7 +83,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; a stage's intermediate tables go once its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = as_table(stage(spark, docs, sf_dir), "pipeline-" + "".join(c for c in name if c.isalpha()))
+        with scratch(spark):
+            docs = as_table(stage(spark, docs, sf_dir), "pipeline-" + "".join(c for c in name if c.isalpha()), keep=True)
     return docs

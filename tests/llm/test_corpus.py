@@ -410,6 +410,20 @@ def test_warc(spark, tmp_path):
     assert warc.round_trip(pages.limit(0)).collect() == []
 
 
+def test_damage_to_an_archive_shows(spark, tmp_path):
+    rows = [(k, "u", "x" * 200 if k % 2 else f"page {k} " * 30) for k in range(1, 9)]
+    folder = tmp_path / "w"
+    assert warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), str(folder)).agg(F.sum("records")).first()[0] == 8
+    one = next(folder.glob("*.warc.zst"))
+    whole = list(warc.read_archive(one.read_bytes()))
+    assert {r["intact"] for r in warc.read(spark, str(folder)).collect()} == {True}
+    for new in (b"y" * 200, b"x" * 199):  # other bytes, and too few (a line end is taken for the last), under the headers that the writer gave
+        one.write_bytes(warc.archive([r.replace(b"x" * 200, new) for r in whole], b""))
+        got = {r["page_id"]: r for r in warc.read(spark, str(folder)).collect()}
+        assert {k for k, r in got.items() if not r["intact"]} == {1, 3, 5, 7}
+        assert (got[1]["payload_bytes"], got[3]["payload_bytes"], got[3]["payload_digest"]) == (200, None, None) and got[2]["payload_digest"] == sha("page 2 " * 30)
+
+
 def test_archive_leads_with_its_dictionary():
     records = [b"record %d " % k * 20 for k in range(300)]
     data = warc.archive(records, warc.train_dictionary(records, 2048))
@@ -472,6 +486,16 @@ def test_sharding(spark, docs, empty):
     assert len(sums) == 8 and max(sums) / min(sums) < 1.02
 
 
+def test_a_group_larger_than_a_shard_is_split(spark):
+    rows = spark.range(6000).select(F.when(F.col("id") >= 2000, F.col("id")).alias("doc_id"), F.when(F.col("id") < 3000, F.lit("copy " * 40)).otherwise(F.concat(F.lit("text "), F.repeat(F.col("id").cast("string"), 50))).alias("text"))
+    got = sharding.shard(rows.unionByName(rows.limit(500)))
+    per = got.groupBy("shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"), F.min("slot").alias("low"), F.max("slot").alias("high"), F.count_distinct("slot").alias("slots")).collect()
+    assert len(per) == 8 and sum(r["rows"] for r in per) == 6500
+    assert all((r["low"], r["high"], r["slots"]) == (0, r["rows"] - 1, r["rows"]) for r in per)
+    mean = sum(r["bytes"] for r in per) / 8
+    assert max(r["bytes"] for r in per) < 1.03 * mean and max(r["rows"] for r in per) < 1.1 * 6500 / 8
+
+
 # 10 -----------------------------------------------------------------------------------------------
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
