@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.staging import staged
 
 
 def graded(rows: DataFrame, questions: DataFrame) -> DataFrame:
@@ -82,25 +83,66 @@ def means(df: DataFrame, *names: str, places: int = 4) -> DataFrame:
     return df.agg(*[F.round(F.avg(n), places).alias(n) for n in names])
 
 
+def quantiles(df: DataFrame, value: Column, **wanted: tuple[float, str]) -> DataFrame:
+    """One row with exact quantiles (share, "disc" or "cont") of a numeric column; NULL without values.
+
+    Values are counted, ranged over partitions and picked by their cumulative counts:
+    no task holds more than a range's distinct values.
+    """
+    counts = df.select(value.cast("double").alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("n"))
+    ranged = staged(counts.repartitionByRange("v").withColumn("range", F.spark_partition_id()), "value-counts")
+    ranges = ranged.groupBy("range").agg(F.sum("n").alias("n"), F.min("v").alias("low"))  # a row a partition
+    before = Window.orderBy("low").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranges.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    upto = F.sum("n").over(Window.partitionBy("range").orderBy("v"))
+    ordered = ranged.join(F.broadcast(placed), "range").withColumn("upto", F.col("before") + upto)
+    at = lambda k: F.min(F.when(F.col("upto") > k, F.col("v")))
+    out = []
+    for name, (share, kind) in wanted.items():
+        if kind == "disc":
+            out.append(at(F.greatest(F.lit(0), F.ceil(F.lit(share) * F.col("total")) - 1)).alias(name))
+        else:
+            spot = F.lit(share) * (F.col("total") - 1)
+            low, high = at(F.floor(spot)), at(F.ceil(spot))
+            out.append((low + (high - low) * F.coalesce(F.max(spot - F.floor(spot)), F.lit(0.0))).alias(name))
+    return ordered.agg(*out)
+
+
 def latency_summary(df: DataFrame, column: str) -> DataFrame:
     """Count, mean, median, nearest-rank p95 and p99, least and greatest, to 3 places."""
-    p = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {column})")
     r = lambda c, name: F.round(c, 3).alias(name)
-    return df.agg(F.count(column).alias("count"), r(F.avg(column), "mean"), r(F.expr(f"percentile_cont(0.5) WITHIN GROUP (ORDER BY {column})"), "median"), r(p(0.95), "p95"), r(p(0.99), "p99"), r(F.min(column), "min"), r(F.max(column), "max"))
+    plain = df.agg(F.count(column).alias("count"), r(F.avg(column), "mean"), r(F.min(column), "min"), r(F.max(column), "max"))
+    ranked = quantiles(df, F.col(column), median=(0.5, "cont"), p95=(0.95, "disc"), p99=(0.99, "disc"))
+    return plain.crossJoin(ranked).select("count", "mean", r("median", "median"), r("p95", "p95"), r("p99", "p99"), "min", "max")  # one row each
 
 
 def chunk_report(chunks: DataFrame, least: int, most: int) -> DataFrame:
     """Sizes, shares outside the bounds, empty and repeated chunks, chunks a document; one row."""
     n = F.length("text")
-    body = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
+    body = X.stripped("text")
     per = chunks.groupBy("document_id").agg(F.count("*").alias("n")).agg(F.avg("n").alias("chunks_per_document"), F.max("n").alias("most_per_document"))
     share = lambda c: F.round(100.0 * F.count_if(c) / F.count("*"), 2)
-    p = lambda q, kind: F.expr(f"percentile_{kind}({q}) WITHIN GROUP (ORDER BY length(text))")
     sizes = chunks.agg(
-        F.count("*").alias("total"), F.avg(n).alias("mean"), p(0.5, "cont").alias("median"), F.min(n).alias("min"), F.max(n).alias("max"), p(0.25, "disc").alias("p25"), p(0.75, "disc").alias("p75"), p(0.95, "disc").alias("p95"),
+        F.count("*").alias("total"), F.avg(n).alias("mean"), F.min(n).alias("min"), F.max(n).alias("max"),
         share(n < least).alias("below_min_pct"), share(n >= most).alias("at_max_pct"), F.count_if(n > most).alias("violations"), F.count_if(body == "").alias("empty"), (F.count("*") - F.count_distinct(F.xxhash64(body), F.crc32(body.cast("binary")))).alias("duplicates"),
     )
-    return sizes.crossJoin(per)  # one row each
+    ranked = quantiles(chunks, n, median=(0.5, "cont"), p25=(0.25, "disc"), p75=(0.75, "disc"), p95=(0.95, "disc"))
+    return sizes.crossJoin(ranked).crossJoin(per)  # one row each
+
+
+#: Metrics of the answers, which say nothing where an offline stand-in gave them.
+ANSWER_METRICS = ("citation_validity", "citation_correctness_lexical", "citation_completeness", "lexical_groundedness", "answer_token_f1", "insufficient_context_handling")
+
+
+def unavailable(questions: DataFrame, judged: bool, stand_in: bool = False) -> DataFrame:
+    """(metric, reason) for what a run cannot measure: one aggregate over the questions, then a join with the list of reasons."""
+    have = questions.agg(F.coalesce(F.max(F.coalesce("reference_answer", F.lit("")) != ""), F.lit(False)).alias("answers"), F.coalesce(F.max(F.col("expect_insufficient").isNotNull()), F.lit(False)).alias("flags"))
+    rows = [("answer_correctness", 1, "answers", "no reference answers in the evaluation set"), ("answer_token_f1", 1, "answers", "no reference answers in the evaluation set"), ("insufficient_context_handling", 1, "flags", "no expect_insufficient flags in the evaluation set")]
+    rows += [] if judged else [(m, 2, "never", "no judge is configured") for m in JUDGED]
+    rows += [(m, 0, "never", "answers come from the offline stand-in") for m in ANSWER_METRICS] if stand_in else []
+    listed = questions.sparkSession.createDataFrame(rows, "metric string, ord int, unless string, reason string")
+    missing = listed.crossJoin(have).where(~(((F.col("unless") == "answers") & F.col("answers")) | ((F.col("unless") == "flags") & F.col("flags"))))  # a constant list and one row
+    return missing.groupBy("metric").agg(F.min_by("reason", "ord").alias("reason"))
 
 
 def histogram(chunks: DataFrame, width: int) -> DataFrame:

@@ -6,19 +6,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows that one task numbers, about, and the most parts they are dealt to.
+NUMBERED, MOST_CHUNKS = 20_000, 1 << 16
+
+
 def insert(table: DataFrame, rows: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
     """rows with ids that go on from the table's largest.
 
-    Ids are given out by counted chunks, not by one task: rows are dealt by hash,
-    numbered inside their chunk, and each chunk is moved by what stands before it.
+    Ids are given out by counted chunks, not by one task: rows are dealt by hash to
+    as many chunks as their number asks for, numbered inside their chunk, and each
+    chunk is moved by what stands before it.
     """
     start = table.agg(F.coalesce(F.max(key), F.lit(0))).first()[0]
     columns = [c for c in table.columns if c != key]
-    dealt = rows.select(*columns).withColumn("_chunk", F.pmod(F.xxhash64(*columns), F.lit(64)))
+    chunks = min(MOST_CHUNKS, -(-rows.count() // NUMBERED) or 1)
+    dealt = rows.select(*columns).withColumn("_chunk", F.pmod(F.xxhash64(*columns), F.lit(chunks)))
     before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     counts = dealt.groupBy("_chunk").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     inside = Window.partitionBy("_chunk").orderBy(*([order] if order else columns))
-    numbered = dealt.withColumn("_rank", F.row_number().over(inside)).join(F.broadcast(counts.select("_chunk", "_before")), "_chunk")  # at most 64 rows
+    numbered = dealt.withColumn("_rank", F.row_number().over(inside)).join(F.broadcast(counts.select("_chunk", "_before")), "_chunk")  # at most MOST_CHUNKS rows
     new = numbered.withColumn(key, (F.lit(start) + F.col("_before") + F.col("_rank")).cast(table.schema[key].dataType)).select(table.columns)
     return table.unionByName(new)
 

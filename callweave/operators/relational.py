@@ -65,14 +65,36 @@ def last_messages(messages: DataFrame, n: int = 8) -> DataFrame:
 
 
 def session_summary(messages: DataFrame, keep: int = 8, most: int = 6000) -> DataFrame:
-    """'Role: text' lines of all but the last `keep` messages, in order, their last `most` characters."""
+    """'Role: text' lines of all but the last `keep` messages, in order, their last `most` characters.
+
+    A running length from the end leaves only the lines that the summary can show
+    before any are gathered: what is held for a session is bounded by `most` and its longest line.
+    """
     late = Window.partitionBy("session_id").orderBy(F.desc("id"))
     old = messages.withColumn("back", F.row_number().over(late)).where(F.col("back") > keep)
     line = F.concat(F.initcap("role"), F.lit(": "), F.coalesce("content", F.lit("")))
-    lines = old.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("id", line.alias("line")))).alias("lines"))
+    behind = F.coalesce(F.sum(F.length("line") + 1).over(late.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shown = old.select("session_id", "id", line.alias("line")).withColumn("behind", behind).where(F.col("behind") <= most)
+    lines = shown.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("id", F.right("line", F.lit(most + 1)).alias("line")))).alias("lines"))
     return lines.select("session_id", F.right(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), F.lit(most)).alias("summary"))
 
 
+def titled(sessions: DataFrame, messages: DataFrame, most: int = 80) -> DataFrame:
+    """Sessions (id) with a title: the first `most` characters of the first question, or New chat."""
+    first = messages.where("role = 'user'").groupBy(F.col("session_id").alias("id")).agg(F.min_by(F.left("content", F.lit(most)), "id").alias("asked"))
+    return sessions.join(first, "id", "left").withColumn("title", F.coalesce(F.nullif("asked", F.lit("")), F.lit("New chat"))).drop("asked")
+
+
+def session_list(sessions: DataFrame, tenant: Tenant) -> DataFrame:
+    """A company's sessions, the last used first."""
+    return scoped(sessions, tenant).orderBy(F.desc("updated_at"), "id")
+
+
+def ordered_messages(messages: DataFrame, *order: str) -> DataFrame:
+    """Messages with their place in the session, by `order` (time, then id)."""
+    return messages.withColumn("place", F.row_number().over(Window.partitionBy("session_id").orderBy(*order)))
+
+
 def history(messages: DataFrame, n: int = 6) -> DataFrame:
     """'User: text' and 'Assistant: text' lines of the last n messages of each session."""
     line = F.concat(F.when(F.col("role") == "user", "User: ").otherwise("Assistant: "), F.coalesce("content", F.lit("")))

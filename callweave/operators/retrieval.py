@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +64,12 @@ def cosine_distance(a: str | Column, b: str | Column) -> Column:
     return F.when(same & (norm > 0), 1 - dot(a, b) / norm).otherwise(1.0)
 
 
+def unit(v: str | Column) -> Column:
+    """The vector in doubles at length one; a zero vector stays."""
+    norm = lambda x: F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, p: s + p.cast("double") * p.cast("double")))
+    return X.let(X._col(v), lambda x: X.let(norm(x), lambda n: F.transform(x, lambda p: F.when(n > 0, p.cast("double") / n).otherwise(0.0))))
+
+
 def fetch_width(k: int) -> int:
     return min(max(10 * k, 30), 100)
 
@@ -69,17 +80,69 @@ def _ranked(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+#: Bytes of question vectors that go to every task at once.
+QUESTION_BYTES = 32 << 20
+
+
+def _question_blocks(queries: DataFrame) -> list[DataFrame]:
+    """The questions with vectors in parts of at most about QUESTION_BYTES, by a measured size."""
+    asked = queries.where("qvec IS NOT NULL").select("query_id", "qvec")
+    size = asked.agg(F.sum(F.size("qvec") * 8 + 16).alias("n")).first()["n"] or 0
+    n = -(-size // QUESTION_BYTES)
+    return [asked if n == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k) for k in range(n)]
+
+
 def semantic_search(chunks: DataFrame, queries: DataFrame, n: int) -> DataFrame:
-    """Exact: every chunk is scored against each question (query_id, qvec); ties by ordinal.
+    """Exact: every chunk with a vector is scored against each question (query_id, qvec); ties by ordinal.
 
-    The questions are a stated set that goes to the chunks; only ids and distances are ranked.
+    The questions are a stated set whose vectors, at most QUESTION_BYTES at a time, go
+    to the chunks as a matrix of unit vectors.  A batch of chunks is one product with
+    it and sends on only its n nearest for each question; the rest is a ranked merge.
+    Distances are compared to twelve places, so that equal vectors tie.
     """
-    scored = chunks.select("chunk_id", "ordinal", "vector").crossJoin(queries.select("query_id", "qvec"))
-    d = cosine_distance("vector", "qvec")
-    near = _ranked(scored.select("query_id", "chunk_id", "ordinal", d.alias("d")), [F.col("d"), F.col("ordinal")], n)
+    types = {c: t.simpleString() for c, t in ((f.name, f.dataType) for f in queries.schema.fields)}
+    schema = f"query_id {types['query_id']}, chunk_id string, ordinal long, d double"
+    source = chunks.where("vector IS NOT NULL").select("chunk_id", F.col("ordinal").cast("long").alias("ordinal"), "vector")
+    found = None
+    for block in _question_blocks(queries):
+        rows = block.collect()  # bounded above
+        ids = pd.Series([r["query_id"] for r in rows])
+        asked = unit_rows(np.array([r["qvec"] for r in rows], float))
+
+        def run(it: Iterator[pd.DataFrame], ids: pd.Series = ids, asked: np.ndarray = asked) -> Iterator[pd.DataFrame]:
+            for whole in it:
+                for at in range(0, len(whole), 1024):
+                    pdf = whole.iloc[at : at + 1024]
+                    if any(len(v) != asked.shape[1] for v in pdf["vector"]):
+                        raise ValueError("vectors of different sizes")
+                    d = np.round(1 - asked @ unit_rows(np.array(pdf["vector"].tolist(), float)).T, 12)
+                    ordinal = pdf["ordinal"].to_numpy()
+                    order = np.lexsort((np.broadcast_to(ordinal, d.shape), d), axis=1)[:, :n]
+                    q = np.repeat(np.arange(len(ids)), order.shape[1])
+                    yield pd.DataFrame({"query_id": ids.to_numpy()[q], "chunk_id": pdf["chunk_id"].to_numpy()[order.ravel()], "ordinal": ordinal[order.ravel()], "d": d[q, order.ravel()]})
+
+        near = source.mapInPandas(run, schema)
+        found = near if found is None else found.unionByName(near)
+    if found is None:
+        found = chunks.sparkSession.createDataFrame([], schema)
+    near = _ranked(found, [F.col("d"), F.col("ordinal")], n)
     return near.select("query_id", "chunk_id", "ordinal", "rank", F.round(F.greatest(F.lit(0.0), 1 - F.col("d")), 6).alias("score"), F.round("d", 6).alias("distance"))
 
 
+def unit_rows(m: np.ndarray) -> np.ndarray:
+    norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return m / np.where(norm > 0, norm, 1)
+
+
+def distances(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, d) for every chunk and question: each side is normalised once, the questions are broadcast in bounded blocks."""
+    right = chunks.where("vector IS NOT NULL").select("chunk_id", unit("vector").alias("u"))
+    left = [b.select("query_id", unit("qvec").alias("q")) for b in _question_blocks(queries)]
+    dot = F.aggregate(F.zip_with("u", "q", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    parts = [right.crossJoin(F.broadcast(b)).select("query_id", "chunk_id", (1 - dot).alias("d")) for b in left]
+    return reduce(DataFrame.unionByName, parts) if parts else right.select(F.lit(0).alias("query_id"), "chunk_id", F.lit(0.0).alias("d")).limit(0)
+
+
 def keyword_search(chunks: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     """Chunks (with tokens) that share a term with a question (query_id, terms), through an inverted index.
 
@@ -150,6 +213,6 @@ def pack_context(rows: DataFrame, budget: int = 8000) -> DataFrame:
 
 
 def stratified(df: DataFrame, n: int, category: str = "category", order: str = "ordinal") -> DataFrame:
-    """Round robin over the sorted categories, in their order, until n rows."""
+    """Round robin over the sorted categories, in their order, until n rows; no category sends on more than n."""
     rn = F.row_number().over(Window.partitionBy(category).orderBy(order))
-    return df.withColumn("cycle", rn).orderBy("cycle", category).limit(n)
+    return df.withColumn("cycle", rn).where(F.col("cycle") <= n).orderBy("cycle", category).limit(n)

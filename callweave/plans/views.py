@@ -49,14 +49,23 @@ def calls(spark, d) -> DataFrame:
 
 
 def chunks(spark, d) -> DataFrame:
-    """One chunk a document that has a vector; several documents share a section on purpose."""
-    vec = table(spark, d, "embeddings").select("vec_id", "embedding", "label")
-    return table(spark, d, "documents").join(vec, F.col("doc_id") == F.col("vec_id")).select(
-        F.col("doc_id").alias("ordinal"), F.lit(3).alias("company_id"), F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("chunk_id"), F.concat(F.lit("d"), (F.col("doc_id") % 50).cast("string")).alias("document_id"),
-        (F.col("doc_id") % 7).cast("int").alias("section_index"), F.col("lang").alias("language"), "source", "text", F.col("embedding").alias("vector"), "label",
+    """One chunk a document; twenty make what stands for a file, several of which share a section on purpose."""
+    return table(spark, d, "documents").select(
+        F.col("doc_id").alias("ordinal"), F.lit(3).alias("company_id"), F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("chunk_id"), F.concat(F.lit("d"), F.floor(F.col("doc_id") / 20).cast("string")).alias("document_id"),
+        (F.col("doc_id") % 7).cast("int").alias("section_index"), F.col("lang").alias("language"), "source", "text",
     )
 
 
+def vectors(spark, d) -> DataFrame:
+    """The vectors that chunks have."""
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("ordinal"), F.col("embedding").alias("vector"), "label")
+
+
+def with_vectors(spark, d) -> DataFrame:
+    """All chunks, with their vector and label where they have one."""
+    return chunks(spark, d).join(vectors(spark, d), "ordinal", "left")
+
+
 def messages(spark, d) -> DataFrame:
     return table(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("id"), "role", F.col("text").alias("content"))
 
@@ -86,14 +95,16 @@ SQL = {
     "customers": "customers AS (SELECT c_custkey AS id, c_nationkey AS company_id, c_name AS full_name, c_acctbal >= 0 AS is_active FROM customer)",
     "users": "users AS (SELECT s_suppkey AS id, s_nationkey AS company_id, s_name AS full_name, CAST(s_suppkey % 3 AS INT) AS role_id, s_acctbal >= 0 AS is_active FROM supplier)",
     "roles": "roles AS (SELECT * FROM (VALUES (0, 'super_admin'), (1, 'admin'), (2, 'agent')) v(id, name))",
-    "chunks": """chunks AS (SELECT doc_id AS ordinal, 'c' || doc_id AS chunk_id, 'd' || (doc_id % 50) AS document_id, CAST(doc_id % 7 AS INT) AS section_index,
-        lang AS language, source, text, embedding AS vector, label FROM documents JOIN embeddings ON doc_id = vec_id)""",
+    "chunks": """chunks AS (SELECT doc_id AS ordinal, 'c' || doc_id AS chunk_id, 'd' || (doc_id // 20) AS document_id, CAST(doc_id % 7 AS INT) AS section_index,
+        lang AS language, source, text FROM documents)""",
+    "corpus": "corpus AS (SELECT chunks.*, embedding AS vector, label FROM chunks LEFT JOIN embeddings ON ordinal = vec_id)",
+    "questions": "questions AS (SELECT item_id AS query_id, text, embedding AS qvec, label AS wanted FROM benchmark LEFT JOIN embeddings ON item_id = vec_id)",
     "messages": "messages AS (SELECT conv_id AS session_id, turn AS id, role, text AS content FROM conversations)",
     "call_events": "call_events AS (SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS uuid, (["
     + ", ".join(f"'{s}'" for s in EVENT_STATUS)
     + f"])[CAST(event_id % {len(EVENT_STATUS)} AS INT) + 1] AS status, CASE event_id % 4 WHEN 0 THEN 'n/a' WHEN 1 THEN NULL ELSE CAST(value AS VARCHAR) END AS duration, ts FROM events)",
 }
-_NEEDS = {"calls": ["tickets"]}
+_NEEDS = {"calls": ["tickets"], "corpus": ["chunks"]}
 
 
 def with_views(body: str, *names: str) -> str:

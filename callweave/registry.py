@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import registry_functions  # noqa: F401  (registers its queries)
@@ -106,6 +106,22 @@ query("a17_id_union", "SELECT session_id, list_sort(list_distinct(list(role) ||
 )
 query("r16_ticket_list", "SELECT id, subject, status FROM tickets WHERE company_id = 3", "tickets")(lambda s, d: relational.ticket_list(V.tickets(s, d), TENANT).select("id", "subject", "status"))
 query("r18_last_messages", "SELECT session_id, id, role FROM messages QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY id DESC) <= 4", "messages")(lambda s, d: relational.last_messages(V.messages(s, d), 4).select("session_id", "id", "role"))
+_SESSIONS = "s AS (SELECT session_id AS id, session_id % 25 AS company_id, max(id) AS updated_at, coalesce(nullif(left(arg_min(content, id) FILTER (role = 'user'), 80), ''), 'New chat') AS title FROM messages GROUP BY 1, 2)"
+
+
+def sessions(s, d) -> DataFrame:
+    m = V.messages(s, d)
+    last = m.groupBy(F.col("session_id").alias("id"), (F.col("session_id") % 25).alias("company_id")).agg(F.max("id").alias("updated_at"))
+    return relational.titled(last, m)
+
+
+query("r17_session_list", f"WITH {_SESSIONS} SELECT id, updated_at, title, row_number() OVER (ORDER BY updated_at DESC, id) AS place FROM s WHERE company_id = 3", "messages")(
+    lambda s, d: relational.session_list(sessions(s, d), TENANT).select("id", "updated_at", "title").withColumn("place", F.row_number().over(Window.orderBy(F.desc("updated_at"), "id")))
+)
+query("t10_session_titles", f"WITH {_SESSIONS} SELECT id, title FROM s", "messages")(lambda s, d: sessions(s, d).select("id", "title"))
+query("r17_message_order", "SELECT session_id, id, row_number() OVER (PARTITION BY session_id ORDER BY id) AS place FROM messages", "messages")(
+    lambda s, d: relational.ordered_messages(V.messages(s, d), "id").select("session_id", "id", "place")
+)
 query("r19_stratified", "SELECT ordinal, language FROM (SELECT *, row_number() OVER (PARTITION BY language ORDER BY ordinal) AS cycle FROM chunks) ORDER BY cycle, language LIMIT 30", "chunks")(lambda s, d: retrieval.stratified(V.chunks(s, d), 30, "language").select("ordinal", "language"))
 
 # --- K: snapshots --------------------------------------------------------------------------------
@@ -129,19 +145,24 @@ query("k4_upsert", "SELECT chunk_id, document_id, ordinal, CASE WHEN ordinal % 3
 query("k5_add", "SELECT chunk_id, ordinal FROM chunks UNION ALL SELECT 'x' || chunk_id, ordinal FROM chunks", "chunks")(lambda s, d: mutations.add(V.chunks(s, d).select("chunk_id", "ordinal"), V.chunks(s, d).select(F.concat(F.lit("x"), "chunk_id").alias("chunk_id"), "ordinal")))
 query("k6_delete_document", "SELECT chunk_id FROM chunks WHERE document_id <> 'd5'", "chunks")(lambda s, d: mutations.delete_document(V.chunks(s, d), "d5")[0].select("chunk_id"))
 query("k7_delete_chunks", "SELECT count(*) AS deleted FROM chunks WHERE ordinal % 7 = 0", "chunks")(lambda s, d: mutations.delete_keys(V.chunks(s, d), V.chunks(s, d).where("ordinal % 7 = 0").select("chunk_id").unionByName(s.createDataFrame([("no",)], "chunk_id string")))[1])
-query("k8_export")(lambda s, d: mutations.exported(V.chunks(s, d).select("chunk_id", "text", "document_id", "source", "section_index")))
+query("k8_export", "SELECT chunk_id, md5(text) AS text, document_id, CASE WHEN ordinal % 3 > 0 THEN source ELSE '' END AS source, CASE WHEN section_index > 0 THEN section_index ELSE -1 END AS section_index, language || ' > ' || source AS path FROM chunks", "chunks")(
+    lambda s, d: mutations.exported(
+        V.chunks(s, d).select("chunk_id", "text", "document_id", F.when(F.col("ordinal") % 3 > 0, F.col("source")).alias("source"), F.nullif("section_index", F.lit(0)).alias("section_index"), F.array("language", "source").alias("path"))
+    ).select("chunk_id", F.from_json("json", "text string, metadata struct<document_id:string,source:string,section_index:int,path:string>").alias("j")).select("chunk_id", F.md5(F.col("j.text").cast("binary")).alias("text"), "j.metadata.*")
+)
 query("k12_delete_session", "SELECT session_id, id FROM messages WHERE session_id <> 3", "messages")(
     lambda s, d: mutations.delete_session(V.messages(s, d).select(F.col("session_id").alias("id"), F.lit(3).alias("company_id")).distinct(), V.messages(s, d), 3, 3)[1].select("session_id", "id")
 )
 
 # --- R: retrieval --------------------------------------------------------------------------------
 
-_QUERIES = "questions AS (SELECT ordinal AS query_id, vector AS qvec, text FROM chunks WHERE ordinal % 50 = 0)"
-_SCORED = """scored AS (SELECT q.query_id, c.chunk_id, c.ordinal, c.label, CASE WHEN list_dot_product(q.qvec::DOUBLE[], q.qvec::DOUBLE[]) * list_dot_product(c.vector::DOUBLE[], c.vector::DOUBLE[]) = 0 THEN 1.0
-    ELSE 1 - list_dot_product(q.qvec::DOUBLE[], c.vector::DOUBLE[]) / (sqrt(list_dot_product(q.qvec::DOUBLE[], q.qvec::DOUBLE[])) * sqrt(list_dot_product(c.vector::DOUBLE[], c.vector::DOUBLE[]))) END AS d FROM chunks c, questions q)"""
+_DOT = "list_dot_product({}::DOUBLE[], {}::DOUBLE[])"
+_QQ, _CC, _QC = _DOT.format("q.qvec", "q.qvec"), _DOT.format("c.vector", "c.vector"), _DOT.format("q.qvec", "c.vector")
+_SCORED = f"""scored AS (SELECT q.query_id, q.wanted, c.chunk_id, c.ordinal, c.label, CASE WHEN {_QQ} * {_CC} = 0 THEN 1.0 ELSE 1 - {_QC} / (sqrt({_QQ}) * sqrt({_CC})) END AS d
+    FROM corpus c, questions q WHERE c.vector IS NOT NULL AND q.qvec IS NOT NULL)"""
 _NEAR = "near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, ordinal) AS rank FROM scored)"
 _TOK = r"list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}]+'))"
-_TERMS = f"terms AS (SELECT query_id, list_filter({_TOK.format('left(text, 120)')}, lambda t: length(t) > 1) AS terms FROM questions)"
+_TERMS = f"terms AS (SELECT query_id, list_filter({_TOK.format('text')}, lambda t: length(t) > 1) AS terms FROM questions)"
 _WORDS = f"tokens AS (SELECT chunk_id, ordinal, {_TOK.format('text')} AS tokens FROM chunks)"
 _KEYS = r"""hits AS (SELECT query_id, chunk_id, ordinal, len(list_intersect(terms, tokens)) / len(terms) + 0.75 * len(list_filter(list_intersect(terms, tokens), lambda t: regexp_matches(t, '^\p{Nd}+$'))) AS score FROM terms, tokens WHERE len(list_intersect(terms, tokens)) > 0),
     words AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ordinal) AS rank FROM hits)"""
@@ -152,23 +173,25 @@ _FUSED = r"""kw AS (SELECT query_id, CASE WHEN len(list_filter(terms, lambda t:
 
 
 def questions(s, d) -> DataFrame:
-    q = V.chunks(s, d).where("ordinal % 50 = 0")
-    return q.select(F.col("ordinal").alias("query_id"), F.col("vector").alias("qvec"), F.filter(retrieval.query_terms(F.left("text", F.lit(120))), lambda t: F.length(t) > 1).alias("terms"))
+    """Every benchmark item asks, with its whole text and the vector that has its id."""
+    vec = V.vectors(s, d).select(F.col("ordinal").alias("query_id"), F.col("vector").alias("qvec"), F.col("label").alias("wanted"))
+    q = V.table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text").join(vec, "query_id", "left")
+    return q.select("query_id", "qvec", "wanted", F.filter(retrieval.query_terms("text"), lambda t: F.length(t) > 1).alias("terms"))
 
 
 def corpus(s, d) -> DataFrame:
-    c = V.chunks(s, d)
+    c = V.with_vectors(s, d)
     return c.withColumns({"tokens": retrieval.document_tokens("text"), "content_hash": X.content_hash(F.trim("text")), "source_url": F.concat(F.lit("http://x/"), "chunk_id")})
 
 
-query("r1_cosine", f"WITH {_QUERIES}, {_SCORED} SELECT query_id, count(*) AS n, round(sum(d), 6) AS total, round(min(d), 6) AS least FROM scored GROUP BY 1", "chunks")(
-    lambda s, d: corpus(s, d).crossJoin(questions(s, d).select("query_id", "qvec")).select("query_id", retrieval.cosine_distance("vector", "qvec").alias("d")).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.sum("d"), 6).alias("total"), F.round(F.min("d"), 6).alias("least"))
+query("r1_cosine", f"WITH {_SCORED} SELECT query_id, count(*) AS n, round(sum(d), 6) AS total, round(min(d), 6) + 0.0 AS least FROM scored GROUP BY 1", "corpus", "questions")(
+    lambda s, d: retrieval.distances(V.with_vectors(s, d), questions(s, d)).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.sum("d"), 6).alias("total"), (F.round(F.min("d"), 6) + 0.0).alias("least"))
 )
-query("r2_semantic", f"WITH {_QUERIES}, {_SCORED}, {_NEAR} SELECT query_id, chunk_id, rank, round(greatest(0, 1 - d), 6) AS score FROM near WHERE rank <= 50", "chunks")(lambda s, d: retrieval.semantic_search(corpus(s, d), questions(s, d), 50).select("query_id", "chunk_id", "rank", "score"))
-query("r4_query_terms", f"WITH {_QUERIES}, {_TERMS} SELECT query_id, array_to_string(list_sort(terms), ' ') AS terms FROM terms", "chunks")(lambda s, d: questions(s, d).select("query_id", F.array_join(F.array_sort("terms"), " ").alias("terms")))
+query("r2_semantic", f"WITH {_SCORED}, {_NEAR} SELECT query_id, chunk_id, rank, round(greatest(0, 1 - d), 6) AS score FROM near WHERE rank <= 50", "corpus", "questions")(lambda s, d: retrieval.semantic_search(corpus(s, d), questions(s, d), 50).select("query_id", "chunk_id", "rank", "score"))
+query("r4_query_terms", f"WITH {_TERMS} SELECT query_id, array_to_string(list_sort(terms), ' ') AS terms FROM terms", "questions")(lambda s, d: questions(s, d).select("query_id", F.array_join(F.array_sort("terms"), " ").alias("terms")))
 query("r5_document_tokens", f"WITH {_WORDS} SELECT chunk_id, md5(array_to_string(list_sort(tokens), ' ')) AS tokens FROM tokens", "chunks")(lambda s, d: corpus(s, d).select("chunk_id", F.md5(F.array_join(F.array_sort("tokens"), " ").cast("binary")).alias("tokens")))
-query("r7_keyword", f"WITH {_QUERIES}, {_TERMS}, {_WORDS}, {_KEYS} SELECT query_id, chunk_id, rank, score FROM words WHERE rank <= 50", "chunks")(lambda s, d: retrieval.keyword_search(corpus(s, d), questions(s, d), 50).select("query_id", "chunk_id", "rank", "score"))
-query("r10_fusion", f"WITH {_QUERIES}, {_SCORED}, {_NEAR}, {_TERMS}, {_WORDS}, {_KEYS}, {_FUSED} SELECT query_id, chunk_id, pos, round(hybrid_score, 9) AS hybrid_score FROM ordered", "chunks")(
+query("r7_keyword", f"WITH {_TERMS}, {_WORDS}, {_KEYS} SELECT query_id, chunk_id, rank, score FROM words WHERE rank <= 50", "corpus", "questions")(lambda s, d: retrieval.keyword_search(corpus(s, d), questions(s, d), 50).select("query_id", "chunk_id", "rank", "score"))
+query("r10_fusion", f"WITH {_SCORED}, {_NEAR}, {_TERMS}, {_WORDS}, {_KEYS}, {_FUSED} SELECT query_id, chunk_id, pos, round(hybrid_score, 9) AS hybrid_score FROM ordered", "corpus", "questions")(
     lambda s, d: retrieval.fuse(retrieval.semantic_search(corpus(s, d), questions(s, d), 50), retrieval.keyword_search(corpus(s, d), questions(s, d), 50), questions(s, d)).select("query_id", "chunk_id", "pos", F.round("hybrid_score", 9).alias("hybrid_score"))
 )
 query("r13_retrieve")(lambda s, d: retrieval.retrieve(corpus(s, d), questions(s, d), 5).select("query_id", "chunk_id", "pos", "hybrid_score", "duplicate_source_urls"))
@@ -187,16 +210,17 @@ query("r14_pack_context", """WITH b AS (SELECT session_id AS query_id, row_numbe
 
 def judged(s, d) -> tuple[DataFrame, DataFrame]:
     """Vectors with the question's label are relevant."""
-    c = corpus(s, d)
-    q = c.where("ordinal % 50 = 0").select(F.col("ordinal").alias("question_id"), F.col("label").alias("wanted"))
-    rows = retrieval.semantic_search(c, questions(s, d), 10).withColumnRenamed("query_id", "question_id").join(q, "question_id").join(c.select("chunk_id", "label"), "chunk_id")
+    c = V.with_vectors(s, d)
+    asked = questions(s, d)
+    q = asked.where("qvec IS NOT NULL").select(F.col("query_id").alias("question_id"), "wanted")
+    rows = retrieval.semantic_search(c, asked, 10).withColumnRenamed("query_id", "question_id").join(q, "question_id").join(V.vectors(s, d).select("ordinal", "label"), "ordinal")
     rel = (F.col("label") == F.col("wanted")).cast("int")
-    n = c.groupBy(F.col("label").alias("wanted")).agg(F.count("*").alias("n_relevant"))
+    n = V.vectors(s, d).groupBy(F.col("label").alias("wanted")).agg(F.count("*").alias("n_relevant"))
     return rows.select("question_id", "rank", rel.alias("rel"), rel.cast("double").alias("gain")), q.join(n, "wanted").select("question_id", "n_relevant")
 
 
-_EVAL = f"""WITH {_QUERIES}, {_SCORED}, {_NEAR}, t AS (SELECT n.query_id AS question_id, rank, CAST(n.label = c.label AS INT) AS rel, c.label AS wanted FROM near n JOIN chunks c ON c.ordinal = n.query_id WHERE rank <= 10),
-    i AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rel DESC, rank) AS ir FROM t), r AS (SELECT label AS wanted, count(*) AS n_relevant FROM chunks GROUP BY 1)
+_EVAL = f"""WITH {_SCORED}, {_NEAR}, t AS (SELECT query_id AS question_id, rank, CAST(label = wanted AS INT) AS rel, wanted FROM near WHERE rank <= 10),
+    i AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rel DESC, rank) AS ir FROM t), r AS (SELECT label AS wanted, count(*) AS n_relevant FROM embeddings GROUP BY 1)
     SELECT question_id, coalesce(1.0 / min(CASE WHEN rel > 0 THEN rank END), 0) AS mrr, """ + ", ".join(
     f"CAST(max(CASE WHEN rank <= {k} THEN rel ELSE 0 END) AS DOUBLE) AS hit_rate_{k}, sum(CASE WHEN rank <= {k} THEN rel ELSE 0 END) / {k}.0::DOUBLE AS precision_{k}, least(1, sum(CASE WHEN rank <= {k} THEN rel ELSE 0 END) / any_value(n_relevant)::DOUBLE) AS recall_{k}, "
     f"round(sum(CASE WHEN rank <= {k} THEN rel / log2(rank + 1) ELSE 0 END), 9) AS dcg_{k}, round(coalesce(sum(CASE WHEN rank <= {k} THEN rel / log2(rank + 1) ELSE 0 END) / nullif(sum(CASE WHEN ir <= {k} THEN rel / log2(ir + 1) ELSE 0 END), 0), 0), 9) AS ndcg_{k}"
@@ -204,13 +228,13 @@ _EVAL = f"""WITH {_QUERIES}, {_SCORED}, {_NEAR}, t AS (SELECT n.query_id AS ques
 ) + " FROM i JOIN r USING (wanted) GROUP BY 1"
 
 
-@query("e1_e6_ranking_metrics", _EVAL, "chunks")
+@query("e1_e6_ranking_metrics", _EVAL, "corpus", "questions")
 def ranking(s, d) -> DataFrame:
     out = evaluation.ranking_metrics(*judged(s, d))
     return out.withColumns({c: F.round(c, 9) for c in out.columns if "dcg" in c})
 
 
-query("a7_metric_means")(lambda s, d: evaluation.means(evaluation.ranking_metrics(*judged(s, d)), "mrr", "hit_rate_5", "ndcg_10"))
+query("a7_metric_means", f"SELECT round(avg(mrr), 4) AS mrr, round(avg(hit_rate_5), 4) AS hit_rate_5, round(avg(ndcg_10), 4) AS ndcg_10 FROM ({V.with_views(_EVAL, 'corpus', 'questions')})")(lambda s, d: evaluation.means(evaluation.ranking_metrics(*judged(s, d)), "mrr", "hit_rate_5", "ndcg_10"))
 _ANS = r"WITH w AS (SELECT session_id, id, content, lag(content) OVER (PARTITION BY session_id ORDER BY id) AS before FROM messages), k AS (SELECT *, list_distinct(regexp_extract_all(lower(content), '[\p{L}\p{M}\p{N}\p{Pc}]+')) AS a, list_distinct(regexp_extract_all(lower(coalesce(before, '')), '[\p{L}\p{M}\p{N}\p{Pc}]+')) AS b FROM w) "
 
 
@@ -225,14 +249,33 @@ query("e12_citation_completeness", r"WITH s AS (SELECT session_id, id, list_filt
     lambda s, d: V.messages(s, d).select("session_id", "id", evaluation.citation_completeness(F.concat("content", F.lit(" ["), (F.col("id") % 3).cast("string"), F.lit("]."))).alias("complete"))
 )
 query("e10_citation_validity", "SELECT session_id, id, CASE id % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.5::DOUBLE END AS valid FROM messages", "messages")(
-    lambda s, d: V.messages(s, d).select("session_id", "id", evaluation.citation_validity(F.when(F.col("id") % 3 == 0, "a [1] b [2][1]").when(F.col("id") % 3 == 1, "[2] and [9]").otherwise("none"), F.lit(2)).alias("valid"))
+    lambda s, d: V.messages(s, d).select("session_id", "id", evaluation.citation_validity(F.concat("content", F.when(F.col("id") % 3 == 0, " a [1] b [2][1]").when(F.col("id") % 3 == 1, "[2] and [9]").otherwise(" none")), F.lit(2)).alias("valid"))
 )
 query("a15_agentic_summary", "SELECT avg(CASE WHEN user_id % 4 >= 1 THEN user_id % 4 END) AS mean_attempts, count(*) FILTER (user_id % 4 > 1) AS rewritten, count(*) FILTER (user_id % 4 >= 1 AND value <= 50) AS gave_up FROM events")(lambda s, d: evaluation.agentic_summary(V.table(s, d, "events").select((F.col("user_id") % 4).alias("attempts"), (F.col("value") > 50).alias("sufficient"))))
 
 # --- X: text -------------------------------------------------------------------------------------
 
-query("x3_normalised")(lambda s, d: V.table(s, d, "documents").select("doc_id", X.normalised(X.nfkc("text")).alias("text")))
-query("x4_x5_language", r"SELECT doc_id, 0.0::DOUBLE AS ratio, CASE WHEN trim(text) = '' THEN 'unknown' WHEN regexp_matches(text, '[A-Za-z]') THEN 'en' ELSE 'unknown' END AS language FROM documents")(lambda s, d: V.table(s, d, "documents").select("doc_id", X.arabic_ratio("text").alias("ratio"), X.language("text").alias("language")))
+query("x3_normalised", r"SELECT doc_id, md5(regexp_replace(regexp_replace(array_to_string(list_transform(string_split(regexp_replace(regexp_replace(nfc_normalize(text), '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS h FROM documents")(
+    lambda s, d: V.table(s, d, "documents").select("doc_id", F.md5(X.normalised(X.nfkc("text")).cast("binary")).alias("h"))
+)
+#: Latin letters to Arabic ones: all of them in a third of the texts, half of them in another.
+_LATIN, _ARABIC = "abcdefghijklmnopqrstuvwxyz", "ابتثجحخدذرزسشصضطظعغفقكلمنهو"
+_SCRIPTS = f"CASE doc_id % 3 WHEN 0 THEN translate(lower(text), '{_LATIN}', '{_ARABIC[:26]}') WHEN 1 THEN translate(text, '{_LATIN[:13]}', '{_ARABIC[:13]}') ELSE text END"
+
+
+def scripts() -> Column:
+    half = F.translate("text", _LATIN[:13], _ARABIC[:13])
+    return F.when(F.col("doc_id") % 3 == 0, F.translate(F.lower("text"), _LATIN, _ARABIC[:26])).when(F.col("doc_id") % 3 == 1, half).otherwise(F.col("text"))
+
+
+_RATIO = r"CASE WHEN len(regexp_extract_all(t, '\p{L}')) > 0 THEN len(regexp_extract_all(t, '\p{Arabic}'))::DOUBLE / len(regexp_extract_all(t, '\p{L}')) ELSE 0.0::DOUBLE END"
+_BY_SCRIPT = f"WITH t AS (SELECT doc_id, {_SCRIPTS} AS t FROM documents), r AS (SELECT doc_id, t, {_RATIO} AS ratio FROM t)"
+query("x4_x5_language", _BY_SCRIPT + r" SELECT doc_id, round(ratio, 9) AS ratio, CASE WHEN trim(t) = '' THEN 'unknown' WHEN ratio >= 0.65 THEN 'ar' WHEN ratio > 0.10 THEN 'mixed' WHEN regexp_matches(t, '[A-Za-z]') THEN 'en' ELSE 'unknown' END AS language FROM r")(
+    lambda s, d: V.table(s, d, "documents").select("doc_id", scripts().alias("t")).select("doc_id", F.round(X.arabic_ratio("t"), 9).alias("ratio"), X.language("t").alias("language"))
+)
+query("u13_token_factor", _BY_SCRIPT + " SELECT doc_id, round(5.36 / (5.36 * (1 - ratio) + 1.44 * ratio), 9)::DOUBLE AS factor FROM r")(
+    lambda s, d: V.table(s, d, "documents").select("doc_id", scripts().alias("t")).select("doc_id", F.round(chunking.token_factor(X.arabic_ratio("t")), 9).alias("factor"))
+)
 query("x7_content_hash", "SELECT doc_id, sha256(source || chr(31) || text || chr(31)) AS h, left(sha256(source || chr(31) || text || chr(31)), 12) AS short FROM documents")(lambda s, d: V.table(s, d, "documents").select("doc_id", X.content_hash("source", "text").alias("h"), X.short_hash("source", "text", n=12).alias("short")))
 query("x9_ids", "SELECT doc_id, '3:' || lang || ':' || doc_id || ':' || left(sha256('3' || chr(31) || text || chr(31)), 12) AS chunk_id, left(sha256('3' || chr(31) || source || chr(31) || sha256(text || chr(31)) || chr(31)), 20) AS document_id FROM documents")(
     lambda s, d: V.table(s, d, "documents").select("doc_id", X.chunk_key(F.lit(3), "lang", "doc_id", "text").alias("chunk_id"), X.document_key(F.lit(3), "source", "text").alias("document_id"))
@@ -240,8 +283,12 @@ query("x9_ids", "SELECT doc_id, '3:' || lang || ':' || doc_id || ':' || left(sha
 query("x11_reverse_lines", "SELECT doc_id, md5(array_to_string(list_transform(string_split(text, chr(10)), lambda x: reverse(x)), chr(10))) AS h FROM documents")(lambda s, d: V.table(s, d, "documents").select("doc_id", F.md5(X.reversed_lines("text").cast("binary")).alias("h")))
 query("x14_quality")(lambda s, d: V.table(s, d, "documents").select("doc_id", X.quality("text", F.lit(1), F.when(F.length(F.trim("text")) >= 80, 1).otherwise(0), F.lit(0)).alias("q")).select("doc_id", "q.ok", "q.needs_ocr", "q.chars", "q.problems"))
 query("x16_phone", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '20' || c_custkey END AS phone FROM customer")(lambda s, d: V.table(s, d, "customer").select("c_custkey", X.phone(F.concat(F.when(F.col("c_custkey") % 2 == 0, "+(20)-").otherwise("x"), F.col("c_custkey").cast("string"))).alias("phone")))
-query("x17_redaction")(lambda s, d: V.table(s, d, "documents").select("doc_id", X.redacted("text").alias("text")))
-query("x18_cited", "SELECT id, session_id, (id % 10) || ',12' AS marks FROM messages", "messages")(lambda s, d: V.messages(s, d).select("id", "session_id", F.array_join(X.cited(F.concat(F.lit("a ["), (F.col("id") % 10).cast("string"), F.lit("] b [12] c [12] ["), (F.col("id") % 10).cast("string"), F.lit("]"))), ",").alias("marks")))
+_GONE = "***REDACTED***"
+query("x17_redaction", rf"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'sk-[A-Za-z0-9_\-]{{8,}}', '{_GONE}', 'g'), 'ck-[A-Za-z0-9_\-]{{8,}}', '{_GONE}', 'g'), '(?i)(bearer\s+)\S{{4,}}', '\1{_GONE}', 'g'),
+    '(?i)((?:x-)?(?:chroma|anthropic|openai|cohere)?[_-]?(?:api[_-]?key|token|secret)"?\s*[:=]\s*"?)[A-Za-z0-9_\-.]{{4,}}', '\1{_GONE}', 'g'), '(?i)(authorization"?\s*[:=]\s*"?)\S{{4,}}', '\1{_GONE}', 'g')) AS h FROM documents""")(
+    lambda s, d: V.table(s, d, "documents").select("doc_id", F.md5(X.redacted("text").cast("binary")).alias("h"))
+)
+query("x18_cited", "SELECT id, session_id, (id % 10) || ',12' AS marks FROM messages", "messages")(lambda s, d: V.messages(s, d).select("id", "session_id", F.array_join(X.cited(F.concat("content", F.lit(" a ["), (F.col("id") % 10).cast("string"), F.lit("] b [12] c [12] ["), (F.col("id") % 10).cast("string"), F.lit("]"))), ",").alias("marks")))
 query("x22_follow_up", r"SELECT session_id, id, len(regexp_extract_all(content, '[\p{L}\p{M}\p{N}\p{Pc}]+')) <= 3 OR regexp_matches(content, '(?i)(^|[^\p{L}\p{M}\p{N}\p{Pc}])(it|its|that|this|they|them|those|these|he|she|there)($|[^\p{L}\p{M}\p{N}\p{Pc}])') AS follow_up FROM messages", "messages")(lambda s, d: V.messages(s, d).select("session_id", "id", X.is_follow_up("content").alias("follow_up")))
 query("x23_contextual_query")(lambda s, d: turns(s, d).select("session_id", "id", X.contextual_query(F.col("content"), F.col("before")).alias("query")))
 query("x25_url_key", "SELECT page_id, lower(regexp_replace(trim(url), '/+$', '')) AS key FROM pages")(lambda s, d: V.table(s, d, "pages").select("page_id", X.url_key("url").alias("key")))
@@ -255,8 +302,16 @@ query("u11_windows", """WITH w AS (SELECT doc_id, list_filter(string_split(trim(
     lambda s, d: chunking.fixed_parts(V.table(s, d, "documents").select("doc_id", "text"), 150, 20).select("doc_id", "part", "unit_count", F.md5(F.col("text").cast("binary")).alias("h"))
 )
 query("u7_html_sections")(lambda s, d: html_sections.page_sections(V.table(s, d, "pages")))
-query("u10_sentences")(lambda s, d: chunking.sentences(V.table(s, d, "documents").select(F.col("doc_id").alias("document_id"), "text")))
-query("a9_greedy_dedup")(lambda s, d: chunking.dedupe_similar(V.chunks(s, d).select("document_id", "chunk_id", F.col("ordinal").cast("int").alias("part"), "vector"), 0.5).select("document_id", "chunk_id", "part"))
+_ABBR = ", ".join(f"'{a}'" for a in chunking.ABBREVIATIONS)
+_TOKENS = r"""k AS (SELECT doc_id, regexp_extract_all(text, '\S+\s*') AS ks FROM documents),
+    e AS (SELECT doc_id, list_transform(ks, lambda k, i: CASE WHEN NOT contains(k, chr(10)) AND regexp_matches(rtrim(k), '[.!?؟۔⁉‽]$')
+        AND NOT regexp_matches(rtrim(k), '(?i)(https?://|www\.)[^<>"'']+$') AND NOT regexp_matches(rtrim(k), '[\w.+-]+@[\w-]+\.[\w.]+$') AND NOT regexp_matches(rtrim(k), '\.{2,}$')
+        AND NOT (regexp_matches(rtrim(k), '\b\d+\.$') AND regexp_matches(coalesce(ks[i + 1], ''), '^[a-z؀-ۿ]'))
+        AND lower(trim(regexp_extract(rtrim(k), '([A-Za-z؀-ۿ.]+)\.$', 1), '.')) NOT IN (""" + _ABBR + r""") THEN k || chr(10) ELSE k END) AS ks FROM k),
+    p AS (SELECT doc_id, list_filter(list_transform(string_split(array_to_string(ks, ''), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ps FROM e),
+    j AS (SELECT doc_id, string_split(array_to_string(list_transform(ps, lambda x, i: CASE WHEN i = 1 THEN x WHEN length(x) < 2 THEN ' ' || x ELSE chr(10) || x END), ''), chr(10)) AS s FROM p WHERE len(ps) > 0)"""
+query("u10_sentences", f"WITH {_TOKENS} SELECT doc_id AS document_id, CAST(n - 1 AS INT) AS n, s[n] AS sentence FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS n FROM j)")(lambda s, d: chunking.sentences(V.table(s, d, "documents").select(F.col("doc_id").alias("document_id"), "text")))
+query("a9_greedy_dedup")(lambda s, d: chunking.dedupe_similar(V.with_vectors(s, d).where("vector IS NOT NULL").select("document_id", "chunk_id", F.col("ordinal").cast("int").alias("part"), "vector"), 0.5).select("document_id", "chunk_id", "part"))
 query("e20_lexical_embedding")(lambda s, d: embedding.embedded(V.messages(s, d).select("session_id", "id", F.col("content").alias("text"))).select("session_id", "id", "vector"))
 query("a11_running_lines", """WITH l AS (SELECT DISTINCT source, doc_id, trim(x) AS line FROM (SELECT source, doc_id, unnest(string_split(' Head of ' || source || chr(10) || text, chr(10))) AS x FROM documents)),
     n AS (SELECT source, count(DISTINCT doc_id) AS pages FROM documents GROUP BY 1) SELECT source AS document_id, line FROM l JOIN n USING (source) WHERE line <> '' AND length(line) < 200 GROUP BY source, line, pages HAVING pages >= 3 AND count(*) >= greatest(2, floor(pages * 0.6))""")(lambda s, d: chunking.running_lines(V.table(s, d, "documents").select(F.col("source").alias("document_id"), F.col("doc_id").alias("page_number"), F.concat(F.lit(" Head of "), "source", F.lit("\n"), "text").alias("text"))))
@@ -278,7 +333,7 @@ query("t1_lifecycle", _FOLD.format(keep="", o="seq", src="e"), "call_events")(la
 query("t2_lifecycle_strict", _FOLD.format(keep="r AS (SELECT *, row_number() OVER (PARTITION BY uuid ORDER BY ts, seq) AS o FROM e WHERE dst IS NOT NULL), k AS (SELECT *, min(o) FILTER (dst IN ('busy', 'no_answer', 'failed', 'completed')) OVER (PARTITION BY uuid) AS fin FROM r), z AS (SELECT * FROM k WHERE fin IS NULL OR o <= fin),", o="o", src="z"), "call_events")(
     lambda s, d: C.lifecycle(V.call_events(s, d), known_calls(s, d), strict=True).drop("ended_at")
 )
-query("t1b_ticket_updates")(lambda s, d: C.ticket_updates(C.lifecycle(V.call_events(s, d), known_calls(s, d)), known_calls(s, d)))
+query("t1b_ticket_updates", f"SELECT CAST(uuid AS BIGINT) % 40 AS ticket_id, 3 AS company_id, arg_max(ticket_status, last) AS status FROM (SELECT l.uuid, l.ticket_status, (e.ts, l.uuid) AS last FROM (SELECT uuid, ticket_status, last_end FROM ({V.with_views(_FOLD.format(keep='', o='seq', src='e').replace('duration_seconds, ticket_status, events FROM g', 'ticket_status, last_end FROM g'), 'call_events')}) z WHERE ticket_status IS NOT NULL) l JOIN (SELECT CAST(user_id AS VARCHAR) AS uuid, event_id AS seq, ts FROM events) e ON e.uuid = l.uuid AND e.seq = l.last_end) GROUP BY 1, 2")(lambda s, d: C.ticket_updates(C.lifecycle(V.call_events(s, d), known_calls(s, d)), known_calls(s, d)))
 query("t4_speech_action", """SELECT event_id, CASE WHEN event_id % 7 = 0 OR value / 100 < 0.5 THEN CASE WHEN event_id % 2 + 1 < 2 THEN 'repeat' ELSE 'unclear' END
     WHEN event_id % 3 = 0 THEN 'resolved' WHEN event_id % 3 = 1 THEN 'not_resolved' WHEN event_id % 2 + 1 < 2 THEN 'redirect' ELSE 'unclear' END AS action FROM events""")(
     lambda s, d: V.table(s, d, "events").select(

@@ -38,11 +38,11 @@ query("f10_active_call", "SELECT id, ticket_id, status FROM (SELECT seq AS id, s
 query("j11_section_methods", "SELECT chunk_id, CASE WHEN section_index < 3 AND document_id <> 'd4' THEN 'markdown' ELSE 'no_section' END AS extraction_method FROM chunks", "chunks")(
     lambda s, d: relational.section_methods(V.chunks(s, d), V.chunks(s, d).where("section_index < 3 AND document_id <> 'd4'").select("document_id", "section_index", F.lit("markdown").alias("extraction_method"))).select("chunk_id", "extraction_method")
 )
-query("r11_dedupe_content", """WITH b AS (SELECT ordinal % 10 AS query_id, chunk_id, sha256(left(text, 3) || chr(31)) AS h, (ordinal * 7) % 5 AS score, row_number() OVER (PARTITION BY ordinal % 10 ORDER BY ordinal) AS pos FROM chunks),
+query("r11_dedupe_content", """WITH b AS (SELECT ordinal % 10 AS query_id, chunk_id, sha256(trim(text) || chr(31)) AS h, (ordinal * 7) % 5 AS score, row_number() OVER (PARTITION BY ordinal % 10 ORDER BY ordinal) AS pos FROM chunks),
     k AS (SELECT *, min(pos) OVER (PARTITION BY query_id, h) AS slot, row_number() OVER (PARTITION BY query_id, h ORDER BY score DESC, pos) AS best FROM b)
     SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY slot) AS pos FROM k WHERE best = 1""", "chunks")(
     lambda s, d: retrieval.dedupe_content(
-        V.chunks(s, d).select((F.col("ordinal") % 10).alias("query_id"), "chunk_id", X.content_hash(F.left("text", F.lit(3))).alias("content_hash"), (F.col("ordinal") * 7 % 5).alias("score"), F.lit("").alias("source_url"), F.row_number().over(Window.partitionBy(F.col("ordinal") % 10).orderBy("ordinal")).alias("pos"))
+        V.chunks(s, d).select((F.col("ordinal") % 10).alias("query_id"), "chunk_id", X.content_hash(F.trim("text")).alias("content_hash"), (F.col("ordinal") * 7 % 5).alias("score"), F.lit("").alias("source_url"), F.row_number().over(Window.partitionBy(F.col("ordinal") % 10).orderBy("ordinal")).alias("pos"))
     ).select("query_id", "chunk_id", "pos")
 )
 
@@ -50,10 +50,10 @@ query("r11_dedupe_content", """WITH b AS (SELECT ordinal % 10 AS query_id, chunk
 
 
 def graded_rows(s, d) -> tuple[DataFrame, DataFrame]:
-    """Every fiftieth chunk asks; the ten from there on are what it got."""
+    """Every fiftieth chunk asks; the fifty from there on are what it got."""
     c = V.chunks(s, d)
     url = F.concat(F.lit("http://x/c"), F.col("ordinal").cast("string"))
-    rows = c.where("ordinal % 50 < 10").select((F.col("ordinal") - F.col("ordinal") % 50).alias("question_id"), (F.col("ordinal") % 50 + 1).alias("rank"), "document_id", url.alias("source_url"), F.array("source", "language").alias("section_path"))
+    rows = c.select((F.col("ordinal") - F.col("ordinal") % 50).alias("question_id"), (F.col("ordinal") % 50 + 1).alias("rank"), "document_id", url.alias("source_url"), F.array("source", "language").alias("section_path"))
     first = F.col("ordinal") % 100 == 0
     asked = c.where("ordinal % 50 = 0").select(
         F.col("ordinal").alias("id"), F.when(first, F.array(F.concat(F.upper(url), F.lit("/")))).alias("relevant_source_urls"), F.array(F.lit("d3"), F.lit("d5")).alias("relevant_document_ids"),
@@ -62,7 +62,7 @@ def graded_rows(s, d) -> tuple[DataFrame, DataFrame]:
     return rows, asked
 
 
-_GRADED = "g AS (SELECT ordinal - ordinal % 50 AS question_id, ordinal % 50 + 1 AS rank, ordinal % 50 = 0 AND ordinal % 100 = 0 AS u, ordinal % 50 IN (3, 5) AS doc, (ordinal - ordinal % 50) % 100 <> 0 AND source = 'src1' AND language = 'en' AS sec, ordinal % 50 = 0 AS own FROM chunks WHERE ordinal % 50 < 10)"
+_GRADED = "g AS (SELECT ordinal - ordinal % 50 AS question_id, ordinal % 50 + 1 AS rank, ordinal % 50 = 0 AND ordinal % 100 = 0 AS u, document_id IN ('d3', 'd5') AS doc, (ordinal - ordinal % 50) % 100 <> 0 AND source = 'src1' AND language = 'en' AS sec, ordinal % 50 = 0 AS own FROM chunks)"
 query("e7_graded", f"WITH {_GRADED} SELECT question_id, rank, CAST(u OR doc OR sec AS INT) AS rel, CASE WHEN own THEN 3.0::DOUBLE ELSE CAST(u OR doc OR sec AS INT)::DOUBLE END AS gain FROM g", "chunks")(lambda s, d: evaluation.graded(*graded_rows(s, d)))
 query("e8_accuracy", f"WITH {_GRADED}, p AS (SELECT question_id, question_id % 100 = 0 AS by_url, " + ", ".join(f"max(CAST(sec AND rank <= {k} AS DOUBLE)) AS s{k}, max(CAST(u AND rank <= {k} AS DOUBLE)) AS u{k}" for k in (1, 3, 5, 10)) + " FROM g GROUP BY 1) SELECT " + ", ".join(f"round(avg(s{k}) FILTER (NOT by_url), 4) AS section_top_{k}, round(avg(u{k}) FILTER (by_url), 4) AS source_top_{k}" for k in (1, 3, 5, 10)) + " FROM p", "chunks")(
     lambda s, d: evaluation.accuracy(*graded_rows(s, d))
@@ -70,8 +70,8 @@ query("e8_accuracy", f"WITH {_GRADED}, p AS (SELECT question_id, question_id % 1
 query("e9_with_truth", "SELECT ordinal AS id FROM chunks WHERE ordinal % 3 > 0", "chunks")(
     lambda s, d: evaluation.with_truth(V.chunks(s, d).select(F.col("ordinal").alias("id"), F.when(F.col("ordinal") % 3 == 1, F.array("chunk_id")).alias("relevant_source_urls"), F.array().cast("array<string>").alias("relevant_document_ids"), F.when(F.col("ordinal") % 3 == 2, F.array("source")).alias("relevant_sections"))).select("id")
 )
-query("e11_citation_correctness", f"WITH w AS (SELECT session_id, id, {_WORDS.format('content')} AS a, {_WORDS.format('role || chr(32) || left(content, 30)')} AS b FROM messages) SELECT session_id, id, CASE WHEN len(a) = 0 THEN 0.0 WHEN len(list_intersect(a, b)) / len(a) >= 0.12 THEN 0.5 ELSE 0.0 END::DOUBLE AS correct FROM w", "messages")(
-    lambda s, d: said(s, d).select("session_id", "id", evaluation.citation_correctness(F.col("content"), F.array(F.concat_ws(" ", "role", F.left("content", F.lit(30))), F.lit("###"))).alias("correct"))
+query("e11_citation_correctness", f"WITH w AS (SELECT session_id, id, {_WORDS.format('content')} AS a, {_WORDS.format('role || chr(32) || content')} AS b FROM messages) SELECT session_id, id, CASE WHEN len(a) = 0 THEN 0.0 WHEN len(list_intersect(a, b)) / len(a) >= 0.12 THEN 0.5 ELSE 0.0 END::DOUBLE AS correct FROM w", "messages")(
+    lambda s, d: said(s, d).select("session_id", "id", evaluation.citation_correctness(F.col("content"), F.array(F.concat_ws(" ", "role", "content"), F.lit("###"))).alias("correct"))
 )
 query("e15_refusal", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN NULL WHEN 1 THEN CAST(value > 50 AS DOUBLE) ELSE CAST(value <= 50 AS DOUBLE) END AS score FROM events")(
     lambda s, d: V.table(s, d, "events").select("event_id", evaluation.refusal_score(F.col("value") > 50, F.when(F.col("event_id") % 3 == 1, False).when(F.col("event_id") % 3 == 2, True)).alias("score"))
@@ -116,10 +116,10 @@ query("x13_non_text", r"SELECT session_id, id, round((id % 5) / (len(regexp_extr
 
 
 def marked():
-    return F.concat(F.lit("a ["), (F.col("id") % 4).cast("string"), F.lit("] b [2] c [9]"))
+    return F.concat("content", F.lit(" a ["), (F.col("id") % 4).cast("string"), F.lit("] b [2] c [9]"))
 
 
-query("x19_strip_invalid", "SELECT session_id, id, CASE WHEN id % 4 IN (1, 2) THEN 'a [' || (id % 4) || '] b [2] c' ELSE 'a b [2] c' END AS text FROM messages", "messages")(lambda s, d: said(s, d).select("session_id", "id", X.strip_invalid(marked(), F.array(F.lit(1), F.lit(2))).alias("text")))
+query("x19_strip_invalid", "SELECT session_id, id, md5(trim(regexp_replace(content || CASE WHEN id % 4 IN (1, 2) THEN ' a [' || (id % 4) || '] b [2] c' ELSE ' a b [2] c' END, '[ \\t]{2,}', ' ', 'g'))) AS text FROM messages", "messages")(lambda s, d: said(s, d).select("session_id", "id", md5(X.strip_invalid(marked(), F.array(F.lit(1), F.lit(2)))).alias("text")))
 query("x20_resolve", "SELECT session_id, id, CASE id % 4 WHEN 1 THEN 'p1,p2' ELSE 'p2' END AS found, CASE WHEN id % 4 IN (1, 2) THEN 'p' || (id % 4) ELSE 'p1,p2' END AS kept FROM messages", "messages")(
     lambda s, d: said(s, d).withColumn("p", F.array(F.lit("p1"), F.lit("p2"))).select("session_id", "id", F.array_join(X.resolve_citations(X.cited(marked()), F.col("p"), False), ",").alias("found"), F.array_join(X.resolve_citations(F.array((F.col("id") % 4).cast("int")), F.col("p"), True), ",").alias("kept"))
 )
@@ -168,17 +168,16 @@ query("u15_strategy", "SELECT 'd' || doc_id AS document_id, CASE WHEN doc_id % 2
         V.table(s, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("document_id"), F.explode(F.array(F.lit("A"), F.lit("B"))).alias("section_title"), F.when(F.col("doc_id") % 2 == 0, "abc").otherwise("ab").alias("text")),
     )
 )
-query("u1_a12_a13_headings", r"""WITH s AS (SELECT document_id, ordinal, CASE WHEN ordinal % 4 = 0 THEN '1.2 ' ELSE '' END || 'Title ' || ordinal || CASE WHEN ordinal % 5 = 0 THEN '.' ELSE '' END AS text, 10 + 2.0 * ((ordinal // 50) % 3) AS size, ordinal % 3 = 0 AS bold FROM chunks),
+query("u1_a12_a13_headings", r"""WITH s AS (SELECT document_id, ordinal, CASE WHEN ordinal % 4 = 0 THEN '1.2 ' ELSE '' END || 'Title ' || ordinal || CASE WHEN ordinal % 5 = 0 THEN '.' ELSE '' END AS text, 10 + 2.0 * ((ordinal // 7) % 3) AS size, ordinal % 3 = 0 AS bold FROM chunks),
     f AS (SELECT document_id, size, count(*) AS n, min(ordinal) AS first FROM s GROUP BY 1, 2), b AS (SELECT document_id, size AS body FROM f QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY n DESC, first) = 1),
     r AS (SELECT s.*, CASE WHEN size >= body * 1.15 THEN 'font_size' WHEN bold AND size >= body THEN 'bold' WHEN text LIKE '1.2 %' THEN 'numbering' END AS reason FROM s JOIN b USING (document_id))
     SELECT document_id, text, reason, CAST(dense_rank() OVER (PARTITION BY document_id ORDER BY size DESC) AS INT) AS level FROM r WHERE reason = 'numbering' OR (reason IS NOT NULL AND text NOT LIKE '%.')""", "chunks")(
     lambda s, d: chunking.headings_of_spans(
-        V.chunks(s, d).select("document_id", F.lit(1).alias("page_number"), "ordinal", F.concat(F.when(F.col("ordinal") % 4 == 0, "1.2 ").otherwise(""), F.lit("Title "), F.col("ordinal").cast("string"), F.when(F.col("ordinal") % 5 == 0, ".").otherwise("")).alias("text"), (10 + 2.0 * (F.floor(F.col("ordinal") / 50) % 3)).alias("size"), (F.col("ordinal") % 3 == 0).alias("bold"))
+        V.chunks(s, d).select("document_id", F.lit(1).alias("page_number"), "ordinal", F.concat(F.when(F.col("ordinal") % 4 == 0, "1.2 ").otherwise(""), F.lit("Title "), F.col("ordinal").cast("string"), F.when(F.col("ordinal") % 5 == 0, ".").otherwise("")).alias("text"), (10 + 2.0 * (F.floor(F.col("ordinal") / 7) % 3)).alias("size"), (F.col("ordinal") % 3 == 0).alias("bold"))
     ).select("document_id", "text", "reason", "level")
 )
 query("u12_token_windows")(lambda s, d: chunking.token_windows(V.chunks(s, d), lambda t: [ord(c) for c in t], lambda ids: "".join(map(chr, ids)), 400, 40))
-query("u13_token_factor", "SELECT doc_id, round(5.36 / (5.36 * (1 - doc_id % 11 / 10) + 1.44 * (doc_id % 11 / 10)), 9)::DOUBLE AS factor FROM documents")(lambda s, d: V.table(s, d, "documents").select("doc_id", F.round(chunking.token_factor(F.col("doc_id") % 11 / 10), 9).alias("factor")))
-query("u17_layout", "SELECT doc_id, (doc_id % 100) || '. item' || chr(10) || '(a) - b |' AS text FROM documents")(lambda s, d: V.table(s, d, "documents").select("doc_id", chunking.repaired_layout(F.concat((F.col("doc_id") % 100).cast("string"), F.lit(".\n  item  \n(a)-b - |"))).alias("text")))
+query("u17_layout", "SELECT doc_id, md5(regexp_replace(text || chr(10), '[ \\t]+\\n', chr(10), 'g') || (doc_id % 100) || '. item' || chr(10) || '(a) - b |') AS text FROM documents")(lambda s, d: V.table(s, d, "documents").select("doc_id", md5(chunking.repaired_layout(F.concat("text", F.lit("\n"), (F.col("doc_id") % 100).cast("string"), F.lit(".\n  item  \n(a)-b - |")))).alias("text")))
 
 # --- T: calls ------------------------------------------------------------------------------------
 

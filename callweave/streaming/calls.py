@@ -60,34 +60,52 @@ def lifecycle(events: DataFrame, calls: DataFrame, strict: bool = False) -> Data
     )
 
 
-STATE = "status string, cleared boolean, ended_at timestamp, duration_seconds int, events long"
+STATE = "status string, cleared boolean, ended_at timestamp, told int, guessed int, events long"
 OUT = "uuid string, status string, cleared boolean, ended_at timestamp, duration_seconds int, events long"
 
 
-def lifecycle_stream(events: DataFrame) -> DataFrame:
-    """The same fold as a keyed stream: an updated row for each call and trigger.  Durations are those told."""
+def lifecycle_stream(events: DataFrame, calls: DataFrame | None = None, forget: str = "24 hours") -> DataFrame:
+    """The same fold as a keyed stream: an updated row for each call and trigger.
+
+    With `calls` (uuid, started_at) unknown calls are ignored, and a completed call
+    without a told duration gets the time since it started.  Events count in the
+    order they arrive; those that lag `forget` behind the latest event time are
+    dropped, and the state of a call goes when its end, or six times `forget` after
+    its last event, lags as far.
+    """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
+    number, unit = forget.split()
+    open_for = 6 * int(number) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")] * 1000
+    marked = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", forget).withColumn("ms", F.unix_millis("ts"))
+    known = calls.select("uuid", "started_at") if calls is not None else None
+    joined = marked.join(known, "uuid") if known is not None else marked.withColumn("started_at", F.lit(None).cast("timestamp"))
+
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        status, cleared, ended, seconds, n = state.get if state.exists else (None, False, None, None, 0)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        status, cleared, ended, told, guessed, n = state.get if state.exists else (None, False, None, None, None, 0)
         own = pd.concat(list(batches)).sort_values("seq")
-        for s, d, ts in zip(own["status"], own["duration"], own["ts"], strict=True):
-            to = STATUS.get(s)
-            if to is None:
-                continue
-            status, n = to, n + 1
-            cleared = cleared or to in CLEARS
+        latest = own["ms"].max()
+        own["to"] = own["status"].map(STATUS)
+        own = own[own["to"].notna()]
+        for to, d, ts, began in zip(own["to"], pd.to_numeric(own["duration"], errors="coerce"), own["ts"], own["started_at"], strict=True):
+            status, n, cleared = to, n + 1, cleared or to in CLEARS
             ended = ts.to_pydatetime() if to in ENDS else ended
-            if to == "completed" and d is not None:
-                try:
-                    seconds = int(float(d))
-                except (ValueError, OverflowError):
-                    pass
-        state.update((status, cleared, ended, seconds, n))
+            if to != "completed":
+                continue
+            if abs(d) < 1e9:
+                told = int(d)
+            if guessed is None and not pd.isna(began):
+                guessed = max(0, int((ts - began).total_seconds()))
+        state.update((status, cleared, ended, told, guessed, n))
+        state.setTimeoutTimestamp(int(latest) + (1 if ended else open_for))
         if n:
+            seconds = guessed if told is None else told
             yield pd.DataFrame([{"uuid": key[0], "status": status, "cleared": cleared, "ended_at": ended, "duration_seconds": seconds, "events": n}]).astype({"duration_seconds": "Int32", "ended_at": "datetime64[ns]"})
 
-    return events.groupBy("uuid").applyInPandasWithState(run, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    return joined.groupBy("uuid").applyInPandasWithState(run, OUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def ticket_updates(states: DataFrame, calls: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import shutil
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,12 +27,35 @@ def follow(spark: SparkSession, folder: str, checkpoint: str, each: Callable[[li
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def replace_table(df: DataFrame, path: str) -> None:
-    """Stage a new snapshot next to the old one, then swap: readers never meet a half-written or missing one (local folders)."""
-    staged = f"{path}.staged"
-    df.write.mode("overwrite").parquet(staged)
-    shutil.rmtree(path, ignore_errors=True)
-    shutil.move(staged, path)
+def _committed(spark: SparkSession, path: str) -> list[str]:
+    """Finished versions of a table, the oldest first: a version counts once its job has left its success mark."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v*/_SUCCESS")
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
+    return sorted(s.getPath().getParent().toString() for s in found or [])
 
 
-__all__ = ["follow", "landed", "replace_table"]
+def replace_table(df: DataFrame, path: str, keep: int = 2) -> str:
+    """Write df as the next version of the table at path, and delete versions older than the last `keep`.
+
+    Readers take the newest finished version (`current_table`): none meets a
+    half-written one, and a writer that is lost leaves the one before in force.
+    One writer at a time.
+    """
+    spark = df.sparkSession
+    old = _committed(spark, path)
+    number = int(old[-1].rsplit("/v", 1)[1]) + 1 if old else 1
+    target = f"{path}/v{number:08d}"
+    df.write.mode("overwrite").parquet(target)
+    for gone in old[: max(0, len(old) + 1 - keep)]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(gone)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return target
+
+
+def current_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest finished version, None if there is none yet."""
+    versions = _committed(spark, path)
+    return spark.read.parquet(versions[-1]) if versions else None
+
+
+__all__ = ["current_table", "follow", "landed", "replace_table"]

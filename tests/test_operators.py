@@ -18,6 +18,7 @@ from callweave.plans.intent import AnalyticsIntent, RuleParser, follow_up, verba
 from callweave.plans.tenancy import Tenant, TenantScopeError, clean_filters, require, resolve
 from callweave.sources import files
 from callweave.streaming import calls as C
+from callweave.streaming import files as streaming_files
 
 NOW = datetime(2001, 8, 1)
 
@@ -282,15 +283,19 @@ def test_lifecycle_batch_and_stream(spark, tmp_path):
     assert {r["ticket_id"] for r in C.ticket_updates(C.lifecycle(events, calls), calls).collect()} == {1, 2}
     for n in range(3):  # three files, one a micro-batch
         events.where(F.col("seq") % 3 == n).orderBy("seq").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    q = C.lifecycle_stream(stream).writeStream.outputMode("update").format("memory").queryName("lives").option("checkpointLocation", str(tmp_path / "cp")).start()
-    try:
-        q.processAllAvailable()
-        state = {r["uuid"]: r for r in spark.sql("SELECT * FROM lives").collect()}
-    finally:
-        q.stop()
-    assert {u: (state[u]["events"], state[u]["duration_seconds"]) for u in ("u", "v", "w")} == {u: (got[u]["events"], {"u": 61}.get(u)) for u in ("u", "v", "w")}
-    assert (state["u"]["status"], state["u"]["cleared"], state["w"]["status"]) == ("failed", True, "busy")
+    read = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    state = {}
+    for name, known in (("lives", None), ("known_lives", calls)):
+        q = C.lifecycle_stream(read(), known).writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+        for r in spark.sql(f"SELECT * FROM {name}").collect():
+            old = state.setdefault(name, {}).get(r["uuid"])
+            if not old or r["events"] > old["events"]:
+                state[name][r["uuid"]] = r
+    lives, known = state["lives"], state["known_lives"]
+    assert {u: (lives[u]["events"], lives[u]["duration_seconds"]) for u in ("u", "v", "w")} == {u: (got[u]["events"], {"u": 61}.get(u)) for u in ("u", "v", "w")}
+    assert (lives["u"]["cleared"], lives["w"]["status"]) == (True, "busy") and "nobody" in lives
+    assert {u: r["duration_seconds"] for u, r in known.items()} == {u: r["duration_seconds"] for u, r in got.items()}
 
 
 def test_speech_and_memory(spark):
@@ -329,6 +334,41 @@ def test_ingest_is_idempotent(spark, tmp_path):
     assert all(re.match(r"1:[0-9a-f]{20}:\d+:[0-9a-f]{12}$", r["chunk_id"]) for r in twice.collect())
 
 
+def test_table_versions(spark, tmp_path):
+    path = str(tmp_path / "t")
+    assert streaming_files.current_table(spark, path) is None
+    for n in (1, 2, 3):
+        streaming_files.replace_table(spark.range(n), path)
+        assert streaming_files.current_table(spark, path).count() == n
+    (tmp_path / "t/v00000009").mkdir()  # a writer that was lost
+    assert streaming_files.current_table(spark, path).count() == 3 and len(list((tmp_path / "t").glob("v*/_SUCCESS"))) == 2
+    mutations.save(spark.range(4).withColumn("p", F.col("id") % 2), str(tmp_path / "s"), "p")
+    mutations.save(spark.range(10, 11).withColumn("p", F.lit(1)), str(tmp_path / "s"), "p")
+    assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "s")).collect()) == [0, 2, 10]
+
+
+def test_new_files_are_followed(spark, tmp_path):
+    seen = []
+    for n in (1, 2):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / f"in/{n}.txt").write_text("x")
+        assert streaming_files.follow(spark, str(tmp_path / "in"), str(tmp_path / "cp"), lambda paths: seen.append(sorted(p[-5:] for p in paths))).awaitTermination(120)
+    assert seen == [["1.txt"], ["2.txt"]] or seen == [["/1.txt"], ["/2.txt"]]
+
+
+def test_quantiles_and_unavailable(spark):
+    rng = random.Random(3)
+    v = [rng.choice([rng.random(), 0.5, -2.0]) for _ in range(501)]
+    got = evaluation.quantiles(spark.createDataFrame([(x,) for x in v] + [(None,)], "v double").repartition(7), F.col("v"), a=(0.5, "cont"), b=(0.95, "disc"), c=(0.25, "disc"), d=(0.9, "cont")).first()
+    o = sorted(v)
+    assert list(got)[:3] == [o[250], o[475], o[125]] and abs(got["d"] - (o[450])) < 1e-12
+    assert list(evaluation.quantiles(spark.createDataFrame([], "v double"), F.col("v"), a=(0.5, "cont")).first()) == [None]
+    q = spark.createDataFrame([("1", "answer", None), ("2", None, None)], "id string, reference_answer string, expect_insufficient boolean")
+    said = {r["metric"]: r["reason"] for r in evaluation.unavailable(q, False, True).collect()}
+    assert "answer_correctness" in said and said["faithfulness"] == "no judge is configured" and said["answer_token_f1"].startswith("answers come")
+    assert {r["metric"] for r in evaluation.unavailable(q, True).collect()} == {"insufficient_context_handling"}
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"id": "1", "question": "q", "graded_relevance": {"u": 2.0}, "relevant_source_urls": ["u"]}]')
     (tmp_path / "b.json").write_text('{"questions": [{"id": "2", "question": "q"}]}')
