@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from ..sources.staging import staged
+from . import text as X
+
 _WORD = re.compile(r"[\w؀-ۿ]+")
 
 
@@ -42,23 +46,63 @@ def lexical_vector(text: str, size: int = 512, gram: int = 4) -> np.ndarray:
     return _unit(out)
 
 
-def embedder(kind: str = "lexical"):
-    one = {"lexical": lexical_vector, "hash": hash_vector}[kind]
+class Provider(Protocol):
+    """What turns a text into a vector; `name` goes into the cache's key."""
+
+    name: str
+
+    def vector(self, text: str) -> np.ndarray: ...
+
+
+class Offline:
+    """The two embedders that need no network, by name: lexical and hash."""
+
+    def __init__(self, name: str = "lexical"):
+        self.name, self.vector = name, {"lexical": lexical_vector, "hash": hash_vector}[name]
+
+
+# What model families want before a question and before a passage; the first name found in the model's counts.
+PREFIXES = {"e5": ("query: ", "passage: "), "bge-m3": ("", ""), "gte-": ("", ""), "mpnet": ("", "")}
+
+
+def prefix(model: str, question: bool) -> str:
+    return next((q if question else p for k, (q, p) in PREFIXES.items() if k in model.lower()), "")
+
+
+def embedder(kind: str | Provider = "lexical", question: bool = False):
+    provider = Offline(kind) if isinstance(kind, str) else kind
+    lead = prefix(provider.name, question)
 
     @pandas_udf("array<double>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([one(t or "") for t in texts])
+            yield pd.Series([provider.vector(lead + (t or "")) for t in texts])
 
     return embed
 
 
-def embedded(df: DataFrame, text: str = "text", kind: str = "lexical") -> DataFrame:
+def embedded(df: DataFrame, text: str = "text", kind: str | Provider = "lexical") -> DataFrame:
     """df with `vector`; each distinct text is embedded once."""
     known = df.select(F.col(text).alias("_text")).distinct().withColumn("vector", embedder(kind)(F.col("_text")))
     return df.join(known, F.col(text).eqNullSafe(F.col("_text")), "left").drop("_text")
 
 
+CACHE = "key string, vector array<double>"
+
+
+def embedded_through(df: DataFrame, cache: DataFrame, text: str = "text", kind: str | Provider = "lexical") -> tuple[DataFrame, DataFrame]:
+    """(df with `vector`, the cache's new rows): texts whose key, a hash of model and text, the cache (CACHE) has are not embedded again.
+
+    The new rows are written once, so that the caller can append them to the kept
+    table without a second run of the model.
+    """
+    name = kind if isinstance(kind, str) else kind.name
+    keyed = df.withColumn("_key", X.content_hash(F.lit(name), text))
+    wanted = keyed.select("_key", F.coalesce(text, F.lit("")).alias("_text")).dropDuplicates(["_key"]).join(cache.select(F.col("key").alias("_key")), "_key", "left_anti")
+    new = staged(wanted.select(F.col("_key").alias("key"), embedder(kind)(F.col("_text")).alias("vector")), "vectors")
+    return keyed.join(cache.unionByName(new).withColumnRenamed("key", "_key"), "_key", "left").drop("_key"), new
+
+
 def mean_pool(tokens: DataFrame, key: str = "id") -> DataFrame:
     """Mean of the token vectors (column vector) of each key, component by component."""
     parts = tokens.select(key, F.posexplode("vector").alias("at", "x")).groupBy(key, "at").agg(F.avg("x").alias("x"))

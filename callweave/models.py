@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import re
+import time
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import reduce
 from typing import Protocol
 
 import pandas as pd
@@ -13,6 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from .functions import text as X
+from .sources.staging import staged
+
 OUTCOMES = ("resolved", "not_resolved", "unclear")
 INSUFFICIENT = "INSUFFICIENT_CONTEXT"
 
@@ -114,33 +119,63 @@ def parse_verdict(reply: str) -> Verdict:
     return Verdict(v.relevant and v.confidence >= 0.5, v.confidence, v.reason)
 
 
+def kept_rewrite(previous: Column, proposed: Column) -> Column:
+    """A rewriter's first line without quotes; the question before it where that failed, is shorter than 3 or in no known language."""
+    line = F.trim(F.btrim(F.trim(F.regexp_extract(F.trim(F.coalesce(proposed, F.lit(""))), r"^([^\n]*)", 1)), F.lit('"')))
+    return X.let(line, lambda x: F.when((F.length(x) >= 3) & (X.language(x) != "unknown"), x).otherwise(previous))
+
+
 @dataclass
-class Loop:
-    """retrieve, judge, then answer, rewrite or give up, for all open questions of a batch at once.
+class Paced:
+    """A callable to a service at most `per_minute` times a minute in each task; failures are tried again after 1, 2, 4, ... seconds.
 
-    retrieve: questions {id: text} -> {id: passages}; judge and rewrite work on one question.
+    Partitions bound how many tasks call at once: the service's limit divided by
+    their number is what one of these gets.
     """
 
-    retrieve: Callable[[dict[int, str]], dict[int, list[str]]]
-    judge: Callable[[str, list[str]], Verdict]
-    rewrite: Callable[[str, str], str | None]
-    attempts: int = 3
-    trace: list[dict] = field(default_factory=list)
-
-    def run(self, questions: dict[int, str]) -> dict[int, dict]:
-        asked, done = dict(questions), {}
-        for attempt in range(1, self.attempts + 1):
-            open_ones = {k: q for k, q in asked.items() if k not in done}
-            if not open_ones:
-                break
-            found = self.retrieve(open_ones)
-            for k, q in open_ones.items():
-                passages = found.get(k, [])
-                v = self.judge(questions[k], passages) if passages else Verdict(False, 1.0, "nothing found")
-                self.trace.append({"id": k, "attempt": attempt, "query": q, "relevant": v.relevant, "reason": v.reason})
-                if v.relevant or attempt == self.attempts:
-                    done[k] = {"attempts": attempt, "sufficient": v.relevant, "passages": passages if v.relevant else []}
-                    continue
-                nxt = self.rewrite(q, v.reason)
-                asked[k] = nxt if nxt and len(nxt.strip()) >= 3 else q
-        return done
+    call: Callable
+    per_minute: float = 0
+    tries: int = 3
+    first_wait: float = 1.0
+    sleep: Callable[[float], None] = time.sleep
+    now: Callable[[], float] = time.monotonic
+    last: float | None = None
+
+    def __call__(self, *args):
+        for n in range(self.tries):
+            if self.per_minute and self.last is not None:
+                self.sleep(max(0.0, self.last + 60 / self.per_minute - self.now()))
+            self.last = self.now()
+            try:
+                return self.call(*args)
+            except Exception:
+                if n == self.tries - 1:
+                    raise
+                self.sleep(self.first_wait * 2**n)
+
+
+def agentic(questions: DataFrame, retrieve: Callable[[DataFrame], DataFrame], judge: Callable[[DataFrame], DataFrame], rewrite: Callable[[DataFrame], DataFrame], attempts: int = 3) -> tuple[DataFrame, DataFrame]:
+    """retrieve, judge, then answer, rewrite or give up, for all open questions of a table in each round.
+
+    questions (id, question).  retrieve: (id, query) -> (id, passages); judge: (id,
+    question, passages) -> (id, relevant, reason); rewrite: (id, query, reason) ->
+    (id, proposed).  Returns the outcomes (id, attempts, sufficient, passages) and
+    the trace (id, attempt, query, relevant, reason).  A round's rows are written
+    once; no question passes the driver.
+    """
+    schema = questions.schema["id"].dataType
+    asked = questions.select("id", "question", F.col("question").alias("query"))
+    done, trace = [], []
+    for n in range(1, attempts + 1):
+        found = asked.join(retrieve(asked.select("id", "query")), "id", "left").withColumn("passages", F.coalesce("passages", F.array().cast("array<string>")))
+        some = found.where(F.size("passages") > 0)
+        said = some.select("id").join(judge(some.select("id", "question", "passages")), "id", "left")
+        judged = found.join(said, "id", "left").withColumns({"relevant": F.coalesce("relevant", F.size("passages") > 0), "reason": F.when(F.size("passages") == 0, "nothing found").otherwise(F.coalesce("reason", F.lit("")))})
+        judged = staged(judged, "agentic-round")
+        trace.append(judged.select("id", F.lit(n).alias("attempt"), "query", "relevant", "reason"))
+        over = F.col("relevant") if n < attempts else F.lit(True)
+        done.append(judged.where(over).select(F.col("id").cast(schema).alias("id"), F.lit(n).alias("attempts"), F.col("relevant").alias("sufficient"), F.when(F.col("relevant"), F.col("passages")).otherwise(F.array().cast("array<string>")).alias("passages")))
+        if n < attempts:
+            left = judged.where("NOT relevant").select("id", "question", "query", "reason")
+            asked = left.join(rewrite(left.select("id", "query", "reason")), "id", "left").select("id", "question", kept_rewrite(F.col("query"), F.col("proposed")).alias("query"))
+    return reduce(DataFrame.unionByName, done), reduce(DataFrame.unionByName, trace)

@@ -71,8 +71,27 @@ def landed(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", name.alias("name"), suffix.alias("suffix"), "length", "content").where(suffix.isin(*SUFFIXES) & ~name.startswith("."))
 
 
+def walk(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, name, suffix, length) of the files that `landed` gives, by path; contents are not read."""
+    return landed(spark, folder).select("path", "name", "suffix", "length").orderBy("path")
+
+
+def intake(spark: SparkSession, folder: str, most: int = LARGEST) -> DataFrame:
+    """(path, name, suffix, length, company_id, status) of all uploads below `folder`, dot files aside.
+
+    An upload belongs to the company of its folder `company_{id}`, NULL outside of
+    one.  status: 415 for a suffix that is not taken, 413 for more than `most` bytes, else 201.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
+    name = F.element_at(F.split("path", "/"), -1)
+    suffix = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
+    company = F.regexp_extract("path", r"/company_(\d+)/[^/]+$", 1)
+    status = F.when(~suffix.isin(*SUFFIXES), 415).when(F.col("length") > most, 413).otherwise(201)
+    return files.where(~name.startswith(".")).select("path", name.alias("name"), suffix.alias("suffix"), "length", F.nullif(company, F.lit("")).cast("long").alias("company_id"), status.alias("status"))
+
+
 def load_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """A row for each file, by path; what cannot be read has its error and no pages."""
+    """A row for each file, in no order; what cannot be read has its error and no pages."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:

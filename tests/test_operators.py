@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from callweave import models
 from callweave.functions import embedding
 from callweave.functions import text as X
-from callweave.operators import chunking, evaluation, html_sections, metrics, mutations, retrieval
+from callweave.operators import chunking, evaluation, html_sections, metrics, mutations, retrieval, tables
 from callweave.plans import ingest
 from callweave.plans.intent import AnalyticsIntent, RuleParser, follow_up, verbalise
 from callweave.plans.tenancy import Tenant, TenantScopeError, clean_filters, require, resolve
-from callweave.sources import files
+from callweave.sources import files, webhooks
 from callweave.streaming import calls as C
 from callweave.streaming import files as streaming_files
 
@@ -387,7 +387,85 @@ def test_models(spark):
     out = {r["query_id"]: r for r in models.answers(packed, models.EchoGenerator()).collect()}
     assert out[1]["answer"] == "body [1]" and out[1]["sufficient"] and out[2]["answer"] == models.NOTHING["ar"] and not out[2]["sufficient"]
     assert models.parse_verdict('x {"is_relevant": true, "confidence": 0.3}').relevant is False and models.parse_verdict("junk").relevant is True
-    verdicts = {"a": [True], "b": [False, True], "c": [False, False, False]}
-    loop = models.Loop(lambda qs: {k: ["p"] for k in qs}, lambda q, p: models.Verdict(verdicts[q].pop(0)), lambda q, why: q + "!!!")
-    done = loop.run({1: "a", 2: "b", 3: "c"})
-    assert [(done[k]["attempts"], done[k]["sufficient"]) for k in (1, 2, 3)] == [(1, True), (2, True), (3, False)] and len(loop.trace) == 6
+    asked = spark.createDataFrame([(1, "alpha"), (2, "beta"), (3, "gamma"), (4, "nothing here")], "id long, question string")
+    retrieve = lambda q: q.where("NOT contains(query, 'nothing')").select("id", F.array("query").alias("passages"))
+    judge = lambda q: q.select("id", ((F.col("id") == 1) | ((F.col("id") == 2) & F.exists("passages", lambda p: p.contains("more")))).alias("relevant"), F.lit("thin").alias("reason"))
+    rewrite = lambda q: q.select("id", F.when(F.col("id") == 3, "?").otherwise(F.concat(F.lit(' "'), "query", F.lit(' more"\nand so on'))).alias("proposed"))
+    done, trace = models.agentic(asked, retrieve, judge, rewrite)
+    got = {r["id"]: (r["attempts"], r["sufficient"], list(r["passages"])) for r in done.collect()}
+    assert got == {1: (1, True, ["alpha"]), 2: (2, True, ["beta more"]), 3: (3, False, []), 4: (3, False, [])}
+    rows = {(r["id"], r["attempt"]): (r["query"], r["reason"]) for r in trace.collect()}
+    assert len(rows) == 9 and rows[2, 2] == ("beta more", "thin") and rows[3, 3][0] == "gamma" and rows[4, 1] == ("nothing here", "nothing found")
+    clock, waits, fails = [0.0], [], [True, True, False]
+
+    def wait(s):
+        waits.append(s)
+        clock[0] += s
+
+    def call(x):
+        if fails.pop(0):
+            raise OSError
+        return x
+
+    assert models.Paced(call, 30, 3, 1.0, wait, lambda: clock[0])("y") == "y" and waits == [1.0, 1.0, 2.0, 0.0]
+
+
+def test_webhooks(spark):
+    bodies = ['{"uuid": "u", "status": "completed", "duration": 61.5, "timestamp": "2024-01-01T00:00:05Z", "x": {"y": 1}}', '{"uuid": "u", "status": ["odd"]}', "no json", "[1]", '{"status": "busy"}', None, '{"uuid": "s", "speech": {"results": [{"text": " yes ", "confidence": "0.8"}]}}', '{"uuid": "s"}']
+    raw = spark.createDataFrame([(k, b, datetime(2024, 1, 2), k % 2 or None) for k, b in enumerate(bodies)], "seq long, body string, ts timestamp, attempt int")
+    got = {r["seq"]: r for r in webhooks.call_events(raw).collect()}
+    assert set(got) == {0, 1, 6, 7} and (got[0]["duration"], got[0]["ts"], got[1]["ts"]) == ("61.5", datetime(2024, 1, 1, 0, 0, 5), datetime(2024, 1, 2))
+    said = {r["seq"]: r for r in webhooks.speech_inputs(raw).withColumn("best", C.best_hypothesis("results")).collect()}
+    assert (said[6]["best"]["text"], said[6]["best"]["confidence"], said[6]["attempt"], said[7]["best"]["text"]) == ("yes", 0.8, 1, "")
+
+
+def test_intake_and_walk(spark, tmp_path):
+    for name, size in (("company_7/b.txt", 3), ("company_7/a.md", 50), ("company_8/x.exe", 1), ("loose.pdf", 1), ("company_8/.hid.txt", 1)):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("x" * size)
+    got = {r["name"]: (r["company_id"], r["status"]) for r in files.intake(spark, str(tmp_path), 20).collect()}
+    assert got == {"b.txt": (7, 201), "a.md": (7, 413), "x.exe": (8, 415), "loose.pdf": (None, 201)}
+    assert [r["name"] for r in files.walk(spark, str(tmp_path)).collect()] == ["a.md", "b.txt", "loose.pdf"]
+
+
+def test_word_order(spark):
+    lines = ["الفرع في المدينة القديمة هل", "الطلب على الموقع الرسمي كيف", "السعر في المتجر الجديد ما"] * 3
+    wrong, right = "\n".join(lines), "\n".join(" ".join(x.split()[::-1]) for x in lines)
+    cell = {"20% (السعر من)": "20% (من السعر)", "15 العرض سعر%": "سعر العرض 15%", "10 , 20": "20 , 10", ")نعم(": "(نعم)", ".كلمة هنا": "هنا كلمة."}
+    rows = spark.createDataFrame([(wrong,), (right,), ("\n".join(lines[:6]),)], "t string").select(X.word_order_reversed("t").alias("w"), X.repaired_word_order("t").alias("r")).collect()
+    assert [x["w"] for x in rows] == [True, False, False] and rows[0]["r"] == right
+    one = spark.createDataFrame([("19888 - خدمة العملاء",), ("50% خصم اليوم فقط",), ("a | ب ج د",), ("plain words stay",)], "t string").select(X.repaired_word_order("t")).collect()
+    assert [x[0] for x in one] == ["العملاء خدمة - 19888", "50% خصم اليوم فقط", "a | ب ج د", "plain words stay"]
+    assert [r[0] for r in spark.createDataFrame([(c,) for c in cell], "t string").coalesce(1).select(X.repaired_cell("t")).collect()] == list(cell.values())
+    report = X.repair_report(spark.createDataFrame([(1, "ﬁne"), (2, "plain")], "id int, text string")).orderBy("id").collect()
+    assert [(r["text"], r["report"]["nfkc_applied"], r["report"]["reversal"]["is_reversed"]) for r in report] == [("fine", True, False), ("plain", False, False)]
+
+
+def test_table_regions(spark):
+    t = spark.createDataFrame([(1, "a", 10.0, 0.0, 50.0, 30.0), (1, "b", 10.0, 100.0, 50.0, 110.0)], "page int, table_id string, x0 double, y0 double, x1 double, y1 double")
+    r = spark.createDataFrame([("a", k, 10.0 * k, 10.0 * k + 10) for k in range(3)] + [("b", 0, 100.0, 110.0)], "table_id string, row int, y0 double, y1 double")
+    c = spark.createDataFrame([("a", 0, 0, "Name"), ("a", 0, 1, "City\nname"), ("a", 1, 0, "x"), ("a", 1, 1, None), ("a", 2, 0, "مرحبا"), ("a", 2, 1, "بكم جميعا"), ("b", 0, 0, " ")], "table_id string, row int, col int, text string")
+    lines = spark.createDataFrame([(1, 1, 0.0, 2.0, 9.0, 8.0, "left0"), (1, 2, 0.0, 12.0, 9.0, 18.0, "left1"), (1, 3, 60.0, 12.0, 70.0, 18.0, "once"), (1, 4, 20.0, 50.0, 30.0, 55.0, "prose")], "page int, line int, x0 double, y0 double, x1 double, y1 double, text string")
+    got = {x["table_id"]: x for x in tables.table_regions(t, r, c, lines).collect()}
+    assert set(got) == {"a"} and got["a"]["text"].split("\n")[:2] == ["left0 | Name | City name", "left1 | x | "] and (got["a"]["x0"], got["a"]["x1"]) == (0.0, 50.0)
+    assert got["a"]["text"].split("\n")[2] == f"{'بكم جميعا'[::-1]} | {'مرحبا'[::-1]}"
+    assert {x["line"] for x in tables.prose_lines(lines, tables.table_regions(t, r, c, lines)).collect()} == {3, 4}
+
+
+def test_vectors_are_kept_between_runs(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    class Counting:
+        name = "e5-small"
+
+        def vector(self, text):
+            calls.add(1)
+            return embedding.hash_vector(text, 4)
+
+    df = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "text string")
+    out, new = embedding.embedded_through(df, spark.createDataFrame([], embedding.CACHE), kind=Counting())
+    first = {r["text"]: list(r["vector"]) for r in out.collect()}
+    assert calls.value == 3 and new.count() == 3 and first["a"] == list(embedding.hash_vector("passage: a", 4))
+    out, more = embedding.embedded_through(df.union(spark.createDataFrame([("c",)], "text string")), new, kind=Counting())
+    assert {r["text"]: list(r["vector"]) for r in out.collect()}.items() >= first.items() and more.count() == 1 and calls.value == 4
+    assert embedding.prefix("multilingual-E5-base", True) == "query: " and embedding.prefix("other", True) == ""
