@@ -9,8 +9,10 @@ from functools import reduce
 from operator import or_
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from ..functions import text as X
 
@@ -108,6 +110,17 @@ class RuleParser:
         return AnalyticsIntent(metric, period, min(20, max(1, int(n[1]))) if n else 10)
 
 
+def parsed(turns: DataFrame, parser: IntentParser) -> DataFrame:
+    """turns (question) with `intent`, a struct (metric, period, n); the parser is called in the tasks, batch by batch."""
+
+    @pandas_udf("metric string, period string, n int")
+    def run(questions: pd.Series) -> pd.DataFrame:
+        plans = [parser.parse(q or "") for q in questions]
+        return pd.DataFrame({"metric": [i.metric for i in plans], "period": [i.time_period for i in plans], "n": [i.limit for i in plans]})
+
+    return turns.withColumn("intent", run("question"))
+
+
 def verbalise(intent: AnalyticsIntent, rows: list[dict]) -> str:
     """Offline answer: a template over the rows."""
     name = intent.metric.replace("_", " ")

@@ -11,8 +11,9 @@ from .functions import embedding
 from .functions import text as X
 from .operators import chunking, evaluation, relational, retrieval
 from .plans import views as V
-from .plans.intent import METRICS, RuleParser, follow_ups
+from .plans.intent import METRICS, RuleParser, follow_ups, parsed
 from .plans.tenancy import Tenant, clean_filters, predicate, scoped
+from .sources import webhooks
 from .streaming import calls as C
 
 _WORDS = r"list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}]+'))"
@@ -106,10 +107,38 @@ query("x2_fold_phrase", "SELECT session_id, id, md5(lower(content) || ' ا ية'
 query("x6_same_script", "SELECT session_id, id, id % 4 = 2 OR id % 4 = 3 AS same FROM messages", "messages")(
     lambda s, d: said(s, d).select("session_id", "id", X.same_script(F.concat(F.lit("say "), "content"), F.element_at(F.array(F.lit("مرحبا بكم"), F.lit("12 34"), F.lit("hello"), F.lit("hello مرحبا")), (F.col("id") % 4 + 1).cast("int"))).alias("same"))
 )
-_SENTENCE = "هذا البيت في المدينة من الطريق على الجبل إلى البحر"
-query("x10_x12_reversal", f"SELECT session_id, id, id % 2 = 1 AS is_reversed, '{_SENTENCE}' AS text FROM messages", "messages")(
-    lambda s, d: said(s, d).withColumn("t", F.when(F.col("id") % 2 == 1, F.reverse(F.lit(_SENTENCE))).otherwise(_SENTENCE)).select("session_id", "id", X.reversal("t")["is_reversed"].alias("is_reversed"), X.repaired("t").alias("text"))
+_LETTERS = ("abcdefghijklmnopqrstuvwxyz", "ابتثجحخدذرزسشصضطظعغفقكلمنه")
+#: Texts in Arabic letters, with an article and a preposition of Arabic prose for two frequent words.
+_IN_ARABIC = f"replace(replace(translate(lower(text), '{_LETTERS[0]}', '{_LETTERS[1]}'), ' {'the'.translate(str.maketrans(*_LETTERS))} ', ' في '), ' {'of'.translate(str.maketrans(*_LETTERS))} ', ' ال')"
+
+
+def in_arabic(s, d) -> DataFrame:
+    """Documents as above, every second one with its lines back to front."""
+    turned = F.translate(F.lower("text"), *_LETTERS)
+    for word, new in (("the", " في "), ("of", " ال")):
+        turned = F.replace(turned, F.lit(f" {word.translate(str.maketrans(*_LETTERS))} "), F.lit(new))
+    docs = V.table(s, d, "documents").select("doc_id", turned.alias("t"))
+    return docs.withColumn("t", F.when(F.col("doc_id") % 2 == 1, X.reversed_lines("t")).otherwise(F.col("t")))
+
+
+_MARKED = " + ".join(f"(len(string_split({{t}}, ' {m} ')) - 1)" for m in X.MARKERS)
+_PROSE = "(len(list_filter(regexp_extract_all({t}, '[؀-ۿ]+'), lambda w: starts_with(w, 'ال') AND length(w) > 2)) + " + _MARKED + ")"
+_LINES = "array_to_string(list_transform(string_split({t}, chr(10)), lambda x: reverse(x)), chr(10))"
+query("x10_reversal", f"""WITH a AS (SELECT doc_id, {_IN_ARABIC} AS t FROM documents), b AS (SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN {_LINES.format(t='t')} ELSE t END AS t FROM a),
+    s AS (SELECT doc_id, t, {_LINES.format(t='t')} AS u, len(regexp_extract_all(t, '[؀-ۿ]+')) AS n FROM b), k AS (SELECT *, {_PROSE.format(t='t')} AS f, {_PROSE.format(t='u')} AS r FROM s),
+    v AS (SELECT *, n >= 8 AND r > f AND (r - f) / (r + f) >= 0.5 AS back FROM k) SELECT doc_id, back AS is_reversed, md5(CASE WHEN back THEN u ELSE t END) AS text FROM v""")(
+    lambda s, d: in_arabic(s, d).select("doc_id", X.reversal("t")["is_reversed"].alias("is_reversed"), md5(X.repaired("t")).alias("text"))
 )
+_LEAD = r"'^(\d[\d,./+%]*)\s+(?:[-–]\s*)?(.*)$'"
+_MOVED = r"CASE WHEN regexp_matches(w, '^\).*\($') THEN regexp_replace(w, '^\)(.*)\($', '(\1)') ELSE regexp_replace(regexp_replace(regexp_replace(w, '^([:،؛!?؟.]+)(.*)$', '\2\1'), '^\)(.*)$', '\1)'), '^(.*)\($', '(\1') END"
+_TURNED = "array_to_string(list_reverse(list_transform(list_filter(string_split_regex({x}, '\\s+'), lambda w: w <> ''), lambda w: " + _MOVED + ")), ' ')"
+_ARABIC_OF = r"(len(regexp_extract_all({x}, '\p{{Arabic}}')) / greatest(1, len(regexp_extract_all({x}, '\p{{L}}'))))"
+query("x12_word_order", f"""WITH a AS (SELECT doc_id, {_IN_ARABIC} AS t FROM documents), b AS (SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN {_LINES.format(t='t')} ELSE t END AS t FROM a),
+    l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS x, generate_subscripts(string_split(t, chr(10)), 1) AS k FROM b),
+    m AS (SELECT doc_id, k, x, regexp_extract(x, {_LEAD}, 1) AS lead, regexp_extract(x, {_LEAD}, 2) AS rest FROM l),
+    r AS (SELECT doc_id, k, CASE WHEN len(list_filter(string_split_regex(x, '\\s+'), lambda w: w <> '')) < 2 OR {_ARABIC_OF.format(x='x')} < 0.65 OR (contains(x, '|') AND {_ARABIC_OF.format(x='x')} >= 0.45) OR contains(lead, '%') THEN x
+        ELSE regexp_replace(CASE WHEN lead <> '' AND {_ARABIC_OF.format(x='rest')} >= 0.65 THEN {_TURNED.format(x='rest')} || ' - ' || lead ELSE {_TURNED.format(x='x')} END, '(^|[^\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Pc}}])-(\\d+)\\b', '\\1\\2-', 'g') END AS x FROM m)
+    SELECT doc_id, md5(string_agg(x, chr(10) ORDER BY k)) AS text FROM r GROUP BY 1""")(lambda s, d: in_arabic(s, d).select("doc_id", md5(X.repaired_word_order("t")).alias("text")))
 query("x13_non_text", r"SELECT session_id, id, round((id % 5) / (len(regexp_extract_all(content, '\S')) + id % 5), 9) AS ratio FROM messages", "messages")(
     lambda s, d: said(s, d).select("session_id", "id", F.round(X.non_text_ratio(F.concat("content", F.repeat(F.lit("☃"), (F.col("id") % 5).cast("int")))), 9).alias("ratio"))
 )
@@ -152,22 +181,28 @@ def two_pages(s, d) -> DataFrame:
     page = lambda n, *text: F.struct(F.lit(n).alias("page_number"), F.concat(*text).alias("text"))
     head = lambda t, p, level, k: F.struct(F.lit(t).alias("text"), F.lit(p).alias("page_number"), F.lit(level).alias("level"), F.lit(k).alias("order"), F.lit("markdown").alias("reason"))
     key = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
-    pages = F.array(page(1, F.lit("Start of "), key, F.lit("\nAlpha\nbody "), key, F.lit("\nBeta\ninner")), page(2, F.lit("more\nGamma\n\nDelta\nlast")))
+    pages = F.array(page(1, F.lit("Start of "), key, F.lit("\nAlpha\n"), "text", F.lit("\nBeta\ninner")), page(2, F.lit("more\nGamma\n\nDelta\nlast")))
     return V.table(s, d, "documents").select(key.alias("document_id"), pages.alias("pages"), F.array(head("Alpha", 1, 1, 0), head("Beta", 1, 2, 1), head("Gamma", 2, 1, 2), head("Delta", 2, 2, 3), head("Omega", 2, 1, 4)).alias("headings"))
 
 
 _SECTIONS = """sections AS (SELECT 'd' || doc_id AS document_id, k AS section_index, CASE k WHEN 1 THEN 'Alpha' WHEN 2 THEN 'Alpha > Beta' WHEN 3 THEN 'Alpha > Delta' END AS path,
-    CASE k WHEN 0 THEN 'Start of d' || doc_id WHEN 1 THEN 'body d' || doc_id WHEN 2 THEN 'inner' || chr(10) || chr(10) || 'more' ELSE 'last' END AS text, CASE k WHEN 1 THEN '1' WHEN 2 THEN '1-2' WHEN 3 THEN '2' END AS page_range FROM documents, (VALUES (0), (1), (2), (3)) v(k))"""
-query("u2_u3_sections", f"WITH {_SECTIONS} SELECT * FROM sections")(lambda s, d: chunking.build_sections(two_pages(s, d)).select("document_id", "section_index", F.array_join("section_path", " > ").alias("path"), "text", "page_range"))
-query("u14_section_parts", f"WITH {_SECTIONS} SELECT document_id, CAST(section_index + 1 AS INT) AS part, text, 'section_based' AS strategy FROM sections")(
+    CASE k WHEN 0 THEN 'Start of d' || doc_id WHEN 1 THEN regexp_replace(text, '^\\s+|\\s+$', '', 'g') WHEN 2 THEN 'inner' || chr(10) || chr(10) || 'more' ELSE 'last' END AS text, CASE k WHEN 1 THEN '1' WHEN 2 THEN '1-2' WHEN 3 THEN '2' END AS page_range FROM documents, (VALUES (0), (1), (2), (3)) v(k) WHERE k <> 1 OR trim(text) <> '')"""
+query("u2_u3_sections", f"WITH {_SECTIONS} SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY section_index) - 1 AS INT) AS section_index, path, text, page_range FROM sections")(lambda s, d: chunking.build_sections(two_pages(s, d)).select("document_id", "section_index", F.array_join("section_path", " > ").alias("path"), "text", "page_range"))
+query("u14_section_parts", f"""WITH {_SECTIONS}, w AS (SELECT *, list_filter(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda x: x <> '') AS u FROM sections),
+    k AS (SELECT *, unnest(range(0, CASE WHEN len(u) <= 50 THEN 1 ELSE 1 + CAST(ceil((len(u) - 50) / 45) AS BIGINT) END)) AS k FROM w)
+    SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY section_index, k) AS INT) AS part, CASE WHEN len(u) <= 50 THEN text ELSE array_to_string(u[k * 45 + 1 : k * 45 + 50], ' ') END AS text, CASE WHEN len(u) <= 50 THEN 'section_based' ELSE 'section_based_split' END AS strategy FROM k""")(
     lambda s, d: chunking.section_parts(chunking.build_sections(two_pages(s, d)), 50, 5).select("document_id", "part", "text", "strategy")
 )
-query("u15_strategy", "SELECT 'd' || doc_id AS document_id, CASE WHEN doc_id % 2 = 0 THEN 'section_based' ELSE 'fixed_size' END AS strategy FROM documents")(
-    lambda s, d: chunking.strategy(
-        V.table(s, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("document_id"), F.lit("0123456789").alias("text")),
-        V.table(s, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("document_id"), F.explode(F.array(F.lit("A"), F.lit("B"))).alias("section_title"), F.when(F.col("doc_id") % 2 == 0, "abc").otherwise("ab").alias("text")),
-    )
-)
+
+@query("u15_strategy", """WITH p AS (SELECT doc_id, text, left(text, CASE WHEN doc_id % 2 = 0 THEN length(text) // 2 ELSE length(text) // 5 END) AS part FROM documents)
+    SELECT 'd' || doc_id AS document_id, CASE WHEN trim(part) <> '' AND 2 * length(part) / greatest(1, length(trim(text))) >= 0.5 THEN 'section_based' ELSE 'fixed_size' END AS strategy FROM p""")
+def strategies(s, d) -> DataFrame:
+    """Documents with two titled sections of a half, or a fifth, of their text."""
+    docs = V.table(s, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("document_id"), "text", "doc_id")
+    part = F.left("text", F.floor(F.length("text") / F.when(F.col("doc_id") % 2 == 0, 2).otherwise(5)).cast("int"))
+    return chunking.strategy(docs, docs.select("document_id", F.explode(F.array(F.lit("A"), F.lit("B"))).alias("section_title"), part.alias("text")))
+
+
 query("u1_a12_a13_headings", r"""WITH s AS (SELECT document_id, ordinal, CASE WHEN ordinal % 4 = 0 THEN '1.2 ' ELSE '' END || 'Title ' || ordinal || CASE WHEN ordinal % 5 = 0 THEN '.' ELSE '' END AS text, 10 + 2.0 * ((ordinal // 7) % 3) AS size, ordinal % 3 = 0 AS bold FROM chunks),
     f AS (SELECT document_id, size, count(*) AS n, min(ordinal) AS first FROM s GROUP BY 1, 2), b AS (SELECT document_id, size AS body FROM f QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY n DESC, first) = 1),
     r AS (SELECT s.*, CASE WHEN size >= body * 1.15 THEN 'font_size' WHEN bold AND size >= body THEN 'bold' WHEN text LIKE '1.2 %' THEN 'numbering' END AS reason FROM s JOIN b USING (document_id))
@@ -181,9 +216,12 @@ query("u17_layout", "SELECT doc_id, md5(regexp_replace(text || chr(10), '[ \\t]+
 
 # --- T: calls ------------------------------------------------------------------------------------
 
+query("s11_webhook_events", "SELECT seq, uuid, status, duration FROM call_events", "call_events")(
+    lambda s, d: webhooks.call_events(V.call_events(s, d).select("seq", "ts", F.to_json(F.struct("uuid", "status", "duration", F.lit("x").alias("other"))).alias("body"))).select("seq", "uuid", "status", "duration")
+)
 query("t3_whole_seconds", "SELECT seq, CAST(trunc(try_cast(duration AS DOUBLE)) AS INT) AS seconds FROM call_events", "call_events")(lambda s, d: V.call_events(s, d).select("seq", C.whole_seconds("duration").alias("seconds")))
-query("t5_hypothesis", "SELECT seq, CASE WHEN seq % 3 > 0 THEN 'yes' ELSE '' END AS text, CASE seq % 3 WHEN 1 THEN 0.75::DOUBLE END AS confidence FROM call_events", "call_events")(
-    lambda s, d: V.call_events(s, d).select("seq", C.best_hypothesis(F.from_json(F.when(F.col("seq") % 3 == 1, '[{"text": " yes ", "confidence": "0.75"}, {"text": "no"}]').when(F.col("seq") % 3 == 2, '[{"text": "yes", "confidence": "bad"}]').otherwise("[]"), "array<struct<text:string,confidence:string>>")).alias("h")).select("seq", "h.text", "h.confidence")
+query("t5_hypothesis", "SELECT seq, CASE WHEN seq % 3 > 0 THEN coalesce(status, '') ELSE '' END AS text, CASE seq % 3 WHEN 1 THEN 0.75::DOUBLE END AS confidence FROM call_events", "call_events")(
+    lambda s, d: V.call_events(s, d).select("seq", C.best_hypothesis(F.from_json(F.when(F.col("seq") % 3 == 1, F.concat(F.lit('[{"text": " '), "status", F.lit(' ", "confidence": "0.75"}, {"text": "no"}]'))).when(F.col("seq") % 3 == 2, F.concat(F.lit('[{"text": "'), "status", F.lit('", "confidence": "bad"}]'))).otherwise("[]"), "array<struct<text:string,confidence:string>>")).alias("h")).select("seq", "h.text", "h.confidence")
 )
 _HAND = "(['resolved', 'not_resolved', 'unclear', 'no_answer', 'failed', 'odd'])[CAST(seq % 6 AS INT) + 1]"
 query("t7_set_by_hand", f"""WITH e AS (SELECT seq, seq % 6 = 5 OR coalesce(status IN ('completed', 'unanswered', 'timeout', 'failed', 'rejected', 'cancelled'), false) AS rejected, {_HAND} AS r, seq % 500 - 100 AS took FROM call_events)
@@ -198,18 +236,22 @@ query("t8_can_start_call", "SELECT t.id FROM tickets t JOIN customers c ON c.id
 # --- L: model-backed, with the offline stand-ins --------------------------------------------------
 
 
-@query("l1_intents", "SELECT * FROM (VALUES ('How many calls this month?', 'total_calls', 'this_month', 10), ('top 5 reasons', 'common_call_reasons', 'all_time', 5), ('unresolved tickets in the last 30 days', 'unresolved_tickets', 'last_30_days', 10), ('hello', 'top_issues', 'all_time', 10)) v(question, metric, period, n)")
+_ASKED = (" How many calls this month?", " top 5 reasons", " unresolved tickets in the last 30 days", "")
+
+
+@query("l1_intents", r"WITH q AS (SELECT session_id, id, id % 4 AS k, lower(content) AS c FROM messages) SELECT session_id, id, CASE k WHEN 0 THEN 'total_calls' WHEN 1 THEN 'common_call_reasons' WHEN 2 THEN 'unresolved_tickets' ELSE 'top_issues' END AS metric, CASE k WHEN 0 THEN 'this_month' WHEN 2 THEN 'last_30_days' ELSE 'all_time' END AS period, CASE k WHEN 1 THEN 5 ELSE 10 END AS n FROM q", "messages")
 def intents(s, d) -> DataFrame:
-    asked = ("How many calls this month?", "top 5 reasons", "unresolved tickets in the last 30 days", "hello")
-    return s.createDataFrame([(q, (i := RuleParser().parse(q)).metric, i.time_period, i.limit) for q in asked], "question string, metric string, period string, n int")
+    """Every turn, three of four with a question behind it."""
+    tail = F.element_at(F.array(*[F.lit(a) for a in _ASKED]), (F.col("id") % 4 + 1).cast("int"))
+    return parsed(said(s, d).select("session_id", "id", F.concat("content", tail).alias("question")), RuleParser()).select("session_id", "id", "intent.metric", "intent.period", "intent.n")
 
 
 query("l2_outcomes", r"SELECT session_id, id, CASE WHEN regexp_matches(content, '(?i)\b(no|not|still|isn''t|doesn''t|never)\b') THEN 'not_resolved' WHEN regexp_matches(content, '(?i)\b(yes|yeah|solved|fixed|resolved|works|thanks)\b') THEN 'resolved' ELSE 'unclear' END AS outcome FROM messages", "messages")(
     lambda s, d: said(s, d).select("session_id", "id", models.outcome_of(F.col("content"), models.LexiconClassifier()).alias("outcome"))
 )
-query("l5_answers", "SELECT ordinal AS query_id, CASE ordinal % 3 WHEN 0 THEN 'first ' || ordinal || ' [1]' ELSE 'There is not enough information to answer.' END AS answer, ordinal % 3 = 0 AS sufficient FROM chunks", "chunks")(
-    lambda s, d: models.answers(V.chunks(s, d).select(F.col("ordinal").alias("query_id"), F.lit("what?").alias("question"), F.lit("en").alias("language"), F.when(F.col("ordinal") % 3 == 0, F.concat(F.lit("[1] x\nfirst "), F.col("ordinal").cast("string"))).when(F.col("ordinal") % 3 == 1, "[1] only a label").alias("context")), models.EchoGenerator())
+query("l5_answers", "SELECT ordinal AS query_id, CASE ordinal % 3 WHEN 0 THEN left(string_split(text, chr(10))[1], 200) || ' [1]' ELSE 'There is not enough information to answer.' END AS answer, ordinal % 3 = 0 AS sufficient FROM chunks", "chunks")(
+    lambda s, d: models.answers(V.chunks(s, d).select(F.col("ordinal").alias("query_id"), F.lit("what?").alias("question"), F.lit("en").alias("language"), F.when(F.col("ordinal") % 3 == 0, F.concat(F.lit("[1] x\n"), "text")).when(F.col("ordinal") % 3 == 1, "[1] only a label").alias("context")), models.EchoGenerator())
 )
-query("l11_search_reply", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'a' || event_id WHEN 1 THEN 't' ELSE '' END AS answer, CASE event_id % 4 WHEN 0 THEN '{\"title\":\"x\"}' WHEN 2 THEN '{\"url\":\"u\"}' ELSE '' END AS sources FROM events WHERE event_id % 4 < 3")(
-    lambda s, d: V.table(s, d, "events").select("event_id", models.search_reply(F.when(F.col("event_id") % 4 == 0, F.concat(F.lit('{"text": "t", "answer": "a'), F.col("event_id").cast("string"), F.lit('", "sources": ["x"]}'))).when(F.col("event_id") % 4 == 1, '{"output": "o", "text": "t"}').when(F.col("event_id") % 4 == 2, '[{"url":"u"}]').otherwise("oops")).alias("r")).where("r IS NOT NULL").select("event_id", "r.answer", F.array_join("r.sources", ",").alias("sources"))
+query("l11_search_reply", "SELECT session_id, id, CASE id % 4 WHEN 0 THEN content WHEN 1 THEN 't' ELSE '' END AS answer, CASE id % 4 WHEN 0 THEN '{\"title\":\"' || role || '\"}' WHEN 2 THEN '{\"url\":\"' || role || '\"}' ELSE '' END AS sources FROM messages WHERE id % 4 < 3", "messages")(
+    lambda s, d: said(s, d).select("session_id", "id", models.search_reply(F.when(F.col("id") % 4 == 0, F.to_json(F.struct(F.lit("t").alias("text"), F.col("content").alias("answer"), F.array("role").alias("sources")))).when(F.col("id") % 4 == 1, '{"output": "o", "text": "t"}').when(F.col("id") % 4 == 2, F.concat(F.lit('[{"url":"'), "role", F.lit('"}]'))).otherwise("oops")).alias("r")).where("r IS NOT NULL").select("session_id", "id", "r.answer", F.array_join("r.sources", ",").alias("sources"))
 )
