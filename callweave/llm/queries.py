@@ -76,7 +76,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_ITEM_WORDS = "regexp_extract_all({}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')".format(_LOWERED)
+
 ORACLE = {
+    "op3_substrings": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+             p AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM d WHERE len(w) >= 50),
+             k AS (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY sha256(array_to_string(w[s:s + 49], ' '))) AS first FROM p),
+             g AS (SELECT DISTINCT doc_id, s + unnest(range(0, 50)) AS i FROM k WHERE first < doc_id),
+             t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+             r AS (SELECT t.doc_id, count(*) FILTER (g.i IS NOT NULL) AS n, string_agg(word, ' ' ORDER BY t.i) FILTER (g.i IS NULL) AS kept
+                   FROM t LEFT JOIN g ON g.doc_id = t.doc_id AND g.i = t.i GROUP BY 1)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN r ON r.doc_id = d.doc_id""",
+    "op10_decontaminate": f"""
+        WITH d AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents),
+             b AS (SELECT item_id, w, least(10, len(w)) AS n FROM (SELECT item_id, {_ITEM_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+             v AS (SELECT DISTINCT item_id, n, array_to_string(w[s:s + n - 1], ' ') AS x FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM b)),
+             a AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM b) WHERE len(w) >= n),
+             h AS (SELECT doc_id, s, a.n, item_id FROM a JOIN v ON v.n = a.n AND v.x = array_to_string(w[s:s + a.n - 1], ' ')),
+             c AS (SELECT doc_id, count(DISTINCT i) AS n_hit FROM (SELECT doc_id, s + unnest(range(0, n)) AS i FROM h) GROUP BY 1),
+             e AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM h) GROUP BY 1)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN e ON e.doc_id = d.doc_id""",
     "op6_exact": f"""
         WITH d AS (SELECT doc_id, sha256({_LOWERED}) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

@@ -21,7 +21,8 @@ def pack(items: np.ndarray, shards: int) -> np.ndarray:
 
     Large items first, each to the shard where the dot product of its size with
     the residual capacity is highest (sizes as shares of a shard's capacity); an
-    item goes only where the first dimension keeps room, unless none does.
+    item goes only where the first dimension keeps room, unless none does.  Items of
+    equal size go in their order; without items there is nothing to place.
     """
     total = np.maximum(items.sum(axis=0), 1).astype(float)
     share = items / total * shards
