@@ -47,13 +47,13 @@ SCALE = 1 << 24
 @dataclass(frozen=True)
 class Setting:
     #: Classes for a vocabulary of V words: this times the square root of V, rounded up to a power of two.
-    spread: int = 8
-    size: int = 16
+    spread: int = 2
+    size: int = 8
     span: int = 32
     noise: int = 32
-    inner_noise: int = 3
-    batch: int = 1024
-    rate: float = 0.15
+    inner_noise: int = 2
+    batch: int = 2048
+    rate: float = 0.2
     rounds: int = 6
     seed: int = 7
 
