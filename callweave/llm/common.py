@@ -15,6 +15,7 @@ A key that is in every row therefore costs one entry a slice, never one a row.
 
 from __future__ import annotations
 
+import ctypes
 import math
 import os
 import tempfile
@@ -24,6 +25,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,6 +102,18 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         del _made[begin:]
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most so many rows for what runs inside: JVM and Python hold one of them for each task."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete all intermediate tables of this process; no DataFrame built on them can be read afterwards."""
     _delete(spark, _made)
@@ -208,16 +222,26 @@ def answers(pdf: pd.DataFrame, level: int, dtype) -> np.ndarray:
     return np.concatenate([np.frombuffer(v, dtype) for v in own["vals"]]) if len(own) else np.zeros(0, dtype)
 
 
+def release() -> None:
+    """Give memory that is free back to the system: workers are used again, and the allocators keep what their largest batch took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def arrow_map(df: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             for at in pieces(pdf["text"]):
                 yield run(pdf.iloc[at].reset_index(drop=True))
+                release()
 
     return df.mapInPandas(batches, schema)
 
 
-def pieces(texts: pd.Series, most: int = 4 << 20) -> Iterator[slice]:
+def pieces(texts: pd.Series, most: int = 2 << 20) -> Iterator[slice]:
     """Runs of rows with about `most` bytes each, so that temporary arrays stay small whatever the batch."""
     size, begin = 0, 0
     for k, n in enumerate(len(t) for t in texts):

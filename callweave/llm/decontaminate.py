@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesvec import ALNUM_LOWER, Words, covered, pair, runs, sliding_min, window_hashes, word_hashes, words
-from .common import ANSWER, SENT, answers, arrow_map, bucket_rows, id_in, id_out, merge, pieces, reduce_buckets, sliced, text_bytes
+from .common import ANSWER, SENT, answers, arrow_map, bucket_rows, id_in, id_out, merge, pieces, reduce_buckets, release, sliced, text_bytes
 
 U = np.uint64
 #: A benchmark of up to so many bytes is sent to the executors whole; a larger one is joined by key.
@@ -319,6 +319,7 @@ def clean(df: DataFrame, benchmark: DataFrame, text_col: str = "text", window: i
             w, hit, _ = hits(list(texts.iloc[at]), known)
             count = np.concatenate([[0], np.cumsum(hit)])
             out.append(count[w.doc[1:]] == count[w.doc[:-1]])
+        release()
         return pd.Series(np.concatenate(out))
 
     return df.where(free(text_bytes(text_col)))

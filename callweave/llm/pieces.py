@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesvec import span_hashes
-from .common import id_in, id_out, text_bytes
+from .common import id_in, id_out, release, text_bytes
 
 GAP = 0x2581  # stands for a space inside pieces
 #: Symbols of a word up to which all words step together; longer words are relaxed singly.
@@ -317,7 +317,7 @@ def _runs(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield begin, len(sizes)
 
 
-def encode(df: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 2 << 20) -> DataFrame:
+def encode(df: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 1 << 19) -> DataFrame:
     """(doc_id, ids, decoded) for every row: the ids of the whole text, and their text again.
 
     The ids are those of the vocabulary's own reference encoder.  Null and empty
@@ -337,6 +337,8 @@ def encode(df: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col: s
                     [batch.column("doc_id").slice(a, b - a), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32())), pa.array(coder.decode(ids, at), pa.string())],
                     names=["doc_id", "ids", "decoded"],
                 )
+                del own, ids, at
+                release()
 
     source = df.select(id_in(id_col), text_bytes(text_col).alias("text"))
     return id_out(source.mapInArrow(run, "doc_id long, ids array<int>, decoded string"))

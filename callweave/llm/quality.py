@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesvec import SPACED, mix, span_hashes, word_hashes, words
-from .common import arrow_map, id_in, id_out, pieces, text_bytes
+from .common import arrow_map, id_in, id_out, pieces, release, text_bytes
 
 
 @dataclass(frozen=True)
@@ -179,6 +179,7 @@ def keep_good(df: DataFrame, model: Model, text_col: str = "text", threshold: fl
     @pandas_udf("double")
     def good(texts: pd.Series) -> pd.Series:
         parts = [model.scores(list(texts.iloc[at])) for at in pieces(texts)]
+        release()
         return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
     return df.where(good(text_bytes(text_col)) >= threshold)

@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callweave.llm import decontaminate, exact, pieces, quality, shingles
-from callweave.llm.common import as_table, scratch
+from callweave.llm.common import as_table, scratch, small_batches
 from callweave.llm.queries import VOCABULARY, quality_model
 
+#: Rows in an Arrow batch: Python workers are used again by later stages and keep what the largest batch took.
+BATCH_ROWS = 1000
+
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go, judged each by its text alone: null and empty ones by the learned bias, repeated rows alike."""
@@ -86,6 +89,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; a stage's intermediate tables go once its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        with scratch(spark):
+        with scratch(spark), small_batches(spark, BATCH_ROWS):
             docs = as_table(stage(spark, docs, sf_dir), "pipeline-" + "".join(c for c in name if c.isalpha()), keep=True)
     return docs
