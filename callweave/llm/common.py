@@ -26,7 +26,7 @@ from contextlib import contextmanager
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Stands for a null id between JVM and Python, where a column with nulls would turn to floats.
@@ -134,6 +134,21 @@ def meet(rows: DataFrame, groups: DataFrame, key: str, spread: str, askers: int
     return dealt.join(groups.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), more))), [key, "salt"]).drop("salt")
 
 
+def numbered(rows: DataFrame, group: str, order: list) -> DataFrame:
+    """rows with `at`, from 0 in each group, and `n`, the group's rows; rows are a written table, `order` begins with the group and tells all rows apart.
+
+    Rows are sorted by ranges; what stands before a group's rows in each range is
+    counted and joined back by range and group, so that a group of any size is
+    spread over as many tasks as its rows ask for.
+    """
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = as_table(ordered.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place")), "numbered")
+    counts = placed.groupBy("part", group).agg(F.count("*").alias("own"), F.min("place").alias("first"))
+    since, whole = Window.partitionBy(group).orderBy("part"), Window.partitionBy(group)
+    starts = counts.select("part", group, (F.sum("own").over(since) - F.col("own") - F.col("first")).alias("move"), F.sum("own").over(whole).alias("n"))
+    return placed.join(starts, ["part", group]).withColumn("at", F.col("place") + F.col("move")).drop("part", "place", "move")
+
+
 def text_bytes(text_col: str):
     """UTF-8 bytes of a text column, empty for null."""
     return F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")

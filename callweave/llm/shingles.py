@@ -1,13 +1,13 @@
-"""Near copies by the exact similarity of five-word shingle sets: SimHash links first, MinHash bands for what they miss.
+"""Near copies by the exact similarity of word shingle sets: SimHash links first where asked for, SuperMinHash bands for the rest.
 
 The similarity of two texts is that of their sets of word shingles (shared ones
 through all distinct ones).  Texts whose SimHash fingerprints lie within a small
 radius are found by the BK-trees of `simhash.links`; at a similarity of 0.8 two
 fingerprints differ in ten bits on average, so that no radius a tree can search
-finds most such pairs.  Bands of four minima bring the others together: with 20
-bands two texts of similarity 0.8 meet but for one pair in 38,000, more similar
-ones sooner.  What SimHash has linked already is not compared in the bands again.
-No pair is linked unless its sets pass the comparison.
+finds most such pairs.  Bands of four of 128 positions bring the others together:
+two texts of similarity 0.8 meet but for one pair in twenty million, more similar
+ones sooner.  No pair is linked unless its sets pass the comparison; see
+`setlinks` for what becomes of large groups.
 """
 
 from __future__ import annotations
@@ -17,15 +17,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesvec import SPACED_LOWER, mix, pair, window_hashes, word_hashes, words
+from .bytesvec import SPACED_LOWER, mix, window_hashes, word_hashes, words
 from .common import arrow_map, as_table, id_in, id_out, meet, text_bytes
-from .components import components
+from .setlinks import ASKERS, settle
 from .simhash import links, majority
+from .superminhash import band_keys, signatures
 
 U = np.uint64
-BANDS, DEPTH = 20, 4
-#: Leaders of a band's group; rows of a group that meet one copy of what they are joined with; copies in the last pass.
-LEADERS, ASKERS, SALTS = 4, 1024, 16
 
 
 def shingle_sets(texts: list[bytes], shingle: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -50,53 +48,31 @@ def shingle_sets(texts: list[bytes], shingle: int = 5) -> tuple[np.ndarray, np.n
     return got, np.searchsorted(of, np.arange(len(texts) + 1))
 
 
-def marks(got: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """A hash of each whole set, and its band keys; a text without words has hash 0 and no bands."""
+def set_keys(got: np.ndarray, begin: np.ndarray) -> list[bytes]:
+    """16 bytes for each whole set, equal for equal sets; zeros for an empty one."""
     n = len(begin) - 1
+    out = np.zeros((n, 2), np.uint64)
     some = np.flatnonzero(np.diff(begin))
-    sig, bands = np.zeros(n, np.uint64), [np.zeros(0, np.int64)] * n
-    if not len(some):
-        return sig, bands
-    first = begin[some]
-    with np.errstate(over="ignore"):
-        sig[some] = pair(np.add.reduceat(mix(got ^ U(0x5851F42D4C957F2D)), first), np.diff(begin)[some].astype(np.uint64))
-        seeds = mix(np.arange(1, 2 * BANDS * DEPTH + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
-        keys = np.empty((len(some), BANDS), np.uint64)
-        for b in range(BANDS):
-            key = np.full(len(some), b, np.uint64)
-            for k in range(b * DEPTH, (b + 1) * DEPTH):
-                key = pair(key, np.minimum.reduceat((got ^ seeds[2 * k]) * (seeds[2 * k + 1] | U(1)), first))
-            keys[:, b] = key
-    for k, row in zip(some, keys.view(np.int64), strict=True):
-        bands[k] = row
-    return sig, bands
+    if len(some):
+        with np.errstate(over="ignore"):
+            for k, salt in enumerate((0x5851F42D4C957F2D, 0x14057B7EF767814F)):
+                out[some, k] = mix(np.add.reduceat(mix(got ^ U(salt)), begin[some]) + np.diff(begin)[some].astype(np.uint64))
+    return [row.tobytes() for row in out]
 
 
 def text_key(text_col: str):
-    return F.xxhash64(text_bytes(text_col))
+    """16 bytes of a text's SHA-256."""
+    return F.unhex(F.substring(F.sha2(text_bytes(text_col), 256), 1, 32))
 
 
-def similar(pairs: DataFrame, sets: DataFrame, at_least: float) -> DataFrame:
-    """The pairs (a, b) whose sets (sig, items) are at least so similar."""
-    sizes = as_table(pairs.groupBy("b").agg(F.count("*").alias("n")), "asked")
-    right = sizes.join(sets.select(F.col("sig").alias("b"), F.col("items").alias("right")), "b")
-    both = meet(pairs.join(sets.select(F.col("sig").alias("a"), F.col("items").alias("left")), "a"), right, "b", "a", ASKERS)
-    shared = F.size(F.array_intersect("left", "right"))
-    found = both.select("a", "b", shared.alias("s"), (F.size("left") + F.size("right")).alias("t"))
-    return found.where(F.col("s") * 1000 >= (F.col("t") - F.col("s")) * round(at_least * 1000)).select("a", "b")
-
-
-def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, at_least: float = 0.8, radius: int = 2) -> DataFrame:
-    """(doc_id, of, sig, root, component_id) for every row; sig stands for the row's shingle set, root for its component, of for its text.
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, at_least: float = 0.8, radius: int | None = 2) -> DataFrame:
+    """(doc_id, of, size, root, component_id) for every row; size is that of its shingle set, root stands for its component, of for its text.
 
     Words are runs of bytes other than ASCII white space, A-Z lower-cased.  Rows are
     linked when their sets' similarity is at_least or more, as far as the fingerprints'
-    radius or a band brings them together; component_id is the least id that links reach, the row's own
-    included.  Texts without words are equal to each other only.
-
-    A band's group is compared with four leaders first.  Where that leaves a group
-    in several components, all its pairs over two components are compared, so that
-    a large group of copies costs no square and no pair that met is left out.
+    radius (None: without) or a band brings them together; component_id is the least id
+    that links reach, the row's own included.  Texts without words are equal to each
+    other only.
 
     Null texts count as empty; a null id is passed over as a component's least id
     unless there is no other; other columns are ignored.
@@ -105,53 +81,40 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     def mark(pdf: pd.DataFrame) -> pd.DataFrame:
         got, begin = shingle_sets(list(pdf["text"]), shingle)
-        sig, bands = marks(got, begin)
-        return pd.DataFrame({"doc_id": pdf["doc_id"], "of": pdf["of"], "sig": sig.view(np.int64), "fp": majority(got, np.diff(begin)).view(np.int64), "bands": bands})
+        sizes = np.diff(begin)
+        keys = band_keys(signatures(got, begin)).view(np.int64)
+        bands = [row if n else row[:0] for row, n in zip(keys, sizes, strict=True)]
+        fp = majority(got, sizes).view(np.int64) if radius is not None else 0
+        return pd.DataFrame({"doc_id": pdf["doc_id"], "of": pdf["of"], "sig": set_keys(got, begin), "size": sizes, "fp": fp, "bands": bands})
 
     def items(pdf: pd.DataFrame) -> pd.DataFrame:
         got, begin = shingle_sets(list(pdf["text"]), shingle)
-        sig, _ = marks(got, begin)
         got = got.view(np.int64)
-        return pd.DataFrame({"sig": sig.view(np.int64), "items": [got[a:b] for a, b in zip(begin[:-1], begin[1:], strict=True)]})
+        return pd.DataFrame({"node": pdf["node"], "items": [got[a:b] for a, b in zip(begin[:-1], begin[1:], strict=True)]})
 
-    marked = as_table(id_out(arrow_map(source, mark, "doc_id long, of long, sig long, fp long, bands array<long>")), "shingles")
-    least = as_table(marked.groupBy("sig").agg(F.min("doc_id").alias("first"), F.min("of").alias("of"), F.min("fp").alias("fp"), F.max("bands").alias("bands")), "distinct")
-    # sets within the fingerprints' radius: a tree's edges between fingerprints, and each other set of a fingerprint with its first
+    marked = id_out(arrow_map(source, mark, "doc_id long, of binary, sig binary, size long, fp long, bands array<long>"))
+    marked = as_table(marked.withColumn("row", F.monotonically_increasing_id()), "shingles")
+    least = marked.groupBy("sig").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.min("of").alias("of"), F.min("fp").alias("fp"), F.max("bands").alias("bands"))
+    least = as_table(least.withColumn("node", F.monotonically_increasing_id()), "distinct")
     some = least.where(F.size("bands") > 0)
-    named = as_table(some.groupBy("fp").agg(F.min("sig").alias("named"), F.count("*").alias("n")), "fingerprints")
-    edges = as_table(links(named.select("fp"), radius), "simhash")
-    ends = lambda c: named.select(F.col("fp").alias(c), F.col("named").alias(f"sig_{c}"))
-    close = edges.join(ends("a"), "a").join(ends("b"), "b").select(F.col("sig_a").alias("a"), F.col("sig_b").alias("b"))
-    twins = meet(some.select("fp", "sig"), named.where("n > 1"), "fp", "sig", ASKERS).where("sig <> named").select(F.col("sig").alias("a"), F.col("named").alias("b"))
-    close = as_table(close.unionByName(twins), "close")
-    banded = some.select("sig", "of", F.explode("bands").alias("key"))
-    leaders = as_table(banded.groupBy("key").agg(F.count("*").alias("n"), F.array(*[F.min_by("sig", F.xxhash64("sig", F.lit(k))) for k in range(LEADERS)]).alias("leaders")).where("n > 1"), "leaders")
-    grouped = as_table(meet(banded, leaders, "key", "sig", ASKERS), "bands")
-    asked = close.select(F.col("a").alias("sig")).unionByName(close.select(F.col("b").alias("sig"))).distinct()
-    needed = as_table(grouped.select("of").unionByName(some.join(asked, "sig", "left_semi").select("of")).distinct(), "needed")
-    texts = source.select("of", "text").join(needed, "of", "left_semi").dropDuplicates(["of"])
-    sets = as_table(arrow_map(texts, items, "sig long, items array<long>"), "sets")
-
-    near = as_table(similar(close, sets, at_least), "links")
-    roots = as_table(components(near), "roots")
-    ahead = grouped.select(F.col("sig").alias("a"), F.explode(F.array_distinct("leaders")).alias("b")).where("a <> b").distinct()
-    root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    known = F.coalesce(F.col("root_a") == F.col("root_b"), F.lit(False))
-    first = as_table(ahead.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").where(~known).select("a", "b"), "pairs")
-    linked = as_table(similar(first, sets, at_least).unionByName(near), "links")
-    roots = components(linked)
-    member = grouped.select("key", "sig").join(roots, F.col("sig") == F.col("node"), "left").select("key", "sig", F.coalesce("root", "sig").alias("label"))
-    member = as_table(member, "members")
-    split = member.groupBy("key").agg(F.min("label").alias("main"), F.max("label").alias("other")).where("main <> other")
-    sides = as_table(member.join(split.select("key", "main"), "key"), "split")
-    apart = sides.where("label <> main").select("key", F.col("sig").alias("a"), F.col("label").alias("la"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    rest = sides.select("key", F.col("sig").alias("b"), F.col("label").alias("lb"), F.pmod(F.xxhash64("sig"), F.lit(SALTS)).cast("int").alias("salt"))
-    last = apart.join(rest, ["key", "salt"]).where("la <> lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    last = as_table(last.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
-    more = as_table(similar(last, sets, at_least), "links")
-    roots = components(linked.unionByName(more)) if not more.isEmpty() else roots
-
-    joined = least.select("sig", "first").join(roots, F.col("sig") == F.col("node"), "left").select("sig", "first", F.coalesce("root", "sig").alias("root"))
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        asked = as_table(some.join(nodes, "node", "left_semi").groupBy("of").agg(F.min("node").alias("node")), "asked")
+        found = source.select("of", "text").join(asked, "of").groupBy("node").agg(F.first("text").alias("text"))
+        return arrow_map(found, items, "node long, items array<long>")
+
+    roots = settle(some.select("node", "bands"), sets_of, at_least, _close(some, radius) if radius is not None else None)
+    joined = least.select("sig", "node", "first", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     reach = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_sig = joined.join(reach, "root").select("sig", "root", "component_id")
-    return marked.select("doc_id", "of", "sig").join(by_sig, "sig").select("doc_id", "of", "sig", "root", "component_id")
+    by_sig = as_table(joined.join(reach, "root").select("sig", "n", "root", "component_id"), "by-set")
+    return meet(marked.select("doc_id", "of", "sig", "size", "row"), by_sig, "sig", "row", ASKERS).select("doc_id", "of", "size", "root", "component_id")
+
+
+def _close(some: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b) of sets within the fingerprints' radius: a tree's edges between fingerprints, and each other set of a fingerprint with its first."""
+    named = as_table(some.groupBy("fp").agg(F.min("node").alias("named"), F.count("*").alias("n")), "fingerprints")
+    edges = as_table(links(named.select("fp"), radius), "simhash")
+    ends = lambda c: named.select(F.col("fp").alias(c), F.col("named").alias(f"node_{c}"))
+    close = edges.join(ends("a"), "a").join(ends("b"), "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    twins = meet(some.select("fp", "node"), named.where("n > 1"), "fp", "node", ASKERS).where("node <> named").select(F.col("node").alias("a"), F.col("named").alias("b"))
+    return as_table(close.unionByName(twins), "close")
