@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.staging import fresh_folder
+from . import inverted
 
 # Synonyms of a normalised term, and words that are no terms.
 SYNONYMS = {
@@ -80,8 +82,8 @@ def _ranked(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-#: Bytes of question vectors that go to every task at once.
-QUESTION_BYTES = 32 << 20
+#: Bytes of question vectors that go to every task at once, and of the distances between them and the chunks that are worked on.
+QUESTION_BYTES, PRODUCT_BYTES = 32 << 20, 32 << 20
 
 
 def _question_blocks(queries: DataFrame) -> list[DataFrame]:
@@ -110,9 +112,10 @@ def semantic_search(chunks: DataFrame, queries: DataFrame, n: int) -> DataFrame:
         asked = unit_rows(np.array([r["qvec"] for r in rows], float))
 
         def run(it: Iterator[pd.DataFrame], ids: pd.Series = ids, asked: np.ndarray = asked) -> Iterator[pd.DataFrame]:
+            rows = max(1, min(1024, PRODUCT_BYTES // (8 * len(asked))))
             for whole in it:
-                for at in range(0, len(whole), 1024):
-                    pdf = whole.iloc[at : at + 1024]
+                for at in range(0, len(whole), rows):
+                    pdf = whole.iloc[at : at + rows]
                     if any(len(v) != asked.shape[1] for v in pdf["vector"]):
                         raise ValueError("vectors of different sizes")
                     d = np.round(1 - asked @ unit_rows(np.array(pdf["vector"].tolist(), float)).T, 12)
@@ -135,7 +138,11 @@ def unit_rows(m: np.ndarray) -> np.ndarray:
 
 
 def distances(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, d) for every chunk and question: each side is normalised once, the questions are broadcast in bounded blocks."""
+    """(query_id, chunk_id, d) for every chunk and question: each side is normalised once, the questions are broadcast in bounded blocks.
+
+    This is the definition that `semantic_search` is checked by; its result has a row
+    for each pair, so that it suits a few questions or a few chunks.
+    """
     right = chunks.where("vector IS NOT NULL").select("chunk_id", unit("vector").alias("u"))
     left = [b.select("query_id", unit("qvec").alias("q")) for b in _question_blocks(queries)]
     dot = F.aggregate(F.zip_with("u", "q", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
@@ -143,19 +150,16 @@ def distances(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts) if parts else right.select(F.lit(0).alias("query_id"), "chunk_id", F.lit(0.0).alias("d")).limit(0)
 
 
-def keyword_search(chunks: DataFrame, queries: DataFrame, n: int) -> DataFrame:
-    """Chunks (with tokens) that share a term with a question (query_id, terms), through an inverted index.
+def keyword_search(chunks: DataFrame, queries: DataFrame, n: int, index: str | None = None) -> DataFrame:
+    """Chunks that share a term with a question (query_id, terms), best first: `inverted.search` in the index at that path.
 
-    Only rows with a common term meet; ids are counted, texts stay where they are.
-    The outer explodes keep the optimiser from testing the arrays' sizes below the
-    projection, which would tokenise each text once more; the join drops their nulls.
+    Without a path the chunks' index is written to the shared folder first; searches
+    that follow one another build it once and name it.
     """
-    terms = queries.select("query_id", F.filter(F.array_distinct("terms"), lambda t: F.length(t) > 1).alias("terms"))
-    wanted = terms.select("query_id", F.size("terms").alias("n"), F.explode_outer("terms").alias("term"))
-    posting = chunks.select("chunk_id", "ordinal", F.explode_outer("tokens").alias("term"))
-    found = posting.join(wanted, "term").groupBy("query_id", "chunk_id", "ordinal", "n").agg(F.count("*").alias("hits"), F.count_if(F.col("term").rlike(r"^\p{Nd}+$")).alias("numbers"))
-    scored = found.withColumn("score", F.col("hits") / F.col("n") + 0.75 * F.col("numbers"))
-    return _ranked(scored, [F.desc("score"), F.col("ordinal")], n).select("query_id", "chunk_id", "ordinal", "rank", "score", (1 - F.col("score")).alias("distance"))
+    if index is None:
+        index = fresh_folder(chunks.sparkSession, "inverted")
+        inverted.build(chunks, index)
+    return inverted.search(chunks.sparkSession, index, queries, n)
 
 
 def fuse(semantic: DataFrame, keyword: DataFrame, queries: DataFrame) -> DataFrame:
@@ -196,10 +200,10 @@ def diversify(rows: DataFrame, k: int) -> DataFrame:
     return marked.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k).drop("later")
 
 
-def retrieve(chunks: DataFrame, queries: DataFrame, k: int = 5, dedupe: bool = True) -> DataFrame:
-    """The whole chain for questions (query_id, qvec, terms) over one company's chunks."""
+def retrieve(chunks: DataFrame, queries: DataFrame, k: int = 5, dedupe: bool = True, index: str | None = None) -> DataFrame:
+    """The whole chain for questions (query_id, qvec, terms) over one company's chunks, whose inverted index may be there already."""
     width = fetch_width(k)
-    fused = fuse(semantic_search(chunks, queries, width), keyword_search(chunks, queries, width), queries)
+    fused = fuse(semantic_search(chunks, queries, width), keyword_search(chunks, queries, width, index), queries)
     rows = fused.join(chunks.drop("vector", "tokens"), "chunk_id")
     return diversify(dedupe_content(rows) if dedupe else rows, k)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from . import models
 from .catalog import TENANT, query
 from .functions import embedding
 from .functions import text as X
+from .functions import tokens
 from .operators import chunking, evaluation, relational, retrieval
 from .plans import views as V
 from .plans.intent import METRICS, RuleParser, follow_ups, parsed
@@ -211,7 +214,9 @@ query("u1_a12_a13_headings", r"""WITH s AS (SELECT document_id, ordinal, CASE WH
         V.chunks(s, d).select("document_id", F.lit(1).alias("page_number"), "ordinal", F.concat(F.when(F.col("ordinal") % 4 == 0, "1.2 ").otherwise(""), F.lit("Title "), F.col("ordinal").cast("string"), F.when(F.col("ordinal") % 5 == 0, ".").otherwise("")).alias("text"), (10 + 2.0 * (F.floor(F.col("ordinal") / 7) % 3)).alias("size"), (F.col("ordinal") % 3 == 0).alias("bold"))
     ).select("document_id", "text", "reason", "level")
 )
-query("u12_token_windows")(lambda s, d: chunking.token_windows(V.chunks(s, d), lambda t: [ord(c) for c in t], lambda ids: "".join(map(chr, ids)), 400, 40))
+#: The public byte-level vocabulary that the query uses; a parameter of `tokens.from_ranks`.
+VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+query("u12_token_windows")(lambda s, d: chunking.token_windows(V.chunks(s, d).select(F.col("chunk_id").alias("document_id"), "text"), partial(tokens.from_ranks, VOCABULARY), 400, 40))
 query("u17_layout", "SELECT doc_id, md5(regexp_replace(text || chr(10), '[ \\t]+\\n', chr(10), 'g') || (doc_id % 100) || '. item' || chr(10) || '(a) - b |') AS text FROM documents")(lambda s, d: V.table(s, d, "documents").select("doc_id", md5(chunking.repaired_layout(F.concat("text", F.lit("\n"), (F.col("doc_id") % 100).cast("string"), F.lit(".\n  item  \n(a)-b - |")))).alias("text")))
 
 # --- T: calls ------------------------------------------------------------------------------------
