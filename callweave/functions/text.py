@@ -145,71 +145,6 @@ def repaired(c: str | Column) -> Column:
     return let(_col(c), lambda x: F.when(reversal(x)["is_reversed"], reversed_lines(x)).otherwise(x))
 
 
-# Words that Arabic questions begin with.
-STARTERS = ("هل", "ازاي", "إزاي", "ايه", "إيه", "ليه", "كيف", "ماذا", "ما", "كل")
-
-
-def _split(c: Column) -> Column:
-    return F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
-
-
-def moved_punctuation(c: Column) -> Column:
-    """A right-to-left token whose stops and brackets stand on the side where they were drawn, put right."""
-    shut = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "^([:،؛!?؟.]+)(.*)$", "$2$1"), r"^\)(.*)$", "$1)"), r"^(.*)\($", "($1")
-    return F.when(c.rlike(r"^\).*\($"), F.regexp_replace(c, r"^\)(.*)\($", "($1)")).otherwise(shut)
-
-
-def _backwards(c: Column) -> Column:
-    """The tokens in the other order, their punctuation put right."""
-    return F.array_join(F.reverse(F.transform(_split(c), moved_punctuation)), " ")
-
-
-def word_order_reversed(c: str | Column) -> Column:
-    """Whether lines of Arabic hold their words from the wrong side: question words stand at their ends, not at their starts.
-
-    Told from lines of four words or more that are Arabic by 65 % and no table rows:
-    eight of them, of which three, three times as many as begin so, and 15 % end so.
-    """
-    lines = F.filter(F.split(_col(c), "\r\n|\r|\n"), lambda x: (F.size(_split(x)) >= 4) & (arabic_ratio(x) >= 0.65) & ~x.contains("|"))
-    bare = lambda w: F.regexp_replace(w, "^[^؀-ۿ]+|[^؀-ۿ]+$", "")
-
-    def verdict(x: Column) -> Column:
-        n, starts, ends = F.size(x), F.size(F.filter(x, lambda w: w["first"].isin(*STARTERS))), F.size(F.filter(x, lambda w: w["last"].isin(*STARTERS)))
-        return (n >= 8) & (ends >= 3) & (ends >= 3 * starts) & (ends / F.greatest(n, F.lit(1)) >= 0.15)
-
-    return let(F.transform(lines, lambda x: let(_split(x), lambda w: F.struct(bare(F.element_at(w, 1)).alias("first"), bare(F.element_at(w, -1)).alias("last")))), verdict)
-
-
-def repaired_word_order(c: str | Column) -> Column:
-    """Lines of Arabic with their words the other way round; table rows, other lines and leading percentages stay.
-
-    A leading number (a phone number, say) goes to the end, behind a dash.
-    """
-    number = r"^(\d[\d,./+%]*)\s+(?:[-–]\s*)?(.*)$"
-
-    def line(x: Column) -> Column:
-        lead, rest = F.regexp_extract(x, number, 1), F.regexp_extract(x, number, 2)
-        turned = F.when((lead != "") & (arabic_ratio(rest) >= 0.65), F.concat(_backwards(rest), F.lit(" - "), lead)).otherwise(_backwards(x))
-        plain = (F.size(_split(x)) < 2) | (arabic_ratio(x) < 0.65) | (x.contains("|") & (arabic_ratio(x) >= 0.45)) | lead.contains("%")
-        return F.when(plain, x).otherwise(F.regexp_replace(turned, r"(?U)(?<!\w)-(\d+)\b", "$1-"))
-
-    return F.array_join(F.transform(F.split(_col(c), "\r\n|\r|\n"), line), "\n")
-
-
-def repaired_cell(c: str | Column) -> Column:
-    """A right-to-left table cell in reading order; numbers stay whole, and a percentage leads its words or follows them."""
-
-    def cell(x: Column) -> Column:
-        words = lambda t: F.array_join(F.reverse(_split(t)), " ")
-        lead, inside = r"^(\d[\d,./]*)%(.*)$", r"\((.*?)\)"
-        tail = r"^(\d[\d,./]*)\s+(.+?)%$"
-        held = F.regexp_extract(x, inside, 1)
-        percent = F.when(x.rlike(inside), F.concat(F.regexp_extract(x, lead, 1), F.lit("% ("), words(held), F.lit(")"))).otherwise(x)
-        return F.when(x.rlike(lead), percent).when(x.rlike(tail), F.concat(words(F.regexp_extract(x, tail, 2)), F.lit(" "), F.regexp_extract(x, tail, 1), F.lit("%"))).when(reversal(x, 2)["is_reversed"], reversed_lines(x)).otherwise(_backwards(x))
-
-    return let(_col(c), cell)
-
-
 def repair_report(df: DataFrame, text: str = "text") -> DataFrame:
     """df with its text normalised and turned where it was stored back to front, and `report`: whether NFKC changed it, and the verdict."""
     d = bound(df.withColumn("_plain", nfkc(text)), _verdict=reversal("_plain"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import reading_order
 from ..functions import text as X
 
 
@@ -35,7 +36,7 @@ def table_regions(tables: DataFrame, rows: DataFrame, cells: DataFrame, lines: D
     )
     whole = parts.groupBy("table_id", "row").agg(F.array_sort(F.collect_list(F.struct("at", "k", "text"))).alias("cells"))
     joined = F.array_join(F.transform("cells", lambda c: c["text"]), " ")
-    turned = F.reverse(F.transform("cells", lambda c: F.when((c["at"] == 1) & (X.arabic_ratio(c["text"]) >= 0.65), F.reverse(c["text"])).otherwise(X.repaired_cell(c["text"]))))
+    turned = F.reverse(F.transform("cells", lambda c: F.when((c["at"] == 1) & (X.arabic_ratio(c["text"]) >= 0.65), F.reverse(c["text"])).otherwise(reading_order.repaired_cell(c["text"]))))
     read = F.when(X.arabic_ratio(joined) >= 0.45, turned).otherwise(F.transform("cells", lambda c: c["text"]))
     said = whole.select("table_id", "row", read.alias("said")).where(F.exists("said", lambda c: c != ""))
     body = said.groupBy("table_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", F.array_join("said", " | ").alias("line")))), lambda x: x["line"]), "\n").alias("text"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.embedding import embedder
-from ..operators import chunking, mutations
+from ..operators import chunking, greedy, mutations
 from ..sources.staging import staged
 
 
@@ -36,7 +36,7 @@ def chunked(documents: DataFrame, size: int = 150, overlap: int = 20, unit: str
     parts = chunking.chunk_documents(good.select("document_id", "text"), chunking.build_sections(good, least), size, overlap, unit)
     parts = chunking.dedupe_exact(parts).withColumn("vector", embedder()(F.col("text")))
     if threshold is not None:
-        parts = chunking.dedupe_similar(parts, threshold)
+        parts = greedy.dedupe_similar(parts, threshold)
     named = parts.join(good.select("document_id", "company_id", F.col("name").alias("source"), F.col("title").alias("document_title"), F.col("suffix").alias("source_type")), "document_id")
     chunks = named.withColumns({"chunk_id": X.chunk_key("company_id", "document_id", "part", "text"), "chunk_index": F.col("part") - 1, "language": X.language("text"), "content_hash": X.content_hash(F.trim("text")), "ordinal": F.monotonically_increasing_id()})
     return staged(chunks, "ingest-chunks")

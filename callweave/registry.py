@@ -11,10 +11,11 @@ from . import registry_functions  # noqa: F401  (registers its queries)
 from .catalog import SQL, TENANT, Q, query
 from .functions import embedding
 from .functions import text as X
-from .operators import chunking, evaluation, html_sections, metrics, mutations, relational, retrieval
+from .operators import cells, chunking, evaluation, greedy, html_sections, metrics, mutations, relational, retrieval
 from .plans import views as V
 from .plans.intent import METRICS, AnalyticsIntent
 from .plans.tenancy import clean_filters, predicate, scoped
+from .sources.staging import fresh_folder
 from .streaming import calls as C
 
 
@@ -188,6 +189,16 @@ query("r1_cosine", f"WITH {_SCORED} SELECT query_id, count(*) AS n, round(sum(d)
     lambda s, d: retrieval.distances(V.with_vectors(s, d), questions(s, d)).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.sum("d"), 6).alias("total"), (F.round(F.min("d"), 6) + 0.0).alias("least"))
 )
 query("r2_semantic", f"WITH {_SCORED}, {_NEAR} SELECT query_id, chunk_id, rank, round(greatest(0, 1 - d), 6) AS score FROM near WHERE rank <= 50", "corpus", "questions")(lambda s, d: retrieval.semantic_search(corpus(s, d), questions(s, d), 50).select("query_id", "chunk_id", "rank", "score"))
+
+
+def approximate(s, d) -> DataFrame:
+    """Every question's ten nearest chunks among those of its nearest cells, as many as the index was tuned for."""
+    path = fresh_folder(s, "cells")
+    cells.build(V.with_vectors(s, d), path)
+    return cells.search(s, path, questions(s, d), 10).select("query_id", "chunk_id", "rank", "score")
+
+
+query("r3_approximate")(approximate)
 query("r4_query_terms", f"WITH {_TERMS} SELECT query_id, array_to_string(list_sort(terms), ' ') AS terms FROM terms", "questions")(lambda s, d: questions(s, d).select("query_id", F.array_join(F.array_sort("terms"), " ").alias("terms")))
 query("r5_document_tokens", f"WITH {_WORDS} SELECT chunk_id, md5(array_to_string(list_sort(tokens), ' ')) AS tokens FROM tokens", "chunks")(lambda s, d: corpus(s, d).select("chunk_id", F.md5(F.array_join(F.array_sort("tokens"), " ").cast("binary")).alias("tokens")))
 query("r7_keyword", f"WITH {_TERMS}, {_WORDS}, {_KEYS} SELECT query_id, chunk_id, rank, score FROM words WHERE rank <= 50", "corpus", "questions")(lambda s, d: retrieval.keyword_search(corpus(s, d), questions(s, d), 50).select("query_id", "chunk_id", "rank", "score"))
@@ -311,7 +322,7 @@ _TOKENS = r"""k AS (SELECT doc_id, regexp_extract_all(text, '\S+\s*') AS ks FROM
     p AS (SELECT doc_id, list_filter(list_transform(string_split(array_to_string(ks, ''), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ps FROM e),
     j AS (SELECT doc_id, string_split(array_to_string(list_transform(ps, lambda x, i: CASE WHEN i = 1 THEN x WHEN length(x) < 2 THEN ' ' || x ELSE chr(10) || x END), ''), chr(10)) AS s FROM p WHERE len(ps) > 0)"""
 query("u10_sentences", f"WITH {_TOKENS} SELECT doc_id AS document_id, CAST(n - 1 AS INT) AS n, s[n] AS sentence FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS n FROM j)")(lambda s, d: chunking.sentences(V.table(s, d, "documents").select(F.col("doc_id").alias("document_id"), "text")))
-query("a9_greedy_dedup")(lambda s, d: chunking.dedupe_similar(V.with_vectors(s, d).where("vector IS NOT NULL").select("document_id", "chunk_id", F.col("ordinal").cast("int").alias("part"), "vector"), 0.5).select("document_id", "chunk_id", "part"))
+query("a9_greedy_dedup")(lambda s, d: greedy.dedupe_similar(V.with_vectors(s, d).where("vector IS NOT NULL").select("document_id", "chunk_id", F.col("ordinal").cast("int").alias("part"), "vector"), 0.5).select("document_id", "chunk_id", "part"))
 query("e20_lexical_embedding")(lambda s, d: embedding.embedded(V.messages(s, d).select("session_id", "id", F.col("content").alias("text"))).select("session_id", "id", "vector"))
 query("a11_running_lines", """WITH l AS (SELECT DISTINCT source, doc_id, trim(x) AS line FROM (SELECT source, doc_id, unnest(string_split(' Head of ' || source || chr(10) || text, chr(10))) AS x FROM documents)),
     n AS (SELECT source, count(DISTINCT doc_id) AS pages FROM documents GROUP BY 1) SELECT source AS document_id, line FROM l JOIN n USING (source) WHERE line <> '' AND length(line) < 200 GROUP BY source, line, pages HAVING pages >= 3 AND count(*) >= greatest(2, floor(pages * 0.6))""")(lambda s, d: chunking.running_lines(V.table(s, d, "documents").select(F.col("source").alias("document_id"), F.col("doc_id").alias("page_number"), F.concat(F.lit(" Head of "), "source", F.lit("\n"), "text").alias("text"))))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import models
 from .catalog import TENANT, query
-from .functions import embedding
+from .functions import embedding, reading_order
 from .functions import text as X
 from .functions import tokens
 from .operators import chunking, evaluation, relational, retrieval
@@ -141,7 +141,7 @@ query("x12_word_order", f"""WITH a AS (SELECT doc_id, {_IN_ARABIC} AS t FROM doc
     m AS (SELECT doc_id, k, x, regexp_extract(x, {_LEAD}, 1) AS lead, regexp_extract(x, {_LEAD}, 2) AS rest FROM l),
     r AS (SELECT doc_id, k, CASE WHEN len(list_filter(string_split_regex(x, '\\s+'), lambda w: w <> '')) < 2 OR {_ARABIC_OF.format(x='x')} < 0.65 OR (contains(x, '|') AND {_ARABIC_OF.format(x='x')} >= 0.45) OR contains(lead, '%') THEN x
         ELSE regexp_replace(CASE WHEN lead <> '' AND {_ARABIC_OF.format(x='rest')} >= 0.65 THEN {_TURNED.format(x='rest')} || ' - ' || lead ELSE {_TURNED.format(x='x')} END, '(^|[^\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Pc}}])-(\\d+)\\b', '\\1\\2-', 'g') END AS x FROM m)
-    SELECT doc_id, md5(string_agg(x, chr(10) ORDER BY k)) AS text FROM r GROUP BY 1""")(lambda s, d: in_arabic(s, d).select("doc_id", md5(X.repaired_word_order("t")).alias("text")))
+    SELECT doc_id, md5(string_agg(x, chr(10) ORDER BY k)) AS text FROM r GROUP BY 1""")(lambda s, d: in_arabic(s, d).select("doc_id", md5(reading_order.repaired_word_order("t")).alias("text")))
 query("x13_non_text", r"SELECT session_id, id, round((id % 5) / (len(regexp_extract_all(content, '\S')) + id % 5), 9) AS ratio FROM messages", "messages")(
     lambda s, d: said(s, d).select("session_id", "id", F.round(X.non_text_ratio(F.concat("content", F.repeat(F.lit("☃"), (F.col("id") % 5).cast("int")))), 9).alias("ratio"))
 )

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from callweave import models
 from callweave.functions import embedding
+from callweave.functions import reading_order
 from callweave.functions import text as X
-from callweave.operators import chunking, evaluation, html_sections, metrics, mutations, retrieval, tables
+from callweave.operators import chunking, evaluation, greedy, html_sections, metrics, mutations, retrieval, tables
 from callweave.plans import ingest
 from callweave.plans.intent import AnalyticsIntent, RuleParser, follow_up, verbalise
 from callweave.plans.tenancy import Tenant, TenantScopeError, clean_filters, require, resolve
@@ -133,7 +134,7 @@ def test_terms_and_vectors(spark):
     v = spark.createDataFrame([([1.0, 0.0], [0.0, 0.0]), ([1.0, 0.0], [2.0, 0.0])], "a array<float>, b array<float>").select(retrieval.cosine_distance("a", "b")).collect()
     assert [r[0] for r in v] == [1.0, 0.0]
     parts = spark.createDataFrame([("d", 1, [1.0, 0.0]), ("d", 2, [0.99, 0.1]), ("d", 3, [0.0, 1.0]), ("d", 4, [0.0, 0.0])], "document_id string, part int, vector array<double>")
-    assert [(r["part"], r["vector"][1]) for r in chunking.dedupe_similar(parts, 0.95).orderBy("part").collect()] == [(1, 0.0), (2, 1.0), (3, 0.0)]
+    assert [(r["part"], r["vector"][1]) for r in greedy.dedupe_similar(parts, 0.95).orderBy("part").collect()] == [(1, 0.0), (2, 1.0), (3, 0.0)]
     assert abs(sum(x * x for x in embedding.lexical_vector("a word")) - 1) < 1e-9 and len(embedding.hash_vector("a")) == 256
 
 
@@ -432,11 +433,11 @@ def test_word_order(spark):
     lines = ["الفرع في المدينة القديمة هل", "الطلب على الموقع الرسمي كيف", "السعر في المتجر الجديد ما"] * 3
     wrong, right = "\n".join(lines), "\n".join(" ".join(x.split()[::-1]) for x in lines)
     cell = {"20% (السعر من)": "20% (من السعر)", "15 العرض سعر%": "سعر العرض 15%", "10 , 20": "20 , 10", ")نعم(": "(نعم)", ".كلمة هنا": "هنا كلمة."}
-    rows = spark.createDataFrame([(wrong,), (right,), ("\n".join(lines[:6]),)], "t string").select(X.word_order_reversed("t").alias("w"), X.repaired_word_order("t").alias("r")).collect()
+    rows = spark.createDataFrame([(wrong,), (right,), ("\n".join(lines[:6]),)], "t string").select(reading_order.word_order_reversed("t").alias("w"), reading_order.repaired_word_order("t").alias("r")).collect()
     assert [x["w"] for x in rows] == [True, False, False] and rows[0]["r"] == right
-    one = spark.createDataFrame([("19888 - خدمة العملاء",), ("50% خصم اليوم فقط",), ("a | ب ج د",), ("plain words stay",)], "t string").select(X.repaired_word_order("t")).collect()
+    one = spark.createDataFrame([("19888 - خدمة العملاء",), ("50% خصم اليوم فقط",), ("a | ب ج د",), ("plain words stay",)], "t string").select(reading_order.repaired_word_order("t")).collect()
     assert [x[0] for x in one] == ["العملاء خدمة - 19888", "50% خصم اليوم فقط", "a | ب ج د", "plain words stay"]
-    assert [r[0] for r in spark.createDataFrame([(c,) for c in cell], "t string").coalesce(1).select(X.repaired_cell("t")).collect()] == list(cell.values())
+    assert [r[0] for r in spark.createDataFrame([(c,) for c in cell], "t string").coalesce(1).select(reading_order.repaired_cell("t")).collect()] == list(cell.values())
     report = X.repair_report(spark.createDataFrame([(1, "ﬁne"), (2, "plain")], "id int, text string")).orderBy("id").collect()
     assert [(r["text"], r["report"]["nfkc_applied"], r["report"]["reversal"]["is_reversed"]) for r in report] == [("fine", True, False), ("plain", False, False)]
 
