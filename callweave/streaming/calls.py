@@ -165,9 +165,11 @@ def memory(turns: DataFrame, keep: int = 6, ttl: int = 3600, now: Column | None
     """The last turns of each conversation (company_id, conversation_id, seq, ts, ...) that is not too old.
 
     A conversation whose last turn is older than ttl seconds is forgotten; of a
-    company's others the `most` latest stay.
+    company's others the `most` latest stay.  A turn that comes again, by its seq,
+    counts once.  `keyed.memory_stream` is the stream form.
     """
     key = ["company_id", "conversation_id"]
+    turns = turns.dropDuplicates([*key, "seq"])
     now = F.current_timestamp() if now is None else now
     last = turns.groupBy(*key).agg(F.max("ts").alias("last")).where(F.timestamp_diff("SECOND", F.col("last"), now) <= ttl)
     recent = last.withColumn("n", F.row_number().over(Window.partitionBy("company_id").orderBy(F.desc("last"), "conversation_id"))).where(F.col("n") <= most)
