@@ -65,6 +65,19 @@ def text_key(text_col: str):
     return F.unhex(F.substring(F.sha2(text_bytes(text_col), 256), 1, 32))
 
 
+def likely(rows: DataFrame, asked: DataFrame, key: str, most: int = 1 << 20) -> DataFrame:
+    """rows that may have one of the asked keys, all that do among them: few rows travel to a join that most of them would not survive.
+
+    Keys are told by their hash modulo `most`, so that at most that many numbers are
+    broadcast; where the keys asked for are more, the filter would pass most rows
+    and is left out.
+    """
+    number = F.pmod(F.xxhash64(key), F.lit(most))
+    if asked.count() > most // 2:
+        return rows
+    return rows.join(F.broadcast(asked.select(number.alias("number")).distinct()), number == F.col("number"), "left_semi")
+
+
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, at_least: float = 0.8, radius: int | None = 2) -> DataFrame:
     """(doc_id, of, size, root, component_id) for every row; size is that of its shingle set, root stands for its component, of for its text.
 
@@ -100,7 +113,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         asked = as_table(some.join(nodes, "node", "left_semi").groupBy("of").agg(F.min("node").alias("node")), "asked")
-        found = source.select("of", "text").join(asked, "of").groupBy("node").agg(F.first("text").alias("text"))
+        found = likely(source.select("of", "text"), asked, "of").join(asked, "of").groupBy("node").agg(F.first("text").alias("text"))
         return arrow_map(found, items, "node long, items array<long>")
 
     roots = settle(some.select("node", "bands"), sets_of, at_least, _close(some, radius) if radius is not None else None)
