@@ -17,24 +17,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesvec import ALNUM_LOWER, span_hashes, words
-from .common import as_table, numbered, release, text_bytes
+from .common import as_table, numbered, release, small_batches, text_bytes
 
-#: Bytes of text that are counted at a time, and bytes of text for each part of the dictionary.
-UNIT, PART = 16 << 20, 16 << 20
+#: Rows in an Arrow batch, bytes of text that are counted at a time, and bytes of text for each part of the dictionary.
+ROWS = 500
+UNIT, PART = 8 << 20, 16 << 20
+#: Strings of a part that come together before they are merged.
+STEP = 1 << 19
 
 
-def units(batches: Iterator[pa.RecordBatch], most: int = UNIT) -> Iterator[pa.RecordBatch]:
-    """Runs of rows with about `most` bytes of text each."""
+def units(batches: Iterator[pa.RecordBatch], most: int = UNIT) -> Iterator[pa.Table]:
+    """Runs of rows with about `most` bytes of text each, put together from small batches."""
+    held, size = [], 0
     for batch in batches:
-        sizes = pc.binary_length(batch["text"]).to_pylist()
-        begin, held = 0, 0
-        for k, n in enumerate(sizes):
-            if held and held + n > most:
-                yield batch.slice(begin, k - begin)
-                begin, held = k, 0
-            held += n
-        if begin < batch.num_rows:
-            yield batch.slice(begin)
+        begin = 0
+        for k, n in enumerate(pc.binary_length(batch["text"]).to_pylist()):
+            if size and size + n > most:
+                yield pa.Table.from_batches([*held, batch.slice(begin, k - begin)])
+                held, size, begin = [], 0, k
+            size += n
+        held.append(batch.slice(begin))
+    if size or any(x.num_rows for x in held):
+        yield pa.Table.from_batches(held)
 
 
 @dataclass
@@ -152,17 +156,25 @@ def _rank(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 PACKED = "part int, strings int, lens binary, data binary, often binary"
 
 
-def _unpacked(t: pa.Table) -> pa.Table:
-    """(gram, n) of the packed rows of a part."""
-    parts, often = [], []
-    for row in t.to_pylist():
-        lens, data, n = (zstandard.decompress(row[c]) for c in ("lens", "data", "often"))
-        kinds = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}
-        whole = lambda x, rows=row["strings"]: np.frombuffer(x, kinds[len(x) // rows]).astype(np.int64)
-        ends = np.concatenate([[0], np.cumsum(whole(lens))]).astype(np.int32)
-        parts.append(pa.Array.from_buffers(pa.binary(), row["strings"], [None, pa.py_buffer(ends), pa.py_buffer(data)]))
-        often.append(whole(n))
-    return pa.table({"gram": pa.chunked_array(parts, pa.binary()), "n": np.concatenate(often) if often else np.zeros(0, np.int64)})
+def _unpacked(row: dict) -> pa.Table:
+    """(gram, n) of a packed row."""
+    lens, data, n = (zstandard.decompress(row[c]) for c in ("lens", "data", "often"))
+    kinds = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}
+    whole = lambda x: np.frombuffer(x, kinds[len(x) // row["strings"]]).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(whole(lens))]).astype(np.int32)
+    return pa.table({"gram": pa.Array.from_buffers(pa.binary(), row["strings"], [None, pa.py_buffer(ends), pa.py_buffer(data)]), "n": whole(n)})
+
+
+def merged(packed: pa.Table, step: int = STEP) -> pa.Table:
+    """(gram, n) of distinct strings of the packed rows of a part, merged when about `step` strings have come together."""
+    held, size = [], 0
+    for k in range(packed.num_rows):
+        held.append(_unpacked(packed.slice(k, 1).to_pylist()[0]))
+        size += held[-1].num_rows
+        if size > step or k == packed.num_rows - 1:
+            both = pa.concat_tables(held).group_by("gram").aggregate([("n", "sum")]).rename_columns(["gram", "n"])
+            held, size = [both], 0
+    return held[0] if held else pa.table({"gram": pa.array([], pa.binary()), "n": pa.array([], pa.int64())})
 
 
 def dictionary_counts(df: DataFrame, text_col: str, longest: int, buckets: int) -> np.ndarray:
@@ -193,10 +205,10 @@ def dictionary_counts(df: DataFrame, text_col: str, longest: int, buckets: int)
             release()
 
     def add(t: pa.Table) -> pa.Table:
-        distinct = _unpacked(t).group_by("gram").aggregate([("n", "sum")])
         total = np.zeros(buckets, np.int64)
-        for chunk, n in zip(distinct["gram"].chunks, distinct["n_sum"].chunks, strict=True):
-            np.add.at(total, crcs(chunk) % np.uint32(buckets), n.to_numpy())
+        for own in merged(t).to_batches(max_chunksize=1 << 16):
+            np.add.at(total, crcs(own["gram"]) % np.uint32(buckets), own["n"].to_numpy())
+        release()
         some = np.flatnonzero(total)
         return pa.table({"bucket": some, "n": total[some]})
 
@@ -229,7 +241,7 @@ def weights(df: DataFrame, gain: np.ndarray, id_col: str, text_col: str, longest
                 total = np.concatenate([[0], np.cumsum(told)])
                 weight += total[here[1:]] - total[here[:-1]]
                 features += np.diff(here)
-            yield pa.RecordBatch.from_arrays([unit["doc_id"], pa.array(per_doc.astype(np.int64)), pa.array(features), pa.array(weight)], names=["doc_id", "n_words", "n_features", "weight"])
+            yield pa.RecordBatch.from_arrays([unit["doc_id"].combine_chunks(), pa.array(per_doc.astype(np.int64)), pa.array(features), pa.array(weight)], names=["doc_id", "n_words", "n_features", "weight"])
             release()
 
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_words long, n_features long, weight long")
@@ -250,8 +262,9 @@ def resample(df: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
     ranked in any order, each by itself.  Other columns are ignored; an empty table
     gives an empty result, an empty target gains from smoothing alone.
     """
-    gain = gains(dictionary_counts(df, text_col, longest, buckets), dictionary_counts(target, target_text_col, longest, buckets))
-    found = weights(df, gain, id_col, text_col, longest)
+    with small_batches(df.sparkSession, ROWS):
+        gain = gains(dictionary_counts(df, text_col, longest, buckets), dictionary_counts(target, target_text_col, longest, buckets))
+        found = as_table(weights(df, gain, id_col, text_col, longest), "weights")
     drawn = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"), 256), 1, 8), 16, 10).cast("double")
     noise = F.floor(-1000 * F.log(-F.log((drawn + 0.5) / 4294967296)))
     scored = as_table(found.select("*", (F.col("weight") + noise).cast("long").alias("score"), F.monotonically_increasing_id().alias("row")), "scores")

@@ -85,6 +85,6 @@ def test_packed_strings_come_back():
         strings = resample.spelled(own, word, strings)
         assert resample.crcs(strings).tolist() == [zlib.crc32(s) for s in strings.to_pylist()]
         rows = list(resample._dealt(strings, own.often, np.arange(len(strings)) % 3, 3, np.arange(len(strings))[::-1]))
-        back = resample._unpacked(pa.Table.from_pylist(rows))
+        back = resample.merged(pa.Table.from_pylist(rows), step=1)
         got.update({g.decode(): n for g, n in zip(back["gram"].to_pylist(), back["n"].to_pylist(), strict=True)})
     assert got == want
