@@ -353,7 +353,7 @@ def test_new_files_are_followed(spark, tmp_path):
     for n in (1, 2):
         (tmp_path / "in").mkdir(exist_ok=True)
         (tmp_path / f"in/{n}.txt").write_text("x")
-        assert streaming_files.follow(spark, str(tmp_path / "in"), str(tmp_path / "cp"), lambda paths: seen.append(sorted(p[-5:] for p in paths))).awaitTermination(120)
+        assert streaming_files.follow(spark, str(tmp_path / "in"), str(tmp_path / "cp"), lambda paths, _: seen.append(sorted(r["path"][-5:] for r in paths.collect()))).awaitTermination(120)
     assert seen == [["1.txt"], ["2.txt"]] or seen == [["/1.txt"], ["/2.txt"]]
 
 
