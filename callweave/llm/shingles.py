@@ -18,12 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesvec import SPACED_LOWER, mix, window_hashes, word_hashes, words
-from .common import arrow_map, as_table, id_in, id_out, meet, text_bytes
+from .common import arrow_map, as_table, id_in, id_out, meet, small_batches, text_bytes
 from .setlinks import ASKERS, settle
 from .simhash import links, majority
 from .superminhash import band_keys, signatures
 
 U = np.uint64
+#: Rows in an Arrow batch.
+ROWS = 1000
 
 
 def shingle_sets(texts: list[bytes], shingle: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +92,12 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     Null texts count as empty; a null id is passed over as a component's least id
     unless there is no other; other columns are ignored.
     """
-    source = df.select(id_in(id_col), text_bytes(text_col).alias("text")).withColumn("of", text_key("text"))
+    with small_batches(df.sparkSession, ROWS):  # all Python steps end in written tables inside
+        return _near_copies(df.select(id_in(id_col), text_bytes(text_col).alias("text")), shingle, at_least, radius)
+
+
+def _near_copies(rows: DataFrame, shingle: int, at_least: float, radius: int | None) -> DataFrame:
+    source = rows.withColumn("of", text_key("text"))
 
     def mark(pdf: pd.DataFrame) -> pd.DataFrame:
         got, begin = shingle_sets(list(pdf["text"]), shingle)
