@@ -6,7 +6,7 @@ kept.  A stage's result is written as Parquet and read again before the next.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callweave.llm import decontaminate, exact, pieces, quality, shingles
@@ -22,16 +22,19 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.keep_good(docs, quality_model(spark, sf_dir))
 
 
-def _without(docs: DataFrame, gone: DataFrame, repeated: DataFrame, key: str, value) -> DataFrame:
-    """docs without the rows (doc_id, key) of gone, and one row for each key of repeated; null ids are equal here."""
-    rows, cols = docs.withColumn(key, value), docs.columns
-    gone = as_table(gone.select(F.col("doc_id").alias("_id"), F.col(key).alias("_key")).distinct(), "gone")
-    left = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(key) == F.col("_key")), "left_anti")
+def _without(docs: DataFrame, gone: DataFrame, repeated: DataFrame, key: Column) -> DataFrame:
+    """docs without the rows (id, key) of gone, and one row for each key of repeated; null ids are equal here.
+
+    A row is one struct meanwhile, so that no column of docs meets a helper's name.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), key.alias("key"))
+    gone = as_table(gone.distinct(), "gone").select(F.col("id").alias("gone_id"), F.col("key").alias("gone_key"))
+    left = rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("key") == F.col("gone_key")), "left_anti")
     if repeated.isEmpty():
-        return left.select(cols)
-    order = F.struct(F.sha2(F.col("text").cast("binary"), 256), F.xxhash64(*cols))
-    one = left.join(repeated, key, "left_semi").groupBy(key, "doc_id").agg(F.max_by(F.struct(*cols), order).alias("row")).select("row.*")
-    return left.join(repeated, key, "left_anti").select(cols).unionByName(one)
+        return left.select("row.*")
+    order = F.struct(F.sha2(F.col("row.text").cast("binary"), 256), F.xxhash64("row"))
+    one = left.join(repeated, "key", "left_semi").groupBy("key", "id").agg(F.max_by("row", order).alias("row"))
+    return left.join(repeated, "key", "left_anti").select("row.*").unionByName(one.select("row.*"))
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,27 +43,27 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Rows are told apart by doc_id and text: other texts with a dropped row's id stay.
     Of rows that share the largest id (or have null ids only) and the text, one stays.
     """
-    found = as_table(exact.dedup_exact(docs).select("doc_id", "kept", F.xxhash64("digest").alias("_digest")), "exact")
-    repeated = as_table(found.where("kept").groupBy("_digest").count().where("count > 1").select("_digest"), "repeated")
+    found = as_table(exact.dedup_exact(docs).select(F.col("doc_id").alias("id"), "kept", F.col("digest").alias("key")), "exact")
+    repeated = as_table(found.where("kept").groupBy("key").count().where("count > 1").select("key"), "repeated")
     lowered = F.translate(F.coalesce(F.col("text"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return _without(docs, found.where("not kept"), repeated, "_digest", F.xxhash64(F.unhex(F.sha2(lowered.cast("binary"), 256))))
+    return _without(docs, found.where("not kept").select("id", "key"), repeated, F.unhex(F.sha2(lowered.cast("binary"), 256)))
 
 
 def distinct_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates one row stays, of those with the smallest doc_id; a null doc_id loses to any other.
 
     Rows are linked where their sets of five-word shingles are similar by 0.8 or more:
-    SimHash links within two bits, and for the rest MinHash bands, each confirmed exactly.
+    SimHash links within two bits, and for the rest SuperMinHash bands, each confirmed exactly.
     They are told apart by doc_id and text: other texts with a dropped row's id stay.
     Of rows that share the smallest id (or have null ids only) in a group, one stays.
     """
-    found = as_table(shingles.near_copies(docs, shingle=5, at_least=0.8).withColumnRenamed("of", "_of"), "near")
-    first = found.withColumn("first", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = shingles.near_copies(docs, shingle=5, at_least=0.8)
+    found = as_table(found.select(F.col("doc_id").alias("id"), F.col("of").alias("key"), "root", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("first")), "near")
     # A root is met again only where several rows of a group have its least id.
-    tied = first.where("first").groupBy("root").agg(F.min("_of").alias("best"), F.count("*").alias("n")).where("n > 1")
-    ties = as_table(first.where("first").join(tied, "root").select("doc_id", "_of", "best"), "ties")
-    gone = first.where("not first").select("doc_id", "_of").unionByName(ties.where("_of <> best").select("doc_id", "_of"))
-    return _without(docs, gone, ties.select(F.col("best").alias("_of")).distinct(), "_of", shingles.text_key("text"))
+    tied = found.where("first").groupBy("root").agg(F.min("key").alias("best"), F.count("*").alias("n")).where("n > 1")
+    ties = as_table(found.where("first").join(tied, "root").select("id", "key", "best"), "ties")
+    gone = found.where("not first").select("id", "key").unionByName(ties.where("key <> best").select("id", "key"))
+    return _without(docs, gone, ties.select(F.col("best").alias("key")).distinct(), shingles.text_key("text"))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
