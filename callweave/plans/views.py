@@ -76,9 +76,18 @@ EVENT_STATUS = ("started", "ringing", "answered", "busy", "unanswered", "timeout
 
 def call_events(spark, d) -> DataFrame:
     """Provider events: a call is a user, its statuses go round by event id."""
+    return provider_events(table(spark, d, "events"))
+
+
+def provider_events(events: DataFrame) -> DataFrame:
     pick = F.element_at(F.array(*[F.lit(s) for s in EVENT_STATUS]), (F.col("event_id") % len(EVENT_STATUS)).cast("int") + 1)
     duration = F.when(F.col("event_id") % 4 == 0, "n/a").when(F.col("event_id") % 4 != 1, F.col("value").cast("string"))
-    return table(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("uuid"), pick.alias("status"), duration.alias("duration"), "ts")
+    return events.select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("uuid"), pick.alias("status"), duration.alias("duration"), "ts")
+
+
+def streamed(spark, d, name: str) -> DataFrame:
+    """A table as a stream of its files."""
+    return spark.readStream.schema(table(spark, d, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
 SQL = {

@@ -11,12 +11,13 @@ from . import registry_functions  # noqa: F401  (registers its queries)
 from .catalog import SQL, TENANT, Q, query
 from .functions import embedding
 from .functions import text as X
-from .operators import cells, chunking, evaluation, greedy, html_sections, metrics, mutations, relational, retrieval
+from .operators import cells, chunking, evaluation, greedy, html_sections, metrics, mutations, relational, retrieval, store
 from .plans import views as V
 from .plans.intent import METRICS, AnalyticsIntent
 from .plans.tenancy import clean_filters, predicate, scoped
 from .sources.staging import fresh_folder
 from .streaming import calls as C
+from .streaming import keyed
 
 
 
@@ -116,9 +117,7 @@ def sessions(s, d) -> DataFrame:
     return relational.titled(last, m)
 
 
-query("r17_session_list", f"WITH {_SESSIONS} SELECT id, updated_at, title, row_number() OVER (ORDER BY updated_at DESC, id) AS place FROM s WHERE company_id = 3", "messages")(
-    lambda s, d: relational.session_list(sessions(s, d), TENANT).select("id", "updated_at", "title").withColumn("place", F.row_number().over(Window.orderBy(F.desc("updated_at"), "id")))
-)
+query("r17_session_list", f"WITH {_SESSIONS} SELECT id, updated_at, title FROM s WHERE company_id = 3", "messages")(lambda s, d: relational.session_list(sessions(s, d), TENANT).select("id", "updated_at", "title"))
 query("t10_session_titles", f"WITH {_SESSIONS} SELECT id, title FROM s", "messages")(lambda s, d: sessions(s, d).select("id", "title"))
 query("r17_message_order", "SELECT session_id, id, row_number() OVER (PARTITION BY session_id ORDER BY id) AS place FROM messages", "messages")(
     lambda s, d: relational.ordered_messages(V.messages(s, d), "id").select("session_id", "id", "place")
@@ -143,6 +142,29 @@ _K = ("chunk_id", "document_id", "ordinal", "text")
 query("k4_upsert", "SELECT chunk_id, document_id, ordinal, CASE WHEN ordinal % 3 = 0 THEN 'new' ELSE text END AS text FROM chunks", "chunks")(
     lambda s, d: mutations.upsert(V.chunks(s, d).select(*_K), V.chunks(s, d).where("ordinal % 3 = 0").select(*_K[:3], F.lit("new").alias("text")))
 )
+
+
+def stored(s, d) -> str:
+    """The chunks as a table in buckets of their documents."""
+    path = fresh_folder(s, "store")
+    store.create(V.chunks(s, d).select(*_K), path, "document_id")
+    return path
+
+
+def stored_upsert(s, d) -> DataFrame:
+    path = stored(s, d)
+    store.upsert(s, path, V.chunks(s, d).where("ordinal % 3 = 0").select(*_K[:3], F.lit("new").alias("text")))
+    return store.read(s, path)
+
+
+def stored_delete(s, d) -> DataFrame:
+    path = stored(s, d)
+    store.delete(s, path, V.chunks(s, d).where("document_id = 'd5'").select("document_id"), ["document_id"])
+    return store.read(s, path).select("chunk_id")
+
+
+query("k4_stored_upsert", "SELECT chunk_id, document_id, ordinal, CASE WHEN ordinal % 3 = 0 THEN 'new' ELSE text END AS text FROM chunks", "chunks")(stored_upsert)
+query("k6_stored_delete", "SELECT chunk_id FROM chunks WHERE document_id <> 'd5'", "chunks")(stored_delete)
 query("k5_add", "SELECT chunk_id, ordinal FROM chunks UNION ALL SELECT 'x' || chunk_id, ordinal FROM chunks", "chunks")(lambda s, d: mutations.add(V.chunks(s, d).select("chunk_id", "ordinal"), V.chunks(s, d).select(F.concat(F.lit("x"), "chunk_id").alias("chunk_id"), "ordinal")))
 query("k6_delete_document", "SELECT chunk_id FROM chunks WHERE document_id <> 'd5'", "chunks")(lambda s, d: mutations.delete_document(V.chunks(s, d), "d5")[0].select("chunk_id"))
 query("k7_delete_chunks", "SELECT count(*) AS deleted FROM chunks WHERE ordinal % 7 = 0", "chunks")(lambda s, d: mutations.delete_keys(V.chunks(s, d), V.chunks(s, d).where("ordinal % 7 = 0").select("chunk_id").unionByName(s.createDataFrame([("no",)], "chunk_id string")))[1])
@@ -313,6 +335,7 @@ query("u11_windows", """WITH w AS (SELECT doc_id, list_filter(string_split(trim(
     lambda s, d: chunking.fixed_parts(V.table(s, d, "documents").select("doc_id", "text"), 150, 20).select("doc_id", "part", "unit_count", F.md5(F.col("text").cast("binary")).alias("h"))
 )
 query("u7_html_sections")(lambda s, d: html_sections.page_sections(V.table(s, d, "pages")))
+query("u8_text_sections")(lambda s, d: html_sections.page_sections(V.table(s, d, "documents").select(F.col("doc_id").alias("page_id"), F.lit(None).cast("string").alias("html"), F.col("text").alias("fallback"))))
 _ABBR = ", ".join(f"'{a}'" for a in chunking.ABBREVIATIONS)
 _TOKENS = r"""k AS (SELECT doc_id, regexp_extract_all(text, '\S+\s*') AS ks FROM documents),
     e AS (SELECT doc_id, list_transform(ks, lambda k, i: CASE WHEN NOT contains(k, chr(10)) AND regexp_matches(rtrim(k), '[.!?؟۔⁉‽]$')
@@ -357,6 +380,27 @@ query("t9_memory", """WITH t AS (SELECT user_id, event_id, ts FROM events), l AS
     SELECT event_id AS seq FROM t JOIN a USING (user_id) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 6""")(
     lambda s, d: C.memory(V.table(s, d, "events").select(F.lit(3).alias("company_id"), F.col("user_id").cast("string").alias("conversation_id"), F.col("event_id").alias("seq"), "ts"), ttl=864_000, now=F.lit(V.table(s, d, "events").agg(F.max("ts")).first()[0])).select("seq")
 )
+
+
+def memory_stream(s, d) -> DataFrame:
+    """The turns that conversations (users) hold when the stream has read all events: six each, if the last is six hours old at most as the watermark goes."""
+    turns = V.streamed(s, d, "events").select(F.lit(3).alias("company_id"), F.col("user_id").cast("string").alias("conversation_id"), F.col("event_id").alias("seq"), "ts", F.col("event_type").alias("question"), F.lit("").alias("answer"))
+    rows = keyed.written(keyed.memory_stream(turns, ttl=21_600, late="10 minutes"), "update", fresh_folder(s, "memory"))
+    last = rows.groupBy("company_id", "conversation_id").agg(F.max_by(F.struct("forgotten", "turns"), F.struct("batch", ~F.col("forgotten"))).alias("now"))
+    return last.where("NOT now.forgotten").select("conversation_id", F.explode("now.turns.seq").alias("seq"))
+
+
+query("t9_memory_stream", """WITH l AS (SELECT user_id, max(ts) AS last FROM events GROUP BY 1), m AS (SELECT max(ts) AS now FROM events)
+    SELECT CAST(user_id AS VARCHAR) AS conversation_id, event_id AS seq FROM events JOIN l USING (user_id), m WHERE epoch_ms(last) + 21600000 > epoch_ms(now) - 600000 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 6""")(memory_stream)
+
+
+def ticket_stream(s, d) -> DataFrame:
+    """The latest row of each ticket when the stream has read all events."""
+    rows = keyed.written(keyed.ticket_stream(V.provider_events(V.streamed(s, d, "events")), known_calls(s, d)), "append", fresh_folder(s, "tickets"))
+    return rows.groupBy("company_id", "ticket_id").agg(F.max_by("status", "batch").alias("status")).select(F.col("ticket_id"), F.col("company_id").cast("int").alias("company_id"), "status")
+
+
+query("t1b_ticket_stream", SQL["t1b_ticket_updates"])(ticket_stream)
 query("t_windowed_counts", f"SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, {_MAP} AS status, count(*) AS events FROM call_events GROUP BY 1, 2", "call_events")(lambda s, d: C.windowed_counts(V.call_events(s, d)).select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "status", "events"))
 
 

@@ -8,6 +8,7 @@ and no more.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,35 @@ def use_state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
 
 
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """`use_state_store` for what is started inside."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    use_state_store(spark)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
+def written(stream: DataFrame, mode: str, folder: str) -> DataFrame:
+    """Run a keyed stream over what its source has now and give its rows, with the number of the batch that each came in.
+
+    A batch's rows replace what was written under its number, so that a batch tried
+    again counts once; run it again on the same folder to go on with new input.
+    """
+    spark = stream.sparkSession
+
+    def each(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    with state_store(spark):
+        query = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+    return spark.read.schema(stream.withColumn("batch", F.lit(0)).schema).parquet(f"{folder}/rows")
+
+
 def _millis(spark_time) -> int:
     return int(pd.Timestamp(spark_time).value // 1_000_000)
 

@@ -256,6 +256,15 @@ def test_registered_query_equals_a_plain_walk(spark):
     assert sorted(got, key=str) == sorted(want, key=str) and got
 
 
+def test_registered_text_sections_equal_a_plain_walk(spark):
+    from callweave import registry
+
+    sf = "/root/testdata/sf0.001"
+    got = sorted((tuple(r) for r in registry.queries()["u8_text_sections"](spark, sf).collect()), key=str)
+    want = sorted(((d["doc_id"], *r) for d in spark.read.parquet(f"{sf}/documents.parquet").collect() for r in sections(None, d["text"])), key=str)
+    assert got == want and {r[6] for r in got} == {"text_fallback", "no_section"}
+
+
 def _large(n, rng):
     t = lambda k: " ".join(rng.choice(WORDS) for _ in range(k))
     parts, count = [], 0
