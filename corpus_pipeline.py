@@ -14,7 +14,9 @@ from callweave.llm.common import as_table, scratch, small_batches
 from callweave.llm.queries import VOCABULARY, quality_model
 
 #: Rows in an Arrow batch: Python workers are used again by later stages and keep what the largest batch took.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
+#: Bytes of text that are encoded at a time: less than by itself, as the executors' memory has been touched by four stages then.
+ENCODED_BYTES = 1 << 18
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,7 +75,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded_sha256) of every document left, one for each row: null ids are kept, null and empty texts have no ids."""
-    return pieces.digest(pieces.encode(docs, pieces.load(VOCABULARY)))
+    return pieces.digest(pieces.encode(docs, pieces.load(VOCABULARY), batch_bytes=ENCODED_BYTES))
 
 
 STAGES = [
