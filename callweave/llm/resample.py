@@ -23,7 +23,7 @@ from .common import as_table, numbered, release, small_batches, text_bytes
 ROWS = 500
 UNIT, PART = 8 << 20, 16 << 20
 #: Strings of a part that come together before they are merged.
-STEP = 1 << 19
+STEP = 1 << 18
 
 
 def units(batches: Iterator[pa.RecordBatch], most: int = UNIT) -> Iterator[pa.Table]:
