@@ -29,7 +29,8 @@ def build(chunks: DataFrame, path: str, shard: int = SHARD) -> None:
     spark = chunks.sparkSession
     chunks.select("chunk_id", F.col("ordinal").cast("long").alias("ordinal"), "tokens").write.mode("overwrite").parquet(f"{path}/tokens")
     stored = spark.read.parquet(f"{path}/tokens")
-    shards = max(1, -(-stored.count() // shard))
+    count = stored.count()
+    shards = max(1, min(spark.sparkContext.defaultParallelism, count), -(-count // shard))  # a shard is one task's work in a search
     narrow = stored.select(F.pmod(F.xxhash64("chunk_id"), F.lit(shards)).cast("int").alias("shard"), "chunk_id", "ordinal")
     place = F.row_number().over(Window.partitionBy("shard").orderBy("ordinal", "chunk_id")) - 1
     narrow.withColumn("place", place).write.mode("overwrite").parquet(f"{path}/places")
