@@ -82,12 +82,12 @@ def _scorer(asked: list, n: int):
     """What finds the n best of a shard (its lists of the questions' terms) for each question (id, terms)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lists = dict(zip(pdf["term"], pdf["places"], strict=True))
+        lists = {t: np.asarray(p, np.int64) for t, p in zip(pdf["term"], pdf["places"], strict=True)}
         size, parts = int(pdf["size"].iloc[0]), []
         for q, own in asked:
             there = [t for t in own if t in lists]
             if there:
-                at, score = best([np.asarray(lists[t], np.int64) for t in there], [NUMBER if t.isdecimal() else 0.0 for t in there], len(own), n, size)
+                at, score = best([lists[t] for t in there], [NUMBER if t.isdecimal() else 0.0 for t in there], len(own), n, size)
                 parts.append(pd.DataFrame({"query_id": [q] * len(at), "place": at.astype(np.int32), "score": score}))
         out = pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "place": [], "score": []})
         out["shard"] = np.int32(pdf["shard"].iloc[0])
