@@ -16,7 +16,7 @@ from callweave.llm.queries import VOCABULARY, quality_model
 #: Rows in an Arrow batch: Python workers are used again by later stages and keep what the largest batch took.
 BATCH_ROWS = 500
 #: Bytes of text that are encoded at a time: less than by itself, as the executors' memory has been touched by four stages then.
-ENCODED_BYTES = 1 << 18
+ENCODED_BYTES = 1 << 17
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
