@@ -27,10 +27,10 @@ class ReplyClassifier(Protocol):
 
 
 class LexiconClassifier:
-    """Offline: words of denial before words of assent."""
+    """Offline: words of denial before words of assent; the English ones end where ASCII words do, as in SQL."""
 
-    NO = re.compile(r"\b(no|not|still|isn't|doesn't|never)\b|لا|لسه|مش", re.I)
-    YES = re.compile(r"\b(yes|yeah|solved|fixed|resolved|works|thanks)\b|نعم|ايوه|تمام|اتحلت", re.I)
+    NO = re.compile(r"(?a:\b)(no|not|still|isn't|doesn't|never)(?a:\b)|لا|لسه|مش", re.I)
+    YES = re.compile(r"(?a:\b)(yes|yeah|solved|fixed|resolved|works|thanks)(?a:\b)|نعم|ايوه|تمام|اتحلت", re.I)
 
     def classify(self, text: str) -> str:
         return "not_resolved" if self.NO.search(text) else "resolved" if self.YES.search(text) else "unclear"
