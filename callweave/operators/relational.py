@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.tenancy import Tenant, scoped
+from ..sources.staging import staged
 
 ACTIVE = ("initiating", "ringing", "in_progress")
 
@@ -86,8 +87,22 @@ def titled(sessions: DataFrame, messages: DataFrame, most: int = 80) -> DataFram
 
 
 def session_list(sessions: DataFrame, tenant: Tenant) -> DataFrame:
-    """A company's sessions, the last used first."""
-    return scoped(sessions, tenant).orderBy(F.desc("updated_at"), "id")
+    """A company's sessions with their place, the last used first."""
+    return placed(scoped(sessions, tenant), F.desc("updated_at"), F.asc("id"))
+
+
+def placed(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """rows with `place`, from 1 in the given order, which tells all rows apart.
+
+    Rows are sorted by ranges and a range's rows are counted, so that no task holds
+    more than its range; one number a range is added up.
+    """
+    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    kept = staged(sorted_rows.select("*", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().alias("_at")), "placed")
+    ranges = kept.groupBy("_range").agg(F.count("*").alias("n"), F.min("_at").alias("first"))
+    before = F.sum("n").over(Window.orderBy("_range")) - F.col("n")
+    starts = ranges.select("_range", (before - F.col("first") + 1).alias("move"))  # a row a range
+    return kept.join(F.broadcast(starts), "_range").withColumn("place", F.col("_at") + F.col("move")).drop("_range", "_at", "move")
 
 
 def ordered_messages(messages: DataFrame, *order: str) -> DataFrame:

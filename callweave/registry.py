@@ -117,7 +117,9 @@ def sessions(s, d) -> DataFrame:
     return relational.titled(last, m)
 
 
-query("r17_session_list", f"WITH {_SESSIONS} SELECT id, updated_at, title FROM s WHERE company_id = 3", "messages")(lambda s, d: relational.session_list(sessions(s, d), TENANT).select("id", "updated_at", "title"))
+query("r17_session_list", f"WITH {_SESSIONS} SELECT id, updated_at, title, row_number() OVER (ORDER BY updated_at DESC, id) AS place FROM s WHERE company_id = 3", "messages")(
+    lambda s, d: relational.session_list(sessions(s, d), TENANT).select("id", "updated_at", "title", "place")
+)
 query("t10_session_titles", f"WITH {_SESSIONS} SELECT id, title FROM s", "messages")(lambda s, d: sessions(s, d).select("id", "title"))
 query("r17_message_order", "SELECT session_id, id, row_number() OVER (PARTITION BY session_id ORDER BY id) AS place FROM messages", "messages")(
     lambda s, d: relational.ordered_messages(V.messages(s, d), "id").select("session_id", "id", "place")
