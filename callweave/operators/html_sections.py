@@ -255,7 +255,7 @@ def _sections(d: DataFrame) -> DataFrame:
 
 
 def _fallback(c: Column, least: int) -> Column:
-    """Titled sections of plain text; a title is a short line without a stop before a long one."""
+    """Titled sections of plain, tidied text; a title is a short line without a stop before a long one."""
 
     def of(lines: Column) -> Column:
         def is_title(line: Column, i: Column) -> Column:
@@ -270,7 +270,7 @@ def _fallback(c: Column, least: int) -> Column:
 
         return X.let(F.transform(lines, lambda line, i: F.struct(line.alias("line"), i.alias("at"), is_title(line, i).alias("title"))), cut)
 
-    return X.let(F.filter(F.split(_tidy(c), "\n"), lambda line: line != ""), of)
+    return X.let(F.filter(F.split(c, "\n"), lambda line: line != ""), of)
 
 
 def page_sections(pages: DataFrame, least: int = 40) -> DataFrame:
@@ -281,13 +281,17 @@ def page_sections(pages: DataFrame, least: int = 40) -> DataFrame:
     labelled controls are nested).
     """
     rich = pages if "fallback" in pages.columns else pages.withColumn("fallback", F.lit(None).cast("string"))
-    d = elements(rich).withColumn("least", F.lit(least))
+    bare = F.coalesce(F.col("html"), F.lit("")) == "" if least > 0 else F.lit(False)  # a page without html has no element to look at
+    d = elements(rich.where(~bare)).withColumn("least", F.lit(least))
     found = _sections(_with_blocks(_with_root(_with_components(X.bound(d, live="filter(elements, e -> NOT e.gone)")))))
     shape = F.lit(None).cast("string")
-    plain = X.bound(rich.select("page_id", X.nfkc("fallback").alias("fallback")).where(X.stripped("fallback") != ""), cut=_fallback(F.col("fallback"), least))
+    said = rich.select("page_id", bare.alias("bare"), "fallback").where(F.col("fallback").rlike(r"(?U)\S")).withColumn("fallback", X.nfkc("fallback"))
+    plain = X.bound(X.bound(said, tidy=_tidy(F.col("fallback"))), cut=_fallback(F.col("tidy"), least))
     row = lambda title, text, method: F.struct(title.alias("section_title"), F.when(title.isNotNull(), F.array(title)).alias("section_path"), F.when(title.isNotNull(), 1).alias("heading_level"), text.alias("text"), F.lit(method).alias("extraction_method"), shape.alias("component_type"), shape.alias("anchor_id"))
-    whole = F.array(row(shape, _tidy(F.col("fallback")), "no_section"))
-    plain = plain.select("page_id", F.when(F.size("cut") > 0, F.transform("cut", lambda s: row(s["title"], s["text"], "text_fallback"))).otherwise(whole).alias("plain"))
-    both = found.join(plain, "page_id", "left") if "fallback" in pages.columns else found.withColumn("plain", F.lit(None).cast(found.schema["sections"].dataType))
-    sections = F.when(F.size("sections") > 0, F.col("sections")).otherwise(F.col("plain"))
-    return both.select("page_id", F.posexplode(sections).alias("section_index", "s")).select("page_id", "section_index", "s.*")
+    whole = F.array(row(shape, F.col("tidy"), "no_section"))
+    plain = plain.select("page_id", "bare", F.when(F.size("cut") > 0, F.transform("cut", lambda s: row(s["title"], s["text"], "text_fallback"))).otherwise(whole).alias("plain"))
+    sections = F.col("sections")
+    if "fallback" in pages.columns:
+        beside = found.join(plain.where("NOT bare").drop("bare"), "page_id", "left")
+        found = beside.select("page_id", F.when(F.size("sections") > 0, sections).otherwise(F.col("plain")).alias("sections")).unionByName(plain.where("bare").select("page_id", F.col("plain").alias("sections")))
+    return found.select("page_id", F.posexplode(sections).alias("section_index", "s")).select("page_id", "section_index", "s.*")
