@@ -56,7 +56,11 @@ def dedupe_similar(chunks: DataFrame, threshold: float = 0.92, block: int = BLOC
     spark = chunks.sparkSession
     kind = dict(chunks.dtypes)["document_id"]
     narrow = chunks.where("part IS NOT NULL AND vector IS NOT NULL").select("document_id", F.col("part").cast("long").alias("part"), F.col("vector").cast("array<double>").alias("vector"))
-    rows = staged(narrow.withColumn("block", F.expr(f"part div {block}")), "vectors")
+    cell = F.expr(f"(part - pmod(part, {block}L)) div {block}L")
+    before = Window.partitionBy("document_id").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = narrow.groupBy("document_id", cell.alias("cell")).agg(F.count("*").alias("n"))
+    cells = cells.select("document_id", "cell", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / block).alias("block"))
+    rows = staged(narrow.withColumn("cell", cell).join(cells, ["document_id", "cell"]).drop("cell"), "vectors")
     path, schema = fresh_folder(spark, "kept"), _KEPT.format(kind)
     blocks = [r["block"] for r in rows.select("block").distinct().orderBy("block").collect()]  # one number for each `block` parts of the longest document
 
