@@ -9,14 +9,17 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from ..sources.staging import staged
 from . import text as X
 
+#: Texts whose vectors are held at a time: an Arrow batch has ten thousand texts, and 512 values each would be 40 MB, several times over.
+AT_ONCE = 256
+
 _WORD = re.compile(r"[\w؀-ۿ]+")
 
 
@@ -73,10 +76,13 @@ def embedder(kind: str | Provider = "lexical", question: bool = False):
     provider = Offline(kind) if isinstance(kind, str) else kind
     lead = prefix(provider.name, question)
 
-    @pandas_udf("array<double>")
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([provider.vector(lead + (t or "")) for t in texts])
+    @arrow_udf("array<double>")
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for at in range(0, len(batch), AT_ONCE):
+                vectors = [np.asarray(provider.vector(lead + (t or "")), float) for t in batch.slice(at, AT_ONCE).to_pylist()]
+                ends = np.cumsum([0, *map(len, vectors)], dtype=np.int32)
+                yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(vectors)))
 
     return embed
 
