@@ -43,7 +43,8 @@ def mended(token: Column) -> Column:
         bare = F.regexp_replace(t, r"^\)|\($", "")
         return F.concat(F.when(t.endswith("("), "(").otherwise(""), bare, F.when(t.startswith(")"), ")").otherwise(""))
 
-    return X.let(F.concat(F.substr(token, F.length(stops) + 1), stops), turned)
+    ends = token.rlike(rf"^[{STOPS})]|\($")  # most tokens have nothing at their ends
+    return F.when(ends, X.let(F.concat(F.substr(token, F.length(stops) + 1), stops), turned)).otherwise(token)
 
 
 def read(ranked: Column) -> Column:
@@ -89,7 +90,7 @@ def repaired_word_order(c: str | Column) -> Column:
         def of(w: Column) -> Column:
             share, lead = X.arabic_ratio(x), F.get(w, F.lit(0))
             stays = (F.size(w) < 2) | (share < ARABIC) | x.contains("|") | (lead.rlike(AMOUNT) & lead.contains("%") & x.startswith(lead))
-            return F.when(stays, x).otherwise(F.regexp_replace(row(x, w), *MINUS))
+            return F.when(stays, x).otherwise(X.let(row(x, w), lambda r: F.when(r.contains("-"), F.regexp_replace(r, *MINUS)).otherwise(r)))
 
         return X.let(tokens_of(x), of)
 

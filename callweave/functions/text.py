@@ -1,16 +1,21 @@
 """Text functions as column expressions; only NFKC and line-wise repairs run as Arrow batches.
 
 Java's \\w, \\s and \\b are ASCII unless (?U) is given, so it is given everywhere.
+Characters of a class are counted by what is left when all others go, in runs: a
+match for each character costs many times as much.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import StringType
 
 WORD = r"((?U)\w+)"
@@ -19,9 +24,27 @@ MARKS = "[ً-ٰٟـ]"
 ARABIC = r"[؀-ۿݐ-ݿﭐ-﷿ﹰ-﻿]"
 
 
-@pandas_udf(StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+#: What (?U)\\s matches.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Bytes of text that are Python objects at a time.
+AT_ONCE = 1 << 20
+
+
+def runs_of(texts: pa.Array, most: int = AT_ONCE) -> Iterator[pa.Array]:
+    """The array in slices of about `most` bytes, one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        till = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield texts.slice(at, till - at)
+        at = till
+
+
+@arrow_udf(StringType())
+def nfkc(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        for texts in runs_of(batch):
+            yield pa.array([t if t is None or t.isascii() else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
 
 
 def _col(c: str | Column) -> Column:
@@ -40,7 +63,22 @@ def bound(df: DataFrame, **cols: Column | str) -> DataFrame:
 
 def stripped(c: str | Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
+    return F.trim(_col(c), F.lit(SPACES))
+
+
+def left_of(c: str | Column, others: str) -> Column:
+    """How many characters are left when the others, a class, go."""
+    return F.length(F.regexp_replace(_col(c), f"{others}+", ""))
+
+
+def squeezed(c: str | Column, others: str) -> Column:
+    """Runs of characters but the others, a class, each behind one blank."""
+    return F.rtrim(F.concat(F.lit(" "), F.ltrim(F.regexp_replace(_col(c), f"{others}+", " "))))
+
+
+def _times(c: Column, part: str) -> Column:
+    """How often a string occurs, without overlaps."""
+    return ((F.length(c) - F.length(F.replace(c, F.lit(part), F.lit("")))) / len(part)).cast("int")
 
 
 def fold_term(c: str | Column) -> Column:
@@ -55,21 +93,31 @@ def fold_phrase(c: str | Column) -> Column:
 
 def normalised(c: str | Column) -> Column:
     """After NFKC: marks gone, one line end, one blank, trimmed lines, at most one empty line."""
-    x = F.regexp_replace(_col(c), "ـ|[ً-ْٰۖ-ۭ]", "")
+    x = F.regexp_replace(_col(c), "[ـً-ْٰۖ-ۭ]", "")
     x = F.regexp_replace(x, "\r\n?", "\n")
-    x = F.regexp_replace(x, "[ \t ‏‎]+", " ")
-    x = F.array_join(F.transform(F.split(x, "\n"), lambda line: F.regexp_replace(line, r"(?U)^\s+|\s+$", "")), "\n")
-    return F.regexp_replace(F.regexp_replace(x, "\n{3,}", "\n\n"), r"(?U)^\s+|\s+$", "")
+    x = F.regexp_replace(F.regexp_replace(x, "[\t\xa0\u200f\u200e]", " "), " {2,}", " ")
+    x = F.array_join(F.transform(F.split(x, "\n"), stripped), "\n")
+    return stripped(F.regexp_replace(x, "\n{3,}", "\n\n"))
 
 
 def letters(c: str | Column) -> Column:
-    return F.regexp_count(_col(c), F.lit(r"\p{L}"))
+    return left_of(c, r"\P{L}")
+
+
+def _high(c: Column) -> Column:
+    """Without the characters before the Arabic ones: a class of several ranges then has little to look at, which Java is slow at."""
+    return F.regexp_replace(c, "[\\x00-\u05ff]+", "")
+
+
+def _arabic_letters(c: Column) -> Column:
+    """All letters but those that are left when Arabic characters go, the frequent block first."""
+    rest = lambda h: F.regexp_replace(F.regexp_replace(h, "[\u0600-\u06ff]+", ""), f"{ARABIC}+", "")
+    return let(_high(c), lambda h: letters(h) - letters(rest(h)))
 
 
 def arabic_ratio(c: str | Column) -> Column:
     """Arabic letters among all letters, 0 without any."""
-    n = letters(c)
-    return F.when(n > 0, F.regexp_count(_col(c), F.lit(rf"(?=\p{{L}}){ARABIC}")) / n).otherwise(0.0)
+    return let(letters(c), lambda n: F.when(n > 0, _arabic_letters(_col(c)) / n).otherwise(0.0))
 
 
 def language(c: str | Column) -> Column:
@@ -115,28 +163,27 @@ MARKERS = ("في", "من", "على", "إلى", "التي", "الذي", "هذا",
 
 
 def _arabic_score(c: Column) -> Column:
-    words = F.regexp_extract_all(c, F.lit(r"([؀-ۿ]+)"), F.lit(1))
-    own = F.size(F.filter(words, lambda w: w.startswith("ال") & (F.length(w) > 2)))
+    own = F.regexp_count(squeezed(c, "[^؀-ۿ]"), F.lit(" ال[^ ]"))
     for m in MARKERS:
-        own = own + F.regexp_count(c, F.lit(f" {m} "))
+        own = own + _times(c, f" {m} ")
     return own
 
 
 def reversal(c: str | Column, least: int = 8) -> Column:
     """Struct of the verdict whether lines were stored back to front."""
 
-    def verdict(s: Column) -> Column:
-        n, there, back = s["n"], s["there"], s["back"]
+    def told(is_reversed: Column, there: Column, back: Column, n: Column, sure: Column) -> Column:
+        return F.struct(is_reversed.alias("is_reversed"), there.alias("forward_score"), back.alias("reversed_score"), n.alias("arabic_words"), sure.alias("confidence"))
+
+    def verdict(s: Column, n: Column) -> Column:
+        there, back = s["there"], s["back"]
         sure = F.when(there + back > 0, F.abs(there - back) / (there + back)).otherwise(0.0)
-        few = n < least
-        return F.struct(
-            F.when(few, False).otherwise((back > there) & (sure >= 0.5)).alias("is_reversed"), F.when(few, 0).otherwise(there).alias("forward_score"),
-            F.when(few, 0).otherwise(back).alias("reversed_score"), n.alias("arabic_words"), F.when(few, 0.0).otherwise(sure).alias("confidence"),
-        )
+        return told((back > there) & (sure >= 0.5), there, back, n, sure)
 
     def scores(x: Column) -> Column:
-        n = F.regexp_count(x, F.lit(r"[؀-ۿ]+"))
-        return let(F.struct(n.alias("n"), _arabic_score(x).alias("there"), let(reversed_lines(x), _arabic_score).alias("back")), verdict)
+        both = lambda: F.struct(_arabic_score(x).alias("there"), let(reversed_lines(x), _arabic_score).alias("back"))
+        few = lambda n: told(F.lit(False), F.lit(0), F.lit(0), n, F.lit(0.0))
+        return let(_times(squeezed(x, "[^؀-ۿ]"), " "), lambda n: F.when(n < least, few(n)).otherwise(let(both(), lambda s: verdict(s, n))))
 
     return let(_col(c), scores)
 
@@ -158,13 +205,13 @@ PROSE_MARKS = r".,;:!?()\[\]{}\-–—'\"/%&@#*+=<>|~`^$_\\،؛؟٪٫٬٭«»‘
 
 
 def _visible(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(r"(?U)\S"))
+    return left_of(c, r"(?U)\s")
 
 
 def non_text_ratio(c: str | Column) -> Column:
     c = _col(c)
-    bad = F.regexp_count(c, F.lit(rf"(?U)[^\s\p{{L}}\p{{N}}{PROSE_MARKS}]"))
-    return F.when(_visible(c) > 0, bad / _visible(c)).otherwise(0.0)
+    bad = left_of(F.regexp_replace(c, r"[\t-\r -~]+", ""), rf"(?U)[\s\p{{L}}\p{{N}}{PROSE_MARKS}]")
+    return let(_visible(c), lambda n: F.when(n > 0, bad / n).otherwise(0.0))
 
 
 def quality(text: str | Column, pages: str | Column, pages_with_text: str | Column, headings: str | Column, least: int = 80) -> Column:
@@ -172,9 +219,9 @@ def quality(text: str | Column, pages: str | Column, pages_with_text: str | Colu
 
     def measures(c: Column) -> Column:
         return F.struct(
-            F.length(c).alias("chars"), letters(c).alias("letters"), _visible(c).alias("visible"), F.regexp_count(c, F.lit(r"[\p{L}\p{N}]")).alias("alnum"),
-            F.regexp_count(c, F.lit(r"[ﭐ-﷿ﹰ-﻿]")).alias("forms"), F.regexp_count(c, F.lit(r"[�-]")).alias("broken"), arabic_ratio(c).alias("arabic"), non_text_ratio(c).alias("filler"),
-            let(words(c), lambda w: F.struct(F.size(w).alias("n"), F.aggregate(w, F.lit(0), lambda s, x: s + F.length(x)).alias("chars"))).alias("words"), reversal(c)["is_reversed"].alias("reversed"),
+            F.length(c).alias("chars"), letters(c).alias("letters"), _visible(c).alias("visible"), left_of(c, r"[^\p{L}\p{N}]").alias("alnum"),
+            left_of(_high(c), r"[^ﭐ-﷿ﹰ-﻿]").alias("forms"), left_of(_high(c), r"[^�-]").alias("broken"), arabic_ratio(c).alias("arabic"), non_text_ratio(c).alias("filler"),
+            let(squeezed(c, r"(?U)[^\w؀-ۿ]"), lambda s: let(_times(s, " "), lambda n: F.struct(n.alias("n"), (F.length(s) - n).alias("chars")))).alias("words"), reversal(c)["is_reversed"].alias("reversed"),
         )
 
     def rates(m: Column) -> Column:
