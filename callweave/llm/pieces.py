@@ -317,7 +317,7 @@ def _runs(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield begin, len(sizes)
 
 
-def encode(df: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 1 << 19) -> DataFrame:
+def encode(df: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 1 << 20) -> DataFrame:
     """(doc_id, ids, decoded) for every row: the ids of the whole text, and their text again.
 
     The ids are those of the vocabulary's own reference encoder.  Null and empty

@@ -22,8 +22,8 @@ from .common import as_table, numbered, release, small_batches, text_bytes
 #: Rows in an Arrow batch, bytes of text that are counted at a time, and bytes of text for each part of the dictionary.
 ROWS = 500
 UNIT, PART = 8 << 20, 16 << 20
-#: Strings of a part that come together before they are merged.
-STEP = 1 << 18
+#: Strings of a part that come together before they are merged, at least, and slices of a part that are merged one after another.
+STEP, SLICES = 1 << 21, 4
 
 
 def units(batches: Iterator[pa.RecordBatch], most: int = UNIT) -> Iterator[pa.Table]:
@@ -156,24 +156,41 @@ def _rank(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 PACKED = "part int, strings int, lens binary, data binary, often binary"
 
 
-def _unpacked(row: dict) -> pa.Table:
-    """(gram, n) of a packed row."""
+def _slice_of(ends: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """A number below SLICES that follows from the string alone: from its length, its last byte and the one in the middle."""
+    size = np.diff(ends)
+    some = np.flatnonzero(size)
+    out = size.astype(np.uint32) * np.uint32(0x9E3779B1)
+    out[some] ^= data[ends[some + 1] - 1] * np.uint32(0x85EBCA77) ^ data[ends[some] + size[some] // 2] * np.uint32(0xC2B2AE3D)
+    return (out >> np.uint32(16)) % np.uint32(SLICES)
+
+
+def _unpacked(row: dict, piece: int | None = None) -> pa.Table:
+    """(gram, n) of a packed row, or of one slice of its strings."""
     lens, data, n = (zstandard.decompress(row[c]) for c in ("lens", "data", "often"))
     kinds = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}
-    whole = lambda x: np.frombuffer(x, kinds[len(x) // row["strings"]]).astype(np.int64)
-    ends = np.concatenate([[0], np.cumsum(whole(lens))]).astype(np.int32)
-    return pa.table({"gram": pa.Array.from_buffers(pa.binary(), row["strings"], [None, pa.py_buffer(ends), pa.py_buffer(data)]), "n": whole(n)})
+    whole = lambda x: np.frombuffer(x, kinds[len(x) // row["strings"]])
+    ends = np.concatenate([[0], np.cumsum(whole(lens), dtype=np.int64)]).astype(np.int32)
+    strings, n = pa.Array.from_buffers(pa.binary(), row["strings"], [None, pa.py_buffer(ends), pa.py_buffer(data)]), whole(n)
+    if piece is not None:
+        own = _slice_of(ends, np.frombuffer(data, np.uint8)) == piece
+        strings, n = strings.filter(pa.array(own)), n[own]
+    return pa.table({"gram": strings, "n": n.astype(np.int64)})
 
 
-def merged(packed: pa.Table, step: int = STEP) -> pa.Table:
-    """(gram, n) of distinct strings of the packed rows of a part, merged when about `step` strings have come together."""
-    held, size = [], 0
+def merged(packed: pa.Table, step: int = STEP, piece: int | None = None) -> pa.Table:
+    """(gram, n) of distinct strings of the packed rows of a part, or of one slice of it.
+
+    They are merged when more have come together than are merged already, and than
+    `step`, so that a string is merged a few times at most.
+    """
+    held, size, known = [], 0, 0
     for k in range(packed.num_rows):
-        held.append(_unpacked(packed.slice(k, 1).to_pylist()[0]))
+        held.append(_unpacked(packed.slice(k, 1).to_pylist()[0], piece))
         size += held[-1].num_rows
-        if size > step or k == packed.num_rows - 1:
+        if size > max(step, known) or k == packed.num_rows - 1:
             both = pa.concat_tables(held).group_by("gram").aggregate([("n", "sum")]).rename_columns(["gram", "n"])
-            held, size = [both], 0
+            held, size, known = [both], 0, both.num_rows
     return held[0] if held else pa.table({"gram": pa.array([], pa.binary()), "n": pa.array([], pa.int64())})
 
 
@@ -182,7 +199,8 @@ def dictionary_counts(df: DataFrame, text_col: str, longest: int, buckets: int)
 
     A unit of texts sends each of its distinct strings once, packed, to the part of
     the dictionary that the string belongs to; there its counts from all units are
-    added up.  What reaches the driver is one number a bucket.
+    added up, one slice of the part after the other, so that a task holds the
+    strings of one.  What reaches the driver is one number a bucket.
     """
     texts = df.select(text_bytes(text_col).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
@@ -206,9 +224,10 @@ def dictionary_counts(df: DataFrame, text_col: str, longest: int, buckets: int)
 
     def add(t: pa.Table) -> pa.Table:
         total = np.zeros(buckets, np.int64)
-        for own in merged(t).to_batches(max_chunksize=1 << 16):
-            np.add.at(total, crcs(own["gram"]) % np.uint32(buckets), own["n"].to_numpy())
-        release()
+        for piece in range(SLICES):
+            for own in merged(t, piece=piece).to_batches(max_chunksize=1 << 16):
+                np.add.at(total, crcs(own["gram"]) % np.uint32(buckets), own["n"].to_numpy())
+            release()
         some = np.flatnonzero(total)
         return pa.table({"bucket": some, "n": total[some]})
 
