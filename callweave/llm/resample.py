@@ -127,7 +127,7 @@ def crcs(strings: pa.Array, before: bytes = b"") -> np.ndarray:
     return np.fromiter((zlib.crc32(view[a:b], begin) for a, b in zip(at[:-1], at[1:], strict=True)), np.uint32, len(strings))
 
 
-_PACK = zstandard.ZstdCompressor(level=5)
+_PACK, _PACK_NUMBERS = zstandard.ZstdCompressor(level=5), zstandard.ZstdCompressor(level=1)
 
 
 def _small(x: np.ndarray) -> np.ndarray:
@@ -142,7 +142,7 @@ def _dealt(strings: pa.Array, n: np.ndarray, part: np.ndarray, parts: int, order
     for p in np.flatnonzero(np.diff(cut)):
         a, b = cut[p], cut[p + 1]
         lens, often = _small(np.diff(ends[a : b + 1])), _small(n[a:b])
-        yield {"part": int(p), "strings": int(b - a), "lens": _PACK.compress(lens.tobytes()), "data": _PACK.compress(data[ends[a] : ends[b]].tobytes()), "often": _PACK.compress(often.tobytes())}
+        yield {"part": int(p), "strings": int(b - a), "lens": _PACK_NUMBERS.compress(lens.tobytes()), "data": _PACK.compress(data[ends[a] : ends[b]].tobytes()), "often": _PACK_NUMBERS.compress(often.tobytes())}
 
 
 def _rank(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,7 +217,7 @@ def dictionary_counts(df: DataFrame, text_col: str, longest: int, buckets: int)
                 if own.before is not None:  # strings in the order of their words
                     crc = appended(crc[own.before], rest[own.last], size[own.last])
                     order, begins = _rank(begins[own.before] * len(word) + place[own.last])
-                rows = list(_dealt(strings, own.often, (crc % np.uint32(parts)).astype(np.int64), parts, order)) if len(strings) else []
+                rows = list(_dealt(strings, own.often, (crc % np.uint32(parts)).astype(np.min_scalar_type(parts)), parts, order)) if len(strings) else []
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=pa.schema({"part": pa.int32(), "strings": pa.int32(), "lens": pa.binary(), "data": pa.binary(), "often": pa.binary()}))
             release()
