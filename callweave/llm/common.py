@@ -103,17 +103,25 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of at most so many rows for what runs inside: JVM and Python hold one of them for each task."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def _set(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
+def small_batches(spark: SparkSession, rows: int):
+    """Arrow batches of at most so many rows for what runs inside: JVM and Python hold one of them for each task."""
+    return _set(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def short_plans(spark: SparkSession, most: int = 4000):
+    """The driver's record of what has run keeps so many characters of a plan, which is told anew with each of its steps: for operators of some hundred plans."""
+    return _set(spark, "spark.sql.maxPlanStringLength", str(most))
+
+
 def clear(spark: SparkSession) -> None:
     """Delete all intermediate tables of this process; no DataFrame built on them can be read afterwards."""
     _delete(spark, _made)

@@ -151,7 +151,10 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     met = texts.join(F.broadcast(chosen), named & (F.octet_length("text") == F.col("n"))).groupBy("k").agg(F.min("text").alias("text"))
     rows = arrow_map(met, count, "k int, ids binary, counts binary").collect()
     by = {r["k"]: (np.frombuffer(r["ids"], np.uint32), np.frombuffer(r["counts"], np.uint32)) for r in rows}
-    return Model(setting).fit([by[t[0]] for t in taken if t[0] in by], np.array([t[2] for t in taken if t[0] in by]))
+    model = Model(setting).fit([by[t[0]] for t in taken if t[0] in by], np.array([t[2] for t in taken if t[0] in by]))
+    del rows, by
+    release()  # the driver's, too
+    return model
 
 
 def classify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

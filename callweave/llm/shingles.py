@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesvec import SPACED_LOWER, mix, window_hashes, word_hashes, words
-from .common import arrow_map, as_table, id_in, id_out, meet, small_batches, text_bytes
+from .common import arrow_map, as_table, id_in, id_out, meet, short_plans, small_batches, text_bytes
 from .setlinks import ASKERS, settle
 from .simhash import links, majority
 from .superminhash import band_keys, signatures
@@ -92,7 +92,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     Null texts count as empty; a null id is passed over as a component's least id
     unless there is no other; other columns are ignored.
     """
-    with small_batches(df.sparkSession, ROWS):  # all Python steps end in written tables inside
+    with small_batches(df.sparkSession, ROWS), short_plans(df.sparkSession):  # all Python steps end in written tables inside
         return _near_copies(df.select(id_in(id_col), text_bytes(text_col).alias("text")), shingle, at_least, radius)
 
 
