@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,24 +22,49 @@ SHARD, TERM_BYTES, FILTERED = 1 << 15, 16 << 20, 4096
 NUMBER = 0.75
 
 
+#: The index: rows of posting lists, and behind each shard's those of its chunks' places.
+LISTS = "shard int, term string, df int, places array<int>, place int, chunk_id string, ordinal long"
+
+
+def posting_lists(shard: int, chunks: pa.Table) -> pa.Table:
+    """Rows of LISTS for the chunks (chunk_id, ordinal, tokens) of a shard: a list for each term, by term, then a row for each chunk."""
+    chunks = chunks.take(pc.sort_indices(chunks, sort_keys=[("ordinal", "ascending"), ("chunk_id", "ascending")], null_placement="at_start"))
+    tokens = chunks["tokens"].combine_chunks()
+    terms, place = pc.list_flatten(tokens).dictionary_encode(), pc.list_parent_indices(tokens).to_numpy().astype(np.int32)
+    if terms.null_count:
+        some = pc.is_valid(terms)
+        terms, place = terms.filter(some), place[some.to_numpy(zero_copy_only=False)]
+    by_term = pc.sort_indices(terms.dictionary).to_numpy()
+    number = np.empty(len(by_term), np.int32)
+    number[by_term] = np.arange(len(by_term))
+    of = number[terms.indices.to_numpy()]
+    df, n, size = np.bincount(of, minlength=len(by_term)), len(by_term), chunks.num_rows
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(df)]), pa.int32()), pa.array(place[np.argsort(of, kind="stable")]))
+    none = lambda kind, k: pa.nulls(k, kind)
+    top = [pa.array(np.full(n, shard, np.int32)), terms.dictionary.take(pa.array(by_term)), pa.array(df, pa.int32()), lists, none(pa.int32(), n), none(pa.string(), n), none(pa.int64(), n)]
+    end = [pa.array(np.full(size, shard, np.int32)), none(pa.string(), size), none(pa.int32(), size), none(lists.type, size), pa.array(np.arange(size), pa.int32()), chunks["chunk_id"].combine_chunks(), chunks["ordinal"].combine_chunks()]
+    names = [f.split()[0] for f in LISTS.split(", ")]
+    return pa.concat_tables([pa.table(top, names=names), pa.table(end, names=names)])
+
+
 def build(chunks: DataFrame, path: str, shard: int = SHARD) -> None:
-    """Write the index of chunks (chunk_id, ordinal, tokens) to path: `postings` (shard, term, df, places) and `places` (shard, place, chunk_id, ordinal).
+    """Write the index of chunks (chunk_id, ordinal, tokens) to path: `lists`, with rows (shard, term, df, places) and (shard, place, chunk_id, ordinal).
 
     Places count a shard's chunks by ordinal.  Chunks without tokens, null ones
-    among them, are in no list; chunk_id tells chunks apart.
+    among them, are in no list; chunk_id tells chunks apart.  Tokens travel once, to
+    their shard, and are sorted there as numbers.
     """
     spark = chunks.sparkSession
-    chunks.select("chunk_id", F.col("ordinal").cast("long").alias("ordinal"), "tokens").write.mode("overwrite").parquet(f"{path}/tokens")
+    chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), F.col("ordinal").cast("long").alias("ordinal"), "tokens").write.mode("overwrite").parquet(f"{path}/tokens")
     stored = spark.read.parquet(f"{path}/tokens")
     count = stored.count()
     shards = max(1, min(spark.sparkContext.defaultParallelism, count), -(-count // shard))  # a shard is one task's work in a search
-    narrow = stored.select(F.pmod(F.xxhash64("chunk_id"), F.lit(shards)).cast("int").alias("shard"), "chunk_id", "ordinal")
-    place = F.row_number().over(Window.partitionBy("shard").orderBy("ordinal", "chunk_id")) - 1
-    narrow.withColumn("place", place).write.mode("overwrite").parquet(f"{path}/places")
-    placed = stored.join(spark.read.parquet(f"{path}/places").select("shard", "chunk_id", "place"), "chunk_id")
-    lists = placed.select("shard", "place", F.explode("tokens").alias("term")).groupBy("shard", "term").agg(F.array_sort(F.collect_list("place")).alias("places"))
-    lists = lists.select("shard", "term", F.size("places").alias("df"), "places")
-    lists.repartition("shard").sortWithinPartitions("shard", "term").write.mode("overwrite").parquet(f"{path}/postings")
+    dealt = stored.select(F.pmod(F.xxhash64("chunk_id"), F.lit(shards)).cast("int").alias("shard"), "chunk_id", "ordinal", "tokens")
+
+    def lists(key: tuple, own: pa.Table) -> pa.Table:
+        return posting_lists(key[0].as_py(), own)
+
+    dealt.groupBy("shard").applyInArrow(lists, LISTS).write.mode("overwrite").parquet(f"{path}/lists")
 
 
 def _asked(queries: DataFrame) -> list[DataFrame]:
@@ -102,7 +129,8 @@ def search(spark: SparkSession, path: str, queries: DataFrame, n: int) -> DataFr
     Every chunk with a term is considered; a shard sends on its n best for each
     question.  Questions without terms have no rows.
     """
-    postings, places = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/places")
+    whole = spark.read.parquet(f"{path}/lists")
+    postings, places = whole.where("term IS NOT NULL").select("shard", "term", "places"), whole.where("place IS NOT NULL").select("shard", "place", "chunk_id", "ordinal")
     kind = dict(queries.dtypes)["query_id"]
     schema, found = f"query_id {kind}, shard int, place int, score double", None
     sizes = places.groupBy("shard").agg(F.count("*").cast("int").alias("size"))
