@@ -62,8 +62,9 @@ def _millis(spark_time) -> int:
 class _Alone(StatefulProcessor):
     """State of a key that goes when the watermark passes its end."""
 
-    def renew(self, until: int) -> None:
-        for old in list(self.handle.listTimers()):
+    def renew(self, until: int, held: bool) -> None:
+        """held: the key had state, and so a timer; asking the state store costs a call."""
+        for old in list(self.handle.listTimers()) if held else ():
             self.handle.deleteTimer(old[0] if isinstance(old, tuple) else old)
         self.handle.registerTimer(until)
 
@@ -93,7 +94,8 @@ class _Memory(_Alone):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        held = {t[0]: tuple(t) for t in (self.turns.get() if self.turns.exists() else ())}
+        held = {t[0]: tuple(t) for t in self.turns.get()}
+        timed = bool(held)
         over = held and _millis(max(t[1] for t in held.values())) + self.ttl * 1000 <= now  # its timer goes off behind these rows
         if over:
             yield self._row(key, [], max(t[1] for t in held.values()), True)
@@ -110,11 +112,11 @@ class _Memory(_Alone):
         last = max(t[1] for t in held.values())
         kept = [held[k] for k in sorted(held)[-self.keep :]]
         self.turns.put(kept)
-        self.renew(max(_millis(last) + self.ttl * 1000, now + 1))
+        self.renew(max(_millis(last) + self.ttl * 1000, now + 1), timed)
         yield self._row(key, kept, last, False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = [tuple(t) for t in self.turns.get()] if self.turns.exists() else []
+        held = [tuple(t) for t in self.turns.get()]
         self.turns.clear()
         if held:
             yield self._row(key, [], max(t[1] for t in held), True)
@@ -155,16 +157,18 @@ class _Ends(_Alone):
         self.call = handle.getValueState("call", CALL)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        own = pd.concat(list(rows)).sort_values("seq")
-        seq, ended, cleared = self.call.get() if self.call.exists() else (-1, None, False)
-        for n, status, ts in zip(own["seq"].tolist(), own["status"].map(STATUS), own["ts"].dt.to_pydatetime(), strict=True):
+        own = sorted((e for pdf in rows for e in zip(pdf["seq"].tolist(), pdf["status"].tolist(), pdf["ts"].dt.to_pydatetime(), strict=True)), key=lambda e: e[0])
+        known, latest = self.call.get(), max(e[2] for e in own)
+        seq, ended, cleared = known or (-1, None, False)
+        for n, told, ts in own:
+            status = STATUS.get(told)
             cleared = bool(cleared or status in CLEARS)
             if status in ENDS and n > seq:
                 seq, ended = n, ts
         self.call.update((seq, ended, cleared))
-        self.renew(max(_millis(own["ts"].max()) + self.forget, timerValues.getCurrentWatermarkInMs() + 1))
+        self.renew(max(_millis(latest) + self.forget, timerValues.getCurrentWatermarkInMs() + 1), known is not None)
         if cleared:
-            yield pd.DataFrame({"uuid": [key[0]], "seq": [seq], "ts": pd.to_datetime([own["ts"].max()]), "ended_at": pd.to_datetime([ended])})
+            yield pd.DataFrame({"uuid": [key[0]], "seq": [seq], "ts": pd.to_datetime([latest]), "ended_at": pd.to_datetime([ended])})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.call.clear()
@@ -182,14 +186,16 @@ class _Tickets(_Alone):
         self.calls = handle.getMapState("calls", "uuid string", "seq long, ended_at timestamp")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        latest = 0
+        latest, held = 0, {k[0]: tuple(v) for k, v in self.calls.iterator()}
+        timed = bool(held)
         for pdf in rows:
             for uuid, seq, ended, ts in zip(pdf["uuid"], pdf["seq"].tolist(), pdf["ended_at"].dt.to_pydatetime(), pdf["ts"], strict=True):
                 latest = max(latest, _millis(ts))
-                if not self.calls.containsKey((uuid,)) or self.calls.getValue((uuid,))[0] <= seq:
-                    self.calls.updateValue((uuid,), (seq, ended))
-        ended, uuid = max((v[1], k[0]) for k, v in self.calls.iterator())
-        self.renew(max(latest + self.forget, timerValues.getCurrentWatermarkInMs() + 1))
+                if uuid not in held or held[uuid][0] <= seq:
+                    held[uuid] = (seq, ended)
+                    self.calls.updateValue((uuid,), held[uuid])
+        ended, uuid = max((v[1], k) for k, v in held.items())
+        self.renew(max(latest + self.forget, timerValues.getCurrentWatermarkInMs() + 1), timed)
         yield pd.DataFrame({"company_id": [int(key[0])], "ticket_id": [int(key[1])], "status": ["pending_follow_up"], "ended_at": pd.to_datetime([ended]), "uuid": [uuid]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
