@@ -254,10 +254,16 @@ def release() -> None:
         pass
 
 
-def arrow_map(df: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+def release_executors(spark: SparkSession) -> None:
+    """Executors collect their garbage and give back what their heaps no longer need: Python workers stand beside a heap that is as large as any step before made it."""
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
+def arrow_map(df: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], schema: str, most: int = 2 << 20) -> DataFrame:
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            for at in pieces(pdf["text"]):
+            for at in pieces(pdf["text"], most):
                 yield run(pdf.iloc[at].reset_index(drop=True))
                 release()
 

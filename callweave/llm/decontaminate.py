@@ -23,6 +23,8 @@ from .common import ANSWER, SENT, answers, arrow_map, bucket_rows, id_in, id_out
 U = np.uint64
 #: A benchmark of up to so many bytes is sent to the executors whole; a larger one is joined by key.
 BLOCK = 8 << 20
+#: Bytes of text that `clean` looks at a time.
+CLEANED = 1 << 19
 #: Bytes of text that a task of the join by key holds.
 SLICE = 4 << 20
 SCHEMA = "doc_id long, n_words long, hits array<struct<start:long,end:long>>, items array<long>"
@@ -315,7 +317,7 @@ def clean(df: DataFrame, benchmark: DataFrame, text_col: str = "text", window: i
     @pandas_udf("boolean")
     def free(texts: pd.Series) -> pd.Series:
         out = [np.zeros(0, bool)]
-        for at in pieces(texts):
+        for at in pieces(texts, CLEANED):
             w, hit, _ = hits(list(texts.iloc[at]), known)
             count = np.concatenate([[0], np.cumsum(hit)])
             out.append(count[w.doc[1:]] == count[w.doc[:-1]])

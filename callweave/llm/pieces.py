@@ -11,7 +11,7 @@ one is taken, until none is left.  All words of a batch take their step together
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import pairwise
 
@@ -75,6 +75,32 @@ def load(path: str) -> Vocabulary:
     return Vocabulary(np.concatenate(codes), at, rank.astype(np.int64), np.array(kinds) == 1, byte_id, raw)
 
 
+def _prefix(levels: list, block: Callable, size: np.ndarray, which: np.ndarray, skip: int, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Range of ranks at a level whose text begins with the pieces' symbols from skip on.
+
+    Not a closure of `suffix_ranges`: one that calls itself is part of a cycle, and
+    keeps the level's arrays until the garbage collector happens to run.
+    """
+    width, keys, _ = levels[level]
+    if level == 0:
+        return block(which, skip)
+    m = levels[level - 1][2] + 1
+    lo, hi = np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
+    short = size[which] - skip <= width // 2
+    for sel, both in ((np.flatnonzero(short), False), (np.flatnonzero(~short), True)):
+        if not len(sel):
+            continue
+        a, b = _prefix(levels, block, size, which[sel], skip, level - 1)
+        if both:  # the first half is whole: one rank or none
+            c, d = _prefix(levels, block, size, which[sel], skip + width // 2, level - 1)
+            lo[sel] = np.searchsorted(keys, a * m + c + 1)
+            hi[sel] = np.where(b > a, np.searchsorted(keys, a * m + d + 1), lo[sel])
+        else:
+            lo[sel] = np.searchsorted(keys, a * m)
+            hi[sel] = np.searchsorted(keys, b * m)
+    return lo, hi
+
+
 def suffix_ranges(text: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The suffix array of text (by as many symbols as a piece can have) and each piece's range in it.
 
@@ -117,29 +143,8 @@ def suffix_ranges(text: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.n
     order = np.argsort(rank, kind="stable")
     final = rank[order]
 
-    def prefix(which: np.ndarray, skip: int, level: int) -> tuple[np.ndarray, np.ndarray]:
-        """Range of ranks at a level whose text begins with the pieces' symbols from skip on."""
-        width, keys, _ = levels[level]
-        if level == 0:
-            return block(which, skip)
-        m = levels[level - 1][2] + 1
-        lo, hi = np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
-        short = size[which] - skip <= width // 2
-        for sel, both in ((np.flatnonzero(short), False), (np.flatnonzero(~short), True)):
-            if not len(sel):
-                continue
-            a, b = prefix(which[sel], skip, level - 1)
-            if both:  # the first half is whole: one rank or none
-                c, d = prefix(which[sel], skip + width // 2, level - 1)
-                lo[sel] = np.searchsorted(keys, a * m + c + 1)
-                hi[sel] = np.where(b > a, np.searchsorted(keys, a * m + d + 1), lo[sel])
-            else:
-                lo[sel] = np.searchsorted(keys, a * m)
-                hi[sel] = np.searchsorted(keys, b * m)
-        return lo, hi
-
     which = np.flatnonzero(vocab.normal & (size > 0))
-    lo, hi = prefix(which, 0, len(levels) - 1)
+    lo, hi = _prefix(levels, block, size, which, 0, len(levels) - 1)
     low[which] = np.searchsorted(final, lo)
     high[which] = np.maximum(np.searchsorted(final, hi), low[which])
     return order, low, high

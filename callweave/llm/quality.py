@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,10 @@ from .bytesvec import SPACED, mix, span_hashes, word_hashes, words
 from .common import arrow_map, id_in, id_out, pieces, release, text_bytes
 
 
+#: Words whose features are made at a time, and bytes of text that are scored at a time.
+WORDS, SCORED = 4000, 1 << 19
+
+
 @dataclass(frozen=True)
 class Setting:
     buckets: int = 1 << 16
@@ -64,7 +69,7 @@ def word_features(buf: np.ndarray, start: np.ndarray, end: np.ndarray, s: Settin
 def features(text: bytes, s: Setting) -> tuple[np.ndarray, np.ndarray]:
     """Distinct feature buckets of a text and how often it has each: at most s.buckets of them."""
     w = words([text], SPACED)
-    ids = [word_features(w.buf, w.start[a : a + 20_000], w.end[a : a + 20_000], s)[0] for a in range(0, len(w.start), 20_000)]
+    ids = [word_features(w.buf, w.start[a : a + WORDS], w.end[a : a + WORDS], s)[0] for a in range(0, len(w.start), WORDS)]
     count = np.bincount(np.concatenate(ids) if ids else np.zeros(0, np.int64), minlength=s.buckets)
     some = np.flatnonzero(count)
     return some, count[some]
@@ -89,7 +94,7 @@ class Model:
                 rate = s.rate * (1 - done / steps)
                 done += 1
                 ids, n = docs[k]
-                weight = (n / max(1, n.sum())).astype(np.float32)
+                weight = (n / np.float64(max(1, n.sum()))).astype(np.float32)
                 hidden = weight @ self.table[ids]
                 z = hidden @ self.out + self.bias
                 p = np.exp(z - z.max())
@@ -107,8 +112,8 @@ class Model:
         w = words(texts, SPACED)
         some, of = np.unique(word_hashes(w), return_index=True, return_inverse=True)[1:]
         total, count = np.zeros(len(some)), np.zeros(len(some))
-        for a in range(0, len(some), 20_000):
-            at = some[a : a + 20_000]
+        for a in range(0, len(some), WORDS):
+            at = some[a : a + WORDS]
             ids, cut = word_features(w.buf, w.start[at], w.end[at], self.s)
             total[a : a + len(at)] = np.add.reduceat(each[ids], cut[:-1])
             count[a : a + len(at)] = np.diff(cut)
@@ -142,15 +147,23 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     if not taken:
         return Model(setting)
     spark = df.sparkSession
-    chosen = spark.createDataFrame(taken, f"k int, _id {drawn.schema['_id'].dataType.simpleString()}, _label int, n int")
+    columns = dict(zip(("k", "_id", "n"), ([t[c] for t in taken] for c in (0, 1, 3)), strict=True))
+    chosen = spark.createDataFrame(pa.table(columns), f"k int, _id {drawn.schema['_id'].dataType.simpleString()}, n int")  # rows of Python's would start further workers on the executors
+
+    ids = np.min_scalar_type(setting.buckets - 1)
+
+    def unpacked(r) -> tuple[np.ndarray, np.ndarray]:
+        some = np.frombuffer(r["ids"], ids)
+        return some, np.frombuffer(r["counts"], f"u{len(r['counts']) // max(1, len(some)) or 1}")
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         found = [features(t, setting) for t in pdf["text"]]
-        return pd.DataFrame({"k": pdf["k"], "ids": [x.astype(np.uint32).tobytes() for x, _ in found], "counts": [c.astype(np.uint32).tobytes() for _, c in found]})
+        narrow = lambda c: c.astype(np.min_scalar_type(c.max(initial=0)))
+        return pd.DataFrame({"k": pdf["k"], "ids": [x.astype(ids).tobytes() for x, _ in found], "counts": [narrow(c).tobytes() for _, c in found]})
 
     met = texts.join(F.broadcast(chosen), named & (F.octet_length("text") == F.col("n"))).groupBy("k").agg(F.min("text").alias("text"))
     rows = arrow_map(met, count, "k int, ids binary, counts binary").collect()
-    by = {r["k"]: (np.frombuffer(r["ids"], np.uint32), np.frombuffer(r["counts"], np.uint32)) for r in rows}
+    by = {r["k"]: unpacked(r) for r in rows}
     model = Model(setting).fit([by[t[0]] for t in taken if t[0] in by], np.array([t[2] for t in taken if t[0] in by]))
     del rows, by
     release()  # the driver's, too
@@ -181,7 +194,7 @@ def keep_good(df: DataFrame, model: Model, text_col: str = "text", threshold: fl
 
     @pandas_udf("double")
     def good(texts: pd.Series) -> pd.Series:
-        parts = [model.scores(list(texts.iloc[at])) for at in pieces(texts)]
+        parts = [model.scores(list(texts.iloc[at])) for at in pieces(texts, SCORED)]
         release()
         return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 

@@ -24,8 +24,8 @@ from .simhash import links, majority
 from .superminhash import band_keys, signatures
 
 U = np.uint64
-#: Rows in an Arrow batch.
-ROWS = 1000
+#: Rows in an Arrow batch, and bytes of text that are worked on at a time.
+ROWS, MARKED = 1000, 1 << 19
 
 
 def shingle_sets(texts: list[bytes], shingle: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +112,7 @@ def _near_copies(rows: DataFrame, shingle: int, at_least: float, radius: int | N
         got = got.view(np.int64)
         return pd.DataFrame({"node": pdf["node"], "items": [got[a:b] for a, b in zip(begin[:-1], begin[1:], strict=True)]})
 
-    marked = id_out(arrow_map(source, mark, "doc_id long, of binary, sig binary, size long, fp long, bands array<long>"))
+    marked = id_out(arrow_map(source, mark, "doc_id long, of binary, sig binary, size long, fp long, bands array<long>", MARKED))
     marked = as_table(marked.withColumn("row", F.monotonically_increasing_id()), "shingles")
     least = marked.groupBy("sig").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.min("of").alias("of"), F.min("fp").alias("fp"), F.max("bands").alias("bands"))
     least = as_table(least.withColumn("node", F.monotonically_increasing_id()), "distinct")
@@ -121,7 +121,7 @@ def _near_copies(rows: DataFrame, shingle: int, at_least: float, radius: int | N
     def sets_of(nodes: DataFrame) -> DataFrame:
         asked = as_table(some.join(nodes, "node", "left_semi").groupBy("of").agg(F.min("node").alias("node")), "asked")
         found = likely(source.select("of", "text"), asked, "of").join(asked, "of").groupBy("node").agg(F.first("text").alias("text"))
-        return arrow_map(found, items, "node long, items array<long>")
+        return arrow_map(found, items, "node long, items array<long>", MARKED)
 
     roots = settle(some.select("node", "bands"), sets_of, at_least, _close(some, radius) if radius is not None else None)
     joined = least.select("sig", "node", "first", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -6,11 +6,14 @@ kept.  A stage's result is written as Parquet and read again before the next.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callweave.llm import decontaminate, exact, pieces, quality, shingles
-from callweave.llm.common import as_table, scratch, small_batches
+from callweave.llm.common import as_table, release_executors, scratch, small_batches
 from callweave.llm.queries import VOCABULARY, quality_model
 
 #: Rows in an Arrow batch: Python workers are used again by later stages and keep what the largest batch took.
@@ -19,6 +22,21 @@ BATCH_ROWS = 500
 ENCODED_BYTES = 1 << 17
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _rested(stage: Stage) -> Stage:
+    """The stage, begun with what the one before left of the executors' memory given back."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release_executors(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@_rested
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go, judged each by its text alone: null and empty ones by the learned bias, repeated rows alike."""
     return quality.keep_good(docs, quality_model(spark, sf_dir))
@@ -39,6 +57,7 @@ def _without(docs: DataFrame, gone: DataFrame, repeated: DataFrame, key: Column)
     return left.join(repeated, "key", "left_anti").select("row.*").unionByName(one.select("row.*"))
 
 
+@_rested
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row stays, of those with the largest doc_id; a null doc_id loses to any other.
 
@@ -51,6 +70,7 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return _without(docs, found.where("not kept").select("id", "key"), repeated, F.unhex(F.sha2(lowered.cast("binary"), 256)))
 
 
+@_rested
 def distinct_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates one row stays, of those with the smallest doc_id; a null doc_id loses to any other.
 
@@ -68,11 +88,13 @@ def distinct_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _without(docs, gone, ties.select(F.col("best").alias("key")).distinct(), shingles.text_key("text"))
 
 
+@_rested
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with any window of a benchmark item go; null and empty texts stay, repeated rows stay or go together."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_rested
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded_sha256) of every document left, one for each row: null ids are kept, null and empty texts have no ids."""
     return pieces.digest(pieces.encode(docs, pieces.load(VOCABULARY), batch_bytes=ENCODED_BYTES))
